@@ -56,16 +56,20 @@ def strip_tags(c) -> Column:
     return F.regexp_replace(_col(c), r"<[^>]*>", "")
 
 
+def let(value: Column, fn) -> Column:
+    """Bind ``value`` once and use it several times in ``fn`` (a one-element
+    ``transform``).  Keeps expression trees linear instead of duplicating a
+    sub-expression at every use."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def _codepoint_to_str(n: Column) -> Column:
     # Big-endian UTF-32 bytes of the code point, decoded by the JVM.
     return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
 
-def _decode_numeric(s: Column) -> Column:
-    parts = F.split(s, "&#")
-
-    def one(p: Column) -> Column:
-        ref = F.regexp_extract(p, _NUMERIC_REF, 1)
+def _decode_one_numeric(p: Column) -> Column:
+    def body(ref: Column) -> Column:
         is_hex = ref.startswith("x") | ref.startswith("X")
         code = F.when(is_hex, F.conv(F.substring(ref, 2, 7), 16, 10).cast("int")) \
                 .otherwise(ref.cast("int"))
@@ -73,24 +77,30 @@ def _decode_numeric(s: Column) -> Column:
         return F.when(ok, F.concat(_codepoint_to_str(code),
                                    F.substring(p, F.length(ref) + 2, 1 << 30))) \
                 .otherwise(F.concat(F.lit("&#"), p))
+    return let(F.regexp_extract(p, _NUMERIC_REF, 1), body)
 
-    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), one)
-    return F.when(F.size(parts) > 1,
-                  F.concat(F.element_at(parts, 1), F.array_join(rest, ""))).otherwise(s)
+
+def _decode_numeric(s: Column) -> Column:
+    def body(parts: Column) -> Column:
+        rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))),
+                           _decode_one_numeric)
+        return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
+    return F.when(s.contains("&#"), let(F.split(s, "&#"), body)).otherwise(s)
 
 
 def decode_entities(c) -> Column:
     """Decode HTML character references (the fixed named set plus numeric ones).
 
-    Guarded by ``contains('&')`` so entity-free strings skip the chain.
+    Entity-free strings skip the chain (``contains('&')`` guard).
     """
-    s = _col(c)
-    out = s
-    for name, value in NAMED_ENTITIES:
-        if name == "&amp;":
-            out = _decode_numeric(out)
-        out = F.replace(out, F.lit(name), F.lit(value))
-    return F.when(s.contains("&"), out).otherwise(s)
+    def body(s: Column) -> Column:
+        out = s
+        for name, value in NAMED_ENTITIES:
+            if name == "&amp;":
+                out = let(out, _decode_numeric)
+            out = F.replace(out, F.lit(name), F.lit(value))
+        return F.when(s.contains("&"), out).otherwise(s)
+    return let(_col(c), body)
 
 
 def inner_text(c) -> Column:

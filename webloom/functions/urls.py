@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.functions.text import let
+
 SCHEME_RE = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
 SPLIT_RE = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 ORIGIN_RE = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)"
@@ -38,18 +40,24 @@ def percent_encode(c, extra: str = PATH_EXTRA) -> Column:
     Works per character with ``transform`` over ``split(x, '')`` only when
     such a character is present; pure-ASCII values pass through untouched.
     """
-    s = _col(c)
     cls = _class(extra)
-    enc = F.array_join(F.transform(
-        F.split(s, ""),
-        lambda ch: F.when(ch == " ", F.lit("%20"))
-                    .when(ch.rlike(cls), F.url_encode(ch))
-                    .otherwise(ch)), "")
-    return F.when(s.rlike(cls), enc).otherwise(s)
+
+    def body(s: Column) -> Column:
+        enc = F.array_join(F.transform(
+            F.split(s, ""),
+            lambda ch: F.when(ch == " ", F.lit("%20"))
+                        .when(ch.rlike(cls), F.url_encode(ch))
+                        .otherwise(ch)), "")
+        return F.when(s.rlike(cls), enc).otherwise(s)
+    return let(_col(c), body)
 
 
 def remove_dot_segments(path: Column) -> Column:
     """RFC 3986 dot-segment removal with a stack kept in ``aggregate``."""
+    return let(path, _remove_dots)
+
+
+def _remove_dots(path: Column) -> Column:
     segs = F.split(F.substring(path, 2, 1 << 30), "/")
     stack = F.aggregate(
         segs, F.array().cast("array<string>"),
@@ -74,7 +82,10 @@ def strip_url_ws(c) -> Column:
 def resolve_url(base, href) -> Column:
     """Absolute, normalised form of ``href`` relative to ``base`` (NULL href -> NULL)."""
     b = _col(base)
-    h = strip_url_ws(href)
+    return let(strip_url_ws(href), lambda h: normalize_url(_join(b, h)))
+
+
+def _join(b: Column, h: Column) -> Column:
     no_frag = F.regexp_replace(b, "#.*$", "")
     no_query = F.regexp_replace(no_frag, r"\?.*$", "")
     origin = F.regexp_extract(b, ORIGIN_RE, 1)
@@ -88,19 +99,22 @@ def resolve_url(base, href) -> Column:
                .when(h.startswith("#"), F.concat(no_frag, h))
                .when(h == "", no_frag)
                .otherwise(F.concat(base_dir, h)))
-    return normalize_url(joined)
+    return joined
 
 
 def normalize_url(c) -> Column:
     """Lower-case scheme and host, '/' for an empty path, dot segments removed,
     percent-encoding of path/query/fragment.  Non-hierarchical URLs
     (``mailto:``, ``javascript:``) only get the scheme lower-cased."""
-    u = _col(c)
+    return let(_col(c), _normalize)
+
+
+def _normalize(u: Column) -> Column:
     hier = u.rlike(SPLIT_RE)
     scheme = F.lower(F.regexp_extract(u, SPLIT_RE, 1))
     host = F.lower(F.regexp_extract(u, SPLIT_RE, 2))
-    path = F.regexp_extract(u, SPLIT_RE, 3)
-    path = F.when(path == "", F.lit("/")).otherwise(remove_dot_segments(path))
+    path = let(F.regexp_extract(u, SPLIT_RE, 3),
+               lambda p: F.when(p == "", F.lit("/")).otherwise(remove_dot_segments(p)))
     query = F.regexp_extract(u, SPLIT_RE, 4)
     frag = F.regexp_extract(u, SPLIT_RE, 5)
     built = F.concat(scheme, F.lit("://"), host, percent_encode(path, PATH_EXTRA),

@@ -36,28 +36,41 @@ def href_of(tag_attrs) -> Column:
     return F.when(a.rlike(HREF_RE), decode_entities(raw))
 
 
-def link_array(html, base, schemes_prefix: str | None = "http") -> Column:
-    """Array<struct<text, href>> of anchors in document order.
-
-    Duplicates are kept.  With ``schemes_prefix`` only resolved hrefs that
-    start with it are kept (P4: the reference keeps ``startsWith('http')``).
-    """
+def _keeps_scheme(base: Column, raw_href: Column, prefix: str) -> Column:
+    """Cheap test of ``resolve_url(base, href).startswith(prefix)``: an absolute
+    href keeps its own (lower-cased) scheme, any other reference inherits the
+    base's."""
+    from webloom.functions.urls import SCHEME_RE
+    h = F.regexp_replace(raw_href, r"^[\x{00}-\x{20}]+", "")
+    own = F.lower(h).startswith(prefix) & h.rlike(SCHEME_RE)
+    return raw_href.isNotNull() & F.when(h.rlike(SCHEME_RE), own) \
+        .otherwise(F.lower(base).startswith(prefix))
+
+
+def anchor_array(html, base, schemes_prefix: str | None = "http") -> Column:
+    """Array<struct<inner, href_raw>> of anchors in document order; with
+    ``schemes_prefix`` only anchors whose resolved href starts with it
+    (P4: the reference keeps ``startsWith('http')``).  Duplicates are kept."""
     anchors = F.regexp_extract_all(_col(html), F.lit(ANCHOR_RE), 0)
-    links = F.transform(anchors, lambda a: F.struct(
-        inner_text(F.regexp_extract(a, ANCHOR_PARTS_RE, 2)).alias("text"),
-        resolve_url(base, href_of(F.regexp_extract(a, ANCHOR_PARTS_RE, 1))).alias("href")))
+    parts = F.transform(anchors, lambda a: F.struct(
+        F.regexp_extract(a, ANCHOR_PARTS_RE, 2).alias("inner"),
+        href_of(F.regexp_extract(a, ANCHOR_PARTS_RE, 1)).alias("href_raw")))
     if schemes_prefix:
-        links = F.filter(links, lambda l: l["href"].startswith(schemes_prefix))
-    return links
+        b = _col(base)
+        parts = F.filter(parts, lambda p: _keeps_scheme(b, p["href_raw"], schemes_prefix))
+    return parts
 
 
 def extract_links(pages: DataFrame, schemes_prefix: str | None = "http") -> DataFrame:
     """One row per kept link: ``(page_id, pos, text, href)``, ``pos`` 0-based in
-    the kept list (document order)."""
-    return (pages
-            .select("page_id", F.posexplode(link_array("html", "url", schemes_prefix)))
-            .select("page_id", F.col("pos").cast("bigint").alias("pos"),
-                    F.col("col.text").alias("text"), F.col("col.href").alias("href")))
+    the kept list (document order).  Anchors are filtered inside the array
+    (cheap scheme test), exploded, then cleaned and resolved per link."""
+    exploded = pages.select("page_id", "url",
+                            F.posexplode(anchor_array("html", "url", schemes_prefix)))
+    return exploded.select(
+        "page_id", F.col("pos").cast("bigint").alias("pos"),
+        inner_text(F.col("col.inner")).alias("text"),
+        resolve_url(F.col("url"), F.col("col.href_raw")).alias("href"))
 
 
 def page_title(html) -> Column:

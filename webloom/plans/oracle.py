@@ -91,6 +91,87 @@ SELECT page_id,
 FROM pages
 """
 
+_BOUNDED = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+   FROM events) WHERE rn <= {Q.LOG_N})"""
+
+LAST_N_LOG = f"""
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq,
+       event_id, event_type
+FROM {_BOUNDED}
+"""
+
+NETWORK_REQUESTS = f"""
+SELECT * FROM ({LAST_N_LOG}) WHERE event_type NOT IN ({', '.join(lit(t) for t in Q.STATIC_FIXTURE_TYPES)})
+"""
+
+SINCE_LAST_RESET = f"""
+SELECT e.user_id, e.event_id, e.event_type
+FROM events e
+LEFT JOIN (SELECT user_id, max({{'ts': ts, 'id': event_id}}) AS r FROM events
+           WHERE event_type = {lit(Q.RESET_TYPE)} GROUP BY user_id) m USING (user_id)
+WHERE m.r IS NULL OR {{'ts': e.ts, 'id': e.event_id}} > m.r
+"""
+
+TAB_EVICTIONS = """
+SELECT user_id, event_id AS opened_event,
+       lead(event_id, 10) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS evicted_by
+FROM events
+"""
+
+LOGS_PER_PAGE = """
+SELECT c.c_custkey AS user_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_entries, coalesce(l.ids, '') AS entries
+FROM customer c LEFT JOIN (
+  SELECT user_id, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS ids
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+  WHERE rn <= 100 GROUP BY user_id) l ON l.user_id = c.c_custkey
+"""
+
+FIRST_IDLE = f"""
+WITH c AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events),
+a AS (SELECT user_id, min(ts) AS st,
+             min(CASE WHEN nx IS NULL OR nx >= ts + INTERVAL {Q.IDLE_FIXTURE} THEN ts + INTERVAL {Q.IDLE_FIXTURE} END) AS q
+      FROM c GROUP BY user_id)
+SELECT user_id,
+       CASE WHEN q > st + INTERVAL {Q.IDLE_TIMEOUT_FIXTURE} THEN st + INTERVAL {Q.IDLE_TIMEOUT_FIXTURE} ELSE q END AS idle_at,
+       q > st + INTERVAL {Q.IDLE_TIMEOUT_FIXTURE} AS timed_out
+FROM a
+"""
+
+IDLE_SESSIONS = """
+WITH g AS (
+  SELECT user_id, ts, event_id,
+         CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 15 MINUTE THEN 1 ELSE 0 END AS brk
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 15 MINUTE AS session_end,
+       CAST(count(*) AS BIGINT) AS n_calls
+FROM s GROUP BY user_id, sid
+"""
+
+EXPIRED = f"SELECT event_id, ts FROM events WHERE ts < TIMESTAMP '{Q.AS_OF}' - INTERVAL 5 DAY"
+RETAINED = f"SELECT event_id, ts FROM events WHERE NOT coalesce(ts < TIMESTAMP '{Q.AS_OF}' - INTERVAL 5 DAY, false)"
+
+_URL_PATH = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+_FILENAME = f"coalesce(nullif(regexp_extract({_URL_PATH}, '([^/]+)/*$', 1), ''), 'downloaded_file')"
+
+DOWNLOAD_MANIFEST = f"""
+SELECT page_id, '{Q.ROOT}/downloads' AS folder, {_FILENAME} AS filename,
+       '{Q.ROOT}/downloads/' || {_FILENAME} AS path
+FROM pages
+"""
+
+FINAL_FILES = f"""
+SELECT path, max(page_id) AS page_id, CAST(count(*) AS BIGINT) AS n_writes
+FROM ({DOWNLOAD_MANIFEST}) GROUP BY path
+"""
+
+DISTINCT_FOLDERS = f"""
+SELECT DISTINCT folder FROM (
+  SELECT '{Q.ROOT}/downloads' || CASE WHEN regexp_extract({_URL_PATH}, '^/([^/]*)', 1) = '' THEN ''
+         ELSE '/' || regexp_extract({_URL_PATH}, '^/([^/]*)', 1) END AS folder FROM pages)
+WHERE folder <> '{Q.ROOT}/downloads/en'
+"""
+
 ORACLE = {
     "extract_links": EXTRACT_LINKS,
     "list_pages": LIST_PAGES,
@@ -99,4 +180,16 @@ ORACLE = {
     "chunk_pages": CHUNK_PAGES,
     "squeeze_html": SQUEEZE_HTML,
     "page_metadata": PAGE_METADATA,
+    "last_n_log": LAST_N_LOG,
+    "network_requests": NETWORK_REQUESTS,
+    "since_last_reset": SINCE_LAST_RESET,
+    "tab_evictions": TAB_EVICTIONS,
+    "logs_per_page": LOGS_PER_PAGE,
+    "first_idle": FIRST_IDLE,
+    "idle_sessions": IDLE_SESSIONS,
+    "expired": EXPIRED,
+    "retained": RETAINED,
+    "download_manifest": DOWNLOAD_MANIFEST,
+    "final_files": FINAL_FILES,
+    "distinct_folders": DISTINCT_FOLDERS,
 }

@@ -54,6 +54,101 @@ def q_page_metadata(spark, d):
     return H.page_metadata(_pages(spark, d))
 
 
+# ---- step 3: bounded logs (events as the page log: key user_id, order ts, event_id) ----
+
+LOG_KEY, LOG_ORDER = "user_id", ["ts", "event_id"]
+LOG_N = 20                      # bound used on fixtures (the 100 bound never cuts there)
+STATIC_FIXTURE_TYPES = ("view",)
+RESET_TYPE = "signup"
+
+
+def _events(spark, d, *cols):
+    return read_table(spark, d, "events").select(*(cols or ("event_id", "ts", "user_id", "event_type")))
+
+
+def q_last_n_log(spark, d):
+    from webloom.operators.logs import last_n
+    return last_n(_events(spark, d), LOG_KEY, LOG_ORDER, LOG_N).select(
+        "user_id", "seq", "event_id", "event_type")
+
+
+def q_network_requests(spark, d):
+    from webloom.operators.logs import network_requests
+    return network_requests(_events(spark, d), LOG_KEY, LOG_ORDER, "event_type", LOG_N,
+                            static_types=STATIC_FIXTURE_TYPES).select(
+        "user_id", "seq", "event_id", "event_type")
+
+
+def q_since_last_reset(spark, d):
+    from webloom.operators.logs import since_last_reset
+    return since_last_reset(_events(spark, d), LOG_KEY, LOG_ORDER,
+                            F.col("event_type") == RESET_TYPE).select(
+        "user_id", "event_id", "event_type")
+
+
+def q_tab_evictions(spark, d):
+    from webloom.operators.logs import tab_evictions
+    return tab_evictions(_events(spark, d), LOG_KEY, LOG_ORDER, "event_id")
+
+
+def q_logs_per_page(spark, d):
+    from webloom.operators.logs import logs_per_page
+    keys = read_table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    return logs_per_page(keys, "user_id", _events(spark, d, "user_id", "ts", "event_id"),
+                         "user_id", LOG_ORDER, "event_id")
+
+
+# ---- step 4: time gaps, retention, downloads -------------------------------------
+
+IDLE_FIXTURE, IDLE_TIMEOUT_FIXTURE = "1 hour", "24 hours"
+AS_OF = "2024-01-31 00:00:00"
+ROOT = "/srv/webloom"
+
+
+def q_first_idle(spark, d):
+    from webloom.operators.sessions import first_idle
+    return first_idle(_events(spark, d, "user_id", "ts", "event_id"), "user_id", "ts",
+                      "event_id", IDLE_FIXTURE, IDLE_TIMEOUT_FIXTURE)
+
+
+def q_idle_sessions(spark, d):
+    from webloom.operators.sessions import idle_sessions
+    return idle_sessions(_events(spark, d, "user_id", "ts"), "user_id", "ts")
+
+
+def q_expired(spark, d):
+    from webloom.operators.retention import expired
+    return expired(_events(spark, d, "event_id", "ts"), "ts", AS_OF)
+
+
+def q_retained(spark, d):
+    from webloom.operators.retention import retained
+    return retained(_events(spark, d, "event_id", "ts"), "ts", AS_OF)
+
+
+def q_download_manifest(spark, d):
+    from webloom.operators.downloads import download_manifest
+    return download_manifest(_pages(spark, d, "page_id", "url"), "url", ROOT, "downloads",
+                             keep=("page_id",))
+
+
+def q_final_files(spark, d):
+    from webloom.operators.downloads import final_files
+    return final_files(q_download_manifest(spark, d), "page_id")
+
+
+def _lang_folder():
+    from webloom.functions.urls import url_path
+    return F.concat(F.lit("downloads/"), F.regexp_extract(url_path("url"), r"^/([^/]*)", 1))
+
+
+def q_distinct_folders(spark, d):
+    from webloom.operators.downloads import distinct_folders, download_manifest
+    m = download_manifest(_pages(spark, d, "page_id", "url"), "url", ROOT, _lang_folder(),
+                          keep=("page_id",))
+    return distinct_folders(m, ROOT + "/downloads/en")
+
+
 QUERIES = {
     "extract_links": q_extract_links,
     "list_pages": q_list_pages,
@@ -62,4 +157,16 @@ QUERIES = {
     "chunk_pages": q_chunk_pages,
     "squeeze_html": q_squeeze_html,
     "page_metadata": q_page_metadata,
+    "last_n_log": q_last_n_log,
+    "network_requests": q_network_requests,
+    "since_last_reset": q_since_last_reset,
+    "tab_evictions": q_tab_evictions,
+    "logs_per_page": q_logs_per_page,
+    "first_idle": q_first_idle,
+    "idle_sessions": q_idle_sessions,
+    "expired": q_expired,
+    "retained": q_retained,
+    "download_manifest": q_download_manifest,
+    "final_files": q_final_files,
+    "distinct_folders": q_distinct_folders,
 }
