@@ -172,6 +172,70 @@ SELECT DISTINCT folder FROM (
 WHERE folder <> '{Q.ROOT}/downloads/en'
 """
 
+_RESPONSES = """
+responses AS (
+  SELECT 'page' AS kind, page_id AS id, url, 'text/html; charset=utf-8' AS ct, html AS txt FROM pages
+  UNION ALL
+  SELECT 'event', event_id, 'https://api.example.com/events/' || CAST(event_id AS VARCHAR),
+         'application/json', props FROM events
+  UNION ALL
+  SELECT 'doc', doc_id, 'https://files.example.com/docs/' || CAST(doc_id AS VARCHAR) || '.bin',
+         'application/octet-stream', text FROM documents),
+r AS (
+  SELECT *, CASE WHEN id % 17 = 0 THEN 404 ELSE 200 END AS status,
+         CASE WHEN id % 17 = 0 THEN 'Not Found' ELSE 'OK' END AS status_text,
+         CASE WHEN contains(ct, 'application/json') THEN 'json'
+              WHEN contains(ct, 'text/') OR contains(ct, 'application/xml') OR contains(ct, 'application/xhtml+xml') THEN 'text'
+              ELSE 'base64' END AS body_kind
+  FROM responses),
+b AS (
+  SELECT *, CASE body_kind WHEN 'json' THEN CAST(json(txt) AS VARCHAR) WHEN 'text' THEN txt
+                 ELSE to_base64(encode(txt)) END AS body_text
+  FROM r)
+"""
+
+DECODE_BODY = f"""WITH {_RESPONSES}
+SELECT kind, id, body_kind, CAST(length(body_text) AS BIGINT) AS body_length FROM b
+"""
+
+TRUNCATE_BODY = f"""WITH {_RESPONSES}
+SELECT kind, id, status BETWEEN 200 AND 299 AS ok, CAST(length(body_text) AS BIGINT) AS body_length,
+       length(body_text) > {Q.BODY_LIMIT} AS truncated,
+       CASE WHEN length(body_text) > {Q.BODY_LIMIT} THEN substr(body_text, 1, {Q.BODY_LIMIT}) ELSE body_text END AS body
+FROM b
+"""
+
+NORMALIZE_HEADERS = f"""WITH {_RESPONSES}
+SELECT kind, id, 'content-type' AS name, ct AS value FROM r
+UNION ALL SELECT kind, id, 'content-length', CAST(octet_length(encode(txt)) AS VARCHAR) FROM r
+UNION ALL SELECT kind, id, 'x-request-id', kind || '-' || CAST(id AS VARCHAR) FROM r
+"""
+
+ENVELOPE = f"""WITH {_RESPONSES}
+SELECT kind, id, status NOT BETWEEN 200 AND 299 AS is_error,
+       CASE WHEN status NOT BETWEEN 200 AND 299 THEN 'Error: Failed to fetch file: ' || status_text
+            ELSE 'File downloaded to: {Q.ROOT}/downloads/' || {_FILENAME} END AS text
+FROM r
+"""
+
+CLASSIFY_TIMEOUTS = """
+SELECT event_id, elapsed_ms,
+       CASE WHEN elapsed_ms >= 60000 THEN 'Request timed out after 60 seconds' END AS error
+FROM (SELECT event_id,
+             CAST(date_diff('microsecond', ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS DOUBLE) / 1000.0 AS elapsed_ms
+      FROM events)
+"""
+
+VALID_REQUESTS = """
+SELECT id, url IS NOT NULL AND coalesce(method IN ('GET','POST','PUT','DELETE','PATCH','HEAD','OPTIONS'), false)
+           AND lim IS NOT NULL AND (redirect IS NULL OR redirect IN ('follow','error','manual')) AS valid
+FROM (SELECT event_id AS id, 'https://api.example.com/events/' || CAST(event_id AS VARCHAR) AS url,
+             ['GET','POST','PUT','DELETE','PATCH','HEAD','OPTIONS','FETCH','get'][event_id % 9 + 1] AS method,
+             CASE WHEN event_id % 5 = 0 THEN NULL ELSE 200.0 END AS lim,
+             ['follow','error','manual','bounce'][event_id % 4 + 1] AS redirect
+      FROM events)
+"""
+
 ORACLE = {
     "extract_links": EXTRACT_LINKS,
     "list_pages": LIST_PAGES,
@@ -192,4 +256,10 @@ ORACLE = {
     "download_manifest": DOWNLOAD_MANIFEST,
     "final_files": FINAL_FILES,
     "distinct_folders": DISTINCT_FOLDERS,
+    "valid_requests": VALID_REQUESTS,
+    "decode_body": DECODE_BODY,
+    "truncate_body": TRUNCATE_BODY,
+    "normalize_headers": NORMALIZE_HEADERS,
+    "envelope": ENVELOPE,
+    "classify_timeouts": CLASSIFY_TIMEOUTS,
 }

@@ -149,6 +149,57 @@ def q_distinct_folders(spark, d):
     return distinct_folders(m, ROOT + "/downloads/en")
 
 
+# ---- step 5: responses and requests ----------------------------------------------
+
+BODY_LIMIT = 200
+
+
+def _responses(spark, d):
+    from webloom.sources.responses import responses
+    return responses(spark, d)
+
+
+def q_valid_requests(spark, d):
+    from webloom.operators.responses import valid_requests
+    from webloom.sources.responses import requests
+    r = requests(spark, d)
+    return r.select("id", valid_requests(r).alias("valid"))
+
+
+def q_decode_body(spark, d):
+    from webloom.operators.responses import decode_body
+    return decode_body(_responses(spark, d)).select(
+        "kind", "id", "body_kind", F.length("body_text").cast("bigint").alias("body_length"))
+
+
+def q_truncate_body(spark, d):
+    from webloom.operators.responses import decode_body, truncate_body, with_ok
+    t = truncate_body(with_ok(decode_body(_responses(spark, d))), BODY_LIMIT)
+    return t.select("kind", "id", "ok", "body_length", "truncated", F.col("body_out").alias("body"))
+
+
+def q_normalize_headers(spark, d):
+    from webloom.operators.responses import normalize_headers
+    return normalize_headers(_responses(spark, d).select("kind", "id", "headers"))
+
+
+def q_envelope(spark, d):
+    from webloom.operators.downloads import file_name
+    from webloom.operators.responses import envelope, fetch_error
+    r = _responses(spark, d).select("kind", "id", "url", "status", "status_text")
+    ok_text = F.concat(F.lit(f"File downloaded to: {ROOT}/downloads/"), file_name("url"))
+    return envelope(r, ok_text, fetch_error(), keep=("kind", "id"))
+
+
+def q_classify_timeouts(spark, d):
+    from pyspark.sql import Window
+    from webloom.operators.responses import classify_timeouts, elapsed_ms
+    ev = _events(spark, d, "event_id", "user_id", "ts")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    g = ev.select("event_id", elapsed_ms(F.col("ts"), F.lead("ts").over(w)).alias("elapsed_ms"))
+    return g.select("event_id", "elapsed_ms", classify_timeouts(g, "elapsed_ms").alias("error"))
+
+
 QUERIES = {
     "extract_links": q_extract_links,
     "list_pages": q_list_pages,
@@ -169,4 +220,10 @@ QUERIES = {
     "download_manifest": q_download_manifest,
     "final_files": q_final_files,
     "distinct_folders": q_distinct_folders,
+    "valid_requests": q_valid_requests,
+    "decode_body": q_decode_body,
+    "truncate_body": q_truncate_body,
+    "normalize_headers": q_normalize_headers,
+    "envelope": q_envelope,
+    "classify_timeouts": q_classify_timeouts,
 }
