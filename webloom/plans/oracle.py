@@ -236,6 +236,145 @@ FROM (SELECT event_id AS id, 'https://api.example.com/events/' || CAST(event_id
       FROM events)
 """
 
+# ---- search / language ----------------------------------------------------------
+
+_TOK = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+
+
+def _tok(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')".replace("{{", "{").replace("}}", "}")
+
+
+ENRICH_SQL = ("CASE WHEN NOT contains(lower({t}), 'best') AND NOT contains(lower({t}), 'tips') "
+              "THEN {t} || ' best tips' ELSE {t} END")
+
+ENRICH_QUERY = f"""
+SELECT conv_id, turn, {ENRICH_SQL.format(t='text')} AS query FROM conversations WHERE role = 'user'
+"""
+
+
+def _form(x: str) -> str:
+    return f"replace(replace(replace(url_encode({x}), '%20', '+'), '%2A', '*'), '~', '%7E')"
+
+
+SEARCH_URLS = f"""
+SELECT item_id, 'https://www.googleapis.com/customsearch/v1?key=API_KEY&cx=ENGINE_ID&q=' || {_form('text')}
+       || '&num={Q.SEARCH_NUM}&lr=lang_en' AS url
+FROM benchmark
+"""
+
+PARSE_SEARCH_RESPONSE = """
+SELECT id, CAST(k AS BIGINT) AS rank, 'Line ' || CAST(k AS VARCHAR) AS title,
+       'https://files.example.com/docs/' || CAST(id AS VARCHAR) || '#L' || CAST(k AS VARCHAR) AS link,
+       line AS snippet
+FROM (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line,
+             unnest(generate_series(1, len(string_split(text, chr(10))))) AS k
+      FROM documents WHERE n_chars >= 10)
+"""
+
+
+def _search_sql(queries_sql: str, num: int, start: int = 1, doc_filter: str = "TRUE") -> str:
+    """BM25 top-k per query in DuckDB; ``queries_sql`` yields (item_id, text)."""
+    return f"""
+docs AS (SELECT doc_id, {doc_filter} AS keep_doc, {_tok('text')} AS toks FROM documents),
+stats AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM docs),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_tok('text')}) AS term FROM ({queries_sql}))),
+dt AS (SELECT doc_id, keep_doc, len(toks) AS dl, unnest(toks) AS term FROM docs),
+post AS (SELECT doc_id, term, dl, keep_doc, count(*) AS tf FROM dt WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+sc AS (SELECT q.item_id, p.doc_id,
+              round(sum(ln(1 + (stats.n - dfs.df + 0.5) / (dfs.df + 0.5)) * p.tf * 2.2
+                        / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / stats.avgdl))), 6) AS score
+       FROM post p JOIN dfs USING (term) JOIN q USING (term), stats WHERE p.keep_doc GROUP BY ALL),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc),
+top AS (SELECT item_id, CAST(rank AS BIGINT) AS rank, doc_id, score FROM ranked WHERE rank BETWEEN {start} AND {start + num - 1})
+"""
+
+
+_META = ("substr(regexp_replace(split_part(text, chr(10), 1), '^{c}+|{c}+$', '', 'g'), 1, 80) AS title, "
+         "substr(text, 1, 160) AS snippet").format(c=__import__('webloom.functions.text', fromlist=['x']).JS_SPACE_CLASS)
+
+MULTI_SEARCH = f"""WITH {_search_sql('SELECT item_id, text FROM benchmark', Q.SEARCH_NUM)}
+SELECT top.item_id, top.rank, top.doc_id, top.score, {_META}
+FROM top JOIN documents USING (doc_id)
+"""
+
+SEARCH_FILTERED = f"""WITH {_search_sql('SELECT item_id, text FROM benchmark', Q.FILTER_NUM, Q.FILTER_START, "lang = '" + Q.FILTER_LANG + "'")}
+SELECT top.item_id, top.rank, top.doc_id, top.score, {_META}
+FROM top JOIN documents USING (doc_id)
+"""
+
+_LANGMAP = "CASE {x} WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' WHEN 'es' THEN 'spa' ELSE {x} END"
+
+
+def _grams(src_sql: str) -> str:
+    """(id, gram, cnt) for src_sql yielding (id, text)."""
+    return f"""(SELECT id, gram, count(*) AS cnt FROM (
+      SELECT id, substr(s, i, 3) AS gram FROM (
+        SELECT id, s, unnest(generate_series(1, length(s) - 2)) AS i FROM (
+          SELECT id, ' ' || regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g') || ' ' AS s FROM ({src_sql}))
+        WHERE length(s) >= 3))
+    WHERE NOT contains(gram, '  ') GROUP BY ALL)""".replace("{{", "{").replace("}}", "}")
+
+
+PROFILES = f"""prof AS (
+  SELECT lang, gram, r FROM (
+    SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, gram) AS r FROM (
+      SELECT {_LANGMAP.format(x='d.lang')} AS lang, g.gram, sum(g.cnt) AS cnt
+      FROM {_grams('SELECT doc_id AS id, text FROM documents')} g JOIN documents d ON d.doc_id = g.id
+      GROUP BY ALL))
+  WHERE r <= 300)"""
+
+
+def _detect(name: str, src_sql: str) -> str:
+    """CTE ``name`` (id, lang_code) for src_sql yielding (id, text)."""
+    return f"""{name}_own AS (
+  SELECT id, gram, rd FROM (SELECT id, gram, row_number() OVER (PARTITION BY id ORDER BY cnt DESC, gram) AS rd
+                            FROM {_grams(src_sql)}) WHERE rd <= 300),
+{name}_best AS (
+  SELECT id, lang FROM (
+    SELECT id, lang, row_number() OVER (PARTITION BY id ORDER BY score DESC, lang) AS k FROM (
+      SELECT id, lang, sum(300 - abs(rd - r)) AS score FROM {name}_own JOIN prof USING (gram) GROUP BY ALL))
+  WHERE k = 1),
+{name} AS (
+  SELECT s.id, CASE WHEN length(s.text) < 10 THEN 'und' ELSE coalesce(b.lang, 'und') END AS lang_code
+  FROM ({src_sql}) s LEFT JOIN {name}_best b ON b.id = s.id)"""
+
+
+DETECT_LANGUAGE = f"""WITH {PROFILES},
+{_detect('det', 'SELECT doc_id AS id, text FROM documents')}
+SELECT id AS doc_id, lang_code FROM det
+"""
+
+_DICT_CASE = ("CASE lower(w) " + " ".join(
+    f"WHEN '{k}' THEN '{v}'" for k, v in __import__('webloom.operators.language', fromlist=['x']).FIXTURE_DICTIONARY.items())
+    + " ELSE w END")
+
+
+def _translate(text: str, lang: str) -> str:
+    return (f"CASE WHEN {lang} NOT IN ('eng', 'und') THEN "
+            f"array_to_string(list_transform(string_split({text}, ' '), lambda w: {_DICT_CASE}), ' ') "
+            f"ELSE {text} END")
+
+
+TRANSLATE_QUERIES = f"""WITH {PROFILES},
+{_detect('det', "SELECT conv_id * 100000 + turn AS id, text FROM conversations WHERE role = 'user'")}
+SELECT c.conv_id, c.turn, {_translate('c.text', 'det.lang_code')} AS query
+FROM conversations c JOIN det ON det.id = c.conv_id * 100000 + c.turn
+WHERE c.role = 'user'
+"""
+
+SEARCH_REPORT = f"""WITH {PROFILES},
+{_detect('det', 'SELECT item_id AS id, text FROM benchmark')},
+qq AS (SELECT b.item_id, det.lang_code, {ENRICH_SQL.format(t='(' + _translate('b.text', 'det.lang_code') + ')')} AS query
+       FROM benchmark b JOIN det ON det.id = b.item_id),
+{_search_sql('SELECT item_id, query AS text FROM qq', Q.SEARCH_NUM)},
+ids AS (SELECT item_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS ids FROM top GROUP BY item_id)
+SELECT qq.item_id, 'Detected language: ' || qq.lang_code || chr(10) || 'Enriched query: ' || qq.query
+       || chr(10) || chr(10) || 'Results:' || chr(10) || '[' || coalesce(ids.ids, '') || ']' AS report
+FROM qq LEFT JOIN ids USING (item_id)
+"""
+
 ORACLE = {
     "extract_links": EXTRACT_LINKS,
     "list_pages": LIST_PAGES,
@@ -262,4 +401,12 @@ ORACLE = {
     "normalize_headers": NORMALIZE_HEADERS,
     "envelope": ENVELOPE,
     "classify_timeouts": CLASSIFY_TIMEOUTS,
+    "enrich_query": ENRICH_QUERY,
+    "search_urls": SEARCH_URLS,
+    "parse_search_response": PARSE_SEARCH_RESPONSE,
+    "multi_search": MULTI_SEARCH,
+    "search_filtered": SEARCH_FILTERED,
+    "search_report": SEARCH_REPORT,
+    "detect_language": DETECT_LANGUAGE,
+    "translate_queries": TRANSLATE_QUERIES,
 }

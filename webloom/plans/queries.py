@@ -200,6 +200,104 @@ def q_classify_timeouts(spark, d):
     return g.select("event_id", "elapsed_ms", classify_timeouts(g, "elapsed_ms").alias("error"))
 
 
+# ---- step 6/7: search, language -------------------------------------------------
+
+SEARCH_NUM = 10
+FILTER_LANG, FILTER_START, FILTER_NUM = "en", 3, 5
+
+
+def _user_turns(spark, d):
+    return read_table(spark, d, "conversations").where(F.col("role") == "user").select(
+        "conv_id", "turn", "text")
+
+
+def q_enrich_query(spark, d):
+    from webloom.operators.search import enrich_query
+    return _user_turns(spark, d).select("conv_id", "turn", enrich_query("text").alias("query"))
+
+
+def q_search_urls(spark, d):
+    from webloom.operators.search import search_url
+    b = read_table(spark, d, "benchmark")
+    return b.select("item_id", search_url("text", num=SEARCH_NUM, language="en").alias("url"))
+
+
+def search_responses(spark, d):
+    """Search-API-shaped JSON per document: one item per text line; texts under
+    10 characters give a response without ``items``."""
+    from webloom.sources.responses import DOC_URL
+    docs = read_table(spark, d, "documents").select("doc_id", "text", "n_chars")
+    lines = F.split("text", "\n")
+    items = F.transform(lines, lambda line, i: F.struct(
+        F.concat(F.lit("Line "), (i + 1).cast("string")).alias("title"),
+        F.concat(F.lit(DOC_URL), F.col("doc_id").cast("string"), F.lit("#L"), (i + 1).cast("string")).alias("link"),
+        line.alias("snippet")))
+    body = F.when(F.col("n_chars") >= 10, F.to_json(F.struct(F.lit("customsearch#search").alias("kind"),
+                                                            items.alias("items")))) \
+            .otherwise(F.to_json(F.struct(F.lit("customsearch#search").alias("kind"))))
+    return docs.select(F.col("doc_id").alias("id"), body.alias("response"))
+
+
+def q_parse_search_response(spark, d):
+    from webloom.operators.search import parse_search_response
+    return parse_search_response(search_responses(spark, d), "response", keep=("id",))
+
+
+def _docs(spark, d, *cols):
+    return read_table(spark, d, "documents").select(*(cols or ("doc_id", "text")))
+
+
+def q_multi_search(spark, d):
+    from webloom.operators.search import multi_search, with_result_text
+    corpus = _docs(spark, d)
+    res = multi_search(read_table(spark, d, "benchmark").select("item_id", "text"), corpus,
+                       num=SEARCH_NUM)
+    return with_result_text(res, corpus).select("item_id", "rank", "doc_id", "score", "title", "snippet")
+
+
+def q_search_filtered(spark, d):
+    from webloom.operators.search import multi_search, with_result_text
+    corpus = _docs(spark, d, "doc_id", "text", "lang")
+    res = multi_search(read_table(spark, d, "benchmark").select("item_id", "text"), corpus,
+                       num=FILTER_NUM, start=FILTER_START, doc_filter=F.col("lang") == FILTER_LANG)
+    return with_result_text(res, corpus.select("doc_id", "text")).select(
+        "item_id", "rank", "doc_id", "score", "title", "snippet")
+
+
+def _profiles(spark, d):
+    from webloom.operators.language import train_profiles
+    return train_profiles(_docs(spark, d, "doc_id", "text", "lang"), "doc_id", "text", "lang")
+
+
+def q_detect_language(spark, d):
+    from webloom.operators.language import detect_language
+    return detect_language(_docs(spark, d), "doc_id", "text", _profiles(spark, d))
+
+
+def q_translate_queries(spark, d):
+    from webloom.operators.language import FIXTURE_DICTIONARY, detect_language, translate_queries
+    turns = _user_turns(spark, d).withColumn("key", F.struct("conv_id", "turn"))
+    det = detect_language(turns, "key", "text", _profiles(spark, d))
+    joined = turns.join(det, "key")
+    return translate_queries(joined, "text", "lang_code", FIXTURE_DICTIONARY).select(
+        "conv_id", "turn", "query")
+
+
+def q_search_report(spark, d):
+    from webloom.operators.language import FIXTURE_DICTIONARY, detect_language, translate_queries
+    from webloom.operators.search import enrich_query, multi_search, nest_results, search_report
+    bench = read_table(spark, d, "benchmark").select("item_id", "text")
+    det = detect_language(bench, "item_id", "text", _profiles(spark, d))
+    q = translate_queries(bench.join(det, "item_id"), "text", "lang_code", FIXTURE_DICTIONARY, "translated")
+    q = q.withColumn("query", enrich_query("translated"))
+    res = multi_search(q.select("item_id", F.col("query").alias("text")), _docs(spark, d), num=SEARCH_NUM)
+    nested = nest_results(res, "item_id", ["doc_id"]).select(
+        "item_id", F.transform("results", lambda r: r["doc_id"].cast("string")).alias("ids"))
+    full = q.join(nested, "item_id", "left").withColumn(
+        "ids", F.coalesce("ids", F.array().cast("array<string>")))
+    return search_report(full, "item_id", "lang_code", "query", "ids")
+
+
 QUERIES = {
     "extract_links": q_extract_links,
     "list_pages": q_list_pages,
@@ -226,4 +324,12 @@ QUERIES = {
     "normalize_headers": q_normalize_headers,
     "envelope": q_envelope,
     "classify_timeouts": q_classify_timeouts,
+    "enrich_query": q_enrich_query,
+    "search_urls": q_search_urls,
+    "parse_search_response": q_parse_search_response,
+    "multi_search": q_multi_search,
+    "search_filtered": q_search_filtered,
+    "search_report": q_search_report,
+    "detect_language": q_detect_language,
+    "translate_queries": q_translate_queries,
 }
