@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom.sources.tables import spread
+
 # Fixed values.
 PROFILE_SIZE = 300
 MIN_LENGTH = 10
@@ -35,10 +37,10 @@ def trigram_source(text) -> Column:
 
 def text_trigrams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, gram, cnt)`` trigram counts per text."""
-    src = df.select(F.col(id_col).alias("_id"), trigram_source(text_col).alias("_s"))
-    n = F.length("_s")
-    grams = F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring("_s", i, 3))) \
-             .otherwise(F.array().cast("array<string>"))
+    src = spread(df).select(F.col(id_col).alias("_id"), trigram_source(text_col).alias("_s"))
+    # Every overlapping 3-character window in one regex pass (zero-width
+    # look-ahead), JVM-side.
+    grams = F.regexp_extract_all("_s", F.lit("(?=(...))"), 1)
     return (src.select("_id", F.explode(grams).alias("gram"))
             .where(~F.col("gram").contains("  "))
             .groupBy("_id", "gram").agg(F.count(F.lit(1)).alias("cnt"))

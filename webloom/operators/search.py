@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.text import js_trim
 from webloom.functions.urls import form_encode
+from webloom.sources.tables import spread
 
 # Fixed values.
 K1, B = 1.2, 0.75
@@ -112,7 +113,7 @@ def multi_search(queries: DataFrame, corpus: DataFrame, query_id: str = "item_id
                              F.explode(F.array_distinct(tokens(query_text))).alias("term")))
     vocab = qterms.select("term").distinct()
     keep = doc_filter if doc_filter is not None else F.lit(True)
-    doc_tokens = (corpus.select(F.col(doc_id).alias("_d"), tokens(doc_text).alias("_t"),
+    doc_tokens = (spread(corpus).select(F.col(doc_id).alias("_d"), tokens(doc_text).alias("_t"),
                                 keep.alias("_keep"))
                   .select("_d", "_keep", F.size("_t").alias("dl"), F.explode("_t").alias("term")))
     postings = (doc_tokens.join(vocab, "term", "left_semi")

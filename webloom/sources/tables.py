@@ -25,3 +25,14 @@ def read_stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return (spark.readStream.schema(schema)
             .option("maxFilesPerTrigger", 1)
             .parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that came out with fewer partitions than the cluster
+    has cores (one small file = one split), before CPU-heavy per-row work.
+    Large inputs are already split by the scan, so this is a no-op at scale."""
+    sc = df.sparkSession.sparkContext
+    want = sc.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
