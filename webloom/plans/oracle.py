@@ -375,6 +375,74 @@ SELECT qq.item_id, 'Detected language: ' || qq.lang_code || chr(10) || 'Enriched
 FROM qq LEFT JOIN ids USING (item_id)
 """
 
+# ---- page text / selectors / batch / correlation -----------------------------------
+
+def _page_text(expr: str) -> str:
+    from webloom.functions.text import JS_SPACE_CLASS
+    x = f"regexp_replace({expr}, {lit(H.HIDDEN_BLOCK_RE2)}, '', 'g')"
+    x = f"regexp_replace({x}, {lit(H.BLOCK_TAG_RE)}, chr(10), 'g')"
+    x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    x = sql_decode_entities(x)
+    x = f"regexp_replace({x}, {lit(r'[ \t\r\f\x{0B}]+')}, ' ', 'g')"
+    x = f"regexp_replace({x}, {lit(r' ?\n[ \n]*')}, chr(10), 'g')"
+    return f"regexp_replace({x}, '^{JS_SPACE_CLASS}+|{JS_SPACE_CLASS}+$', '', 'g')"
+
+
+PAGE_TEXT = f"""
+SELECT page_id, CAST(length(t) AS BIGINT) AS text_length, t AS text
+FROM (SELECT page_id, {_page_text('html')} AS t FROM pages)
+"""
+
+_ART = f"regexp_extract(html, {lit(H.ARTICLE_RE)}, 1)"
+_BODY = f"regexp_replace(regexp_replace(html, {lit(H.HIDDEN_BLOCK_RE2)}, '', 'g'), {lit(H.BOILERPLATE_RE)}, '', 'g')"
+MAIN_ARTICLE = f"""
+SELECT page_id, CAST(length(t) AS BIGINT) AS text_length, t AS text
+FROM (SELECT page_id, {_page_text(f"(CASE WHEN regexp_matches(html, {lit(H.ARTICLE_RE)}) THEN {_ART} ELSE {_BODY} END)")} AS t
+      FROM pages)
+"""
+
+PAGES_WITH_TEXT = f"SELECT page_id FROM pages WHERE contains({_page_text('html')}, {lit(Q.TEXT_NEEDLE)})"
+
+_FR = "regexp_matches(html, '(?is)<html\\b[^>]*\\slang\\s*=\\s*\"fr\"')"
+PAGES_WITH = f"SELECT page_id, url FROM pages WHERE {_FR}"
+PAGES_WITHOUT = f"SELECT page_id, url FROM pages WHERE NOT {_FR}"
+
+EVALUATE_PAGES = """
+SELECT page_id, CAST((length(html) - length(replace(html, '<p', ''))) / 2 AS BIGINT) AS value,
+       CAST(NULL AS VARCHAR) AS error
+FROM pages
+"""
+
+_BATCH = f"""
+reqs AS (
+  SELECT page_id, 0 AS kind, -1 AS lpos, url FROM pages
+  UNION ALL SELECT page_id, 1, pos, href FROM ({EXTRACT_LINKS})),
+ordered AS (SELECT CAST(row_number() OVER (ORDER BY page_id, kind, lpos) - 1 AS BIGINT) AS pos, url FROM reqs),
+res AS (
+  SELECT o.pos, o.url, CASE WHEN p.page_id IS NOT NULL THEN 'success' ELSE 'error' END AS status,
+         CASE WHEN p.page_id IS NOT NULL THEN CAST(least(o.pos, 9) AS INTEGER) END AS tab_index,
+         CASE WHEN p.page_id IS NULL THEN 'net::ERR_NAME_NOT_RESOLVED at ' || o.url END AS error
+  FROM ordered o LEFT JOIN (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url) p ON p.url = o.url)
+"""
+
+BATCH_FETCH = f"WITH {_BATCH} SELECT * FROM res"
+BATCH_SUMMARY = f"WITH {_BATCH} SELECT status, CAST(count(*) AS BIGINT) AS n FROM res GROUP BY status"
+
+CORRELATE = """
+WITH u AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k,
+                  TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn) AS ts
+           FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k,
+             TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn - 1) + to_seconds(7 * (1 + conv_id % 6)) AS ts
+      FROM conversations WHERE role = 'assistant'),
+j AS (SELECT u.conv_id, u.turn AS req_turn, u.ts AS qts, a.turn AS reply_turn, a.ts AS rts
+      FROM u LEFT JOIN a ON a.conv_id = u.conv_id AND a.k = u.k
+                         AND a.ts BETWEEN u.ts AND u.ts + INTERVAL 30 SECOND)
+SELECT conv_id, req_turn, arg_min(reply_turn, rts) AS reply_turn,
+       CAST(date_diff('second', qts, min(rts)) AS DOUBLE) AS latency_s, min(rts) IS NULL AS timed_out
+FROM j GROUP BY conv_id, req_turn, qts
+"""
+
 ORACLE = {
     "extract_links": EXTRACT_LINKS,
     "list_pages": LIST_PAGES,
@@ -409,4 +477,13 @@ ORACLE = {
     "search_report": SEARCH_REPORT,
     "detect_language": DETECT_LANGUAGE,
     "translate_queries": TRANSLATE_QUERIES,
+    "page_text": PAGE_TEXT,
+    "pages_with": PAGES_WITH,
+    "pages_without": PAGES_WITHOUT,
+    "evaluate_pages": EVALUATE_PAGES,
+    "main_article": MAIN_ARTICLE,
+    "pages_with_text": PAGES_WITH_TEXT,
+    "batch_fetch": BATCH_FETCH,
+    "batch_summary": BATCH_SUMMARY,
+    "correlate": CORRELATE,
 }

@@ -298,6 +298,106 @@ def q_search_report(spark, d):
     return search_report(full, "item_id", "lang_code", "query", "ids")
 
 
+# ---- step 8: outline, page text, selectors, user functions ------------------------
+
+SELECTOR = 'html[lang="fr"]'
+TEXT_NEEDLE = "the"
+
+
+def q_outline_nodes(spark, d):
+    from webloom.operators.outline import outline_nodes
+    return outline_nodes(_pages(spark, d, "page_id", "html"))
+
+
+def q_outline_text(spark, d):
+    from webloom.operators.outline import outline_text
+    return outline_text(_pages(spark, d, "page_id", "html")).select("page_id", "n_lines", "outline")
+
+
+def q_page_text(spark, d):
+    return H.page_text(_pages(spark, d, "page_id", "html"))
+
+
+def q_pages_with(spark, d):
+    from webloom.operators.selectors import pages_with
+    return pages_with(_pages(spark, d), SELECTOR).select("page_id", "url")
+
+
+def q_pages_without(spark, d):
+    from webloom.operators.selectors import pages_with
+    return pages_with(_pages(spark, d), SELECTOR, present=False).select("page_id", "url")
+
+
+def count_paragraph_tags(html: str) -> int:
+    return html.count("<p")
+
+
+def q_evaluate_pages(spark, d):
+    from webloom.operators.selectors import evaluate_pages
+    return evaluate_pages(_pages(spark, d, "page_id", "html"), count_paragraph_tags, "bigint")
+
+
+def q_main_article(spark, d):
+    return H.main_article(_pages(spark, d, "page_id", "html"))
+
+
+def q_pages_with_text(spark, d):
+    return H.pages_with_text(_pages(spark, d, "page_id", "html"), TEXT_NEEDLE)
+
+
+# ---- step 9: batch fetch, correlation --------------------------------------------
+
+def batch_requests(spark, d):
+    """Crawl frontier: every page URL, then the links found on it, in order."""
+    pages = _pages(spark, d)
+    links = H.extract_links(pages)
+    reqs = (pages.select("page_id", F.lit(0).alias("kind"), F.lit(-1).cast("bigint").alias("lpos"), "url")
+            .unionByName(links.select("page_id", F.lit(1).alias("kind"), F.col("pos").alias("lpos"),
+                                      F.col("href").alias("url"))))
+    return with_ordinal(reqs, ["page_id", "kind", "lpos"], "pos").select("pos", "url")
+
+
+def q_batch_fetch(spark, d):
+    from webloom.operators.batch import batch_fetch
+    return batch_fetch(batch_requests(spark, d), _pages(spark, d, "page_id", "url")).select(
+        "pos", "url", "status", "tab_index", "error")
+
+
+def q_batch_summary(spark, d):
+    from webloom.operators.batch import batch_fetch, batch_summary
+    return batch_summary(batch_fetch(batch_requests(spark, d), _pages(spark, d, "page_id", "url")))
+
+
+EPOCH_S = 1704067200   # 2024-01-01 00:00:00 UTC
+
+
+def conversation_messages(spark, d):
+    """Requests = user turns, replies = assistant turns, matched by (conv_id,
+    ordinal within role); request at epoch + conv_id h + turn min, reply
+    7 x (1 + conv_id % 6) s after the minute of the turn before it."""
+    from pyspark.sql import Window
+    conv = read_table(spark, d, "conversations").select("conv_id", "turn", "role")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    k = (F.row_number().over(w) - 1).cast("bigint")
+    base = F.lit(EPOCH_S) + F.col("conv_id") * 3600
+    req = conv.where(F.col("role") == "user").select(
+        "conv_id", k.alias("k"), F.col("turn").alias("req_turn"),
+        F.timestamp_seconds(base + F.col("turn") * 60).alias("req_ts"))
+    rep = conv.where(F.col("role") == "assistant").select(
+        "conv_id", k.alias("k"), F.col("turn").alias("reply_turn"),
+        F.timestamp_seconds(base + (F.col("turn") - 1) * 60 + 7 * (1 + F.col("conv_id") % 6)).alias("reply_ts"))
+    return req, rep
+
+
+def q_correlate(spark, d):
+    from webloom.operators.correlate import correlate
+    req, rep = conversation_messages(spark, d)
+    c = correlate(req, rep, ["conv_id", "k"])
+    return c.select("conv_id", "req_turn", "reply_turn",
+                    F.timestamp_diff("SECOND", F.col("req_ts"), F.col("reply_ts")).cast("double").alias("latency_s"),
+                    F.col("reply_ts").isNull().alias("timed_out"))
+
+
 QUERIES = {
     "extract_links": q_extract_links,
     "list_pages": q_list_pages,
@@ -332,4 +432,15 @@ QUERIES = {
     "search_report": q_search_report,
     "detect_language": q_detect_language,
     "translate_queries": q_translate_queries,
+    "outline_nodes": q_outline_nodes,
+    "outline_text": q_outline_text,
+    "page_text": q_page_text,
+    "pages_with": q_pages_with,
+    "pages_without": q_pages_without,
+    "evaluate_pages": q_evaluate_pages,
+    "main_article": q_main_article,
+    "pages_with_text": q_pages_with_text,
+    "batch_fetch": q_batch_fetch,
+    "batch_summary": q_batch_summary,
+    "correlate": q_correlate,
 }
