@@ -170,7 +170,7 @@ def role_of(tag: str, role_attr: str | None, input_type: str | None) -> str:
 
 def page_nodes(page_id: int, html: str):
     """Pre-order visible nodes under <body>: list of tuples in NODE_SCHEMA order.
-    Returns None when the page has no body."""
+    Returns None for an empty document (nothing to put in a body)."""
     b = _TreeBuilder()
     b.feed(html or "")
     b.close()
@@ -185,7 +185,18 @@ def page_nodes(page_id: int, html: str):
                     break
                 todo.append(c)
     if body is None:
-        return None
+        # Browsers imply <body>: everything outside <head> goes into it.
+        kids = [c for c in b.root.children if isinstance(c, str) or c.tag != "head"]
+        flat = []
+        for c in kids:
+            if not isinstance(c, str) and c.tag == "html":
+                flat.extend(x for x in c.children if isinstance(x, str) or x.tag != "head")
+            else:
+                flat.append(c)
+        if not any((isinstance(c, str) and c.strip()) or not isinstance(c, str) for c in flat):
+            return None
+        body = _El("body", {}, None)
+        body.children = flat
     rows = []
 
     def walk(el: _El, parent_id, depth, pos, path):

@@ -428,21 +428,51 @@ res AS (
 BATCH_FETCH = f"WITH {_BATCH} SELECT * FROM res"
 BATCH_SUMMARY = f"WITH {_BATCH} SELECT status, CAST(count(*) AS BIGINT) AS n FROM res GROUP BY status"
 
-CORRELATE = """
-WITH u AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k,
-                  TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn) AS ts
+_CORR = """
+WITH u AS (SELECT conv_id, turn, TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn) AS ts
            FROM conversations WHERE role = 'user'),
-a AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k,
+a AS (SELECT conv_id, turn, turn - 1 AS rid,
              TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn - 1) + to_seconds(7 * (1 + conv_id % 6)) AS ts
       FROM conversations WHERE role = 'assistant'),
 j AS (SELECT u.conv_id, u.turn AS req_turn, u.ts AS qts, a.turn AS reply_turn, a.ts AS rts
-      FROM u LEFT JOIN a ON a.conv_id = u.conv_id AND a.k = u.k
-                         AND a.ts BETWEEN u.ts AND u.ts + INTERVAL 30 SECOND)
-SELECT conv_id, req_turn, arg_min(reply_turn, rts) AS reply_turn,
-       CAST(date_diff('second', qts, min(rts)) AS DOUBLE) AS latency_s, min(rts) IS NULL AS timed_out
-FROM j GROUP BY conv_id, req_turn, qts
+      FROM u LEFT JOIN a ON a.conv_id = u.conv_id AND a.rid = u.turn
+                         AND a.ts BETWEEN u.ts AND u.ts + INTERVAL 30 SECOND),
+c AS (SELECT conv_id, req_turn, qts, arg_min(reply_turn, rts) AS reply_turn,
+             CAST(date_diff('second', qts, min(rts)) AS DOUBLE) AS latency_s, min(rts) IS NULL AS timed_out
+      FROM j GROUP BY conv_id, req_turn, qts)
 """
 
+CORRELATE = _CORR + "SELECT conv_id, req_turn, reply_turn, latency_s, timed_out FROM c"
+
+# Stream twins: what an availableNow run has emitted -- everything final under
+# the watermark (max event time - delay).
+STREAM_LAST_N = f"""
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq,
+       event_id, event_type
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+      FROM (SELECT e.* FROM events e
+            LEFT JOIN (SELECT user_id, max({{'ts': ts, 'id': event_id}}) AS r FROM events
+                       WHERE event_type = {lit(Q.RESET_TYPE)} GROUP BY user_id) m USING (user_id)
+            WHERE m.r IS NULL OR {{'ts': e.ts, 'id': e.event_id}} > m.r))
+WHERE rn <= {Q.LOG_N}
+"""
+
+STREAM_SESSIONS = f"""
+SELECT * FROM ({IDLE_SESSIONS})
+WHERE session_end <= (SELECT max(ts) FROM events) - INTERVAL {Q.STREAM_DELAY}
+"""
+
+STREAM_CORRELATE = _CORR + """
+SELECT conv_id, req_turn, reply_turn, latency_s, timed_out FROM c
+WHERE NOT timed_out OR qts + INTERVAL 30 SECOND < (
+  SELECT least(max(CASE WHEN role = 'user' THEN TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn) END),
+               max(CASE WHEN role = 'assistant' THEN TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn - 1)
+                                                     + to_seconds(7 * (1 + conv_id % 6)) END)) - INTERVAL 1 MINUTE
+  FROM conversations)
+"""
+
+STREAM_TABS = f"SELECT * FROM ({TAB_EVICTIONS}) WHERE evicted_by IS NOT NULL"
+
 ORACLE = {
     "extract_links": EXTRACT_LINKS,
     "list_pages": LIST_PAGES,
@@ -486,4 +516,10 @@ ORACLE = {
     "batch_fetch": BATCH_FETCH,
     "batch_summary": BATCH_SUMMARY,
     "correlate": CORRELATE,
+    "stream_last_n": STREAM_LAST_N,
+    "stream_sessions": STREAM_SESSIONS,
+    "stream_correlate": STREAM_CORRELATE,
+    "stream_tabs": STREAM_TABS,
+    "stream_links": EXTRACT_LINKS,
+    "stream_retention": EXPIRED,
 }

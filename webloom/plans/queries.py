@@ -371,33 +371,82 @@ def q_batch_summary(spark, d):
 EPOCH_S = 1704067200   # 2024-01-01 00:00:00 UTC
 
 
-def conversation_messages(spark, d):
-    """Requests = user turns, replies = assistant turns, matched by (conv_id,
-    ordinal within role); request at epoch + conv_id h + turn min, reply
-    7 x (1 + conv_id % 6) s after the minute of the turn before it."""
-    from pyspark.sql import Window
-    conv = read_table(spark, d, "conversations").select("conv_id", "turn", "role")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    k = (F.row_number().over(w) - 1).cast("bigint")
+def conversation_messages(conv: DataFrame):
+    """Requests = user turns, replies = assistant turns; a reply answers the
+    turn right before it (id = (conv_id, rid)).  Request at epoch + conv_id h
+    + turn min; reply 7 x (1 + conv_id % 6) s after the minute of the turn it
+    answers.  No window, so the same definition works on a stream."""
     base = F.lit(EPOCH_S) + F.col("conv_id") * 3600
     req = conv.where(F.col("role") == "user").select(
-        "conv_id", k.alias("k"), F.col("turn").alias("req_turn"),
+        "conv_id", F.col("turn").alias("rid"), F.col("turn").alias("req_turn"),
         F.timestamp_seconds(base + F.col("turn") * 60).alias("req_ts"))
     rep = conv.where(F.col("role") == "assistant").select(
-        "conv_id", k.alias("k"), F.col("turn").alias("reply_turn"),
+        "conv_id", (F.col("turn") - 1).alias("rid"), F.col("turn").alias("reply_turn"),
         F.timestamp_seconds(base + (F.col("turn") - 1) * 60 + 7 * (1 + F.col("conv_id") % 6)).alias("reply_ts"))
     return req, rep
 
 
-def q_correlate(spark, d):
-    from webloom.operators.correlate import correlate
-    req, rep = conversation_messages(spark, d)
-    c = correlate(req, rep, ["conv_id", "k"])
+def _correlation_out(c: DataFrame) -> DataFrame:
     return c.select("conv_id", "req_turn", "reply_turn",
                     F.timestamp_diff("SECOND", F.col("req_ts"), F.col("reply_ts")).cast("double").alias("latency_s"),
                     F.col("reply_ts").isNull().alias("timed_out"))
 
 
+def q_correlate(spark, d):
+    from webloom.operators.correlate import correlate
+    conv = read_table(spark, d, "conversations").select("conv_id", "turn", "role")
+    req, rep = conversation_messages(conv)
+    return _correlation_out(correlate(req, rep, ["conv_id", "rid"]))
+
+
+# ---- step 10: streaming twins --------------------------------------------------------
+
+STREAM_DELAY = "1 hour"
+
+
+def _ev_stream(spark, d):
+    from webloom.sources.tables import read_stream_table
+    return read_stream_table(spark, d, "events")
+
+
+def q_stream_last_n(spark, d):
+    from webloom.streaming.stateful import latest_snapshot, run_to_table, stream_last_n
+    st = stream_last_n(_ev_stream(spark, d), "user_id", "ts", "event_id", "event_type", RESET_TYPE, LOG_N)
+    return latest_snapshot(run_to_table(st, "last_n"), "user_id").select(
+        "user_id", "seq", "event_id", "event_type")
+
+
+def q_stream_sessions(spark, d):
+    from webloom.streaming.stateful import run_to_table, stream_sessions
+    t = run_to_table(stream_sessions(_ev_stream(spark, d), "user_id", "ts", delay=STREAM_DELAY), "sessions")
+    return t.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
+                    F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n_calls")
+
+
+def q_stream_correlate(spark, d):
+    from webloom.sources.tables import read_stream_table
+    from webloom.streaming.stateful import run_to_table, stream_correlate
+    conv = read_stream_table(spark, d, "conversations").select("conv_id", "turn", "role")
+    req, rep = conversation_messages(conv)
+    return _correlation_out(run_to_table(stream_correlate(req, rep, ["conv_id", "rid"]), "correlate"))
+
+
+def q_stream_tabs(spark, d):
+    from webloom.streaming.stateful import run_to_table, stream_tabs
+    return run_to_table(stream_tabs(_ev_stream(spark, d), "user_id", "ts", "event_id"), "tabs")
+
+
+def q_stream_links(spark, d):
+    from webloom.sources.tables import read_stream_table
+    from webloom.streaming.stateful import run_to_table
+    return run_to_table(H.extract_links(read_stream_table(spark, d, "pages")), "links")
+
+
+def q_stream_retention(spark, d):
+    from webloom.streaming.stateful import stream_retention
+    return stream_retention(_ev_stream(spark, d).select("event_id", "ts"), "ts", AS_OF, 5, "retention")
+
+
 QUERIES = {
     "extract_links": q_extract_links,
     "list_pages": q_list_pages,
@@ -443,4 +492,10 @@ QUERIES = {
     "batch_fetch": q_batch_fetch,
     "batch_summary": q_batch_summary,
     "correlate": q_correlate,
+    "stream_last_n": q_stream_last_n,
+    "stream_sessions": q_stream_sessions,
+    "stream_correlate": q_stream_correlate,
+    "stream_tabs": q_stream_tabs,
+    "stream_links": q_stream_links,
+    "stream_retention": q_stream_retention,
 }

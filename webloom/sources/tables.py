@@ -22,9 +22,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The same table as a file stream (one file per table, schema from the batch scan)."""
     schema = read_table(spark, sf_dir, name).schema
+    base = sf_dir.rstrip("/")
+    # A file source watches a directory; a one-character glob selects the
+    # table's file while the folder stays the base path.
     return (spark.readStream.schema(schema)
             .option("maxFilesPerTrigger", 1)
-            .parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+            .option("basePath", base)
+            .parquet(f"{base}/{name}.parque[t]"))
 
 
 def spread(df: DataFrame) -> DataFrame:
