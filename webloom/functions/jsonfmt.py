@@ -78,3 +78,41 @@ def canonical_json(text: str | None) -> str | None:
 @F.pandas_udf(T.StringType())
 def canonical_json_udf(s: pd.Series) -> pd.Series:
     return s.map(canonical_json, na_action="ignore")
+
+
+def _pretty(v, ind: str) -> str:
+    nxt = ind + "  "
+    if isinstance(v, dict):
+        if not v:
+            return "{}"
+        items = [f"{nxt}{json.dumps(str(k), ensure_ascii=False)}: {_pretty(x, nxt)}" for k, x in v.items()]
+        return "{\n" + ",\n".join(items) + "\n" + ind + "}"
+    if isinstance(v, (list, tuple)):
+        if not v:
+            return "[]"
+        return "[\n" + ",\n".join(nxt + _pretty(x, nxt) for x in v) + "\n" + ind + "]"
+    return _dump(v)
+
+
+def pretty_json(value) -> str:
+    """``JSON.stringify(value, null, 2)``: two-space indent, ``"k": v``, ``[]``/``{}``
+    for empty containers, JS number text."""
+    return _pretty(value, "")
+
+
+def _plain(v):
+    """Arrow-decoded values (Row-like dicts, numpy arrays) to plain Python."""
+    import numpy as np
+    if isinstance(v, dict):
+        return {k: _plain(x) for k, x in v.items()}
+    if isinstance(v, (list, tuple, np.ndarray)):
+        return [_plain(x) for x in v]
+    if isinstance(v, np.generic):
+        return v.item()
+    return v
+
+
+@F.pandas_udf(T.StringType())
+def pretty_json_udf(s: pd.Series) -> pd.Series:
+    """K1 over an array/struct column (Arrow batches)."""
+    return s.map(lambda v: pretty_json(_plain(v)) if v is not None else None)

@@ -59,18 +59,35 @@ def distinct_folders(manifest: DataFrame, default_folder: str) -> DataFrame:
     return manifest.where(F.col("folder") != default_folder).select("folder").distinct()
 
 
+def _fs_path(path: str) -> str:
+    # Spark reports local folders as 'file:/x'; pyarrow wants 'file:///x'.
+    if path.startswith("file:/") and not path.startswith("file:///"):
+        return "file://" + path[5:]
+    if "://" not in path:
+        return "file://" + path
+    return path
+
+
 def write_downloads(df: DataFrame, body_col: str, path_col: str) -> None:
-    """K2: write each row's body to its path (overwrite; last write per path wins
-    when fed from :func:`final_files`).  Runs on the executors; paths must be
-    on storage every executor can reach.  Idempotent, so task retries are safe."""
+    """K2: write each row's body to its path (overwrite, via a temporary name
+    and a rename, so a retried task leaves the same file).  Runs on the
+    executors through ``pyarrow.fs``, so the paths must be on storage every
+    executor reaches (the shared folder, HDFS, S3 ...).  Feed it
+    :func:`final_files` output so each path is written once."""
     def write_part(rows):
-        import os
+        from pyarrow import fs as pafs
+        cache = {}
         for r in rows:
-            p = r[path_col]
-            os.makedirs(os.path.dirname(p), exist_ok=True)
-            tmp = p + ".part"
+            uri = _fs_path(r[path_col])
+            filesystem, p = pafs.FileSystem.from_uri(uri)
+            parent = p.rsplit("/", 1)[0]
+            if parent not in cache:
+                filesystem.create_dir(parent, recursive=True)
+                cache[parent] = True
             body = r[body_col]
-            with open(tmp, "wb") as fh:
-                fh.write(body if isinstance(body, (bytes, bytearray)) else str(body).encode())
-            os.replace(tmp, p)
+            data = body if isinstance(body, (bytes, bytearray)) else str(body).encode()
+            tmp = p + ".part"
+            with filesystem.open_output_stream(tmp) as fh:
+                fh.write(data)
+            filesystem.move(tmp, p)
     df.select(path_col, body_col).foreachPartition(write_part)

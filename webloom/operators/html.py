@@ -73,6 +73,30 @@ def extract_links(pages: DataFrame, schemes_prefix: str | None = "http") -> Data
         resolve_url(F.col("url"), F.col("col.href_raw")).alias("href"))
 
 
+def link_list(html, base, schemes_prefix: str | None = "http") -> Column:
+    """Array<struct<text, href>> per page (the reference's link result), built
+    inside the row: no explode, no shuffle."""
+    b = _col(base)
+    return F.transform(anchor_array(html, base, schemes_prefix), lambda a: F.struct(
+        inner_text(a["inner"]).alias("text"), resolve_url(b, a["href_raw"]).alias("href")))
+
+
+def links_json(pages: DataFrame) -> DataFrame:
+    """K1: ``(page_id, json)`` -- the page's links as 2-space pretty JSON."""
+    from webloom.functions.jsonfmt import pretty_json
+    import pandas as pd
+
+    def fmt(it):
+        for pdf in it:
+            yield pd.DataFrame({"page_id": pdf["page_id"],
+                                "json": [pretty_json([{"text": r["text"], "href": r["href"]} for r in links])
+                                         for links in pdf["links"]]})
+
+    # The array is built by JVM expressions; only formatting crosses to Python.
+    return (pages.select("page_id", link_list("html", "url").alias("links"))
+            .mapInPandas(fmt, "page_id bigint, json string"))
+
+
 def page_title(html) -> Column:
     """document.title: first <title> text, entities decoded, ASCII white space
     collapsed and trimmed; '' when there is no title."""

@@ -473,6 +473,57 @@ WHERE NOT timed_out OR qts + INTERVAL 30 SECOND < (
 
 STREAM_TABS = f"SELECT * FROM ({TAB_EVICTIONS}) WHERE evicted_by IS NOT NULL"
 
+LINKS_JSON = f"""
+SELECT p.page_id,
+       CASE WHEN count(l.pos) = 0 THEN '[]' ELSE
+         '[' || chr(10) || string_agg('  {{' || chr(10) || '    "text": ' || CAST(to_json(l.text) AS VARCHAR) || ',' || chr(10)
+                                      || '    "href": ' || CAST(to_json(l.href) AS VARCHAR) || chr(10) || '  }}',
+                                      ',' || chr(10) ORDER BY l.pos) || chr(10) || ']' END AS json
+FROM pages p LEFT JOIN ({EXTRACT_LINKS}) l USING (page_id)
+GROUP BY p.page_id
+"""
+
+FOLLOW_LINKS = f"""
+WITH RECURSIVE nx AS (SELECT page_id, arg_min(href, pos) AS next_url FROM ({EXTRACT_LINKS}) GROUP BY page_id),
+step AS (SELECT p.url AS u, nx.next_url FROM (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url) p
+         LEFT JOIN nx ON nx.page_id = p.page_id),
+walk(start, hop, url, seen) AS (
+  SELECT page_id, 0, url, [url] FROM pages
+  UNION ALL
+  SELECT w.start, w.hop + 1, s.next_url, list_append(w.seen, s.next_url)
+  FROM walk w JOIN step s ON s.u = w.url
+  WHERE s.next_url IS NOT NULL AND NOT list_contains(w.seen, s.next_url) AND w.hop + 1 < {Q.FOLLOW_MAX_PAGES})
+SELECT start, CAST(hop AS INTEGER) AS hop, url FROM walk
+"""
+
+CONSOLE_MESSAGES = f"""
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq,
+       event_id, 'error' AS type, props AS text, 'https://api.example.com/events/' || CAST(event_id AS VARCHAR) AS url
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+      FROM events WHERE event_type = 'error')
+WHERE rn <= {Q.CONSOLE_BOUND}
+"""
+
+REQUEST_BODIES = """
+SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN props ELSE CAST(json(props) AS VARCHAR) END AS body FROM events
+"""
+
+FILE_INVENTORY = "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS length FROM documents"
+PARSE_DOCUMENTS = "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(NULL AS VARCHAR) AS error FROM documents"
+
+STREAM_IDLE = f"""
+WITH c AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events),
+a AS (SELECT user_id, min(ts) AS st, max(ts) AS mx,
+             min(CASE WHEN nx IS NOT NULL AND nx >= ts + INTERVAL 1 HOUR THEN ts + INTERVAL 1 HOUR END) AS qn
+      FROM c GROUP BY user_id),
+b AS (SELECT *, coalesce(qn, mx + INTERVAL 1 HOUR) AS q FROM a)
+SELECT user_id, CASE WHEN q > st + INTERVAL 24 HOUR THEN st + INTERVAL 24 HOUR ELSE q END AS idle_at,
+       q > st + INTERVAL 24 HOUR AS timed_out
+FROM b
+WHERE qn IS NOT NULL OR mx + INTERVAL 1 HOUR > st + INTERVAL 24 HOUR
+   OR mx + INTERVAL 1 HOUR < (SELECT max(ts) FROM events) - INTERVAL {Q.STREAM_DELAY}
+"""
+
 ORACLE = {
     "extract_links": EXTRACT_LINKS,
     "list_pages": LIST_PAGES,
@@ -522,4 +573,11 @@ ORACLE = {
     "stream_tabs": STREAM_TABS,
     "stream_links": EXTRACT_LINKS,
     "stream_retention": EXPIRED,
+    "stream_idle": STREAM_IDLE,
+    "links_json": LINKS_JSON,
+    "follow_links": FOLLOW_LINKS,
+    "console_messages": CONSOLE_MESSAGES,
+    "request_bodies": REQUEST_BODIES,
+    "file_inventory": FILE_INVENTORY,
+    "parse_documents": PARSE_DOCUMENTS,
 }

@@ -447,6 +447,76 @@ def q_stream_retention(spark, d):
     return stream_retention(_ev_stream(spark, d).select("event_id", "ts"), "ts", AS_OF, 5, "retention")
 
 
+# ---- step 11: links JSON, follow, console, request bodies, files, quiet timer -------
+
+FOLLOW_MAX_PAGES = 4
+CONSOLE_BOUND = 100
+
+
+def q_links_json(spark, d):
+    return H.links_json(_pages(spark, d))
+
+
+def q_follow_links(spark, d):
+    from webloom.operators.follow import follow_links, next_links
+    pages = _pages(spark, d)
+    return follow_links(pages.select("page_id", "url"), next_links(H.extract_links(pages)),
+                        FOLLOW_MAX_PAGES)
+
+
+def q_console_messages(spark, d):
+    from webloom.operators.logs import last_n
+    from webloom.sources.responses import console_log
+    log = console_log(read_table(spark, d, "events"))
+    return last_n(log, "user_id", ["ts", "event_id"], CONSOLE_BOUND).select(
+        "user_id", "seq", "event_id", "type", "text", F.col("location.url").alias("url"))
+
+
+def q_request_bodies(spark, d):
+    from webloom.functions.jsonfmt import canonical_json_udf
+    from webloom.operators.responses import request_body
+    from webloom.sources.responses import requests
+    r = requests(spark, d)
+    return r.select("id", request_body("headers", canonical_json_udf(F.col("body")), F.col("body"))
+                    .alias("body"))
+
+
+def _written_documents(spark, d):
+    """K2: every document body written to <shared folder>/downloads/doc-<id>.txt."""
+    from webloom.operators.downloads import write_downloads
+    from webloom.streaming.stateful import scratch
+    folder, _ = scratch(spark, "downloads")
+    docs = _docs(spark, d, "doc_id", "text").select(
+        F.concat(F.lit(folder + "/doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        F.col("text").alias("body"))
+    write_downloads(docs, "body", "path")
+    return folder
+
+
+def _doc_id_of(path_col):
+    return F.regexp_extract(path_col, r"doc-([0-9]+)\.txt$", 1).cast("bigint")
+
+
+def q_file_inventory(spark, d):
+    from webloom.sources.files import file_inventory
+    inv = file_inventory(spark, _written_documents(spark, d), "*.txt")
+    return inv.select(_doc_id_of(F.col("path")).alias("doc_id"), F.col("length").cast("bigint").alias("length"))
+
+
+def q_parse_documents(spark, d):
+    from webloom.sources.files import parse_documents
+    parsed = parse_documents(spark, _written_documents(spark, d), "*.txt")
+    return parsed.select(_doc_id_of(F.col("path")).alias("doc_id"),
+                         F.length("text").cast("bigint").alias("n_chars"), "error")
+
+
+def q_stream_idle(spark, d):
+    from webloom.streaming.stateful import run_to_table, stream_idle
+    st = stream_idle(_ev_stream(spark, d), "user_id", "ts", "event_id", 3600.0, 86400.0, STREAM_DELAY)
+    return run_to_table(st, "idle").select(
+        "user_id", F.col("idle_at").cast("timestamp_ntz").alias("idle_at"), "timed_out")
+
+
 QUERIES = {
     "extract_links": q_extract_links,
     "list_pages": q_list_pages,
@@ -498,4 +568,11 @@ QUERIES = {
     "stream_tabs": q_stream_tabs,
     "stream_links": q_stream_links,
     "stream_retention": q_stream_retention,
+    "stream_idle": q_stream_idle,
+    "links_json": q_links_json,
+    "follow_links": q_follow_links,
+    "console_messages": q_console_messages,
+    "request_bodies": q_request_bodies,
+    "file_inventory": q_file_inventory,
+    "parse_documents": q_parse_documents,
 }

@@ -50,8 +50,10 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One fetch request per event (M12): method cycles through the seven valid
-    ones plus two invalid spellings, ``limit`` is NULL for every fifth id, the
+    """One fetch request per event (M12); ``body`` holds a JSON object value as
+    text; the JSON header name is lower-case for every third id (the
+    reference only serialises on the exact ``Content-Type`` spelling); method
+    cycles through the seven valid ones plus two invalid spellings, ``limit`` is NULL for every fifth id, the
     redirect mode cycles through three valid values and one invalid one."""
     ev = read_table(spark, sf_dir, "events").select("event_id", "value", "props")
     i = F.col("event_id")
@@ -59,8 +61,27 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         i.alias("id"),
         F.concat(F.lit(EVENT_URL), i.cast("string")).alias("url"),
         F.element_at(F.array(*[F.lit(m) for m in METHODS]), (i % len(METHODS) + 1).cast("int")).alias("method"),
-        F.create_map(F.lit("Content-Type"), F.lit("application/json")).alias("headers"),
+        F.create_map(F.when(i % 3 == 0, F.lit("content-type")).otherwise(F.lit("Content-Type")),
+                     F.lit("application/json")).alias("headers"),
         F.col("props").alias("body"),
         (F.col("value") * 1000).alias("timeout"),
         F.when(i % 5 == 0, F.lit(None).cast("double")).otherwise(F.lit(200.0)).alias("limit"),
         F.element_at(F.array(*[F.lit(r) for r in REDIRECTS]), (i % len(REDIRECTS) + 1).cast("int")).alias("redirect"))
+
+
+def console_log(events: DataFrame) -> DataFrame:
+    """Console entries ``(key, ts, seq_id, type, text, location)`` from a
+    client event table (errors are console errors)."""
+    return events.where(F.col("event_type") == "error").select(
+        "user_id", "ts", "event_id", F.lit("error").alias("type"), F.col("props").alias("text"),
+        F.struct(F.concat(F.lit(EVENT_URL), F.col("event_id").cast("string")).alias("url"),
+                 F.lit(1).alias("lineNumber"), F.lit(0).alias("columnNumber")).alias("location"))
+
+
+def request_log(events: DataFrame) -> DataFrame:
+    """Request entries ``(key, ts, seq_id, url, method, resourceType, headers)``."""
+    return events.select(
+        "user_id", "ts", "event_id",
+        F.concat(F.lit(EVENT_URL), F.col("event_id").cast("string")).alias("url"),
+        F.lit("GET").alias("method"), F.col("event_type").alias("resourceType"),
+        F.create_map(F.lit("accept"), F.lit("*/*")).alias("headers"))

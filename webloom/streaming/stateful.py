@@ -156,3 +156,56 @@ def stream_retention(events: DataFrame, ts_col: str, as_of, days: int, name: str
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(data).drop("batch")
+
+
+# ---- ST5 -------------------------------------------------------------------------
+
+def stream_idle(events: DataFrame, key: str, ts: str, id_col: str, idle_s: float,
+                timeout_s: float, delay: str = "1 hour") -> DataFrame:
+    """First quiet point per key with event-time timers.
+
+    A gap >= idle after an event emits ``last + idle``; once ``last + idle``
+    passes ``start + timeout`` the answer is the capped ``start + timeout``;
+    with no further event, the timer at ``last + idle`` fires when the
+    watermark passes it.  Output ``(key, idle_at, timed_out)`` once per key."""
+    import datetime as dt
+    out_schema = f"{key} long, idle_at timestamp, timed_out boolean"
+    state_schema = "start double, last double, done boolean"
+
+    def emit(k, q, start):
+        limit = start + timeout_s
+        capped = q > limit
+        at = dt.datetime.fromtimestamp(limit if capped else q, dt.timezone.utc).replace(tzinfo=None)
+        return pd.DataFrame({key: [k[0]], "idle_at": [at], "timed_out": [bool(capped)]})
+
+    def step(k, pdfs, state):
+        if state.hasTimedOut:
+            start, last, done = state.get
+            if not done:
+                state.update((start, last, True))
+                yield emit(k, last + idle_s, start)
+            return
+        start, last, done = state.get if state.exists else (None, None, False)
+        if done:
+            return
+        batch = pd.concat(list(pdfs), ignore_index=True).sort_values([ts, id_col], kind="stable")
+        secs = (batch[ts].astype("datetime64[us]").astype("int64") / 1e6).tolist()
+        for t in secs:
+            if start is None:
+                start = t
+            elif t - last >= idle_s:
+                state.update((start, last, True))
+                yield emit(k, last + idle_s, start)
+                return
+            last = t
+            if last + idle_s > start + timeout_s:
+                state.update((start, last, True))
+                yield emit(k, last + idle_s, start)
+                return
+        state.update((start, last, False))
+        state.setTimeoutTimestamp(int((last + idle_s) * 1000))
+
+    t = F.col(ts).cast("timestamp")
+    return (events.select(key, t.alias(ts), id_col).withWatermark(ts, delay).groupBy(key)
+            .applyInPandasWithState(step, out_schema, state_schema, "append",
+                                    GroupStateTimeout.EventTimeTimeout))
