@@ -31,11 +31,15 @@ def resolve_folder(folder, root: str) -> Column:
 
 def file_name(url, filename=None) -> Column:
     """Explicit name if non-empty, else the last segment of the URL path
-    (trailing '/' ignored, not decoded), else ``downloaded_file``."""
-    base = F.nullif(F.regexp_extract(F.coalesce(url_path(url), F.lit("")), r"([^/]+)/*$", 1),
-                    F.lit(""))
-    explicit = F.nullif(_col(filename), F.lit("")) if filename is not None else F.lit(None)
-    return F.coalesce(explicit, base, F.lit(DEFAULT_FILENAME))
+    (trailing '/' ignored, not decoded), else ``downloaded_file``.  NULL when
+    the name must come from ``url`` and it is not a URL (the reference's
+    ``new URL`` throws there)."""
+    p = url_path(url)
+    base = F.nullif(F.regexp_extract(F.coalesce(p, F.lit("")), r"([^/]+)/*$", 1), F.lit(""))
+    derived = F.when(p.isNotNull(), F.coalesce(base, F.lit(DEFAULT_FILENAME)))
+    if filename is None:
+        return derived
+    return F.coalesce(F.nullif(_col(filename), F.lit("")), derived)
 
 
 def download_manifest(df: DataFrame, url_col: str, root: str, folder="downloads",

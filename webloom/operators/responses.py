@@ -26,7 +26,7 @@ def header(headers, name: str) -> Column:
     """Case-insensitive header lookup (first match), NULL when absent."""
     h = _col(headers)
     hit = F.filter(F.map_entries(h), lambda e: F.lower(e["key"]) == name.lower())
-    return F.element_at(hit, 1)["value"]
+    return F.try_element_at(hit, F.lit(1))["value"]
 
 
 def body_kind(content_type) -> Column:
