@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from webloom.sources.tables import spread
 
+
 # Fixed values.
 PROFILE_SIZE = 300
 MIN_LENGTH = 10
@@ -37,7 +38,11 @@ def trigram_source(text) -> Column:
 
 def text_trigrams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, gram, cnt)`` trigram counts per text."""
-    src = spread(df).select(F.col(id_col).alias("_id"), trigram_source(text_col).alias("_s"))
+    # Project first, then spread: every caller over the same table builds the
+    # same sub-plan, so the (id, gram) aggregate's exchange is computed once
+    # and reused by profile training and detection.
+    src = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))).select(
+        "_id", trigram_source("_t").alias("_s"))
     # Every overlapping 3-character window in one regex pass (zero-width
     # look-ahead), JVM-side.
     grams = F.regexp_extract_all("_s", F.lit("(?=(...))"), 1)

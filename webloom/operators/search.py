@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from webloom.functions.text import js_trim
 from webloom.functions.urls import form_encode
-from webloom.sources.tables import spread
+from webloom.sources.tables import cpu_partitions, spread
 
 # Fixed values.
 K1, B = 1.2, 0.75
-TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
+TOKEN_RE = r"[\p{L}\p{N}]+"
 ENRICH_SUFFIX = " best tips"
 SEARCH_ENDPOINT = "https://www.googleapis.com/customsearch/v1"
 TITLE_LEN, SNIPPET_LEN = 80, 160
@@ -40,8 +40,8 @@ def _col(c) -> Column:
 
 
 def tokens(text) -> Column:
-    """Lower-cased letter/digit runs."""
-    return F.filter(F.split(F.lower(_col(text)), TOKEN_SPLIT), lambda t: t != "")
+    """Lower-cased letter/digit runs (one JVM regex call, no lambda)."""
+    return F.regexp_extract_all(F.lower(_col(text)), F.lit(TOKEN_RE), 0)
 
 
 def enrich_query(text) -> Column:
@@ -91,7 +91,7 @@ def parse_search_response(df: DataFrame, json_col: str, keep=("id",), outer: boo
 
 def corpus_stats(corpus: DataFrame, text_col: str = "text") -> tuple[int, float]:
     """(N, average document length in tokens) -- a one-row aggregate."""
-    row = corpus.select(F.size(tokens(text_col)).alias("dl")).agg(
+    row = spread(corpus.select(text_col)).select(F.regexp_count(F.col(text_col), F.lit(TOKEN_RE)).alias("dl")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     return int(row["n"] or 0), float(row["avgdl"] or 0.0)
 
@@ -113,12 +113,16 @@ def multi_search(queries: DataFrame, corpus: DataFrame, query_id: str = "item_id
                              F.explode(F.array_distinct(tokens(query_text))).alias("term")))
     vocab = qterms.select("term").distinct()
     keep = doc_filter if doc_filter is not None else F.lit(True)
-    doc_tokens = (spread(corpus).select(F.col(doc_id).alias("_d"), tokens(doc_text).alias("_t"),
-                                keep.alias("_keep"))
+    # Co-locate each document once (hash on its id): term counts, and later
+    # the (query, doc) score sums, are then complete inside one partition --
+    # no shuffle of exploded tokens, none for the score aggregation.
+    docs = (corpus.select(F.col(doc_id).alias("_d"), F.col(doc_text).alias("_x"), keep.alias("_keep"))
+            .repartition(cpu_partitions(corpus.sparkSession), "_d"))
+    doc_tokens = (docs.select("_d", "_keep", tokens("_x").alias("_t"))
                   .select("_d", "_keep", F.size("_t").alias("dl"), F.explode("_t").alias("term")))
     postings = (doc_tokens.join(vocab, "term", "left_semi")
                 .groupBy("_d", "term", "dl", "_keep").agg(F.count(F.lit(1)).alias("tf")))
-    dfs = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    dfs = postings.groupBy("term").agg(F.count("tf").alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
     contrib = (postings.where("_keep").join(dfs, "term").join(qterms, "term")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webloom.operators import html as H
 from webloom.operators import slices as SL
 from webloom.operators.ordinal import with_ordinal
-from webloom.sources.tables import read_table
+from webloom.sources.tables import read_table, spread
 
 # Fixed parameters of the registered queries.
 SLICE_START, SLICE_END = 100, 600
@@ -18,7 +18,9 @@ SQUEEZE_LEN = 500
 
 
 def _pages(spark, d, *cols) -> DataFrame:
-    return read_table(spark, d, "pages").select(*(cols or ("page_id", "url", "html")))
+    # Text-heavy per-row work: spread a single-split scan over the cores
+    # (no-op when the scan already has enough splits, i.e. at scale).
+    return spread(read_table(spark, d, "pages").select(*(cols or ("page_id", "url", "html"))))
 
 
 # ---- step 1: links and tab listing -------------------------------------------------
@@ -244,7 +246,7 @@ def q_parse_search_response(spark, d):
 
 
 def _docs(spark, d, *cols):
-    return read_table(spark, d, "documents").select(*(cols or ("doc_id", "text")))
+    return spread(read_table(spark, d, "documents").select(*(cols or ("doc_id", "text"))))
 
 
 def q_multi_search(spark, d):

@@ -40,3 +40,11 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want)
     return df
+
+
+def cpu_partitions(spark) -> int:
+    """Partition count for CPU-heavy per-row stages: the configured shuffle
+    width, at least the cluster's cores.  An explicit count keeps AQE from
+    coalescing a small-in-bytes but expensive-per-byte input into one task."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+               spark.sparkContext.defaultParallelism)
