@@ -14,32 +14,33 @@ def _interval(spec: str) -> Column:
     return F.expr(f"INTERVAL {spec}")
 
 
-def idle_sessions(df: DataFrame, key: str, ts: str, gap: str = IDLE_GAP) -> DataFrame:
+def idle_sessions(df: DataFrame, key: str, ts: str, gap: str = IDLE_GAP, tie: str | None = None,
+                  strategy: str = "auto") -> DataFrame:
     """A session closes after ``gap`` without a call; a call exactly ``gap``
     after the previous one continues the session.
 
     ``session_window`` aggregation: hash-partitioned by key, sessions merged
     in sorted order; output ``(key, session_start, session_end, n_calls)``,
-    ``session_end`` = last call + gap.
+    ``session_end`` = last call + gap.  A key too large for one task takes
+    the skew-safe path of :func:`webloom.operators.sequence.gap_sessions`.
     """
-    return (df.groupBy(key, F.session_window(ts, gap).alias("w"))
-            .agg(F.count(F.lit(1)).cast("bigint").alias("n_calls"))
-            .select(key, F.col("w.start").alias("session_start"),
-                    F.col("w.end").alias("session_end"), "n_calls"))
+    from webloom.operators.sequence import gap_sessions
+    return gap_sessions(df, key, ts, tie, gap, strategy)
 
 
 def first_idle(df: DataFrame, key: str, ts: str, tie: str | None = None,
-               idle: str = QUIET_WINDOW, timeout: str = QUIET_TIMEOUT) -> DataFrame:
+               idle: str = QUIET_WINDOW, timeout: str = QUIET_TIMEOUT,
+               strategy: str = "auto") -> DataFrame:
     """First instant followed by ``idle`` with no request; gives up at
     ``timeout`` after the key's first request.
 
     ``(key, idle_at, timed_out)``: idle_at = ts of the request before the first
     gap >= idle (or of the last request) + idle, capped at start + timeout.
     """
-    order = [F.col(ts)] + ([F.col(tie)] if tie else [])
-    w = Window.partitionBy(key).orderBy(*order)
-    nxt = F.lead(ts).over(w)
-    cand = df.select(key, ts, nxt.alias("_next")).select(
+    from webloom.operators.sequence import with_shift
+    order = [ts] + ([tie] if tie else [])
+    shifted = with_shift(df.select(key, *order), key, order, [ts], 1, "_next_", strategy)
+    cand = shifted.select(key, ts, F.col("_next_" + ts).alias("_next")).select(
         key, ts,
         F.when(F.col("_next").isNull() | (F.col("_next") >= F.col(ts) + _interval(idle)),
                F.col(ts) + _interval(idle)).alias("_quiet"))

@@ -115,7 +115,7 @@ def q_first_idle(spark, d):
 
 def q_idle_sessions(spark, d):
     from webloom.operators.sessions import idle_sessions
-    return idle_sessions(_events(spark, d, "user_id", "ts"), "user_id", "ts")
+    return idle_sessions(_events(spark, d, "user_id", "ts", "event_id"), "user_id", "ts", tie="event_id")
 
 
 def q_expired(spark, d):
@@ -194,11 +194,10 @@ def q_envelope(spark, d):
 
 
 def q_classify_timeouts(spark, d):
-    from pyspark.sql import Window
     from webloom.operators.responses import classify_timeouts, elapsed_ms
-    ev = _events(spark, d, "event_id", "user_id", "ts")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    g = ev.select("event_id", elapsed_ms(F.col("ts"), F.lead("ts").over(w)).alias("elapsed_ms"))
+    from webloom.operators.sequence import with_shift
+    ev = with_shift(_events(spark, d, "event_id", "user_id", "ts"), "user_id", ["ts", "event_id"], ["ts"], 1)
+    g = ev.select("event_id", elapsed_ms(F.col("ts"), F.col("next_ts")).alias("elapsed_ms"))
     return g.select("event_id", "elapsed_ms", classify_timeouts(g, "elapsed_ms").alias("error"))
 
 
