@@ -61,3 +61,11 @@ def test_selectors(spark):
     assert selector_regex("ref:abc") == selector_regex('[data-mcp-ref="abc"]')
     r = spark.range(1).select(resolve_selector(__import__("pyspark.sql.functions", fromlist=["lit"]).lit("ref:q1")).alias("s")).first()
     assert r.s == '[data-mcp-ref="q1"]'
+
+
+def test_outline_udtf(spark):
+    from webloom.operators.outline import register_outline_udtf
+    register_outline_udtf(spark)
+    spark.createDataFrame([(5, HTML_EDGE)], "page_id long, html string").createOrReplaceTempView("edge_pages")
+    n = spark.sql("SELECT p.page_id, t.* FROM edge_pages p, LATERAL outline_nodes(p.page_id, p.html) t").count()
+    assert n == len(page_nodes(5, HTML_EDGE))

@@ -66,3 +66,10 @@ def test_validation_and_timeouts(spark):
     idx = spark.createDataFrame([(0,), (9,), (10,), (-1,), (None,)], "i int")
     assert [r.e for r in idx.select(validate_index("i", 10).alias("e")).collect()] == \
         [None, None, "Invalid tab index", "Invalid tab index", "Invalid tab index"]
+
+
+def test_defaults_keep_zero(spark):
+    from webloom.operators.responses import with_defaults
+    df = spark.createDataFrame([(None, 0.0), (5.0, None)], "nav double, settle double")
+    out = with_defaults(df, {"nav": 90000.0, "settle": 1500.0}).collect()
+    assert [(r.nav, r.settle) for r in out] == [(90000.0, 0.0), (5.0, 1500.0)]
