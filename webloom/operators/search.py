@@ -6,7 +6,7 @@ The remote search service is re-aimed as BM25 over an inverted index
 built by Spark:
 
     corpus --explode tokens--> (doc, term)  --semi-join query vocabulary-->
-    postings (doc, term, tf, dl)  --groupBy term--> df
+    postings (doc, term, tf, dl) [checkpointed]  --groupBy term--> df
     postings x df x query terms  --groupBy (query, doc) sum--> score
     row_number per query <= start+num-1  (WindowGroupLimit, map-side too)
 
@@ -14,7 +14,7 @@ No cross join: queries meet documents only through shared terms.  Only
 tokens of the query vocabulary are shuffled; every aggregation combines
 map-side, so a very common term (a third of all postings) is summed per
 map task before the shuffle.  Corpus size and mean length come back to the
-driver as two numbers (one-row aggregate).
+driver as two numbers (one-row aggregate over the checkpointed table).
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.text import js_trim
 from webloom.functions.urls import form_encode
+from webloom.session import checkpoint_dir
 from webloom.sources.tables import cpu_partitions, spread
 
 # Fixed values.
@@ -98,8 +99,7 @@ def corpus_stats(corpus: DataFrame, text_col: str = "text") -> tuple[int, float]
 
 def multi_search(queries: DataFrame, corpus: DataFrame, query_id: str = "item_id",
                  query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text",
-                 num: int = 10, start: int = 1, doc_filter: Column | None = None,
-                 stats: tuple[int, float] | None = None) -> DataFrame:
+                 num: int = 10, start: int = 1, doc_filter: Column | None = None) -> DataFrame:
     """D2 + W9 + P23: every query's ranked results, flat:
     ``(query_id, rank, doc_id, score)`` with rank in [start, start+num-1].
 
@@ -107,21 +107,35 @@ def multi_search(queries: DataFrame, corpus: DataFrame, query_id: str = "item_id
     terms; score rounded to 6 digits before ranking; ties by doc id.
     ``doc_filter`` (e.g. language / site) restricts results, while idf and
     length normalisation stay those of the whole corpus.
+
+    The corpus is read and tokenised once: postings of the query vocabulary
+    plus one marker row per document (its length) are checkpointed to the
+    shared checkpoint folder; N / mean length (one-row aggregate), df and the
+    scores all read that table.
     """
-    n_docs, avgdl = stats or corpus_stats(corpus, doc_text)
+    spark = corpus.sparkSession
+    checkpoint_dir(spark)
     qterms = (queries.select(F.col(query_id).alias("_q"),
                              F.explode(F.array_distinct(tokens(query_text))).alias("term")))
-    vocab = qterms.select("term").distinct()
+    vocab = qterms.select("term").distinct().withColumn("_v", F.lit(True))
     keep = doc_filter if doc_filter is not None else F.lit(True)
     # Co-locate each document once (hash on its id): term counts, and later
     # the (query, doc) score sums, are then complete inside one partition --
     # no shuffle of exploded tokens, none for the score aggregation.
     docs = (corpus.select(F.col(doc_id).alias("_d"), F.col(doc_text).alias("_x"), keep.alias("_keep"))
-            .repartition(cpu_partitions(corpus.sparkSession), "_d"))
-    doc_tokens = (docs.select("_d", "_keep", tokens("_x").alias("_t"))
-                  .select("_d", "_keep", F.size("_t").alias("dl"), F.explode("_t").alias("term")))
-    postings = (doc_tokens.join(vocab, "term", "left_semi")
-                .groupBy("_d", "term", "dl", "_keep").agg(F.count(F.lit(1)).alias("tf")))
+            .repartition(cpu_partitions(spark), "_d"))
+    toks = docs.select("_d", "_keep", tokens("_x").alias("_t"))
+    # NULL term = the document's own marker row (carries dl even when the
+    # document shares no term with any query).
+    exploded = toks.select("_d", "_keep", F.size("_t").alias("dl"),
+                           F.explode(F.array_append(F.col("_t"), F.lit(None).cast("string"))).alias("term"))
+    table = (exploded.join(vocab, "term", "left")
+             .where(F.col("_v") | F.col("term").isNull())
+             .groupBy("_d", "term", "dl", "_keep").agg(F.count(F.lit(1)).alias("tf"))
+             .checkpoint(eager=True))
+    row = table.where(F.col("term").isNull()).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("a")).first()
+    n_docs, avgdl = int(row["n"] or 0), float(row["a"] or 0.0)
+    postings = table.where(F.col("term").isNotNull())
     dfs = postings.groupBy("term").agg(F.count("tf").alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
