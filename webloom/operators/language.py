@@ -41,8 +41,10 @@ def text_trigrams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # Project first, then spread: every caller over the same table builds the
     # same sub-plan, so the (id, gram) aggregate's exchange is computed once
     # and reused by profile training and detection.
-    src = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))).select(
-        "_id", trigram_source("_t").alias("_s"))
+    # (The explicit NOT NULL equals the filter a join on the id would infer,
+    # so both callers optimise to the same plan.)
+    src = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
+                 .where(F.col("_id").isNotNull())).select("_id", trigram_source("_t").alias("_s"))
     # Every overlapping 3-character window in one regex pass (zero-width
     # look-ahead), JVM-side.
     grams = F.regexp_extract_all("_s", F.lit("(?=(...))"), 1)
@@ -53,13 +55,17 @@ def text_trigrams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def train_profiles(labelled: DataFrame, id_col: str, text_col: str, lang_col: str,
-                   code_map: dict | None = ISO639_3, size: int = PROFILE_SIZE) -> DataFrame:
-    """``(lang, gram, r)``: top ``size`` trigrams per language, r = 1..size."""
+                   code_map: dict | None = ISO639_3, size: int = PROFILE_SIZE,
+                   counts: DataFrame | None = None) -> DataFrame:
+    """``(lang, gram, r)``: top ``size`` trigrams per language, r = 1..size.
+    ``counts``: precomputed :func:`text_trigrams` of ``labelled`` (shared with
+    detection on the same texts)."""
     lang = labelled.select(id_col, F.col(lang_col).alias("_lang"))
     if code_map:
         m = F.create_map(*[F.lit(x) for kv in code_map.items() for x in kv])
         lang = lang.select(id_col, F.coalesce(F.element_at(m, F.col("_lang")), F.col("_lang")).alias("_lang"))
-    counts = (text_trigrams(labelled, id_col, text_col).join(lang, id_col)
+    counts = (text_trigrams(labelled, id_col, text_col) if counts is None else counts)
+    counts = (counts.join(lang, id_col)
               .groupBy("_lang", "gram").agg(F.sum("cnt").alias("cnt")))
     w = Window.partitionBy("_lang").orderBy(F.col("cnt").desc(), F.col("gram").asc())
     return (counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= size)
@@ -67,10 +73,13 @@ def train_profiles(labelled: DataFrame, id_col: str, text_col: str, lang_col: st
 
 
 def detect_language(df: DataFrame, id_col: str, text_col: str, profiles: DataFrame,
-                    size: int = PROFILE_SIZE, out_col: str = "lang_code") -> DataFrame:
-    """``(id, lang_code)`` for every row of ``df``."""
+                    size: int = PROFILE_SIZE, out_col: str = "lang_code",
+                    counts: DataFrame | None = None) -> DataFrame:
+    """``(id, lang_code)`` for every row of ``df`` (``counts``: precomputed
+    :func:`text_trigrams` of ``df``)."""
     w = Window.partitionBy(id_col).orderBy(F.col("cnt").desc(), F.col("gram").asc())
-    own = (text_trigrams(df, id_col, text_col).withColumn("rd", F.row_number().over(w))
+    counts = text_trigrams(df, id_col, text_col) if counts is None else counts
+    own = (counts.withColumn("rd", F.row_number().over(w))
            .where(F.col("rd") <= size))
     scored = (own.join(F.broadcast(profiles), "gram")
               .groupBy(id_col, "lang").agg(F.sum(F.lit(size) - F.abs(F.col("rd") - F.col("r"))).alias("score")))

@@ -265,9 +265,10 @@ def q_search_filtered(spark, d):
         "item_id", "rank", "doc_id", "score", "title", "snippet")
 
 
-def _profiles(spark, d):
+def _profiles(spark, d, docs=None):
     from webloom.operators.language import train_profiles
-    return train_profiles(_docs(spark, d, "doc_id", "text", "lang"), "doc_id", "text", "lang")
+    docs = docs if docs is not None else _docs(spark, d, "doc_id", "text", "lang")
+    return train_profiles(docs, "doc_id", "text", "lang")
 
 
 def q_detect_language(spark, d):
