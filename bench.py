@@ -32,7 +32,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = get_spark(f"local[{cpus}]", app="webloom-bench", shuffle_partitions=int(cpus) * 2,
-                      extra={"spark.driver.memory": os.environ.get("BENCH_MEM", "8g")})
+                      extra={"spark.driver.memory": os.environ.get("BENCH_MEM", "6g")})
     # Untimed warm-up on the smallest scale (different files, so nothing of
     # the measured input is cached): JVM JIT, codegen, Python workers.
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
