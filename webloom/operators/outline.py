@@ -38,6 +38,7 @@ BLOCK = CLOSES_P | {"body", "html", "tr", "td", "th", "tbody", "thead", "tfoot",
 SIBLING_CLOSE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"},
                  "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 REF_ROLES = {"button", "link", "textbox"}
+REF_ATTR = "data-mcp-ref"          # attribute holding an element's ref (and rewritten ``ref:`` selectors)
 NAME_LEN = 50
 DISPLAY_NONE = re.compile(r"display\s*:\s*none", re.I)
 JS_SPACE = ("\t\n\x0b\f\r \xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
@@ -205,7 +206,7 @@ def page_nodes(page_id: int, html: str):
         node_id = len(rows)
         role = role_of(el.tag, el.attrs.get("role") or None, el.attrs.get("type"))
         name = el.attrs.get("aria-label") or _first_line(el)[:NAME_LEN].strip(JS_SPACE) or ""
-        ref = el.attrs.get("data-mcp-ref") or None
+        ref = el.attrs.get(REF_ATTR) or None
         if not ref and (role in REF_ROLES or "onclick" in el.attrs):
             ref = hashlib.sha256(f"{page_id}/{path}".encode()).hexdigest()[:8]
         rows.append((page_id, node_id, parent_id, depth, pos, role, name, ref))

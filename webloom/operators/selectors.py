@@ -14,20 +14,22 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.operators.outline import REF_ATTR
+
 _PART = re.compile(r'#([\w-]+)|\.([\w-]+)|\[([\w:-]+)(?:\s*=\s*"?([^"\]]*)"?)?\]')
 
 
 def resolve_selector(sel) -> Column:
-    """P20: ``ref:x`` -> ``[data-mcp-ref="x"]``; other selectors unchanged."""
+    """P20: ``ref:x`` -> ``[<REF_ATTR>="x"]``; other selectors unchanged."""
     s = F.col(sel) if isinstance(sel, str) else sel
-    return F.when(s.startswith("ref:"), F.concat(F.lit('[data-mcp-ref="'), F.substring(s, 5, 1 << 30),
+    return F.when(s.startswith("ref:"), F.concat(F.lit(f'[{REF_ATTR}="'), F.substring(s, 5, 1 << 30),
                                                   F.lit('"]'))).otherwise(s)
 
 
 def selector_regex(selector: str) -> str:
     """Start-tag regex for one compound selector (attribute order free)."""
     if selector.startswith("ref:"):
-        selector = f'[data-mcp-ref="{selector[4:]}"]'
+        selector = f'[{REF_ATTR}="{selector[4:]}"]'
     m = re.match(r"^([a-zA-Z][\w-]*|\*)?", selector)
     tag = m.group(1) if m and m.group(1) and m.group(1) != "*" else r"[a-zA-Z][\w-]*"
     rest = selector[m.end():] if m else selector
