@@ -6,8 +6,8 @@ expressions cannot do, so it runs in ``mapInPandas``: each Arrow batch of
 pages is parsed with the standard-library ``html.parser`` plus the implied
 end-tag rules browsers apply (``p`` closed by block starts, ``li``/``dt``/
 ``dd``/``tr``/``td``/``th``/``option`` closed by siblings, void elements,
-raw-text ``script``/``style``).  Formatting-element reconstruction is not
-done.  Visibility has no layout here: the static rule drops never-rendered
+raw-text ``script``/``style``) and the re-opening of formatting elements
+(``<b>`` left open across paragraphs reappears in each following block).  Visibility has no layout here: the static rule drops never-rendered
 elements, ``hidden``, inline ``display:none``, ``input type=hidden`` and
 elements with neither rendered text nor replaced content (zero size).
 The job is narrow -- one pass over pages, no shuffle.
@@ -35,6 +35,15 @@ CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl",
             "dd", "dt"}
 BLOCK = CLOSES_P | {"body", "html", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "br",
                     "option", "select", "textarea"}
+FORMATTING = {"a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike", "strong",
+              "tt", "u"}
+MARKER_TAGS = {"td", "th", "caption", "applet", "marquee", "object", "template"}
+# Start tags that do not re-open formatting elements (block-level, per the
+# HTML "in body" rules); every other start tag and all text do.
+NO_RECONSTRUCT = CLOSES_P | {"html", "head", "body", "table", "tbody", "thead", "tfoot", "tr", "td",
+                             "th", "caption", "colgroup", "col", "title", "meta", "link", "style",
+                             "script", "base", "template", "noscript", "frameset", "frame"}
+_MARKER = object()
 SIBLING_CLOSE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"},
                  "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 REF_ROLES = {"button", "link", "textbox"}
@@ -57,10 +66,65 @@ class _El:
 
 
 class _TreeBuilder(HTMLParser):
+    """Element tree with the browser's implied end tags and re-opening of
+    formatting elements left open across block boundaries (the list of
+    active formatting elements, "Noah's Ark" limit of three; mis-nested end
+    tags are closed by popping, not by the full adoption-agency moves)."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = _El("#document", {}, None)
         self.stack = [self.root]
+        self.active: list = []
+
+    def _in_stack(self, el) -> bool:
+        return any(e is el for e in self.stack)
+
+    def _after_marker(self):
+        for i in range(len(self.active) - 1, -1, -1):
+            if self.active[i] is _MARKER:
+                return i + 1
+        return 0
+
+    def _reconstruct(self):
+        if not self.active:
+            return
+        last = self.active[-1]
+        if last is _MARKER or self._in_stack(last):
+            return
+        i = len(self.active) - 1
+        while i > 0:
+            prev = self.active[i - 1]
+            if prev is _MARKER or self._in_stack(prev):
+                break
+            i -= 1
+        for j in range(i, len(self.active)):
+            old = self.active[j]
+            el = _El(old.tag, dict(old.attrs), self.stack[-1])
+            self.stack[-1].children.append(el)
+            self.stack.append(el)
+            self.active[j] = el
+
+    def _close_formatting(self, tag) -> bool:
+        start = self._after_marker()
+        for i in range(len(self.active) - 1, start - 1, -1):
+            e = self.active[i]
+            if e is not _MARKER and e.tag == tag:
+                del self.active[i]
+                if self._in_stack(e):
+                    while len(self.stack) > 1:
+                        if self.stack.pop() is e:
+                            break
+                return True
+        return False
+
+    def _push_active(self, el):
+        start = self._after_marker()
+        same = [i for i in range(start, len(self.active))
+                if self.active[i].tag == el.tag and self.active[i].attrs == el.attrs]
+        if len(same) >= 3:
+            del self.active[same[0]]
+        self.active.append(el)
 
     def _open_tags(self):
         return [e.tag for e in self.stack]
@@ -84,10 +148,18 @@ class _TreeBuilder(HTMLParser):
                     break
                 if t in ("ul", "ol", "dl", "table", "select", "div"):
                     break
+        if tag == "a":
+            self._close_formatting("a")
+        if tag not in NO_RECONSTRUCT:
+            self._reconstruct()
         el = _El(tag, {k.lower(): (v if v is not None else "") for k, v in attrs}, self.stack[-1])
         self.stack[-1].children.append(el)
         if tag not in VOID:
             self.stack.append(el)
+        if tag in FORMATTING:
+            self._push_active(el)
+        elif tag in MARKER_TAGS:
+            self.active.append(_MARKER)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -96,10 +168,17 @@ class _TreeBuilder(HTMLParser):
 
     def handle_endtag(self, tag):
         tag = tag.lower()
+        if tag in FORMATTING and self._close_formatting(tag):
+            return
         if tag in self._open_tags()[1:]:
             self._pop_to(tag)
+            if tag in MARKER_TAGS:
+                while self.active:
+                    if self.active.pop() is _MARKER:
+                        break
 
     def handle_data(self, data):
+        self._reconstruct()
         self.stack[-1].children.append(data)
 
 
