@@ -272,8 +272,16 @@ def _profiles(spark, d, docs=None):
 
 
 def q_detect_language(spark, d):
-    from webloom.operators.language import detect_language
-    return detect_language(_docs(spark, d), "doc_id", "text", _profiles(spark, d))
+    from webloom.operators.language import detect_language, text_trigrams, train_profiles
+    from webloom.session import checkpoint_dir
+    # Training and detection read the same texts: their (id, gram) counts
+    # are computed once and checkpointed to the shared folder, then read by
+    # both (one trigram pass over the corpus instead of two).
+    checkpoint_dir(spark)
+    docs = _docs(spark, d, "doc_id", "text", "lang")
+    counts = text_trigrams(docs, "doc_id", "text").checkpoint(eager=True)
+    prof = train_profiles(docs, "doc_id", "text", "lang", counts=counts)
+    return detect_language(docs, "doc_id", "text", prof, counts=counts)
 
 
 def q_translate_queries(spark, d):
