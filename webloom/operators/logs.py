@@ -72,9 +72,10 @@ def collect_log(log: DataFrame, key: str, order: list[str], cols: list[str],
                 name: str = "entries") -> DataFrame:
     """A1: ordered array of entries per key.  Call on a bounded log (W1) so a
     group never exceeds the bound."""
-    entry = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in cols])
+    entry = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
+                     *[F.col(c) for c in cols])
     return (log.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
-            .select(key, F.transform("_e", lambda e: F.struct(*[e[c] for c in cols]))
+            .select(key, F.transform("_e", lambda e: F.struct(*[e[c].alias(c) for c in cols]))
                     .alias(name)))
 
 
@@ -84,12 +85,8 @@ def logs_per_page(keys: DataFrame, key: str, log: DataFrame, log_key: str,
     ``(key, n_entries, entries)`` where ``entries`` joins ids with ','."""
     bounded = last_n(log.select(log_key, id_col, *[c for c in order if c != id_col]),
                      log_key, order, n)
-    per_key = (bounded.groupBy(log_key)
-               .agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order],
-                                                         F.col(id_col).alias("_id"))))
-                    .alias("_e")))
-    per_key = per_key.select(F.col(log_key).alias(key),
-                             F.transform("_e", lambda e: e["_id"].cast("string")).alias("_ids"))
+    per_key = collect_log(bounded, log_key, order, [id_col], "_e").select(
+        F.col(log_key).alias(key), F.transform("_e", lambda e: e[id_col].cast("string")).alias("_ids"))
     out = keys.select(key).join(per_key, key, "left")
     ids = F.coalesce(F.col("_ids"), F.array().cast("array<string>"))
     return out.select(key, F.size(ids).cast("bigint").alias("n_entries"),

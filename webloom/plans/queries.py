@@ -319,6 +319,15 @@ def q_outline_nodes(spark, d):
     return outline_nodes(_pages(spark, d, "page_id", "html"))
 
 
+def q_outline_sql(spark, d):
+    """The outline as a SQL table function, ``LATERAL`` over every page."""
+    from webloom.operators.outline import register_outline_udtf
+    register_outline_udtf(spark)
+    _pages(spark, d, "page_id", "html").createOrReplaceTempView("webloom_pages")
+    return spark.sql("SELECT p.page_id, t.node_id, t.parent_id, t.depth, t.pos, t.role, t.name, t.ref "
+                     "FROM webloom_pages p, LATERAL outline_nodes(p.page_id, p.html) t")
+
+
 def q_outline_text(spark, d):
     from webloom.operators.outline import outline_text
     return outline_text(_pages(spark, d, "page_id", "html")).select("page_id", "n_lines", "outline")
@@ -563,6 +572,7 @@ QUERIES = {
     "translate_queries": q_translate_queries,
     "outline_nodes": q_outline_nodes,
     "outline_text": q_outline_text,
+    "outline_sql": q_outline_sql,
     "page_text": q_page_text,
     "pages_with": q_pages_with,
     "pages_without": q_pages_without,
