@@ -16,17 +16,19 @@ RETENTION_DAYS = 5   # fixed value
 
 
 def _cutoff(as_of, days: int):
+    """``as_of - days`` as a TIMESTAMP_NTZ literal built from text, so the
+    result does not depend on the driver's or the session's time zone."""
     if isinstance(as_of, str):
         as_of = dt.datetime.fromisoformat(as_of)
-    return as_of - dt.timedelta(days=days)
+    return F.lit((as_of - dt.timedelta(days=days)).isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def expired(df: DataFrame, ts_col: str, as_of, days: int = RETENTION_DAYS) -> DataFrame:
     """Rows whose age at ``as_of`` is strictly greater than ``days``."""
-    return df.where(F.col(ts_col) < F.lit(_cutoff(as_of, days)).cast("timestamp_ntz"))
+    return df.where(F.col(ts_col) < _cutoff(as_of, days))
 
 
 def retained(df: DataFrame, ts_col: str, as_of, days: int = RETENTION_DAYS) -> DataFrame:
     """Complement of :func:`expired` (NULL timestamps are retained)."""
-    c = F.col(ts_col) < F.lit(_cutoff(as_of, days)).cast("timestamp_ntz")
+    c = F.col(ts_col) < _cutoff(as_of, days)
     return df.where(~F.coalesce(c, F.lit(False)))
