@@ -31,7 +31,8 @@ def get_spark(master: str | None = None, app: str = "webloom",
     if master:
         builder = builder.master(master)
     for key, value in _DEFAULTS.items():
-        builder = builder.config(key, value)
+        if key not in (extra or {}):
+            builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in (extra or {}).items():

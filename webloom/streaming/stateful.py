@@ -167,16 +167,16 @@ def stream_idle(events: DataFrame, key: str, ts: str, id_col: str, idle_s: float
     A gap >= idle after an event emits ``last + idle``; once ``last + idle``
     passes ``start + timeout`` the answer is the capped ``start + timeout``;
     with no further event, the timer at ``last + idle`` fires when the
-    watermark passes it.  Output ``(key, idle_at, timed_out)`` once per key."""
-    import datetime as dt
-    out_schema = f"{key} long, idle_at timestamp, timed_out boolean"
+    watermark passes it.  Output ``(key, idle_at, timed_out)`` once per key.
+    Times cross into Python as epoch seconds computed by Spark, so the
+    result and the timers do not depend on the session time zone."""
+    out_schema = f"{key} long, idle_at_s double, timed_out boolean"
     state_schema = "start double, last double, done boolean"
 
     def emit(k, q, start):
         limit = start + timeout_s
         capped = q > limit
-        at = dt.datetime.fromtimestamp(limit if capped else q, dt.timezone.utc).replace(tzinfo=None)
-        return pd.DataFrame({key: [k[0]], "idle_at": [at], "timed_out": [bool(capped)]})
+        return pd.DataFrame({key: [k[0]], "idle_at_s": [limit if capped else q], "timed_out": [bool(capped)]})
 
     def step(k, pdfs, state):
         if state.hasTimedOut:
@@ -188,9 +188,8 @@ def stream_idle(events: DataFrame, key: str, ts: str, id_col: str, idle_s: float
         start, last, done = state.get if state.exists else (None, None, False)
         if done:
             return
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values([ts, id_col], kind="stable")
-        secs = (batch[ts].astype("datetime64[us]").astype("int64") / 1e6).tolist()
-        for t in secs:
+        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["_ts_s", id_col], kind="stable")
+        for t in batch["_ts_s"].tolist():
             if start is None:
                 start = t
             elif t - last >= idle_s:
@@ -203,9 +202,13 @@ def stream_idle(events: DataFrame, key: str, ts: str, id_col: str, idle_s: float
                 yield emit(k, last + idle_s, start)
                 return
         state.update((start, last, False))
-        state.setTimeoutTimestamp(int((last + idle_s) * 1000))
+        state.setTimeoutTimestamp(int(round((last + idle_s) * 1000)))
 
     t = F.col(ts).cast("timestamp")
-    return (events.select(key, t.alias(ts), id_col).withWatermark(ts, delay).groupBy(key)
-            .applyInPandasWithState(step, out_schema, state_schema, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+    out = (events.select(key, t.alias(ts), id_col)
+           .withColumn("_ts_s", F.unix_micros(F.col(ts)) / 1e6)
+           .withWatermark(ts, delay).groupBy(key)
+           .applyInPandasWithState(step, out_schema, state_schema, "append",
+                                   GroupStateTimeout.EventTimeTimeout))
+    return out.select(key, F.timestamp_micros(F.round(F.col("idle_at_s") * 1e6).cast("bigint")).alias("idle_at"),
+                      "timed_out")
