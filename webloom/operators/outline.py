@@ -363,7 +363,7 @@ def register_outline_udtf(spark):
     """``SELECT * FROM pages, LATERAL outline_nodes(page_id, html)``."""
     from pyspark.sql.functions import udtf
 
-    @udtf(returnType="node_id bigint, parent_id bigint, depth int, pos int, role string, "
+    @udtf(useArrow=True, returnType="node_id bigint, parent_id bigint, depth int, pos int, role string, "
                      "name string, ref string")
     class OutlineNodes:
         def eval(self, page_id: int, html: str):

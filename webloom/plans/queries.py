@@ -284,10 +284,18 @@ def q_detect_language(spark, d):
     return detect_language(docs, "doc_id", "text", prof, counts=counts)
 
 
+def _small_profiles(spark, d):
+    """Profiles (<= languages x 300 rows) checkpointed: the corpus trigram pass
+    then runs once even when the profile feeds several branches."""
+    from webloom.session import checkpoint_dir
+    checkpoint_dir(spark)
+    return _profiles(spark, d).checkpoint(eager=True)
+
+
 def q_translate_queries(spark, d):
     from webloom.operators.language import FIXTURE_DICTIONARY, detect_language, translate_queries
     turns = _user_turns(spark, d).withColumn("key", F.struct("conv_id", "turn"))
-    det = detect_language(turns, "key", "text", _profiles(spark, d))
+    det = detect_language(turns, "key", "text", _small_profiles(spark, d))
     joined = turns.join(det, "key")
     return translate_queries(joined, "text", "lang_code", FIXTURE_DICTIONARY).select(
         "conv_id", "turn", "query")
@@ -297,9 +305,10 @@ def q_search_report(spark, d):
     from webloom.operators.language import FIXTURE_DICTIONARY, detect_language, translate_queries
     from webloom.operators.search import enrich_query, multi_search, nest_results, search_report
     bench = read_table(spark, d, "benchmark").select("item_id", "text")
-    det = detect_language(bench, "item_id", "text", _profiles(spark, d))
+    det = detect_language(bench, "item_id", "text", _small_profiles(spark, d))
     q = translate_queries(bench.join(det, "item_id"), "text", "lang_code", FIXTURE_DICTIONARY, "translated")
-    q = q.withColumn("query", enrich_query("translated"))
+    # One row per query, read three times below: materialise it once.
+    q = q.withColumn("query", enrich_query("translated")).checkpoint(eager=True)
     res = multi_search(q.select("item_id", F.col("query").alias("text")), _docs(spark, d), num=SEARCH_NUM)
     nested = nest_results(res, "item_id", ["doc_id"]).select(
         "item_id", F.transform("results", lambda r: r["doc_id"].cast("string")).alias("ids"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.sources.tables import read_table
+from webloom.sources.tables import read_table, spread
 
 # Fixed values of the fixture mapping.
 PAGE_TYPE = "text/html; charset=utf-8"
@@ -40,7 +40,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     events = read_table(spark, sf_dir, "events")
     docs = read_table(spark, sf_dir, "documents")
-    return (_shape(pages, "page", "page_id", F.col("url"), PAGE_TYPE, "html")
+    return spread(_shape(pages, "page", "page_id", F.col("url"), PAGE_TYPE, "html")
             .unionByName(_shape(events, "event", "event_id",
                                 F.concat(F.lit(EVENT_URL), F.col("event_id").cast("string")),
                                 EVENT_TYPE, "props"))
