@@ -34,3 +34,24 @@ def test_stream_tabs_equals_batch(spark, tmp_path, sf_small):
     got = run_to_table(stream_tabs(st, "user_id", "ts", "event_id"), "t_tabs")
     exp = tab_evictions(ev, "user_id", ["ts", "event_id"], "event_id").where("evicted_by IS NOT NULL")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
+
+
+def test_stream_correlate_matches_batch(spark, tmp_path, sf_small):
+    from webloom.operators.correlate import correlate
+    from webloom.plans.queries import _correlation_out, conversation_messages
+    from webloom.streaming.stateful import stream_correlate
+    conv = spark.read.parquet(f"{sf_small}/conversations.parquet").select("conv_id", "turn", "role")
+    req_b, rep_b = conversation_messages(conv)
+    batch = {tuple(r) for r in _correlation_out(correlate(req_b, rep_b, ["conv_id", "rid"])).collect()}
+    # Requests and replies arrive through two separate file sources.
+    for name, part in (("users", conv.where("role = 'user'")), ("others", conv.where("role <> 'user'"))):
+        part.write.parquet(str(tmp_path / name))
+    s_users = spark.readStream.schema(conv.schema).parquet(str(tmp_path / "users"))
+    s_others = spark.readStream.schema(conv.schema).parquet(str(tmp_path / "others"))
+    req_s, _ = conversation_messages(s_users)
+    _, rep_s = conversation_messages(s_others)
+    got = {tuple(r) for r in _correlation_out(
+        run_to_table(stream_correlate(req_s, rep_s, ["conv_id", "rid"]), "t_corr")).collect()}
+    matched = {r for r in batch if not r[4]}
+    assert {r for r in got if not r[4]} == matched
+    assert {r for r in got if r[4]} <= {r for r in batch if r[4]}
