@@ -18,7 +18,6 @@ import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def file_inventory(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
