@@ -55,3 +55,16 @@ def test_write_inventory_parse(spark, tmp_path):
     assert parsed["a.txt"] == ("newer", None)
     assert parsed["d.docx"] == ("Hello w\nsecond & last", None)
     assert parsed["bad.docx"][0] is None and parsed["bad.docx"][1]
+
+
+def test_batch_fetch_lookup_key(spark):
+    from webloom.operators.batch import batch_fetch, batch_summary
+    pages = spark.createDataFrame([(1, "https://h.com/p#top"), (2, "https://h.com/q"), (3, "https://H.com/q")],
+                                  "page_id long, url string")
+    reqs = spark.createDataFrame([(0, "HTTPS://H.com/p"), (1, "https://h.com/q#x"), (2, "https://h.com/zz"),
+                                  (3, "http://h.com/p"), (12, "https://h.com/q")], "pos long, url string")
+    out = {r.pos: (r.status, r.tab_index, r.page_id) for r in batch_fetch(reqs, pages).collect()}
+    assert out == {0: ("success", 0, 1), 1: ("success", 1, 2), 2: ("error", None, None),
+                   3: ("error", None, None), 12: ("success", 9, 2)}
+    summary = {r.status: r.n for r in batch_summary(batch_fetch(reqs, pages)).collect()}
+    assert summary == {"success": 3, "error": 2}

@@ -413,6 +413,11 @@ SELECT page_id, CAST((length(html) - length(replace(html, '<p', ''))) / 2 AS BIG
 FROM pages
 """
 
+def _pkey(expr: str) -> str:
+    """Normalised URL without fragment (resolving an absolute URL against itself)."""
+    return f"regexp_replace({sql_resolve_root_or_absolute(expr, expr)}, '#.*$', '')"
+
+
 _BATCH = f"""
 reqs AS (
   SELECT page_id, 0 AS kind, -1 AS lpos, url FROM pages
@@ -422,7 +427,8 @@ res AS (
   SELECT o.pos, o.url, CASE WHEN p.page_id IS NOT NULL THEN 'success' ELSE 'error' END AS status,
          CASE WHEN p.page_id IS NOT NULL THEN CAST(least(o.pos, 9) AS INTEGER) END AS tab_index,
          CASE WHEN p.page_id IS NULL THEN 'net::ERR_NAME_NOT_RESOLVED at ' || o.url END AS error
-  FROM ordered o LEFT JOIN (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url) p ON p.url = o.url)
+  FROM ordered o LEFT JOIN (SELECT {_pkey('url')} AS k, min(page_id) AS page_id FROM pages GROUP BY k) p
+    ON p.k = {_pkey('o.url')})
 """
 
 BATCH_FETCH = f"WITH {_BATCH} SELECT * FROM res"
