@@ -66,3 +66,10 @@ def test_download_names(spark):
     assert {r.folder for r in m} == {"/root/dl"}
     abs_folder = download_manifest(df, "url", "/root", "/abs/x", "filename").first()
     assert abs_folder.folder == "/abs/x"
+
+
+def test_base_href(spark):
+    html = '<head><base href="/dir/sub/"></head><a href="x">X</a><a href="../y?q">Y</a><a href="/z">Z</a>'
+    pages = spark.createDataFrame([(1, "https://h.com/p/q.html", html)], "page_id long, url string, html string")
+    got = [r.href for r in extract_links(pages).orderBy("pos").collect()]
+    assert got == ["https://h.com/dir/sub/x", "https://h.com/dir/y?q", "https://h.com/z"]

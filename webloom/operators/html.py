@@ -20,6 +20,7 @@ ANCHOR_RE = r"(?is)<a\b[^>]*>.*?</a>"
 ANCHOR_PARTS_RE = r"(?is)^<a\b([^>]*)>(.*)</a>$"
 HREF_RE = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 TITLE_RE = r"(?is)<title\b[^>]*>(.*?)</title>"
+BASE_RE = r"""(?is)<base\b[^>]*\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 HTML_LANG_RE = r"""(?is)<html\b[^>]*\slang\s*=\s*["']?([^"'\s>]*)"""
 CHARSET_RE = r"""(?is)<meta\b[^>]*\scharset\s*=\s*["']?([^"'\s/>]*)"""
 
@@ -61,16 +62,25 @@ def anchor_array(html, base, schemes_prefix: str | None = "http") -> Column:
     return parts
 
 
+def document_base(html, url) -> Column:
+    """Base URL for relative links: the first ``<base href>`` resolved against
+    the page URL, else the page URL."""
+    h = _col(html)
+    raw = F.concat(*[F.regexp_extract(h, BASE_RE, i) for i in (1, 2, 3)])
+    return F.when(h.rlike(BASE_RE), resolve_url(_col(url), decode_entities(raw))).otherwise(_col(url))
+
+
 def extract_links(pages: DataFrame, schemes_prefix: str | None = "http") -> DataFrame:
     """One row per kept link: ``(page_id, pos, text, href)``, ``pos`` 0-based in
     the kept list (document order).  Anchors are filtered inside the array
-    (cheap scheme test), exploded, then cleaned and resolved per link."""
-    exploded = pages.select("page_id", "url",
-                            F.posexplode(anchor_array("html", "url", schemes_prefix)))
+    (cheap scheme test), exploded, then cleaned and resolved per link
+    against the document base."""
+    exploded = (pages.select("page_id", "html", document_base("html", "url").alias("_base"))
+                .select("page_id", "_base", F.posexplode(anchor_array("html", "_base", schemes_prefix))))
     return exploded.select(
         "page_id", F.col("pos").cast("bigint").alias("pos"),
         inner_text(F.col("col.inner")).alias("text"),
-        resolve_url(F.col("url"), F.col("col.href_raw")).alias("href"))
+        resolve_url(F.col("_base"), F.col("col.href_raw")).alias("href"))
 
 
 def link_list(html, base, schemes_prefix: str | None = "http") -> Column:
@@ -83,9 +93,10 @@ def link_list(html, base, schemes_prefix: str | None = "http") -> Column:
 
 def links_json(pages: DataFrame) -> DataFrame:
     """K1: ``(page_id, json)`` -- the page's links as 2-space pretty JSON."""
-    from webloom.functions.jsonfmt import pretty_json
     import pandas as pd
 
+    from webloom.functions.jsonfmt import pretty_json
+
     def fmt(it):
         for pdf in it:
             yield pd.DataFrame({"page_id": pdf["page_id"],
@@ -93,7 +104,8 @@ def links_json(pages: DataFrame) -> DataFrame:
                                          for links in pdf["links"]]})
 
     # The array is built by JVM expressions; only formatting crosses to Python.
-    return (pages.select("page_id", link_list("html", "url").alias("links"))
+    return (pages.select("page_id", "html", document_base("html", "url").alias("_base"))
+            .select("page_id", link_list("html", "_base").alias("links"))
             .mapInPandas(fmt, "page_id bigint, json string"))
 
 

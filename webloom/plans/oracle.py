@@ -30,10 +30,20 @@ def _href(attrs: str) -> str:
             f"{sql_decode_entities(' || '.join(g))} END)")
 
 
+def _base_href(html: str) -> str:
+    g = [f"regexp_extract({html}, {lit(H.BASE_RE)}, {i})" for i in (1, 2, 3)]
+    return sql_decode_entities(" || ".join(g))
+
+
 EXTRACT_LINKS = f"""
-WITH a AS (
+WITH pb AS (
+  SELECT page_id, html,
+         CASE WHEN regexp_matches(html, {lit(H.BASE_RE)})
+              THEN {sql_resolve_root_or_absolute('url', _base_href('html'))} ELSE url END AS url
+  FROM pages
+), a AS (
   SELECT page_id, url, unnest(l) AS anc, unnest(generate_series(1, len(l))) AS k
-  FROM (SELECT page_id, url, regexp_extract_all(html, {lit(H.ANCHOR_RE)}) AS l FROM pages)
+  FROM (SELECT page_id, url, regexp_extract_all(html, {lit(H.ANCHOR_RE)}) AS l FROM pb)
 ), b AS (
   SELECT page_id, k,
          {sql_inner_text(f"regexp_extract(anc, {lit(H.ANCHOR_PARTS_RE)}, 2)")} AS text,
