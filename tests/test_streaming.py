@@ -55,3 +55,25 @@ def test_stream_correlate_matches_batch(spark, tmp_path, sf_small):
     matched = {r for r in batch if not r[4]}
     assert {r for r in got if not r[4]} == matched
     assert {r for r in got if r[4]} <= {r for r in batch if r[4]}
+
+
+def test_stream_sessions_multi_batch(spark, tmp_path):
+    import datetime as dt
+    from webloom.operators.sessions import idle_sessions
+    from webloom.streaming.stateful import stream_sessions
+    t0 = dt.datetime(2024, 1, 1)
+    gaps = [0, 5, 10, 40, 41, 90, 100, 200, 214, 229, 300]
+    rows = [(u, t0 + dt.timedelta(minutes=g + u), i) for u in (1, 2) for i, g in enumerate(gaps)]
+    df = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, event_id long")
+    for i, lo in enumerate((0, 95, 210)):           # three time-ordered files = three micro-batches
+        hi = {0: 95, 95: 210, 210: 10_000}[lo]
+        part = df.where((F.col("ts") >= t0 + dt.timedelta(minutes=lo)) & (F.col("ts") < t0 + dt.timedelta(minutes=hi)))
+        part.coalesce(1).write.parquet(str(tmp_path / "ev" / f"f{i}"))
+    st = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+          .option("recursiveFileLookup", "true").parquet(str(tmp_path / "ev")))
+    got = run_to_table(stream_sessions(st, "user_id", "ts", delay="10 minutes"), "t_sess")
+    got = {(r.user_id, r.session_start.replace(tzinfo=None), r.n_calls) for r in got.collect()}
+    wm = max(r[1] for r in rows) - dt.timedelta(minutes=10)
+    exp = {(r.user_id, r.session_start, r.n_calls) for r in idle_sessions(df, "user_id", "ts").collect()
+           if r.session_end <= wm}
+    assert got == exp and len(exp) >= 6

@@ -24,6 +24,10 @@ def slice_struct(html, start=0, end=None, size: int = DEFAULT_SLICE) -> Column:
     start = max(0, floor(start)); end = min(len, floor(end)), default start+size,
     never clamped below, so a negative end counts from the tail for the
     content while remaining = max(0, len - end) exceeds the length.
+
+    A NULL ``start`` is 0 (the reference's ``?? 0``).  A NULL ``end`` means
+    "not given" and takes the default; the reference's JSON-only case of an
+    explicit ``null`` end (``Math.floor(null)`` = 0) has no table equivalent.
     """
     h = F.col(html) if isinstance(html, str) else html
     length = F.length(h).cast("bigint")
