@@ -47,8 +47,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     ``spark.checkpoint.dir`` comes from the cluster configuration and must
-    be a shared (distributed) file system path.  Only when it is unset --
-    local tests -- a private scratch folder is created.
+    be a shared (distributed) file system path.  Only when it is unset on a
+    ``local`` master (tests) a private scratch folder is created; on a
+    cluster an unset value is an error, never a machine-local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,7 +58,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="webloom-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a shared "
+                               "folder (HDFS, S3, ...) that every executor can read")
+        configured = tempfile.mkdtemp(prefix="webloom-ckpt-")   # local runs / tests only
     elif "://" not in configured:
         os.makedirs(configured, exist_ok=True)
     sc.setCheckpointDir(configured)
