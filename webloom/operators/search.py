@@ -5,16 +5,21 @@ K4 report).
 The remote search service is re-aimed as BM25 over an inverted index
 built by Spark:
 
-    corpus --explode tokens--> (doc, term)  --semi-join query vocabulary-->
-    postings (doc, term, tf, dl) [checkpointed]  --groupBy term--> df
-    postings x df x query terms  --groupBy (query, doc) sum--> score
+    corpus --hash by doc id (once)--> explode tokens --keep query vocabulary
+    (broadcast)--> postings (doc, term, tf, dl) + one length row per doc
+    [checkpointed: the corpus is read once]
+    postings --groupBy term (map-side combined)--> df
+    postings x df x query terms (broadcast) --sum per (query, doc),
+    in-partition--> score
     row_number per query <= start+num-1  (WindowGroupLimit, map-side too)
 
-No cross join: queries meet documents only through shared terms.  Only
-tokens of the query vocabulary are shuffled; every aggregation combines
-map-side, so a very common term (a third of all postings) is summed per
-map task before the shuffle.  Corpus size and mean length come back to the
-driver as two numbers (one-row aggregate over the checkpointed table).
+No cross join: queries meet documents only through shared terms.  Because
+documents are co-located by id, term counts and (query, doc) sums are
+complete inside a partition: exploded tokens and score contributions are
+never shuffled; only partial df counts and per-task top-k rows are.  A
+very common term (a third of all postings) is combined per map task.
+Corpus size and mean length come back to the driver as two numbers
+(one-row aggregate over the checkpointed table).
 """
 
 from __future__ import annotations
