@@ -7,7 +7,7 @@ built by Spark:
 
     corpus --hash by doc id (once)--> explode tokens --keep query vocabulary
     (broadcast)--> postings (doc, term, tf, dl) + one length row per doc
-    [checkpointed: the corpus is read once]
+    [checkpointed: the corpus is read once; postings re-hashed by doc]
     postings --groupBy term (map-side combined)--> df
     postings x df x query terms (broadcast) --sum per (query, doc),
     in-partition--> score
@@ -16,7 +16,8 @@ built by Spark:
 No cross join: queries meet documents only through shared terms.  Because
 documents are co-located by id, term counts and (query, doc) sums are
 complete inside a partition: exploded tokens and score contributions are
-never shuffled; only partial df counts and per-task top-k rows are.  A
+never shuffled; only the raw documents (once), the postings (once, by doc),
+partial df counts and per-task top-k rows are.  A
 very common term (a third of all postings) is combined per map task.
 Corpus size and mean length come back to the driver as two numbers
 (one-row aggregate over the checkpointed table).
@@ -140,7 +141,10 @@ def multi_search(queries: DataFrame, corpus: DataFrame, query_id: str = "item_id
              .checkpoint(eager=True))
     row = table.where(F.col("term").isNull()).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("a")).first()
     n_docs, avgdl = int(row["n"] or 0), float(row["a"] or 0.0)
-    postings = table.where(F.col("term").isNotNull())
+    # The checkpoint does not carry the hash layout forward: re-hash the
+    # (small) postings by document so each (query, doc) sum is complete in
+    # its partition and the much larger contribution rows never shuffle.
+    postings = table.where(F.col("term").isNotNull()).repartition(cpu_partitions(spark), "_d")
     dfs = postings.groupBy("term").agg(F.count("tf").alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
