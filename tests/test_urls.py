@@ -73,3 +73,9 @@ def test_base_href(spark):
     pages = spark.createDataFrame([(1, "https://h.com/p/q.html", html)], "page_id long, url string, html string")
     got = [r.href for r in extract_links(pages).orderBy("pos").collect()]
     assert got == ["https://h.com/dir/sub/x", "https://h.com/dir/y?q", "https://h.com/z"]
+
+
+def test_link_text_line_breaks(spark):
+    html = '<a href="/a">One <br/> Two<br>Three</a><a href="/b"><br>lead</a>'
+    pages = spark.createDataFrame([(1, "https://h.com/", html)], "page_id long, url string, html string")
+    assert [r.text for r in extract_links(pages).orderBy("pos").collect()] == ["One\nTwo\nThree", "lead"]

@@ -103,10 +103,18 @@ def decode_entities(c) -> Column:
     return let(_col(c), body)
 
 
+BR_RE = r"(?i)<br\b[^>]*>"
+_BR_MARK = "\u0001"     # stands for a <br> line break while white space is collapsed
+
+
 def inner_text(c) -> Column:
-    """Rendered text of an inline fragment: tags dropped, entities decoded,
-    white space collapsed, ends trimmed (innerText + trim)."""
-    return js_trim(squeeze_spaces(decode_entities(strip_tags(_col(c)))))
+    """Rendered text of an inline fragment (innerText + trim): ``<br>`` is a
+    line break, other tags are dropped, entities decoded, white-space runs
+    collapsed to one space (none kept around a line break), ends trimmed."""
+    s = F.regexp_replace(_col(c), BR_RE, _BR_MARK)
+    s = squeeze_spaces(decode_entities(strip_tags(s)))
+    s = F.regexp_replace(s, f" ?{_BR_MARK} ?", "\n")
+    return js_trim(s)
 
 
 # ---- DuckDB (oracle) spellings of the same rules -------------------------------
@@ -132,4 +140,6 @@ def sql_strip_tags(expr: str) -> str:
 
 
 def sql_inner_text(expr: str) -> str:
-    return sql_js_trim(sql_squeeze(sql_decode_entities(sql_strip_tags(expr))))
+    marked = f"regexp_replace({expr}, '{BR_RE}', chr(1), 'g')"
+    s = sql_squeeze(sql_decode_entities(sql_strip_tags(marked)))
+    return sql_js_trim(f"regexp_replace({s}, ' ?' || chr(1) || ' ?', chr(10), 'g')")
