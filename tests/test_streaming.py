@@ -77,3 +77,14 @@ def test_stream_sessions_multi_batch(spark, tmp_path):
     exp = {(r.user_id, r.session_start, r.n_calls) for r in idle_sessions(df, "user_id", "ts").collect()
            if r.session_end <= wm}
     assert got == exp and len(exp) >= 6
+
+
+def test_stream_tabs_with_close(spark, tmp_path):
+    # FIXTURES tab_events: opens 1-13 with tab 5 closed right after it opens.
+    rows = [(1, s, "open", s, None) for s in range(1, 6)] + [(1, 6, "close", 100, 5)]
+    rows += [(1, 6 + s, "open", s, None) for s in range(6, 14)]
+    df = spark.createDataFrame(rows, "session long, seq long, op string, tab long, target long")
+    df.coalesce(1).write.parquet(str(tmp_path / "tabs"))
+    st = spark.readStream.schema(df.schema).parquet(str(tmp_path / "tabs"))
+    got = run_to_table(stream_tabs(st, "session", "seq", "tab", 10, op_col="op", target_col="target"), "t_tabs2")
+    assert sorted((r.opened_event, r.evicted_by) for r in got.collect()) == [(1, 12), (2, 13)]

@@ -119,15 +119,29 @@ def stream_correlate(requests: DataFrame, replies: DataFrame, id_cols: list[str]
 
 # ---- ST4 -------------------------------------------------------------------------
 
-def stream_tabs(opens: DataFrame, key: str, ts: str, id_col: str, max_tabs: int = 10) -> DataFrame:
-    """Eviction events ``(key, opened_event, evicted_by)`` as they happen."""
+def stream_tabs(opens: DataFrame, key: str, ts: str, id_col: str, max_tabs: int = 10,
+                op_col: str | None = None, target_col: str | None = None,
+                close_op: str = "close") -> DataFrame:
+    """Eviction events ``(key, opened_event, evicted_by)`` as they happen.
+
+    Every row opens a tab named by ``id_col``; with ``op_col``, rows whose op
+    is ``close_op`` instead close the tab named in ``target_col`` (if still
+    open).  Opening beyond ``max_tabs`` evicts the oldest *created* open tab.
+    State per key is the <= max_tabs open ids."""
     out_schema = f"{key} long, opened_event long, evicted_by long"
+    cols = [key, ts, id_col] + [c for c in (op_col, target_col) if c]
 
     def step(k, pdfs, state):
         open_ids = json.loads(state.get[0]) if state.exists else []
         batch = pd.concat(list(pdfs), ignore_index=True).sort_values([ts, id_col], kind="stable")
+        ops = batch[op_col].tolist() if op_col else [None] * len(batch)
+        targets = batch[target_col].tolist() if target_col else [None] * len(batch)
         opened, evictor = [], []
-        for i in batch[id_col].tolist():
+        for i, op, tgt in zip(batch[id_col].tolist(), ops, targets):
+            if op == close_op:
+                if tgt is not None and int(tgt) in open_ids:
+                    open_ids.remove(int(tgt))
+                continue
             open_ids.append(int(i))
             if len(open_ids) > max_tabs:
                 opened.append(open_ids.pop(0))
@@ -135,7 +149,7 @@ def stream_tabs(opens: DataFrame, key: str, ts: str, id_col: str, max_tabs: int
         state.update((json.dumps(open_ids),))
         yield pd.DataFrame({key: [k[0]] * len(opened), "opened_event": opened, "evicted_by": evictor})
 
-    return (opens.select(key, ts, id_col).groupBy(key)
+    return (opens.select(*cols).groupBy(key)
             .applyInPandasWithState(step, out_schema, "open string", "append",
                                     GroupStateTimeout.NoTimeout))
 
