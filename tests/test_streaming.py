@@ -88,3 +88,18 @@ def test_stream_tabs_with_close(spark, tmp_path):
     st = spark.readStream.schema(df.schema).parquet(str(tmp_path / "tabs"))
     got = run_to_table(stream_tabs(st, "session", "seq", "tab", 10, op_col="op", target_col="target"), "t_tabs2")
     assert sorted((r.opened_event, r.evicted_by) for r in got.collect()) == [(1, 12), (2, 13)]
+
+
+def test_stream_last_n_reset_ends_batch(spark, tmp_path):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    first = [(1, t0 + dt.timedelta(seconds=i), i, "req") for i in range(5)]
+    second = [(1, t0 + dt.timedelta(seconds=10), 10, "signup")]
+    schema = "user_id long, ts timestamp_ntz, event_id long, event_type string"
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(str(tmp_path / "ev" / "a"))
+    spark.createDataFrame(second, schema).coalesce(1).write.parquet(str(tmp_path / "ev" / "b"))
+    st = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+          .option("recursiveFileLookup", "true").parquet(str(tmp_path / "ev")))
+    snaps = run_to_table(stream_last_n(st, "user_id", "ts", "event_id", "event_type", "signup", 20), "t_reset")
+    assert snaps.select("version").distinct().count() == 2
+    assert latest_snapshot(snaps, "user_id").count() == 0

@@ -53,7 +53,8 @@ def run_to_table(df: DataFrame, name: str, output_mode: str = "append") -> DataF
 def stream_last_n(events: DataFrame, key: str, ts: str, id_col: str, type_col: str,
                   reset_type: str, n: int = 100) -> DataFrame:
     """Bounded log per key, emptied by a reset marker (marker not kept).
-    Output ``(key, version, seq, id, type)``: one snapshot per key and batch."""
+    Output ``(key, version, seq, id, type)``: one snapshot per key and batch;
+    an empty snapshot is a single ``seq = 0`` row."""
     out_schema = f"{key} long, version long, seq long, {id_col} long, {type_col} string"
     state_schema = "log string, version long"
 
@@ -73,6 +74,12 @@ def stream_last_n(events: DataFrame, key: str, ts: str, id_col: str, type_col: s
                     log = log[-n:]
         version += 1
         state.update((json.dumps(log), version))
+        if not log:
+            # An emptied log still needs a row so the read-back sees the new
+            # (empty) version rather than an older snapshot: seq 0 marks it.
+            yield pd.DataFrame({key: [k[0]], "version": [version], "seq": [0],
+                                id_col: [None], type_col: [None]})
+            return
         yield pd.DataFrame({key: [k[0]] * len(log), "version": [version] * len(log),
                             "seq": list(range(1, len(log) + 1)),
                             id_col: [e[0] for e in log], type_col: [e[1] for e in log]})
@@ -83,9 +90,10 @@ def stream_last_n(events: DataFrame, key: str, ts: str, id_col: str, type_col: s
 
 
 def latest_snapshot(snapshots: DataFrame, key: str) -> DataFrame:
-    """Rows of each key's newest snapshot (batch read-back of ST1 output)."""
+    """Rows of each key's newest snapshot (batch read-back of ST1 output);
+    a key whose newest snapshot is empty has no rows."""
     newest = snapshots.groupBy(key).agg(F.max("version").alias("version"))
-    return snapshots.join(newest, [key, "version"]).drop("version")
+    return snapshots.join(newest, [key, "version"]).where(F.col("seq") > 0).drop("version")
 
 
 # ---- ST2 -------------------------------------------------------------------------
