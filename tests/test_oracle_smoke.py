@@ -42,3 +42,10 @@ def test_entry_smoke(spark):
 def test_every_query_has_builder():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 50
+
+
+@pytest.mark.parametrize("key", sorted(entry.queries()))
+def test_every_registered_query_runs(spark, sf_small, key):
+    df = entry.queries()[key](spark, sf_small)
+    assert df.count() >= 0
+    assert all(f.name for f in df.schema.fields)
