@@ -82,3 +82,10 @@ def test_first_idle(spark):
     out = {r.key: (r.idle_at, r.timed_out) for r in first_idle(df, "key", "ts", "id").collect()}
     assert out[1] == (t0 + dt.timedelta(seconds=1.9), False)
     assert out[2] == (t0 + dt.timedelta(seconds=30), True)
+
+
+def test_collect_log_is_bounded(spark):
+    from webloom.operators.logs import collect_log
+    log = spark.createDataFrame([(1, i, i * 10) for i in range(250)], "k long, t long, v long")
+    r = collect_log(log, "k", ["t"], ["v"], n=100).first()
+    assert [e.v for e in r.entries] == [i * 10 for i in range(150, 250)]

@@ -69,9 +69,13 @@ def drop_closed(log: DataFrame, key: str, order: list[str], is_close: Column) ->
 
 
 def collect_log(log: DataFrame, key: str, order: list[str], cols: list[str],
-                name: str = "entries") -> DataFrame:
-    """A1: ordered array of entries per key.  Call on a bounded log (W1) so a
-    group never exceeds the bound."""
+                name: str = "entries", n: int = LOG_BOUND,
+                already_bounded: bool = False) -> DataFrame:
+    """A1: ordered array of the newest ``n`` entries per key.  The bound is
+    applied here (W1) unless the caller just did, so a collected group never
+    exceeds ``n`` entries however large the key is."""
+    if not already_bounded:
+        log = last_n(log, key, order, n, "_seq_bound").drop("_seq_bound")
     entry = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
                      *[F.col(c) for c in cols])
     return (log.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
@@ -85,7 +89,7 @@ def logs_per_page(keys: DataFrame, key: str, log: DataFrame, log_key: str,
     ``(key, n_entries, entries)`` where ``entries`` joins ids with ','."""
     bounded = last_n(log.select(log_key, id_col, *[c for c in order if c != id_col]),
                      log_key, order, n)
-    per_key = collect_log(bounded, log_key, order, [id_col], "_e").select(
+    per_key = collect_log(bounded, log_key, order, [id_col], "_e", n, already_bounded=True).select(
         F.col(log_key).alias(key), F.transform("_e", lambda e: e[id_col].cast("string")).alias("_ids"))
     out = keys.select(key).join(per_key, key, "left")
     ids = F.coalesce(F.col("_ids"), F.array().cast("array<string>"))
