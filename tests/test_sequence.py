@@ -41,3 +41,14 @@ def test_operators_paths_agree(spark):
                lambda s: first_idle(ev, "user_id", "ts", "event_id", "20 minutes", "1 day", strategy=s),
                lambda s: idle_sessions(ev, "user_id", "ts", "15 minutes", tie="event_id", strategy=s)):
         assert _rows(fn("window")) == _rows(fn("skew"))
+
+
+def test_auto_picks_skew_path_for_hot_key(spark):
+    ev = hot_events(spark)
+    hot = with_shift(ev, "user_id", ["ts", "event_id"], ["event_id"], 1, max_key_rows=1000)
+    cold = with_shift(ev, "user_id", ["ts", "event_id"], ["event_id"], 1, max_key_rows=10_000)
+    hot_plan = hot._jdf.queryExecution().analyzed().toString()
+    cold_plan = cold._jdf.queryExecution().analyzed().toString()
+    assert "lead(" not in hot_plan and "LogicalRDD" in hot_plan      # positions from the checkpoint
+    assert "lead(" in cold_plan
+    assert _rows(hot) == _rows(cold.select(*hot.columns))
