@@ -14,3 +14,27 @@ def test_checkpoint_cuts_lineage(spark):
     plan = df._jdf.queryExecution().analyzed().toString()
     assert "Range" not in plan                      # reads the checkpoint, not the source plan
     assert df.count() == 1000 and df.groupBy("k").count().count() == 7
+
+
+def test_no_local_checkpoint_folder_on_a_cluster():
+    import pytest
+
+    class _Conf:
+        def get(self, key, default=None):
+            return default
+
+    class _SC:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return _Conf()
+
+    class _Session:
+        sparkContext = _SC()
+        conf = _Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(_Session())
