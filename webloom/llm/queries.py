@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from webloom.llm.common import table
 
 
+def op1_warc(spark: SparkSession, d: str) -> DataFrame:
+    from webloom.llm.warc import round_trip
+    return round_trip(table(spark, d, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_simhash(spark: SparkSession, d: str) -> DataFrame:
     from webloom.llm.simhash import near_duplicates
     return near_duplicates(table(spark, d, "documents"))
@@ -23,17 +29,47 @@ def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op5_preferences(spark: SparkSession, d: str) -> DataFrame:
+    from webloom.llm.preferences import broken_off, format_preferences
+    return format_preferences(*broken_off(table(spark, d, "conversations")))
+
+
 def op6_secrets(spark: SparkSession, d: str) -> DataFrame:
     from webloom.llm.secrets import find_secrets
     return find_secrets(table(spark, d, "documents")).select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_markov")
 
 
+def op7_quality(spark: SparkSession, d: str) -> DataFrame:
+    from webloom.llm.quality import quality
+    return quality(table(spark, d, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_repeats(spark: SparkSession, d: str) -> DataFrame:
+    from webloom.llm.repeats import repeat_digests
+    return repeat_digests(table(spark, d, "documents"))
+
+
 def op9_packing(spark: SparkSession, d: str) -> DataFrame:
     from webloom.llm.packing import pack_documents
     return pack_documents(table(spark, d, "documents"))
 
 
+def op10_tokencount(spark: SparkSession, d: str) -> DataFrame:
+    """Trees of all documents, and three edits of each that come from its own text."""
+    from webloom.llm.tokencount import apply_edit_lists, build_trees
+    trees = build_trees(table(spark, d, "documents"))
+    n = F.coalesce(F.length("text"), F.lit(0))
+    edits = [F.struct(F.pmod(F.xxhash64("doc_id", F.lit(3 * k)), n + 1).alias("pos"),
+                      F.pmod(F.xxhash64("doc_id", F.lit(3 * k + 1)), F.lit(40)).alias("n_del"),
+                      F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", F.lit(3 * k + 2)), n + 1) + 1).cast("int"),
+                                  F.lit(30)).alias("ins")) for k in range(3)]
+    return apply_edit_lists(trees, F.array(*edits)).select(
+        "doc_id", "tokens_before", "n_edits", "n_tokens", F.length("text").alias("n_chars"),
+        F.sha2(F.col("text"), 256).alias("text_sha256"), "reencoded_chars")
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, d)
@@ -41,9 +77,14 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "pipeline": pipeline,
+    "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
     "op3_decontaminate": op3_decontaminate,
     "op4_toxicity": op4_toxicity,
+    "op5_preferences": op5_preferences,
     "op6_secrets": op6_secrets,
+    "op7_quality": op7_quality,
+    "op8_repeats": op8_repeats,
     "op9_packing": op9_packing,
+    "op10_tokencount": op10_tokencount,
 }

@@ -36,7 +36,7 @@ class Encoder:
         self._fast = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._own = Tokenizer.from_file(tokenizer_path(f"{name}.json"))
         self._words = _Words(self._plain)
-        self._sizes = _Words(lambda w: len(self._plain(w)) // 4)
+        self._sizes = _Words(self._size)
 
     def _plain(self, text: str) -> bytes:
         if _OTHER.search(text):
@@ -45,26 +45,29 @@ class Encoder:
             ids = self._fast(text)
         return np.array(ids, "<u4").tobytes()
 
+    def _size(self, text: str) -> int:
+        return len(self._plain(text)) // 4
+
     def encode(self, text: str) -> bytes:
         first, *rest = text.split(" ")
-        if first and not first[-1].isspace():
+        if not first or not first[-1].isspace():
             try:
-                return self._plain(first) + b"".join(map(self._words.__getitem__, rest))
+                words = b"".join(map(self._words.__getitem__, rest))
+                return self._plain(first) + words if first else words
             except _NotAWord:
                 pass
         return self._plain(text)
 
-    def counts(self, first: str, rest: list[str]) -> list[int] | None:
-        """Ids of ``first`` and of each of ``rest`` with a space before it; None if they can't be cut so."""
-        if not first or first[-1].isspace():
-            return None
-        try:
-            return [len(self._plain(first)) // 4, *map(self._sizes.__getitem__, rest)]
-        except _NotAWord:
-            return None
-
     def count(self, text: str) -> int:
-        return len(self.encode(text)) // 4
+        """How many ids the text has; only the numbers are cached."""
+        first, *rest = text.split(" ")
+        if not first or not first[-1].isspace():
+            try:
+                words = sum(map(self._sizes.__getitem__, rest))
+                return self._size(first) + words if first else words
+            except _NotAWord:
+                pass
+        return self._size(text)
 
 
 class _NotAWord(Exception):
