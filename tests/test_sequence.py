@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from webloom.operators.logs import tab_evictions
@@ -43,12 +44,25 @@ def test_operators_paths_agree(spark):
         assert _rows(fn("window")) == _rows(fn("skew"))
 
 
-def test_auto_picks_skew_path_for_hot_key(spark):
+def test_null_keys_and_times_give_one_answer(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(k, None if j == 2 else t0 + dt.timedelta(minutes=9 * j * j), 100 * n + j)
+            for n, k in enumerate((1, None, 2, None)) for j in range(8)]
+    rows += [(3, None, 900), (None, t0 + dt.timedelta(days=3), 901), (1, t0 + dt.timedelta(days=3), 902)]
+    ev = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, event_id long")
+    key = lambda t: tuple((x is None, str(x)) for x in t)
+    for fn in (lambda s: with_shift(ev, "user_id", ["ts", "event_id"], ["event_id", "ts"], 1, strategy=s),
+               lambda s: tab_evictions(ev, "user_id", ["ts", "event_id"], "event_id", 3, strategy=s),
+               lambda s: first_idle(ev, "user_id", "ts", "event_id", "20 minutes", "1 day", strategy=s),
+               lambda s: idle_sessions(ev, "user_id", "ts", "15 minutes", tie="event_id", strategy=s)):
+        a, b = fn("window"), fn("skew")
+        assert sorted(map(tuple, a.collect()), key=key) == sorted(map(tuple, b.select(*a.columns).collect()), key=key)
+    sessions = idle_sessions(ev, "user_id", "ts", "15 minutes", tie="event_id")
+    assert sessions.where("user_id is null").count() > 0
+    assert sessions.where("session_start is null or user_id = 3").count() == 0
+
+
+def test_unknown_strategy_is_refused(spark):
     ev = hot_events(spark)
-    hot = with_shift(ev, "user_id", ["ts", "event_id"], ["event_id"], 1, max_key_rows=1000)
-    cold = with_shift(ev, "user_id", ["ts", "event_id"], ["event_id"], 1, max_key_rows=10_000)
-    hot_plan = hot._jdf.queryExecution().analyzed().toString()
-    cold_plan = cold._jdf.queryExecution().analyzed().toString()
-    assert "lead(" not in hot_plan and "LogicalRDD" in hot_plan      # positions from the checkpoint
-    assert "lead(" in cold_plan
-    assert _rows(hot) == _rows(cold.select(*hot.columns))
+    with pytest.raises(ValueError):
+        with_shift(ev, "user_id", ["ts"], ["event_id"], 1, strategy="auto")

@@ -10,12 +10,17 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+_INDEX = re.compile("0|[1-9][0-9]{0,9}")
+
+
 def js_number(x: float) -> str:
     """Number.prototype.toString for a double (ECMAScript Number::toString)."""
     if math.isnan(x):
@@ -56,12 +61,34 @@ def _dump(v) -> str:
     if v is False:
         return "false"
     if isinstance(v, (int, float)):
-        return js_number(float(v))
+        try:
+            x = float(v)
+        except OverflowError:
+            x = math.inf
+        return js_number(x) if math.isfinite(x) else "null"
     if isinstance(v, str):
-        return json.dumps(v, ensure_ascii=False)
+        return _quoted(v)
     if isinstance(v, list):
         return "[" + ",".join(_dump(x) for x in v) + "]"
-    return "{" + ",".join(json.dumps(k, ensure_ascii=False) + ":" + _dump(x) for k, x in v.items()) + "}"
+    return "{" + ",".join(_quoted(k) + ":" + _dump(x) for k, x in _js_order(v)) + "}"
+
+
+def _quoted(s: str) -> str:
+    """A JSON string; a surrogate that stands alone is escaped, as JS does."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(s, ensure_ascii=False))
+
+
+def _js_order(v: dict) -> list:
+    """Members as a JS object lists them: integer keys first, by number."""
+    numbers = [k for k in v if _INDEX.fullmatch(k) and int(k) < 4294967295]
+    if not numbers:
+        return list(v.items())
+    first = sorted(numbers, key=int)
+    return [(k, v[k]) for k in first] + [(k, x) for k, x in v.items() if k not in set(numbers)]
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is not JSON")
 
 
 def canonical_json(text: str | None) -> str | None:
@@ -70,7 +97,8 @@ def canonical_json(text: str | None) -> str | None:
     if text is None:
         return None
     try:
-        return _dump(json.loads(text))
+        # All numbers are doubles in JS; a number of any length is read as one.
+        return _dump(json.loads(text.removeprefix("\ufeff"), parse_int=float, parse_constant=_no_constant))
     except (ValueError, RecursionError):
         return None
 
@@ -85,7 +113,7 @@ def _pretty(v, ind: str) -> str:
     if isinstance(v, dict):
         if not v:
             return "{}"
-        items = [f"{nxt}{json.dumps(str(k), ensure_ascii=False)}: {_pretty(x, nxt)}" for k, x in v.items()]
+        items = [f"{nxt}{_quoted(k)}: {_pretty(x, nxt)}" for k, x in _js_order({str(k): x for k, x in v.items()})]
         return "{\n" + ",\n".join(items) + "\n" + ind + "}"
     if isinstance(v, (list, tuple)):
         if not v:

@@ -19,8 +19,7 @@ JS_SPACE_CLASS = (r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}"
 # squeezing markup and for innerText collapsing).
 ASCII_SPACE_CLASS = r"[ \t\n\r\f\x{0B}]"
 
-# The named character references we decode, in the order they
-# are applied.  "&amp;" must come last so "&amp;lt;" decodes to "&lt;".
+# The usual named character references, looked up first.
 NAMED_ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
     ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"),
@@ -34,7 +33,16 @@ NAMED_ENTITIES = [
     ("&amp;", "&"),
 ]
 
-_NUMERIC_REF = r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+_REF = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _all_named() -> Column:
+    """The standard table of named references (from Python's library) as a map
+    literal; only names that the short table above lacks are looked up there."""
+    import json
+    from html.entities import html5
+    table = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
 
 def _col(c) -> Column:
@@ -68,38 +76,38 @@ def _codepoint_to_str(n: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
 
-def _decode_one_numeric(p: Column) -> Column:
-    def body(ref: Column) -> Column:
-        is_hex = ref.startswith("x") | ref.startswith("X")
-        code = F.when(is_hex, F.conv(F.substring(ref, 2, 7), 16, 10).cast("int")) \
-                .otherwise(ref.cast("int"))
-        ok = (F.length(ref) > 0) & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(ok, F.concat(_codepoint_to_str(code),
-                                   F.substring(p, F.length(ref) + 2, 1 << 30))) \
-                .otherwise(F.concat(F.lit("&#"), p))
-    return let(F.regexp_extract(p, _NUMERIC_REF, 1), body)
+def _numeric(ref: Column) -> Column:
+    is_hex = ref.rlike("^#[xX]")
+    code = F.when(is_hex, F.conv(F.substring(ref, 3, 7), 16, 10).cast("int")) \
+            .otherwise(F.substring(ref, 2, 8).try_cast("int"))
+    ok = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(ok, _codepoint_to_str(code))
 
 
-def _decode_numeric(s: Column) -> Column:
-    def body(parts: Column) -> Column:
-        rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))),
-                           _decode_one_numeric)
-        return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
-    return F.when(s.contains("&#"), let(F.split(s, "&#"), body)).otherwise(s)
+def _decode_one(p: Column) -> Column:
+    """The text after an ampersand, its reference decoded if it begins with one."""
+    short = F.create_map(*[F.lit(x) for name, value in NAMED_ENTITIES for x in (name[1:-1], value)])
+    every = _all_named()
+
+    def body(ref: Column) -> Column:
+        named = F.coalesce(F.try_element_at(short, ref), F.try_element_at(every, ref))
+        value = F.when(ref == "", F.lit(None).cast("string")).when(ref.startswith("#"), _numeric(ref)).otherwise(named)
+        return F.coalesce(F.concat(value, F.substring(p, F.length(ref) + 2, 1 << 30)), F.concat(F.lit("&"), p))
+    return let(F.regexp_extract(p, _REF, 1), body)
 
 
 def decode_entities(c) -> Column:
-    """Decode HTML character references (the fixed named set plus numeric ones).
+    """Decode HTML character references (all named ones and numeric ones), each
+    once, left to right: "&amp;lt;" gives "&lt;".
 
-    Entity-free strings skip the chain (``contains('&')`` guard).
+    Entity-free strings skip the work (``contains('&')`` guard).
     """
+    def parts(p: Column) -> Column:
+        rest = F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(1))), _decode_one)
+        return F.concat(F.element_at(p, 1), F.array_join(rest, ""))
+
     def body(s: Column) -> Column:
-        out = s
-        for name, value in NAMED_ENTITIES:
-            if name == "&amp;":
-                out = let(out, _decode_numeric)
-            out = F.replace(out, F.lit(name), F.lit(value))
-        return F.when(s.contains("&"), out).otherwise(s)
+        return F.when(s.contains("&"), let(F.split(s, "&"), parts)).otherwise(s)
     return let(_col(c), body)
 
 

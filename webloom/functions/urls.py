@@ -16,8 +16,15 @@ from webloom.functions.text import let
 
 SCHEME_RE = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
 SPLIT_RE = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
+DOTS_RE = r"(?i)^(\.|%2e){1,2}$"       # one or two dots, plain or percent-encoded
+ONE_DOT_RE = r"(?i)^(\.|%2e)$"
+AUTHORITY_RE = r"^(?:(.*)@)?(\[[^\]]*\]|[^:]*)(?::([0-9]*))?$"
+SPECIAL_RE = r"(?i)^(https?|wss?|ftp):"
 ORIGIN_RE = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)"
 
+# The schemes' own ports, which a browser leaves out.
+DEFAULT_PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
+
 # Characters percent-encoded besides non-printable / non-ASCII
 # ones, per WHATWG URL percent-encode sets (path, special query, fragment).
 PATH_EXTRA = "\"<>`{}"
@@ -61,16 +68,14 @@ def _remove_dots(path: Column) -> Column:
     segs = F.split(F.substring(path, 2, 1 << 30), "/")
     stack = F.aggregate(
         segs, F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.when(F.size(acc) > 0,
-                                                F.slice(acc, 1, F.size(acc) - 1))
-                              .otherwise(acc))
-                        .when(s == ".", acc)
+        lambda acc, s: F.when(s.rlike(DOTS_RE), F.when(s.rlike(ONE_DOT_RE) | (F.size(acc) == 0), acc)
+                              .otherwise(F.slice(acc, 1, F.size(acc) - 1)))
                         .otherwise(F.array_append(acc, s)))
     last = F.element_at(segs, -1)
-    tail = F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    tail = F.when(last.rlike(DOTS_RE), F.lit("/")).otherwise(F.lit(""))
     out = F.concat(F.lit("/"), F.array_join(stack, "/"), tail)
     out = F.regexp_replace(out, "//$", "/")
-    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), out).otherwise(path)
+    return F.when(path.rlike(r"(?i)(^|/)(\.|%2e){1,2}(/|$)"), out).otherwise(path)
 
 
 def strip_url_ws(c) -> Column:
@@ -82,7 +87,28 @@ def strip_url_ws(c) -> Column:
 def resolve_url(base, href) -> Column:
     """Absolute, normalised form of ``href`` relative to ``base`` (NULL href -> NULL)."""
     b = _col(base)
-    return let(strip_url_ws(href), lambda h: normalize_url(_join(b, h)))
+    return let(strip_url_ws(href), lambda h: let(_slashes(h, b), lambda x: normalize_url(_join(b, x))))
+
+
+def _slashes(h: Column, base: Column) -> Column:
+    """Backslashes before ``?`` and ``#`` are slashes in URLs of the web's schemes."""
+    special = F.when(h.rlike(SCHEME_RE), h.rlike(SPECIAL_RE)).otherwise(base.rlike(SPECIAL_RE))
+    head = F.regexp_extract(h, r"^[^?#]*", 0)
+    fixed = F.concat(F.replace(head, F.lit("\\"), F.lit("/")), F.substring(h, F.length(head) + 1, 1 << 30))
+    return F.when(h.contains("\\") & special, fixed).otherwise(h)
+
+
+def _authority(scheme: Column, a: Column) -> Column:
+    """User info as it is, the host in lower case, the scheme's own port left out."""
+    user = F.regexp_extract(a, AUTHORITY_RE, 1)
+    host = F.lower(F.regexp_extract(a, AUTHORITY_RE, 2))
+    port = F.regexp_extract(a, AUTHORITY_RE, 3)
+    own = F.lit(False)
+    for name, number in DEFAULT_PORTS.items():
+        own = own | ((scheme == name) & (port == number))
+    out = F.concat(F.when(user != "", F.concat(user, F.lit("@"))).otherwise(""), host,
+                   F.when((port == "") | own, F.lit("")).otherwise(F.concat(F.lit(":"), port)))
+    return F.when(a.rlike(AUTHORITY_RE), out).otherwise(F.lower(a))
 
 
 def _join(b: Column, h: Column) -> Column:
@@ -112,7 +138,7 @@ def normalize_url(c) -> Column:
 def _normalize(u: Column) -> Column:
     hier = u.rlike(SPLIT_RE)
     scheme = F.lower(F.regexp_extract(u, SPLIT_RE, 1))
-    host = F.lower(F.regexp_extract(u, SPLIT_RE, 2))
+    host = _authority(scheme, F.regexp_extract(u, SPLIT_RE, 2))
     path = let(F.regexp_extract(u, SPLIT_RE, 3),
                lambda p: F.when(p == "", F.lit("/")).otherwise(remove_dot_segments(p)))
     query = F.regexp_extract(u, SPLIT_RE, 4)
@@ -125,12 +151,19 @@ def _normalize(u: Column) -> Column:
 
 
 def url_host(c) -> Column:
-    return F.lower(F.try_parse_url(_col(c), F.lit("HOST")))
+    """Host in lower case, NULL when there is none.  A pattern, not the JVM's
+    parser, which refuses many URLs that browsers take."""
+    def body(u: Column) -> Column:
+        return F.nullif(F.lower(F.regexp_extract(F.regexp_extract(u, SPLIT_RE, 2), AUTHORITY_RE, 2)), F.lit(""))
+    return let(_slashes(strip_url_ws(c), _col(c)), body)
 
 
 def url_path(c) -> Column:
-    """Path component; '' when the URL has none, NULL when it is not a URL."""
-    return F.try_parse_url(_col(c), F.lit("PATH"))
+    """Path of the normalised URL ('/' if it has none), NULL when it is not a URL."""
+    def body(u: Column) -> Column:
+        plain = F.regexp_extract(F.regexp_replace(u, SCHEME_RE, ""), r"^[^?#]*", 0)
+        return F.when(u.rlike(SPLIT_RE), F.regexp_extract(normalize_url(u), SPLIT_RE, 3)).when(u.rlike(SCHEME_RE), plain)
+    return let(_slashes(strip_url_ws(c), _col(c)), body)
 
 
 def form_encode(c) -> Column:

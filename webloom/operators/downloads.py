@@ -72,26 +72,31 @@ def _fs_path(path: str) -> str:
     return path
 
 
-def write_downloads(df: DataFrame, body_col: str, path_col: str) -> None:
+def write_downloads(df: DataFrame, body_col: str, path_col: str) -> int:
     """K2: write each row's body to its path (overwrite, via a temporary name
-    and a rename, so a retried task leaves the same file).  Runs on the
-    executors through ``pyarrow.fs``, so the paths must be on storage every
-    executor reaches (the shared folder, HDFS, S3 ...).  Feed it
-    :func:`final_files` output so each path is written once."""
-    def write_part(rows):
+    and a rename, so a retried task leaves the same file); the number of files
+    written.  Runs on the executors through ``pyarrow.fs`` in Arrow batches,
+    so the paths must be on storage every executor reaches (the shared
+    folder, HDFS, S3 ...).  Paths must be unique: feed it :func:`final_files`
+    output.  Rows with a NULL path are refused; a NULL body is an empty file."""
+    import pyarrow as pa
+
+    def write_part(batches):
+        from pyspark import TaskContext
         from pyarrow import fs as pafs
-        cache = {}
-        for r in rows:
-            uri = _fs_path(r[path_col])
-            filesystem, p = pafs.FileSystem.from_uri(uri)
-            parent = p.rsplit("/", 1)[0]
-            if parent not in cache:
-                filesystem.create_dir(parent, recursive=True)
-                cache[parent] = True
-            body = r[body_col]
-            data = body if isinstance(body, (bytes, bytearray)) else str(body).encode()
-            tmp = p + ".part"
-            with filesystem.open_output_stream(tmp) as fh:
-                fh.write(data)
-            filesystem.move(tmp, p)
-    df.select(path_col, body_col).foreachPartition(write_part)
+        attempt, made = TaskContext.get().taskAttemptId(), set()
+        for b in batches:
+            for path, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                filesystem, p = pafs.FileSystem.from_uri(_fs_path(path))
+                parent = p.rsplit("/", 1)[0]
+                if parent not in made:
+                    filesystem.create_dir(parent, recursive=True)
+                    made.add(parent)
+                tmp = f"{p}.{attempt}.part"
+                with filesystem.open_output_stream(tmp, compression=None) as fh:
+                    fh.write(body or b"")
+                filesystem.move(tmp, p)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    rows = df.select(F.col(path_col).cast("string").alias("path"), F.col(body_col).cast("binary").alias("body"))
+    return rows.mapInArrow(write_part, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

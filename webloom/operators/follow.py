@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.operators.batch import page_key
 from webloom.session import checkpoint_dir
 
 
@@ -27,16 +28,19 @@ def next_links(links: DataFrame, pick: Column | None = None) -> DataFrame:
 def follow_links(pages: DataFrame, nexts: DataFrame, max_pages: int) -> DataFrame:
     """``(start, hop, url)``: hop 0 is the start page; hop k the k-th followed link."""
     checkpoint_dir(pages.sparkSession)
-    snap = pages.select(F.col("url").alias("_u"), F.col("page_id").alias("_pid")).dropDuplicates(["_u"])
-    step = snap.join(nexts, snap["_pid"] == nexts["page_id"], "left").select("_u", "next_url")
+    # Of pages with one normalised URL the least id counts; the two-column table is made once.
+    snap = pages.groupBy(page_key("url").alias("_u")).agg(F.min("page_id").alias("_pid"))
+    step = (snap.join(nexts, snap["_pid"] == nexts["page_id"])
+            .where(F.col("next_url").isNotNull())
+            .select("_u", "next_url", page_key("next_url").alias("_next")).checkpoint(eager=True))
     frontier = pages.select(F.col("page_id").alias("start"), F.lit(0).cast("int").alias("hop"),
-                            F.col("url"), F.array(F.col("url")).alias("_seen"))
+                            F.col("url"), page_key("url").alias("_key"), F.array(page_key("url")).alias("_seen"))
     out = frontier.select("start", "hop", "url")
     for hop in range(1, max_pages):
-        nxt = (frontier.join(step, frontier["url"] == step["_u"], "inner")
-               .where(F.col("next_url").isNotNull() & ~F.array_contains("_seen", F.col("next_url")))
+        nxt = (frontier.join(step, frontier["_key"] == step["_u"], "inner")
+               .where(~F.array_contains("_seen", F.col("_next")))
                .select("start", F.lit(hop).cast("int").alias("hop"), F.col("next_url").alias("url"),
-                       F.array_append("_seen", F.col("next_url")).alias("_seen")))
+                       F.col("_next").alias("_key"), F.array_append("_seen", F.col("_next")).alias("_seen")))
         # Only URLs present in the snapshot can be followed further.
         frontier = nxt.checkpoint(eager=True)
         out = out.unionByName(frontier.select("start", "hop", "url"))

@@ -15,9 +15,19 @@ from webloom.functions.text import (ASCII_SPACE_CLASS, decode_entities, inner_te
                                     js_trim, squeeze_spaces)
 from webloom.functions.urls import resolve_url, url_host
 
-# Fixed patterns (shared by Spark and the DuckDB oracle; RE2-compatible).
-ANCHOR_RE = r"(?is)<a\b[^>]*>.*?</a>"
-ANCHOR_PARTS_RE = r"(?is)^<a\b([^>]*)>(.*)</a>$"
+# One pattern walks the page: comments and raw-text elements are consumed first, so
+# nothing inside them is an anchor; a start tag's quotes are consumed as a
+# whole, so ">" in an attribute does not end it; an anchor's content runs to
+# the next <a or </a (an open anchor ends the one before it) or to the page's end.  All
+# loops are possessive: no backtracking, and no recursion on long pages.
+_ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+_SKIP_RE = (r"<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+            r"|<textarea\b.*?(?:</textarea\s*>|\z)|<title\b.*?(?:</title\s*>|\z)"
+            r"|<noscript\b.*?(?:</noscript\s*>|\z)|<template\b.*?(?:</template\s*>|\z)")
+ANCHOR_RE = (rf"(?is){_SKIP_RE}|<a(?=[\s/>]){_ATTRS}>"
+             rf"(?:[^<]++|<!--.*?(?:-->|\z)|<(?!/?a[\s/>]|!--))*+")
+ANCHOR_PARTS_RE = rf"(?is)^<a(?=[\s/>])({_ATTRS})>(.*)$"
+COMMENT_RE = r"(?s)<!--.*?(?:-->|$)"
 HREF_RE = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 TITLE_RE = r"(?is)<title\b[^>]*>(.*?)</title>"
 BASE_RE = r"""(?is)<base\b[^>]*\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
@@ -52,9 +62,9 @@ def anchor_array(html, base, schemes_prefix: str | None = "http") -> Column:
     """Array<struct<inner, href_raw>> of anchors in document order; with
     ``schemes_prefix`` only anchors whose resolved href starts with it
     (P4: the reference keeps ``startsWith('http')``).  Duplicates are kept."""
-    anchors = F.regexp_extract_all(_col(html), F.lit(ANCHOR_RE), 0)
+    anchors = F.filter(F.regexp_extract_all(_col(html), F.lit(ANCHOR_RE), 0), lambda a: a.rlike(r"(?i)^<a[\s/>]"))
     parts = F.transform(anchors, lambda a: F.struct(
-        F.regexp_extract(a, ANCHOR_PARTS_RE, 2).alias("inner"),
+        F.regexp_replace(F.regexp_extract(a, ANCHOR_PARTS_RE, 2), COMMENT_RE, "").alias("inner"),
         href_of(F.regexp_extract(a, ANCHOR_PARTS_RE, 1)).alias("href_raw")))
     if schemes_prefix:
         b = _col(base)
@@ -118,7 +128,8 @@ def page_title(html) -> Column:
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
-    """``(page_id, host, lang, charset, title)``; NULL when absent."""
+    """``(page_id, host, lang, charset, title)``; NULL when absent.
+    :func:`page_description` has the description."""
     h = F.col("html")
     return pages.select(
         "page_id",
@@ -129,12 +140,20 @@ def page_metadata(pages: DataFrame) -> DataFrame:
 
 
 def squeeze_html(pages: DataFrame, length: int = 500) -> DataFrame:
-    """White-space runs collapsed to one space; first ``length`` chars."""
+    """White-space runs collapsed to one space; first ``length`` chars (the
+    first slice; :func:`squeezed_slices` gives the others)."""
     sq = squeeze_spaces("html")
     return pages.select("page_id", F.length(sq).cast("bigint").alias("total_length"),
                         F.substring(sq, 1, length).alias("content"))
 
 
+def squeezed_slices(pages: DataFrame, length: int = 500) -> DataFrame:
+    """P28 paging: every slice of the squeezed page, ``(page_id, chunk, start_index,
+    end_index, remaining_characters, content)``."""
+    from webloom.operators.slices import chunk_pages
+    return chunk_pages(pages.select("page_id", squeeze_spaces("html").alias("html")), length)
+
+
 # Fixed patterns for rendered text (P6): elements whose content is never
 # rendered, then block-level tags that start a new line.
 HIDDEN_BLOCK_RE2 = (r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
@@ -169,6 +188,17 @@ def pages_with_text(pages: DataFrame, needle: str, present: bool = True) -> Data
     return pages.where(cond if present else ~cond).select("page_id")
 
 
+DESCRIPTION_RE = r"""(?is)<meta\s[^>]*?name\s*=\s*["']?description["']?[^>]*>"""
+CONTENT_RE = r"""(?is)\scontent\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def page_description(html) -> Column:
+    """The description of the page's metadata, entities decoded, NULL when absent."""
+    tag = F.regexp_extract(_col(html), DESCRIPTION_RE, 0)
+    raw = F.concat(*[F.regexp_extract(tag, CONTENT_RE, i) for i in (1, 2, 3)])
+    return F.nullif(js_trim(squeeze_spaces(decode_entities(raw))), F.lit(""))
+
+
 ARTICLE_RE = r"(?is)<article\b[^>]*>(.*?)</article\s*>"
 BOILERPLATE_RE = (r"(?is)<nav\b[^>]*>.*?</nav\s*>|<header\b[^>]*>.*?</header\s*>"
                   r"|<footer\b[^>]*>.*?</footer\s*>|<aside\b[^>]*>.*?</aside\s*>"

@@ -98,10 +98,10 @@ def logs_per_page(keys: DataFrame, key: str, log: DataFrame, log_key: str,
 
 
 def tab_evictions(opens: DataFrame, key: str, order: list[str], id_col: str,
-                  max_tabs: int = MAX_TABS, strategy: str = "auto") -> DataFrame:
+                  max_tabs: int = MAX_TABS, strategy: str = "skew") -> DataFrame:
     """Opening a page when ``max_tabs`` are open closes the oldest created
     one, so open i is evicted by open i + max_tabs (NULL = still open).
-    ``lead`` by max_tabs, skew-safe for a hot key (see ``sequence``)."""
+    ``lead`` by max_tabs; hot keys are split (see ``sequence``)."""
     from webloom.operators.sequence import with_shift
     cols = list(dict.fromkeys([key, *order, id_col]))
     shifted = with_shift(opens.select(*cols), key, order, [id_col], max_tabs, "evict_", strategy)

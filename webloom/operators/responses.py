@@ -23,10 +23,16 @@ def _col(c) -> Column:
 
 
 def header(headers, name: str) -> Column:
-    """Case-insensitive header lookup (first match), NULL when absent."""
+    """Case-insensitive header lookup, repeats joined by ", "; NULL when absent."""
     h = _col(headers)
     hit = F.filter(F.map_entries(h), lambda e: F.lower(e["key"]) == name.lower())
-    return F.try_element_at(hit, F.lit(1))["value"]
+    return F.when(F.size(hit) > 0, F.array_join(F.transform(hit, lambda e: e["value"]), ", "))
+
+
+def utf8_text(body) -> Column:
+    """Bytes as text the way fetch reads them: malformed bytes become U+FFFD, a
+    leading byte order mark goes; never an error."""
+    return F.regexp_replace(F.make_valid_utf8(_col(body).cast("string")), "^\ufeff", "")
 
 
 def body_kind(content_type) -> Column:
@@ -45,7 +51,7 @@ def decode_body(resp: DataFrame) -> DataFrame:
     length and truncation) and ``error`` (malformed JSON)."""
     ct = header("headers", "content-type")
     df = resp.withColumn("content_type", ct).withColumn("body_kind", body_kind(ct))
-    raw = F.decode(F.col("body"), "UTF-8")
+    raw = utf8_text("body")
     canon = canonical_json_udf(F.when(F.col("body_kind") == "json", raw))
     b64 = F.regexp_replace(F.base64(F.col("body")), r"\s", "")
     df = df.withColumn("_canon", canon)
@@ -130,7 +136,8 @@ def request_body(headers, body_json: Column, body_raw: Column) -> Column:
     """JSON text only when the body is an object and the header is exactly
     ``Content-Type: application/json`` (case-sensitive name, as the reference)."""
     exact = F.try_element_at(_col(headers), F.lit("Content-Type")) == "application/json"
-    return F.when(exact & body_json.isNotNull(), body_json).otherwise(body_raw)
+    is_object = body_raw.rlike(r"^\s*[\[{]")
+    return F.when(exact & is_object & body_json.isNotNull(), body_json).otherwise(body_raw)
 
 
 def with_defaults(df: DataFrame, defaults: dict) -> DataFrame:
@@ -145,3 +152,11 @@ def validate_index(idx, n, message: str = "Invalid tab index") -> Column:
     i = _col(idx)
     return F.when(i.isNull() | ~i.between(F.lit(0), _col(n) - 1 if not isinstance(n, int) else F.lit(n - 1)),
                   F.lit(message))
+
+
+def validate_enum(value, allowed: tuple[str, ...], optional: bool = True,
+                  message: str = "Invalid args") -> Column:
+    """Error text when ``value`` is none of ``allowed`` (NULL passes if optional)."""
+    v = _col(value)
+    bad = ~F.coalesce(v.isin(*allowed), F.lit(False))
+    return F.when(bad & v.isNotNull() if optional else bad, F.lit(message))

@@ -30,5 +30,4 @@ def expired(df: DataFrame, ts_col: str, as_of, days: int = RETENTION_DAYS) -> Da
 
 def retained(df: DataFrame, ts_col: str, as_of, days: int = RETENTION_DAYS) -> DataFrame:
     """Complement of :func:`expired` (NULL timestamps are retained)."""
-    c = F.col(ts_col) < _cutoff(as_of, days)
-    return df.where(~F.coalesce(c, F.lit(False)))
+    return df.where((F.col(ts_col) >= _cutoff(as_of, days)) | F.col(ts_col).isNull())

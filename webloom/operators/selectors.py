@@ -30,6 +30,8 @@ def selector_regex(selector: str) -> str:
     """Start-tag regex for one compound selector (attribute order free)."""
     if selector.startswith("ref:"):
         selector = f'[{REF_ATTR}="{selector[4:]}"]'
+    if not re.fullmatch(rf"([a-zA-Z][\w-]*|\*)?(?:{_PART.pattern})*", selector) or not selector:
+        raise ValueError(f"not a compound selector: {selector!r}")
     m = re.match(r"^([a-zA-Z][\w-]*|\*)?", selector)
     tag = m.group(1) if m and m.group(1) and m.group(1) != "*" else r"[a-zA-Z][\w-]*"
     rest = selector[m.end():] if m else selector
@@ -45,7 +47,10 @@ def selector_regex(selector: str) -> str:
             conds.append(rf"\s{re.escape(attr)}[\s=>]")
     # RE2 has no look-ahead: each condition is tested on the same start tag
     # by requiring it inside one <tag ...> span; several conditions are
-    # supported in any order by alternation of their permutations (<= 3).
+    # supported in any order by alternation of their permutations.
+    # Beyond three, look-aheads (the JVM has them) instead of permutations.
+    if len(conds) > 3:
+        return rf"(?is)<{tag}\b" + "".join(f"(?=[^>]*{c})" for c in conds)
     import itertools
     perms = ["".join(f"[^>]*{c}" for c in p) for p in itertools.permutations(conds)] or [""]
     return rf"(?is)<{tag}\b(?:{'|'.join(perms)})"

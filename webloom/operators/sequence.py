@@ -17,8 +17,10 @@ The skew-safe path here:
 ``lead``/``lag`` by k then become equi-joins on (key, position), whose
 join keys are unique, so no task receives more than its share.
 
-``strategy="auto"`` measures the largest key with one partially-combined
-aggregate and keeps the plain window when no key exceeds ``max_key_rows``.
+``strategy`` is the caller's choice and never changes the result: "skew" (the
+default) holds whatever share of the rows one key has, "window" is one
+shuffle and a spilling sort per key, cheaper where keys are known to be small.  NULL keys are a key
+like any other, NULL order values come first, as in a window.
 """
 
 from __future__ import annotations
@@ -29,21 +31,22 @@ from pyspark.sql import functions as F
 from webloom.session import checkpoint_dir
 from webloom.sources.tables import cpu_partitions
 
-MAX_KEY_ROWS = 2_000_000   # rows one window task may hold before the skew path is used
+STRATEGIES = ("window", "skew")
 
 
-def largest_key(df: DataFrame, key: str) -> int:
-    """Row count of the most frequent key (a map-side combined aggregate)."""
-    row = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()
-    return int(row[0] or 0)
+def use_skew_path(strategy: str) -> bool:
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
+    return strategy == "skew"
 
 
-def use_skew_path(df: DataFrame, key: str, strategy: str, max_key_rows: int) -> bool:
-    if strategy == "window":
-        return False
-    if strategy == "skew":
-        return True
-    return largest_key(df, key) > max_key_rows
+def _same(left: DataFrame, right: DataFrame, pairs: dict[str, str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``left`` column = ``right`` column, NULL = NULL; the right columns go."""
+    cond = None
+    for a, b in pairs.items():
+        c = left[a].eqNullSafe(right[b])
+        cond = c if cond is None else cond & c
+    return left.join(right, cond, how).drop(*[right[b] for b in pairs.values()])
 
 
 def positions(df: DataFrame, key: str, order: list[str], name: str = "_pos") -> DataFrame:
@@ -58,55 +61,55 @@ def positions(df: DataFrame, key: str, order: list[str], name: str = "_pos") ->
               .checkpoint(eager=True))
     chunks = ranged.groupBy(key, "_pid").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.select(key, "_pid", "_first",
+    chunks = chunks.select(F.col(key).alias("_ck"), F.col("_pid").alias("_cp"), "_first",
                            F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    return (ranged.join(chunks, [key, "_pid"])
+    return (_same(ranged, chunks, {key: "_ck", "_pid": "_cp"})
             .withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint"))
             .drop("_pid", "_mid", "_first", "_off"))
 
 
 def with_shift(df: DataFrame, key: str, order: list[str], cols: list[str], k: int,
-               prefix: str = "next_", strategy: str = "auto",
-               max_key_rows: int = MAX_KEY_ROWS) -> DataFrame:
+               prefix: str = "next_", strategy: str = "skew") -> DataFrame:
     """Add ``prefix + c`` = value of ``c`` k rows later in key order (k < 0:
-    earlier), NULL past the end: ``lead``/``lag`` with a skew-safe path."""
-    if not use_skew_path(df, key, strategy, max_key_rows):
+    earlier), NULL past the end: ``lead``/``lag``, or positions and a join."""
+    if not use_skew_path(strategy):
         w = Window.partitionBy(key).orderBy(*[F.col(c) for c in order])
         fn = (lambda c: F.lead(c, k)) if k >= 0 else (lambda c: F.lag(c, -k))
         return df.select("*", *[fn(c).over(w).alias(prefix + c) for c in cols])
     p = positions(df, key, order)
-    other = p.select(F.col(key), (F.col("_pos") - k).alias("_pos"),
+    other = p.select(F.col(key).alias("_ok"), (F.col("_pos") - k).alias("_op"),
                      *[F.col(c).alias(prefix + c) for c in cols])
-    return p.join(other, [key, "_pos"], "left").drop("_pos")
+    return _same(p, other, {key: "_ok", "_pos": "_op"}, "left").drop("_pos")
 
 
 def gap_sessions(df: DataFrame, key: str, ts: str, tie: str | None, gap: str,
-                 strategy: str = "auto", max_key_rows: int = MAX_KEY_ROWS) -> DataFrame:
+                 strategy: str = "skew") -> DataFrame:
     """``(key, session_start, session_end, n_calls)``: a new session starts when
     the gap to the previous call is more than ``gap``; end = last call + gap.
+    Rows without a time belong to no session; a NULL key is a key.
 
-    Plain path: ``session_window`` aggregation.  Skew path: positions, the
+    "window": ``session_window`` aggregation.  "skew": positions, the
     previous call by a (key, pos) join, session starts, the next start by
     :func:`with_shift` on the (much smaller) start table, and the last call
     of each session by a (key, pos) join -- every join key unique."""
     gap_iv = F.expr(f"INTERVAL {gap}")
-    if not use_skew_path(df, key, strategy, max_key_rows):
+    df = df.where(F.col(ts).isNotNull())
+    if not use_skew_path(strategy):
         return (df.groupBy(key, F.session_window(ts, gap).alias("w"))
                 .agg(F.count(F.lit(1)).cast("bigint").alias("n_calls"))
                 .select(key, F.col("w.start").alias("session_start"),
                         F.col("w.end").alias("session_end"), "n_calls"))
     order = [ts] + ([tie] if tie else [])
     p = positions(df.select(key, *order), key, order).select(key, ts, "_pos")
-    prev = p.select(key, (F.col("_pos") + 1).alias("_pos"), F.col(ts).alias("_prev"))
-    starts = (p.join(prev, [key, "_pos"], "left")
+    prev = p.select(F.col(key).alias("_k"), (F.col("_pos") + 1).alias("_p"), F.col(ts).alias("_prev"))
+    starts = (_same(p, prev, {key: "_k", "_pos": "_p"}, "left")
               .where(F.col("_prev").isNull() | (F.col(ts) > F.col("_prev") + gap_iv))
               .select(key, F.col("_pos").alias("_start_pos"), F.col(ts).alias("session_start")))
-    starts = with_shift(starts, key, ["_start_pos"], ["_start_pos"], 1, strategy="window"
-                        if strategy == "window" else "auto", max_key_rows=max_key_rows)
-    last = p.groupBy(key).agg(F.max("_pos").alias("_last"))
-    s = (starts.join(last, key)
+    starts = with_shift(starts, key, ["_start_pos"], ["_start_pos"], 1, strategy=strategy)
+    last = p.groupBy(key).agg(F.max("_pos").alias("_last")).withColumnRenamed(key, "_lk")
+    s = (_same(starts, last, {key: "_lk"})
          .withColumn("_end_pos", F.coalesce(F.col("next__start_pos") - 1, F.col("_last"))))
-    ends = p.select(key, F.col("_pos").alias("_end_pos"), F.col(ts).alias("_end_ts"))
-    return (s.join(ends, [key, "_end_pos"])
+    ends = p.select(F.col(key).alias("_k"), F.col("_pos").alias("_p"), F.col(ts).alias("_end_ts"))
+    return (_same(s, ends, {key: "_k", "_end_pos": "_p"})
             .select(key, "session_start", (F.col("_end_ts") + gap_iv).alias("session_end"),
                     (F.col("_end_pos") - F.col("_start_pos") + 1).cast("bigint").alias("n_calls")))

@@ -15,14 +15,13 @@ def _interval(spec: str) -> Column:
 
 
 def idle_sessions(df: DataFrame, key: str, ts: str, gap: str = IDLE_GAP, tie: str | None = None,
-                  strategy: str = "auto") -> DataFrame:
+                  strategy: str = "skew") -> DataFrame:
     """A session closes after ``gap`` without a call; a call exactly ``gap``
     after the previous one continues the session.
 
-    ``session_window`` aggregation: hash-partitioned by key, sessions merged
-    in sorted order; output ``(key, session_start, session_end, n_calls)``,
-    ``session_end`` = last call + gap.  A key too large for one task takes
-    the skew-safe path of :func:`webloom.operators.sequence.gap_sessions`.
+    Output ``(key, session_start, session_end, n_calls)``,
+    ``session_end`` = last call + gap.  The default splits keys that hold a
+    large share of the rows, see :mod:`webloom.operators.sequence`.
     """
     from webloom.operators.sequence import gap_sessions
     return gap_sessions(df, key, ts, tie, gap, strategy)
@@ -30,7 +29,7 @@ def idle_sessions(df: DataFrame, key: str, ts: str, gap: str = IDLE_GAP, tie: st
 
 def first_idle(df: DataFrame, key: str, ts: str, tie: str | None = None,
                idle: str = QUIET_WINDOW, timeout: str = QUIET_TIMEOUT,
-               strategy: str = "auto") -> DataFrame:
+               strategy: str = "skew") -> DataFrame:
     """First instant followed by ``idle`` with no request; gives up at
     ``timeout`` after the key's first request.
 
@@ -39,6 +38,7 @@ def first_idle(df: DataFrame, key: str, ts: str, tie: str | None = None,
     """
     from webloom.operators.sequence import with_shift
     order = [ts] + ([tie] if tie else [])
+    df = df.where(F.col(ts).isNotNull())
     shifted = with_shift(df.select(key, *order), key, order, [ts], 1, "_next_", strategy)
     cand = shifted.select(key, ts, F.col("_next_" + ts).alias("_next")).select(
         key, ts,

@@ -52,14 +52,14 @@ def html_slice(pages: DataFrame, start=0, end=None, size: int = DEFAULT_SLICE) -
 def chunk_pages(pages: DataFrame, size: int = DEFAULT_SLICE) -> DataFrame:
     """Every slice a client would fetch by following ``remaining_characters``:
     ``(page_id, chunk, start_index, end_index, remaining_characters, content)``.
-    An empty page yields one empty chunk."""
-    length = F.length("html").cast("bigint")
-    starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(length - 1, F.lit(0).cast("bigint")),
-                        F.lit(size).cast("bigint"))
-    exploded = pages.select("page_id", "html", F.posexplode(starts).alias("chunk", "start_index"))
-    s = F.col("start_index")
-    e = F.least(F.length("html").cast("bigint"), s + F.lit(size))
-    return exploded.select(
-        "page_id", F.col("chunk").cast("bigint").alias("chunk"), s.alias("start_index"),
-        e.alias("end_index"), (F.length("html").cast("bigint") - e).alias("remaining_characters"),
-        F.substring("html", (s + 1).cast("int"), size).alias("content"))
+    An empty page yields one empty chunk.  The page is split once, in its row;
+    only the pieces are exploded, never copies of the page."""
+    n = F.length("html").cast("bigint")
+    pieces = F.when(n > 0, F.regexp_extract_all("html", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).otherwise(
+        F.array(F.lit("")))
+    split = pages.select("page_id", n.alias("_n"), F.when(F.col("html").isNotNull(), pieces).alias("_pieces"))
+    out = split.select("page_id", "_n", F.posexplode_outer("_pieces").alias("chunk", "content")).where("chunk is not null")
+    start = F.col("chunk").cast("bigint") * F.lit(size)
+    end = F.least(F.col("_n"), start + F.lit(size))
+    return out.select("page_id", F.col("chunk").cast("bigint").alias("chunk"), start.alias("start_index"),
+                      end.alias("end_index"), (F.col("_n") - end).alias("remaining_characters"), "content")

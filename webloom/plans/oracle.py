@@ -11,8 +11,13 @@ from webloom.functions.text import (ASCII_SPACE_CLASS, sql_decode_entities, sql_
                                     sql_squeeze)
 from webloom.functions.urls import sql_resolve_root_or_absolute
 from webloom.operators import html as H
+from webloom.operators.outline import REF_ATTR
 from webloom.plans import queries as Q
 
+# The oracle's own reading of anchors in the given pages.
+ANCHOR = r"(?is)<a\b[^>]*>.*?</a>"
+ANCHOR_PARTS = r"(?is)^<a\b([^>]*)>(.*)</a>$"
+
 
 def lit(s: str) -> str:
     """SQL string literal."""
@@ -43,11 +48,11 @@ WITH pb AS (
   FROM pages
 ), a AS (
   SELECT page_id, url, unnest(l) AS anc, unnest(generate_series(1, len(l))) AS k
-  FROM (SELECT page_id, url, regexp_extract_all(html, {lit(H.ANCHOR_RE)}) AS l FROM pb)
+  FROM (SELECT page_id, url, regexp_extract_all(html, {lit(ANCHOR)}) AS l FROM pb)
 ), b AS (
   SELECT page_id, k,
-         {sql_inner_text(f"regexp_extract(anc, {lit(H.ANCHOR_PARTS_RE)}, 2)")} AS text,
-         {sql_resolve_root_or_absolute('url', _href(f"regexp_extract(anc, {lit(H.ANCHOR_PARTS_RE)}, 1)"))} AS href
+         {sql_inner_text(f"regexp_extract(anc, {lit(ANCHOR_PARTS)}, 2)")} AS text,
+         {sql_resolve_root_or_absolute('url', _href(f"regexp_extract(anc, {lit(ANCHOR_PARTS)}, 1)"))} AS href
   FROM a
 )
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS BIGINT) AS pos,
@@ -480,7 +485,7 @@ WHERE session_end <= (SELECT max(ts) FROM events) - INTERVAL {Q.STREAM_DELAY}
 
 STREAM_CORRELATE = _CORR + """
 SELECT conv_id, req_turn, reply_turn, latency_s, timed_out FROM c
-WHERE NOT timed_out OR qts + INTERVAL 30 SECOND < (
+WHERE qts + INTERVAL 30 SECOND < (
   SELECT least(max(CASE WHEN role = 'user' THEN TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn) END),
                max(CASE WHEN role = 'assistant' THEN TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn - 1)
                                                      + to_seconds(7 * (1 + conv_id % 6)) END)) - INTERVAL 1 MINUTE
@@ -501,14 +506,15 @@ GROUP BY p.page_id
 
 FOLLOW_LINKS = f"""
 WITH RECURSIVE nx AS (SELECT page_id, arg_min(href, pos) AS next_url FROM ({EXTRACT_LINKS}) GROUP BY page_id),
-step AS (SELECT p.url AS u, nx.next_url FROM (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url) p
-         LEFT JOIN nx ON nx.page_id = p.page_id),
-walk(start, hop, url, seen) AS (
-  SELECT page_id, 0, url, [url] FROM pages
+step AS (SELECT p.u, nx.next_url, split_part(nx.next_url, '#', 1) AS k
+         FROM (SELECT split_part(url, '#', 1) AS u, min(page_id) AS page_id FROM pages GROUP BY 1) p
+         JOIN nx ON nx.page_id = p.page_id),
+walk(start, hop, url, seen, key) AS (
+  SELECT page_id, 0, url, [split_part(url, '#', 1)], split_part(url, '#', 1) FROM pages
   UNION ALL
-  SELECT w.start, w.hop + 1, s.next_url, list_append(w.seen, s.next_url)
-  FROM walk w JOIN step s ON s.u = w.url
-  WHERE s.next_url IS NOT NULL AND NOT list_contains(w.seen, s.next_url) AND w.hop + 1 < {Q.FOLLOW_MAX_PAGES})
+  SELECT w.start, w.hop + 1, s.next_url, list_append(w.seen, s.k), s.k
+  FROM walk w JOIN step s ON s.u = w.key
+  WHERE s.next_url IS NOT NULL AND NOT list_contains(w.seen, s.k) AND w.hop + 1 < {Q.FOLLOW_MAX_PAGES})
 SELECT start, CAST(hop AS INTEGER) AS hop, url FROM walk
 """
 
@@ -540,6 +546,56 @@ WHERE qn IS NOT NULL OR mx + INTERVAL 1 HOUR > st + INTERVAL 24 HOUR
    OR mx + INTERVAL 1 HOUR < (SELECT max(ts) FROM events) - INTERVAL {Q.STREAM_DELAY}
 """
 
+LINKS_EDGE = """
+SELECT page_id, CAST(pos AS BIGINT) AS pos, text, 'https://edge.example.com/' || (pos + 1) AS href
+FROM (SELECT page_id, unnest(range(4)) AS pos, unnest(['one', 'two', 'thr\u00e9e', 'four ' || page_id]) AS text FROM pages)
+"""
+
+REQUEST_LOG = f"""
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq, event_id,
+       'https://api.example.com/events/' || event_id AS url, 'GET' AS method, event_type AS "resourceType", '*/*' AS accept
+FROM {_BOUNDED}
+"""
+
+DROP_CLOSED = f"""
+SELECT e.user_id, e.event_id, e.event_type
+FROM events e
+LEFT JOIN (SELECT user_id, max({{'ts': ts, 'id': event_id}}) AS r FROM events
+           WHERE event_type = {lit(Q.RESET_TYPE)} GROUP BY user_id) m USING (user_id)
+WHERE m.r IS NULL OR {{'ts': e.ts, 'id': e.event_id}} > m.r
+"""
+
+REF_SELECTORS = f"""
+SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '[{REF_ATTR}="' || event_id || '"]' ELSE '#e' || event_id END AS selector
+FROM events
+"""
+
+REQUEST_DEFAULTS = """
+SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN 1000.0::DOUBLE ELSE 200.0::DOUBLE END AS "limit" FROM events
+"""
+
+VALIDATION_ROWS = """
+SELECT event_id AS id, CASE WHEN event_id % 9 >= 7 THEN 'Invalid args' END AS method_error,
+       CASE WHEN event_id % 12 >= 10 THEN 'Invalid tab index' END AS index_error
+FROM events
+"""
+
+SQUEEZED_SLICES = f"""
+SELECT page_id, CAST(s // {Q.SQUEEZE_LEN} AS BIGINT) AS chunk, s AS start_index, least(n, s + {Q.SQUEEZE_LEN}) AS end_index,
+       n - least(n, s + {Q.SQUEEZE_LEN}) AS remaining_characters, substr(t, CAST(s + 1 AS INTEGER), {Q.SQUEEZE_LEN}) AS content
+FROM (SELECT page_id, t, CAST(length(t) AS BIGINT) AS n,
+             CAST(unnest(generate_series(0, greatest(length(t) - 1, 0), {Q.SQUEEZE_LEN})) AS BIGINT) AS s
+      FROM (SELECT page_id, regexp_replace(html, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g') AS t FROM pages))
+"""
+
+_ODD_JSON = '{"1":1.2345678901234568e+22,"2":[null,0],"b":1}'
+DIRTY_BODIES = f"""
+SELECT doc_id AS id, CASE WHEN doc_id % 5 < 2 THEN 'text' ELSE 'json' END AS body_kind,
+       CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN text || chr(65533) WHEN 3 THEN NULL ELSE {lit(_ODD_JSON)} END AS body_text,
+       doc_id % 5 = 3 AS failed
+FROM documents
+"""
+
 ORACLE = {
     "extract_links": EXTRACT_LINKS,
     "list_pages": LIST_PAGES,
@@ -595,5 +651,13 @@ ORACLE = {
     "console_messages": CONSOLE_MESSAGES,
     "request_bodies": REQUEST_BODIES,
     "file_inventory": FILE_INVENTORY,
+    "links_edge": LINKS_EDGE,
+    "request_log": REQUEST_LOG,
+    "drop_closed": DROP_CLOSED,
+    "ref_selectors": REF_SELECTORS,
+    "request_defaults": REQUEST_DEFAULTS,
+    "validation_rows": VALIDATION_ROWS,
+    "squeezed_slices": SQUEEZED_SLICES,
+    "dirty_bodies": DIRTY_BODIES,
     "parse_documents": PARSE_DOCUMENTS,
 }

@@ -545,6 +545,76 @@ def q_stream_idle(spark, d):
         "user_id", F.col("idle_at").cast("timestamp_ntz").alias("idle_at"), "timed_out")
 
 
+# ---- operators registered in the second round ------------------------------------------
+
+EDGE_HTML = (
+    "<!-- <a href='/no1'>no</a> --><script>var s = \"<a href='/no2'>no</a>\";</script>"
+    "<a-card href='/no3'>no</a-card><a href=/1>one <a href='/2'>two</a>"
+    "<a title='a > b' href=\"/3\">thr&eacute;e</a> text <a href=/4>four ")
+
+
+def q_links_edge(spark, d):
+    """Every page behind markup that is easy to misread; only its own four links are wanted."""
+    pages = _pages(spark, d, "page_id", "url")
+    edge = pages.select("page_id", F.lit("https://edge.example.com/").alias("url"),
+                        F.concat(F.lit(EDGE_HTML), F.col("page_id").cast("string")).alias("html"))
+    return H.extract_links(edge)
+
+
+def q_request_log(spark, d):
+    from webloom.operators.logs import last_n
+    from webloom.sources.responses import request_log
+    log = request_log(read_table(spark, d, "events"))
+    return last_n(log, "user_id", ["ts", "event_id"], LOG_N).select(
+        "user_id", "seq", "event_id", "url", "method", "resourceType", F.col("headers")["accept"].alias("accept"))
+
+
+def q_drop_closed(spark, d):
+    from webloom.operators.logs import drop_closed
+    return drop_closed(_events(spark, d), "user_id", ["ts", "event_id"],
+                       F.col("event_type") == RESET_TYPE).select("user_id", "event_id", "event_type")
+
+
+def q_ref_selectors(spark, d):
+    from webloom.operators.selectors import resolve_selector
+    ids = F.col("event_id").cast("string")
+    sel = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("ref:"), ids)).otherwise(F.concat(F.lit("#e"), ids))
+    return read_table(spark, d, "events").select("event_id", resolve_selector(sel).alias("selector"))
+
+
+def q_request_defaults(spark, d):
+    from webloom.operators.responses import with_defaults
+    from webloom.sources.responses import requests
+    return with_defaults(requests(spark, d).select("id", "limit"), {"limit": 1000.0})
+
+
+def q_validation_rows(spark, d):
+    from webloom.operators.responses import validate_enum, validate_index
+    from webloom.sources.responses import METHODS, requests
+    return requests(spark, d).select(
+        "id", validate_enum("method", METHODS[:7], optional=False).alias("method_error"),
+        validate_index(F.col("id") % 12, 10).alias("index_error"))
+
+
+def q_squeezed_slices(spark, d):
+    return H.squeezed_slices(_pages(spark, d, "page_id", "html"), SQUEEZE_LEN)
+
+
+def q_dirty_bodies(spark, d):
+    """Bodies of documents with a byte order mark, a byte that is no UTF-8 and JSON that JS prints in its own way."""
+    from webloom.operators.responses import decode_body
+    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    k = F.col("id") % 5
+    odd = F.lit('{"b":1,"2":[1e999,-0],"1":12345678901234567890123}')
+    body = (F.when(k == 0, F.concat(F.lit(bytearray(b"\xef\xbb\xbf")), F.encode("text", "UTF-8")))
+            .when(k == 1, F.concat(F.encode("text", "UTF-8"), F.lit(bytearray(b"\xe9"))))
+            .when(k == 2, F.encode(odd, "UTF-8")).when(k == 3, F.encode(F.lit("[NaN]"), "UTF-8"))
+            .otherwise(F.encode(F.concat(F.lit("\ufeff"), odd), "UTF-8")))
+    kind = F.when(k < 2, F.lit("text/plain")).otherwise(F.lit("application/json"))
+    resp = docs.select("id", body.alias("body"), F.create_map(F.lit("Content-Type"), kind).alias("headers"))
+    return decode_body(resp).select("id", "body_kind", "body_text", F.col("error").isNotNull().alias("failed"))
+
+
 QUERIES = {
     "extract_links": q_extract_links,
     "list_pages": q_list_pages,
@@ -603,5 +673,13 @@ QUERIES = {
     "console_messages": q_console_messages,
     "request_bodies": q_request_bodies,
     "file_inventory": q_file_inventory,
+    "links_edge": q_links_edge,
+    "request_log": q_request_log,
+    "drop_closed": q_drop_closed,
+    "ref_selectors": q_ref_selectors,
+    "request_defaults": q_request_defaults,
+    "validation_rows": q_validation_rows,
+    "squeezed_slices": q_squeezed_slices,
+    "dirty_bodies": q_dirty_bodies,
     "parse_documents": q_parse_documents,
 }

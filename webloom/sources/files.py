@@ -31,8 +31,8 @@ def file_inventory(spark: SparkSession, path: str, glob: str | None = None) -> D
 _DOCX_PARA = re.compile(rb"</w:p>")
 _DOCX_TEXT = re.compile(rb"<w:t(?:\s[^>]*)?>([^<]*)</w:t>")
 _PDF_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
-_PDF_TEXT = re.compile(rb"\((?:\\.|[^\\)])*\)\s*Tj|\[(?:[^\]])*\]\s*TJ")
-_PDF_STR = re.compile(rb"\(((?:\\.|[^\\)])*)\)")
+_PDF_TEXT = re.compile(rb"(?:\((?:\\.|[^\\)])*\)|<[0-9A-Fa-f\s]*>)\s*Tj|\[(?:\((?:\\.|[^\\)])*\)|[^\](])*\]\s*TJ")
+_PDF_STR = re.compile(rb"\(((?:\\.|[^\\)])*)\)|<([0-9A-Fa-f\s]*)>")
 
 
 def _docx_text(data: bytes) -> str:
@@ -44,9 +44,16 @@ def _docx_text(data: bytes) -> str:
 
 
 def _pdf_unescape(s: bytes) -> str:
-    out = re.sub(rb"\\([nrtbf()\\])", lambda m: {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b",
-                                                  b"f": b"\f"}.get(m.group(1), m.group(1)), s)
-    return out.decode("latin-1")
+    def one(m):
+        if m.group(1).isdigit():
+            return bytes([int(m.group(1), 8) & 255])
+        return {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}.get(m.group(1), m.group(1))
+    return re.sub(rb"\\([0-7]{1,3}|[nrtbf()\\])", one, s).decode("latin-1")
+
+
+def _pdf_hex(s: bytes) -> str:
+    digits = b"".join(s.split())
+    return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("latin-1")
 
 
 def _pdf_text(data: bytes) -> str:
@@ -57,7 +64,9 @@ def _pdf_text(data: bytes) -> str:
         except zlib.error:
             body = raw
         for op in _PDF_TEXT.findall(body):
-            lines.append("".join(_pdf_unescape(s) for s in _PDF_STR.findall(op)))
+            lines.append("".join(_pdf_hex(h) if h else _pdf_unescape(s) for s, h in _PDF_STR.findall(op)))
+    if not lines:
+        raise ValueError("no text that can be extracted")
     return "\n".join(lines)
 
 

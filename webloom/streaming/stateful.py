@@ -114,15 +114,19 @@ def stream_sessions(events: DataFrame, key: str, ts: str, gap: str = "15 minutes
 
 def stream_correlate(requests: DataFrame, replies: DataFrame, id_cols: list[str],
                      timeout: str = "30 seconds", delay: str = "1 minute") -> DataFrame:
-    """Stream-stream left outer interval join; ``reply_ts`` NULL = timed out."""
+    """Stream-stream left outer interval join, then the earliest reply of each
+    request; ``reply_ts`` NULL = timed out.  A request is given once, when
+    the watermark has passed its time and no reply can follow."""
     q = requests.withWatermark("req_ts", delay).alias("q")
     a = replies.withWatermark("reply_ts", delay).alias("a")
     cond = [F.col(f"q.{c}") == F.col(f"a.{c}") for c in id_cols]
     cond += [F.col("a.reply_ts") >= F.col("q.req_ts"),
              F.col("a.reply_ts") <= F.col("q.req_ts") + F.expr(f"INTERVAL {timeout}")]
     j = q.join(a, cond, "leftOuter")
-    return j.select(*[F.col(f"q.{c}").alias(c) for c in requests.columns],
-                    *[F.col(f"a.{c}").alias(c) for c in replies.columns if c not in id_cols])
+    reply_cols = [c for c in replies.columns if c not in id_cols]
+    first = F.min_by(F.struct(*[F.col(f"a.{c}").alias(c) for c in reply_cols]), F.col("a.reply_ts"))
+    return (j.groupBy(*[F.col(f"q.{c}").alias(c) for c in requests.columns]).agg(first.alias("_r"))
+            .select(*requests.columns, *[F.col(f"_r.{c}").alias(c) for c in reply_cols]))
 
 
 # ---- ST4 -------------------------------------------------------------------------
