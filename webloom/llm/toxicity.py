@@ -20,6 +20,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from dataclasses import dataclass, field
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import held_out, small_batches
+from webloom.llm.common import checkpointed, cores, held_out, small_batches
 
 BITS = 18                       # size of the hashed feature space
 MAX_TRAIN_ROWS = 16_000         # bound of the labelled sample
@@ -64,20 +65,28 @@ class ToxicityModel:
 
 
 def features(text: str | None) -> np.ndarray:
-    """Distinct hashed features: words and their first letters."""
+    """Distinct hashed features: words, and their first letters."""
     return _hashed(set(_WORDS.findall((text or "").lower())))
 
 
 def _hashed(words: set[str]) -> np.ndarray:
-    mask, crc, out = (1 << BITS) - 1, zlib.crc32, set()
-    add = out.add
-    for w in words:
-        add(crc(w.encode()) & mask)
-        for n in PREFIXES:
-            if len(w) <= n:
-                break
-            add(crc(b"%d%b" % (n, w[:n].encode())) & mask)
-    return np.fromiter(out, np.int32, len(out))
+    mask, crc = (1 << BITS) - 1, zlib.crc32
+    names = {w[:n] + "~" for n in PREFIXES for w in words if len(w) > n} | words
+    return np.fromiter({crc(x.encode()) & mask for x in names}, np.int32)
+
+
+class _Hits(dict):
+    """Word to those of its features that have a weight; usually none.  Bounded."""
+
+    def __init__(self, weights: dict[int, float]):
+        self._weights = weights
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        out = tuple(i for i in _hashed({word}).tolist() if i in self._weights)
+        if len(self) >= 300_000:
+            self.clear()
+        self[word] = out
+        return out
 
 
 def swapped(words: set[str], terms=IDENTITY_TERMS) -> list[set[str]]:
@@ -98,70 +107,81 @@ def swapped(words: set[str], terms=IDENTITY_TERMS) -> list[set[str]]:
     return out
 
 
+def _csr(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenated numbers and the row of each."""
+    n = np.array([len(r) for r in rows], np.int64)
+    flat = np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else np.empty(0, np.int64)
+    return flat, np.repeat(np.arange(len(rows)), n)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS,
-                  terms=IDENTITY_TERMS) -> list:
-    """At most ``max_rows`` labelled rows that are not held out, as features.
+                  terms=IDENTITY_TERMS) -> DataFrame:
+    """At most ``max_rows`` labelled rows that are not held out: y, x, lost and new.
 
-    The rows of the smallest hashed ids are taken: a uniform sample that
-    does not depend on the order or the partitioning.
+    ``x`` are the row's features; for each swap of its group terms ``lost``
+    and ``new`` have the features that go and come.  The rows of the smallest
+    hashed ids are taken: a uniform sample that does not depend on the order
+    or the partitioning.
     """
     chosen = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
               .where(~held_out(F.col("doc_id")))
-              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_y"))
+              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("_y"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     small_batches(docs.sparkSession)
+    lists = pa.list_(pa.int32())
 
     def extract(batches):
         for b in batches:
-            ys, rows, alts = b.column("_y").to_pylist(), [], []
+            rows, lost, new = [], [], []
             for t in b.column("text").to_pylist():
                 words = set(_WORDS.findall((t or "").lower()))
-                rows.append(_hashed(words).tobytes())
-                alts.append([_hashed(s).tobytes() for s in swapped(words, terms)])
+                alts = swapped(words, terms)
+                rows.append(_hashed(words))
+                lost.append([np.setdiff1d(rows[-1], _hashed(s)) for s in alts])
+                new.append([np.setdiff1d(_hashed(s), rows[-1]) for s in alts])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(ys, pa.int32()), pa.array(rows, pa.binary()),
-                 pa.array(alts, pa.list_(pa.binary()))], ["doc_id", "y", "x", "alts"])
+                [b.column("_y"), pa.array(rows, lists), pa.array(lost, pa.list_(lists)), pa.array(new, pa.list_(lists))],
+                ["y", "x", "lost", "new"])
 
-    # chosen has max_rows rows at most, a proven bound for the broadcast.
+    # chosen has max_rows rows at most, a proven bound for the broadcast.  A repeated id counts once.
     picked = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-              .join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "_y")), "doc_id"))
-    rows = picked.mapInArrow(extract, "doc_id long, y int, x binary, alts array<binary>").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))
-    return rows[:max_rows]
-
-
-def _csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenated feature ids and the row of each."""
-    n = np.array([len(r) for r in rows], np.int64)
-    return (np.concatenate(rows) if rows else np.empty(0, np.int32)), np.repeat(np.arange(len(rows)), n)
-
-
-def fit(rows: list, l1: float = 1e-4, swap_penalty: float = 1.0, iterations: int = 300) -> ToxicityModel:
-    """Proximal gradient descent (accelerated) on the penalised logistic loss."""
+              .join(F.broadcast(chosen), "doc_id")
+              .repartition(cores(docs.sparkSession), "doc_id")
+              .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_y").alias("_y")))
+    return picked.select("text", "_y").mapInArrow(
+        extract, "y int, x array<int>, lost array<array<int>>, new array<array<int>>")
+
+
+def telling(rows: DataFrame, min_z: float = MIN_Z, min_rows: int = MIN_ROWS) -> np.ndarray:
+    """The features whose rates differ between the classes; counted on Spark."""
+    n1, n = rows.agg(F.sum("y"), F.count(F.lit(1))).first()
+    if not n1 or n1 == n:
+        return np.empty(0, np.int64)
+    n0 = n - n1
+    c = rows.select("y", F.explode("x").alias("f")).groupBy("f").agg(F.sum("y").alias("c1"), F.count(F.lit(1)).alias("c"))
+    p = F.col("c") / F.lit(n)
+    gap = F.abs(F.col("c1") / F.lit(n1) - (F.col("c") - F.col("c1")) / F.lit(n0))
+    z = gap / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * F.lit(1 / n1 + 1 / n0))
+    kept = c.where((F.col("c") >= min_rows) & (z >= min_z)).select("f").collect()      # 2**BITS at most
+    return np.array(sorted(r.f for r in kept), np.int64)
+
+
+def fit(rows: list[dict], kept: np.ndarray, l1: float = 1e-4, swap_penalty: float = 1.0,
+        iterations: int = 300) -> ToxicityModel:
+    """Proximal gradient descent (accelerated) on the penalised logistic loss.
+
+    ``rows`` have y, x, lost and new, whose numbers are places in ``kept``.
+    """
     size = 1 << BITS
-    y = np.array([float(r.y > 0) for r in rows])
+    y = np.array([float(r["y"]) for r in rows])
     if not len(y) or y.min() == y.max():
         return ToxicityModel(np.zeros(size), -np.inf, len(y))
-    x, at = _csr([np.frombuffer(r.x, np.int32) for r in rows])
     n1, n0 = y.sum(), (1 - y).sum()
-    p1 = np.bincount(x, y[at], size) / n1
-    p0 = np.bincount(x, 1 - y[at], size) / n0
-    p = (p1 * n1 + p0 * n0) / len(y)
-    z = np.abs(p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    kept = np.flatnonzero((z >= MIN_Z) & (p * len(y) >= MIN_ROWS))
-    place = np.full(size, -1)
-    place[kept] = np.arange(len(kept))
-
-    def only(ids, rows_of):
-        ids = place[ids]
-        ok = ids >= 0
-        return ids[ok], rows_of[ok]
-
-    x, at = only(x, at)
+    x, at = _csr([r["x"] for r in rows])
     # Pairs (text, swapped text): the difference of their features carries the penalty.
-    pairs = [(np.frombuffer(r.x, np.int32), np.frombuffer(a, np.int32)) for r in rows for a in r.alts]
-    lost, lost_at = only(*_csr([np.setdiff1d(a, b) for a, b in pairs]))
-    new, new_at = only(*_csr([np.setdiff1d(b, a) for a, b in pairs]))
+    pairs = [z for r in rows for z in zip(r["lost"], r["new"])]
+    lost, lost_at = _csr([z[0] for z in pairs])
+    new, new_at = _csr([z[1] for z in pairs])
     dx, dat = np.concatenate([lost, new]), np.concatenate([lost_at, new_at])
     sign = np.concatenate([np.ones(len(lost)), -np.ones(len(new))])
 
@@ -203,7 +223,29 @@ def fit(rows: list, l1: float = 1e-4, swap_penalty: float = 1.0, iterations: int
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS,
           swap_penalty: float = 1.0, terms=IDENTITY_TERMS) -> ToxicityModel:
-    return fit(training_rows(docs, labels, max_rows, terms), swap_penalty=swap_penalty)
+    rows = checkpointed(training_rows(docs, labels, max_rows, terms))
+    kept = telling(rows)
+    shared = rows.sparkSession.sparkContext.broadcast(kept)
+
+    def only(ids: np.ndarray) -> list[int]:
+        known = shared.value
+        if not len(known):
+            return []
+        place = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+        return place[known[place] == ids].tolist()
+
+    def narrow(batches):
+        for b in batches:
+            x = [only(np.asarray(v.values)) for v in b.column("x")]
+            swaps = [[[only(np.array(z, np.int64)) for z in v] for v in b.column(c).to_pylist()] for c in ("lost", "new")]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("y"), *[pa.array(v, b.schema.field(n).type) for n, v in zip(("x", "lost", "new"), (x, *swaps))]],
+                b.schema.names)
+
+    # Of each row only the telling features come to the driver: max_rows rows at most.
+    small = rows.mapInArrow(narrow, rows.schema).toArrow().to_pylist()
+    small.sort(key=lambda r: (r["y"], r["x"]))
+    return fit(small, kept, swap_penalty=swap_penalty)
 
 
 def scores(docs: DataFrame, model: ToxicityModel, keep: list[str] = ("doc_id",)) -> DataFrame:
@@ -217,12 +259,14 @@ def scores(docs: DataFrame, model: ToxicityModel, keep: list[str] = ("doc_id",))
 
     def run(batches):
         weights, bias = shared.value
-        get = weights.get
+        hits = _Hits(weights)
         for b in batches:
             out = []
             for t in b.column("_text").to_pylist():
-                m = bias + sum(get(i, 0.0) for i in features(t).tolist())
-                out.append(0.0 if m < -700 else 1 / (1 + np.exp(-min(m, 700))))
+                words = set(_WORDS.findall((t or "").lower()))
+                found = {i for f in map(hits.__getitem__, words) if f for i in f}
+                m = bias + sum(weights[i] for i in sorted(found))
+                out.append(0.0 if m < -700 else 1 / (1 + math.exp(-min(m, 700))))
             cols = [b.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.float64())], [*keep, "score"])
 
