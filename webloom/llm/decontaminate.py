@@ -1,23 +1,24 @@
 """Benchmark decontamination by spaced-seed hashing, with DataFrame functions only.
 
-Texts and benchmark items become lower-case words of letters and digits,
-and words become 64-bit hashes.  A mask is a fixed pattern of word
-positions; at every position of a text the words under the mask's ones are
-hashed together and those under its zeros are ignored, so a substituted
-word there does not hide a passage.  Hashes of texts are joined with hashes
-of items; around each hit the text and the item are laid side by side and
-compared word by word.  A document is contaminated if, in some window of
-``WINDOW`` aligned words of an item (the whole item, if that is shorter), at
-least ``MIN_SHARE`` of the words are equal.
+Texts and benchmark items become lower-case words without punctuation, and words become
+64-bit hashes.  A mask is a fixed pattern of word positions; the words under
+its ones are hashed together and those under its zeros are ignored, so a
+substituted word there does not hide a passage.  Seeds of texts are joined
+with seeds of items; around each hit the text and the item are laid side by
+side and compared word by word.  A document is contaminated if, in some
+window of ``WINDOW`` aligned words of an item (the whole item, if that is
+shorter), at least ``MIN_SHARE`` of the words are equal.
+
+A mask holds two neighbouring ones.  A text's seeds are made only where the
+two words there are neighbours in some item as well; a bit table of fixed size tells, which
+never misses a pair (others that it lets pass are met by the join).  So
+the join gets few rows, and the planner may choose any kind of join; texts
+are never shuffled unless very many documents have hits.
 
 Items shorter than the masks, but of ``MIN_ITEM_WORDS`` words or more, are
 met by a mask of ones as long as the item.  Shorter items are too common to
 tell anything and are not looked for.
 
-The hash table of the items is the broadcast side, in blocks of at most
-``BLOCK`` hashes; the texts' hashes are never shuffled.  Only hits are, and
-the texts of documents with hits are read again to verify them.
-
 Defined results: a null or empty text is clean; rows that share a doc_id
 are judged together, and so are rows with a null id; items with equal
 words count as one, named by the least item_id; an empty benchmark or an
@@ -36,33 +37,44 @@ MASKS = ("11011011011", "101101101101")
 MIN_ITEM_WORDS = 6
 WINDOW = 13
 MIN_SHARE = 0.8
-BLOCK = 400_000
+TABLE_BITS = 18                 # the bit table has 2**18 bits, whatever the benchmark's size
+# Everything that parts words: ASCII signs and white space, and common signs beyond ASCII.
+SIGNS = "".join(chr(c) for c in range(128) if not chr(c).isalnum() and c != 32) + "\u00a0«»“”„‘’‚…–—¿¡·"
 
 
 def words(text: Column) -> Column:
-    """Hashes of the words: lower-case runs of letters and digits."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w))
+    """Hashes of the words.  Splitting by one character is the fast way in the JVM."""
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), SIGNS, " " * len(SIGNS))
+    return F.array_remove(F.transform(F.split(plain, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+
 
+def _seed(h: Column, mask: str, number: int, pair: Column) -> Column:
+    """The hash under a mask whose first two neighbouring ones are at ``pair``.
+
+    Words beyond either end count as missing; such a seed equals no item's, or
+    is refused when the words are compared.
+    """
+    first = pair - F.lit(mask.index("11"))
+    return F.xxhash64(F.lit(number), *[F.get(h, first + F.lit(i)) for i, c in enumerate(mask) if c == "1"])
 
-def _seeds(h: Column, mask: str, number: int) -> Column:
-    """The hashes under a mask at every position where it fits."""
-    ones = [i for i, c in enumerate(mask) if c == "1"]
 
-    def at(i):
-        return F.xxhash64(F.lit(number), *[F.get(h, i + F.lit(o)) for o in ones])
+def _seeds(h: Column, masks: dict[int, str], pairs: Column) -> Column:
+    """(at, seed) of each mask at each of the places of pairs."""
+    return F.concat(*[_one_mask(h, m, k, pairs) for k, m in masks.items()])
 
-    n = F.size(h) - F.lit(len(mask))
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), at)).otherwise(
-        F.array().cast("array<bigint>"))
 
+def _one_mask(h: Column, mask: str, number: int, pairs: Column) -> Column:
+    return F.transform(pairs, lambda i: F.struct(i.alias("at"), _seed(h, mask, number, i).alias("seed")))
 
-def _all_seeds(h: Column, masks: list[str]) -> Column:
-    return F.concat(*[F.transform(_seeds(h, m, k), _with_place) for k, m in enumerate(masks)])
 
+def _places(h: Column) -> Column:
+    """0 to the last place that has a neighbour."""
+    n = F.size(h)
+    return F.when(n > 1, F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
-def _with_place(x: Column, i: Column) -> Column:
-    return F.struct(i.alias("at"), x.alias("seed"))
+
+def _pair(h: Column, i: Column) -> Column:
+    return F.get(h, i).bitwiseXOR(F.shiftright(F.get(h, i + F.lit(1)), 7))
 
 
 def items(benchmark: DataFrame) -> DataFrame:
@@ -73,42 +85,68 @@ def items(benchmark: DataFrame) -> DataFrame:
             .select("item_id", "h", F.size("h").alias("n")))
 
 
-def item_seeds(found: DataFrame, masks: tuple[str, ...] = MASKS) -> tuple[DataFrame, list[str]]:
+def pair_table(found: DataFrame) -> Column:
+    """The bit table of the items' neighbouring words, an array literal of 2**(TABLE_BITS - 6) longs."""
+    h = F.col("h")
+    rows = (found.select(F.explode(F.transform(_places(h), lambda i: _pair(h, i))).alias("p"))
+            .select(_cell("p").alias("cell"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
+            .groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect())
+    table = [0] * (1 << (TABLE_BITS - 6))
+    for r in rows:
+        table[r.cell] = r.bits
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+
+
+def _cell(p: str) -> Column:
+    return F.shiftrightunsigned(p, 64 - (TABLE_BITS - 6)).cast("int")
+
+
+def _known(table: Column, pair: Column) -> Column:
+    cell = F.shiftrightunsigned(pair, 64 - (TABLE_BITS - 6)).cast("int")
+    bit = pair.bitwiseAND(F.lit(63)).cast("int")
+    return F.call_function("shiftright", F.get(table, cell), bit).bitwiseAND(F.lit(1)) == 1
+
+
+def item_seeds(found: DataFrame, masks: tuple[str, ...] = MASKS) -> tuple[DataFrame, dict[int, str]]:
     """(item_id, at, seed), and the masks: the fixed ones and one for each short length.
 
     There are fewer short lengths than the longest mask has positions.
     """
     spans = max(map(len, masks))
     short = sorted(r.n for r in found.where(F.col("n") < spans).select("n").distinct().collect())
-    every = [*masks, *["1" * n for n in short]]
-    long = found.select("item_id", F.explode(_all_seeds(F.col("h"), list(masks))).alias("x"))
-    rows = [long] + [
-        found.where(F.col("n") == n).select("item_id", F.explode(F.transform(
-            _seeds(F.col("h"), "1" * n, len(masks) + i), _with_place)).alias("x"))
-        for i, n in enumerate(short)]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.select("item_id", "x.at", "x.seed"), every
+    every = dict(enumerate([*masks, *["1" * n for n in short]]))
+    h = F.col("h")
+    # A seed that reaches beyond the item is of no use.
+    fits = {k: F.transform(F.filter(_places(h), _inside(m)), lambda i: i) for k, m in every.items()}
+    rows = None
+    for k, m in every.items():
+        own = found if k < len(masks) else found.where(F.col("n") == len(m))
+        part = own.select("item_id", F.explode(_one_mask(h, m, k, fits[k])).alias("x"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.select("item_id", "x.at", "x.seed"), every
+
+
+def _inside(mask: str):
+    first = mask.index("11")
+    return lambda i: (i >= first) & (i - first + len(mask) <= F.col("n"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS,
-             window: int = WINDOW, min_share: float = MIN_SHARE, block: int = BLOCK) -> DataFrame:
+             window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
     """Verified overlaps: doc_id, item_id, shift (place of the item's first word), share."""
     found = checkpointed(items(benchmark))
     seeds, every = item_seeds(found, masks)
-    seeds = checkpointed(seeds)
-    distinct = checkpointed(seeds.select("seed").distinct())
-    blocks = max(1, -(-distinct.count() // block))
-    hits = None
-    for k in range(blocks):
-        # A block has ``block`` hashes on average, by a hash of the hash: a proven bound.
-        side = distinct.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == k) if blocks > 1 else distinct
-        probe = (docs.select("doc_id", words(F.col("text")).alias("h"))
-                 .select("doc_id", F.explode(_all_seeds(F.col("h"), every)).alias("x"))
-                 .select("doc_id", "x.at", "x.seed"))
-        met = probe.join(F.broadcast(side), "seed")
-        hits = met if hits is None else hits.unionByName(met)
+    seeds = written(seeds)
+    table = pair_table(found)
+    h = F.col("h")
+    # The outer form: for the inner one the optimizer infers a filter on the list's size, and moves
+    # it, with all that makes the list, below the projections.
+    probe = (docs.select("doc_id", words(F.col("text")).alias("h"))
+             .select("doc_id", "h", F.filter(_places(h), lambda i: _known(table, _pair(h, i))).alias("pairs"))
+             .select("doc_id", F.explode_outer(_seeds(h, every, F.col("pairs"))).alias("x"))
+             .where("x is not null").select("doc_id", "x.at", "x.seed"))
+    # Distinct seeds first: a seed that very many items share does not multiply what is probed.
+    hits = probe.join(written(seeds.select("seed").distinct()), "seed")
     places = (hits.withColumnRenamed("at", "doc_at")
               .join(seeds.withColumnRenamed("at", "item_at"), "seed")
               .select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct())
