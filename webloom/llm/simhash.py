@@ -115,8 +115,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, he
         ball = _longs(_masks(bits, max_bits // segments))
         parts.append(F.struct(F.lit(s).alias("s"), part.alias("key")))
         probes.append(_ball(s, part, ball))
-    cells = fps.select("fp", F.explode(F.array(*parts)).alias("c")).select("c.s", "c.key", "fp")
-    looked = fps.select("fp", F.explode(F.concat(*probes)).alias("c")).select("c.s", "c.key", "fp")
+    # No list is empty; the outer form keeps the optimizer from making them twice, for a filter.
+    cells = fps.select("fp", F.explode_outer(F.array(*parts)).alias("c")).select("c.s", "c.key", "fp")
+    looked = fps.select("fp", F.explode_outer(F.concat(*probes)).alias("c")).select("c.s", "c.key", "fp")
     full = checkpointed(cells.groupBy("s", "key").agg(F.count(F.lit(1)).alias("n"))
                         .where(F.col("n") > heavy).select("s", "key"))
     around = None
@@ -133,7 +134,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, he
 def _through_points(fps: DataFrame, max_bits: int) -> DataFrame:
     """Links of fingerprints whose balls of half the distance meet, to the least of each point."""
     far, near = -(-max_bits // 2), max_bits // 2
-    points = fps.select("fp", F.explode(F.transform(_longs(_masks(64, far)), lambda m: F.struct(
+    points = fps.select("fp", F.explode_outer(F.transform(_longs(_masks(64, far)), lambda m: F.struct(
         F.col("fp").bitwiseXOR(m).alias("p"), (F.bit_count(m) <= near).alias("near")))).alias("x"))
     points = points.select("fp", "x.p", "x.near")
     least = (points.groupBy("p").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("b"),
