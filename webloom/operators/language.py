@@ -1,18 +1,19 @@
 """A4 language identification (trigram rank-order profiles, Cavnar & Trenkle
 1994 "N-Gram-Based Text Categorization") and P32 dictionary translation.
 
-train_profiles: explode character trigrams of labelled text, count per
-(language, trigram) with map-side combining, keep the top 300 per language
-(WindowGroupLimit).  detect_language: each text's own top-300 trigrams,
-joined to the profiles on the trigram (profiles are bounded by
-languages x 300 rows, so they are broadcast), score = sum of
-(300 - |rank difference|) over shared trigrams; the highest score wins
-(ties: smaller code).  Texts under 10 characters, or sharing no trigram
-with any profile, are ``und``.  Every text is read whole.
+train_profiles: trigrams of labelled text, counted by language in each task
+and summed on Spark, the top 300 per language (WindowGroupLimit).
+detect_language: each text's own top-300 trigrams against the profiles,
+score = sum of (300 - |rank difference|) over shared trigrams; the highest
+score wins (ties: smaller code).  Texts under 10 characters, or sharing no
+trigram with any profile, are ``und``.  Every text is read whole.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ PROFILE_SIZE = 300
 MIN_LENGTH = 10
 UNDETERMINED = "und"
 ISO639_3 = {"en": "eng", "fr": "fra", "de": "deu", "es": "spa"}
+MAX_LANGUAGES = 500
+TABLE_ROWS = 500_000            # a task sends its counts on beyond so many
 NON_LETTERS = r"[^\p{L}]+"
 
 
@@ -36,59 +39,86 @@ def trigram_source(text) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(_col(text)), NON_LETTERS, " "), F.lit(" "))
 
 
-def text_trigrams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, gram, cnt)`` trigram counts per text."""
-    # Project first, then spread: every caller over the same table builds the
-    # same sub-plan, so the (id, gram) aggregate's exchange is computed once
-    # and reused by profile training and detection.
-    # (The explicit NOT NULL equals the filter a join on the id would infer,
-    # so both callers optimise to the same plan.)
-    src = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-                 .where(F.col("_id").isNotNull())).select("_id", trigram_source("_t").alias("_s"))
-    # Every overlapping 3-character window in one regex pass (zero-width
-    # look-ahead), JVM-side.
-    grams = F.regexp_extract_all("_s", F.lit("(?=(...))"), 1)
-    return (src.select("_id", F.explode(grams).alias("gram"))
-            .where(~F.col("gram").contains("  "))
-            .groupBy("_id", "gram").agg(F.count(F.lit(1)).alias("cnt"))
-            .withColumnRenamed("_id", id_col))
+def _counts(source: str | None) -> Counter:
+    """Overlapping trigrams of a prepared text, without those across two spaces."""
+    s = source or ""
+    out = Counter(zip(s, s[1:], s[2:]))
+    for g in [g for g in out if g[1] == " " and (g[0] == " " or g[2] == " ")]:
+        del out[g]
+    return out
 
 
 def train_profiles(labelled: DataFrame, id_col: str, text_col: str, lang_col: str,
-                   code_map: dict | None = ISO639_3, size: int = PROFILE_SIZE,
-                   counts: DataFrame | None = None) -> DataFrame:
+                   code_map: dict | None = ISO639_3, size: int = PROFILE_SIZE) -> DataFrame:
     """``(lang, gram, r)``: top ``size`` trigrams per language, r = 1..size.
-    ``counts``: precomputed :func:`text_trigrams` of ``labelled`` (shared with
-    detection on the same texts)."""
-    lang = labelled.select(id_col, F.col(lang_col).alias("_lang"))
+
+    Each task counts its texts' trigrams by language and sends only the
+    counts; the label goes along in the row, so nothing is joined."""
+    lang = F.col(lang_col)
     if code_map:
         m = F.create_map(*[F.lit(x) for kv in code_map.items() for x in kv])
-        lang = lang.select(id_col, F.coalesce(F.element_at(m, F.col("_lang")), F.col("_lang")).alias("_lang"))
-    counts = (text_trigrams(labelled, id_col, text_col) if counts is None else counts)
-    counts = (counts.join(lang, id_col)
-              .groupBy("_lang", "gram").agg(F.sum("cnt").alias("cnt")))
-    w = Window.partitionBy("_lang").orderBy(F.col("cnt").desc(), F.col("gram").asc())
+        lang = F.coalesce(F.element_at(m, lang), lang)
+
+    def count(batches):
+        total: dict[str, Counter] = {}
+        held = 0
+
+        def rows():
+            flat = [(k, "".join(g), n) for k, c in total.items() for g, n in c.items()]
+            cols = list(zip(*flat)) if flat else ([], [], [])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()),
+                                               pa.array(cols[2], pa.int64())], ["lang", "gram", "cnt"])
+
+        for b in batches:
+            for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total.setdefault(k, Counter()).update(_counts(s))
+            held = sum(map(len, total.values()))
+            if held > TABLE_ROWS:
+                yield rows()
+                total.clear()
+        yield rows()
+
+    counts = (spread(labelled.where(F.col(id_col).isNotNull() & lang.isNotNull())
+                     .select(lang.alias("lang"), trigram_source(text_col).alias("s")))
+              .mapInArrow(count, "lang string, gram string, cnt long")
+              .groupBy("lang", "gram").agg(F.sum("cnt").alias("cnt")))
+    w = Window.partitionBy("lang").orderBy(F.col("cnt").desc(), F.col("gram").asc())
     return (counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= size)
-            .select(F.col("_lang").alias("lang"), "gram", "r"))
+            .select("lang", "gram", "r"))
 
 
 def detect_language(df: DataFrame, id_col: str, text_col: str, profiles: DataFrame,
-                    size: int = PROFILE_SIZE, out_col: str = "lang_code",
-                    counts: DataFrame | None = None) -> DataFrame:
-    """``(id, lang_code)`` for every row of ``df`` (``counts``: precomputed
-    :func:`text_trigrams` of ``df``)."""
-    w = Window.partitionBy(id_col).orderBy(F.col("cnt").desc(), F.col("gram").asc())
-    counts = text_trigrams(df, id_col, text_col) if counts is None else counts
-    own = (counts.withColumn("rd", F.row_number().over(w))
-           .where(F.col("rd") <= size))
-    scored = (own.join(F.broadcast(profiles), "gram")
-              .groupBy(id_col, "lang").agg(F.sum(F.lit(size) - F.abs(F.col("rd") - F.col("r"))).alias("score")))
-    wb = Window.partitionBy(id_col).orderBy(F.col("score").desc(), F.col("lang").asc())
-    best = scored.withColumn("_k", F.row_number().over(wb)).where("_k = 1").select(id_col, "lang")
-    base = df.select(id_col, F.length(text_col).alias("_len"))
-    return (base.join(best, id_col, "left")
-            .select(id_col, F.when(F.col("_len") < MIN_LENGTH, F.lit(UNDETERMINED))
-                    .otherwise(F.coalesce(F.col("lang"), F.lit(UNDETERMINED))).alias(out_col)))
+                    size: int = PROFILE_SIZE, out_col: str = "lang_code") -> DataFrame:
+    """``(id, lang_code)`` for every row of ``df``: one narrow pass, no shuffle.
+
+    The profiles are read once (``MAX_LANGUAGES`` times ``size`` rows at most,
+    checked) and sent to the tasks."""
+    rows = profiles.limit(MAX_LANGUAGES * size + 1).collect()
+    if len(rows) > MAX_LANGUAGES * size:
+        raise ValueError(f"profiles of more than {MAX_LANGUAGES} languages")
+    ranks: dict[tuple, list] = {}
+    for r in sorted(rows, key=lambda r: r.lang):
+        ranks.setdefault(tuple(r.gram), []).append((r.lang, r.r))
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
+
+    def score(source, known):
+        own = sorted(_counts(source).items(), key=lambda x: (-x[1], x[0]))[:size]
+        total: dict[str, int] = {}
+        for rd, (g, _) in enumerate(own, 1):
+            for lang, r in known.get(g, ()):
+                total[lang] = total.get(lang, 0) + size - abs(rd - r)
+        return min(total, key=lambda k: (-total[k], k)) if total else UNDETERMINED
+
+    def run(batches):
+        known = shared.value
+        for b in batches:
+            out = [UNDETERMINED if n is None or n < MIN_LENGTH else score(s, known)
+                   for s, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], [id_col, out_col])
+
+    src = spread(df.select(F.col(id_col), F.col(text_col).alias("_t"))).select(
+        id_col, trigram_source("_t").alias("_s"), F.length("_t").alias("_n"))
+    return src.mapInArrow(run, src.select(id_col).schema.add(out_col, "string"))
 
 
 # The literal word dictionary used on fixtures (lower-case source

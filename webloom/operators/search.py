@@ -5,19 +5,18 @@ K4 report).
 The remote search service is re-aimed as BM25 over an inverted index
 built by Spark:
 
-    corpus --hash by doc id (once)--> explode tokens --keep query vocabulary
-    (broadcast)--> postings (doc, term, tf, dl) + one length row per doc
+    corpus --explode tokens, keep query vocabulary, count in the task-->
+    postings (doc, term, tf, dl) + one length row per doc
     [checkpointed: the corpus is read once; postings re-hashed by doc]
     postings --groupBy term (map-side combined)--> df
     postings x df x query terms (broadcast) --sum per (query, doc),
     in-partition--> score
     row_number per query <= start+num-1  (WindowGroupLimit, map-side too)
 
-No cross join: queries meet documents only through shared terms.  Because
-documents are co-located by id, term counts and (query, doc) sums are
-complete inside a partition: exploded tokens and score contributions are
-never shuffled; only the raw documents (once), the postings (once, by doc),
-partial df counts and per-task top-k rows are.  A
+No cross join: queries meet documents only through shared terms.  A
+document's tokens are counted in its own task, and its postings are
+co-located by id: texts, exploded tokens and score contributions are never
+shuffled; only postings, partial df counts and per-task top-k rows are.  A
 very common term (a third of all postings) is combined per map task.
 Corpus size and mean length come back to the driver as two numbers
 (one-row aggregate over the checkpointed table).
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from webloom.functions.text import js_trim
 from webloom.functions.urls import form_encode
 from webloom.session import checkpoint_dir
-from webloom.sources.tables import cpu_partitions, spread
+from webloom.sources.tables import cpu_partitions
 
 # Fixed values.
 K1, B = 1.2, 0.75
@@ -40,6 +39,7 @@ ENRICH_SUFFIX = " best tips"
 SEARCH_ENDPOINT = "https://www.googleapis.com/customsearch/v1"
 TITLE_LEN, SNIPPET_LEN = 80, 160
 SCORE_DIGITS = 6
+BROADCAST_ROWS = 100_000
 
 
 def _col(c) -> Column:
@@ -96,13 +96,6 @@ def parse_search_response(df: DataFrame, json_col: str, keep=("id",), outer: boo
                     F.col("it.snippet").alias("snippet")))
 
 
-def corpus_stats(corpus: DataFrame, text_col: str = "text") -> tuple[int, float]:
-    """(N, average document length in tokens) -- a one-row aggregate."""
-    row = spread(corpus.select(text_col)).select(F.regexp_count(F.col(text_col), F.lit(TOKEN_RE)).alias("dl")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    return int(row["n"] or 0), float(row["avgdl"] or 0.0)
-
-
 def multi_search(queries: DataFrame, corpus: DataFrame, query_id: str = "item_id",
                  query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text",
                  num: int = 10, start: int = 1, doc_filter: Column | None = None) -> DataFrame:
@@ -125,11 +118,10 @@ def multi_search(queries: DataFrame, corpus: DataFrame, query_id: str = "item_id
                              F.explode(F.array_distinct(tokens(query_text))).alias("term")))
     vocab = qterms.select("term").distinct().withColumn("_v", F.lit(True))
     keep = doc_filter if doc_filter is not None else F.lit(True)
-    # Co-locate each document once (hash on its id): term counts, and later
-    # the (query, doc) score sums, are then complete inside one partition --
-    # no shuffle of exploded tokens, none for the score aggregation.
-    docs = (corpus.select(F.col(doc_id).alias("_d"), F.col(doc_text).alias("_x"), keep.alias("_keep"))
-            .repartition(cpu_partitions(spark), "_d"))
+    # A document is one row in one task: the partial aggregation below already
+    # counts its terms, so only postings of the query vocabulary are shuffled,
+    # never a text or its tokens.
+    docs = corpus.select(F.col(doc_id).alias("_d"), F.col(doc_text).alias("_x"), keep.alias("_keep"))
     toks = docs.select("_d", "_keep", tokens("_x").alias("_t"))
     # NULL term = the document's own marker row (carries dl even when the
     # document shares no term with any query).
@@ -162,13 +154,19 @@ def multi_search(queries: DataFrame, corpus: DataFrame, query_id: str = "item_id
 def with_result_text(results: DataFrame, corpus: DataFrame, doc_id: str = "doc_id",
                      doc_text: str = "text") -> DataFrame:
     """Attach ``title`` (first line, trimmed, 80 chars) and ``snippet`` (first
-    160 chars) from the corpus; the small result side is broadcast by AQE
-    once its real size is known."""
+    160 chars) from the corpus.  The results (queries x num rows) are the
+    build side: they are counted and broadcast up to ``BROADCAST_ROWS`` rows,
+    beyond that joined by a shuffle.  A result whose document the corpus
+    lacks has no text to show and is left out."""
+    spark = corpus.sparkSession
+    checkpoint_dir(spark)
+    results = results.checkpoint(eager=True)
+    build = F.broadcast(results) if results.count() <= BROADCAST_ROWS else results
     t = F.col(doc_text)
     meta = corpus.select(F.col(doc_id),
                          F.substring(js_trim(F.substring_index(t, "\n", 1)), 1, TITLE_LEN).alias("title"),
                          F.substring(t, 1, SNIPPET_LEN).alias("snippet"))
-    return results.join(meta, doc_id, "left")
+    return meta.join(build, doc_id).select(*results.columns, "title", "snippet")
 
 
 def nest_results(flat: DataFrame, query_id: str, fields: list[str]) -> DataFrame:

@@ -272,24 +272,26 @@ def _profiles(spark, d, docs=None):
 
 
 def q_detect_language(spark, d):
-    from webloom.operators.language import detect_language, text_trigrams, train_profiles
-    from webloom.session import checkpoint_dir
-    # Training and detection read the same texts: their (id, gram) counts
-    # are computed once and checkpointed to the shared folder, then read by
-    # both (one trigram pass over the corpus instead of two).
-    checkpoint_dir(spark)
-    docs = _docs(spark, d, "doc_id", "text", "lang")
-    counts = text_trigrams(docs, "doc_id", "text").checkpoint(eager=True)
-    prof = train_profiles(docs, "doc_id", "text", "lang", counts=counts)
-    return detect_language(docs, "doc_id", "text", prof, counts=counts)
+    from webloom.operators.language import detect_language, train_profiles
+    docs = read_table(spark, d, "documents").select("doc_id", "text", "lang")
+    return detect_language(docs, "doc_id", "text", train_profiles(docs, "doc_id", "text", "lang"))
+
+
+_PROFILES: dict = {}
 
 
 def _small_profiles(spark, d):
-    """Profiles (<= languages x 300 rows) checkpointed: the corpus trigram pass
-    then runs once even when the profile feeds several branches."""
+    """Profiles (languages x 300 rows) in the shared folder, made once for each
+    session and corpus, and read by every query that labels texts."""
+    import uuid
+
     from webloom.session import checkpoint_dir
-    checkpoint_dir(spark)
-    return _profiles(spark, d).checkpoint(eager=True)
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _PROFILES:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/profiles-{uuid.uuid4().hex}"
+        _profiles(spark, d).coalesce(1).write.parquet(path)
+        _PROFILES[key] = path
+    return spark.read.parquet(_PROFILES[key])
 
 
 def q_translate_queries(spark, d):
