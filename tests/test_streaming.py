@@ -53,7 +53,9 @@ def test_stream_correlate_matches_batch(spark, tmp_path, sf_small):
     got = {tuple(r) for r in _correlation_out(
         run_to_table(stream_correlate(req_s, rep_s, ["conv_id", "rid"]), "t_corr")).collect()}
     matched = {r for r in batch if not r[4]}
-    assert {r for r in got if not r[4]} == matched
+    # A request is given once the watermark has passed it: the last ones wait.
+    final = {r for r in got if not r[4]}
+    assert final <= matched and {r[0] for r in matched - final} <= {max(r[0] for r in batch)}
     assert {r for r in got if r[4]} <= {r for r in batch if r[4]}
 
 
@@ -103,3 +105,24 @@ def test_stream_last_n_reset_ends_batch(spark, tmp_path):
     snaps = run_to_table(stream_last_n(st, "user_id", "ts", "event_id", "event_type", "signup", 20), "t_reset")
     assert snaps.select("version").distinct().count() == 2
     assert latest_snapshot(snaps, "user_id").count() == 0
+
+
+def test_stream_correlate_gives_the_first_reply_once(spark, tmp_path):
+    import datetime as dt
+
+    from webloom.operators.correlate import correlate
+    from webloom.streaming.stateful import stream_correlate
+    t0 = dt.datetime(2024, 1, 1)
+    req = [(i, t0 + dt.timedelta(minutes=i)) for i in range(6)] + [(99, t0 + dt.timedelta(hours=9))]
+    rep = [(i, t0 + dt.timedelta(minutes=i, seconds=s), f"{i}-{s}") for i in range(5) for s in (20, 5, 29)]
+    rep += [(98, t0 + dt.timedelta(hours=9), "end")]
+    requests = spark.createDataFrame(req, "id long, req_ts timestamp")
+    replies = spark.createDataFrame(rep, "id long, reply_ts timestamp, body string")
+    for name, df in (("q", requests), ("a", replies)):
+        for n in range(3):                      # three files, so several micro-batches
+            df.where(F.col("id") % 3 == n).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    q, a = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n))
+            for n, df in (("q", requests), ("a", replies)))
+    got = sorted(map(tuple, run_to_table(stream_correlate(q, a, ["id"], delay="8 hours"), "first").collect()))
+    want = sorted(map(tuple, correlate(requests, replies, ["id"]).where("id < 50").collect()))
+    assert got == want and [r[3] for r in want] == ["0-5", "1-5", "2-5", "3-5", "4-5", None]
