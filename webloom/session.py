@@ -43,6 +43,21 @@ def get_spark(master: str | None = None, app: str = "webloom",
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters on which it is neither
+    installed nor submitted with ``--py-files``."""
+    import zipfile
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="webloom-ship-"), "webloom.zip")   # read by the driver alone
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("webloom", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(path)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 

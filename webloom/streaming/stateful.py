@@ -64,14 +64,22 @@ def stream_last_n(events: DataFrame, key: str, ts: str, id_col: str, type_col: s
             log = json.loads(log_json)
         else:
             log, version = [], 0
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values([ts, id_col], kind="stable")
-        for i, t in zip(batch[id_col].tolist(), batch[type_col].tolist()):
-            if t == reset_type:
-                log = []
-            else:
-                log.append([int(i), t])
-                if len(log) > n:
-                    log = log[-n:]
+        # Chunk by chunk, only the newest n rows after the last marker are held.
+        marker, kept = None, None
+        for pdf in pdfs:
+            part = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
+            part = part.sort_values([ts, id_col], kind="stable")
+            resets = part[part[type_col] == reset_type]
+            if len(resets):
+                last = (resets[ts].iloc[-1], resets[id_col].iloc[-1])
+                marker = last if marker is None else max(marker, last)
+            part = part[part[type_col] != reset_type]
+            if marker is not None:
+                part = part[(part[ts] > marker[0]) | ((part[ts] == marker[0]) & (part[id_col] > marker[1]))]
+            kept = part.tail(n)
+        log = ([] if marker is not None else log) + [
+            [int(i), t] for i, t in zip(kept[id_col].tolist(), kept[type_col].tolist())]
+        log = log[-n:]
         version += 1
         state.update((json.dumps(log), version))
         if not log:
