@@ -69,3 +69,20 @@ def test_outline_udtf(spark):
     spark.createDataFrame([(5, HTML_EDGE)], "page_id long, html string").createOrReplaceTempView("edge_pages")
     n = spark.sql("SELECT p.page_id, t.* FROM edge_pages p, LATERAL outline_nodes(p.page_id, p.html) t").count()
     assert n == len(page_nodes(5, HTML_EDGE))
+
+
+def test_deep_nesting_and_elements(spark):
+    from webloom.operators.outline import outline_elements
+    deep = "<div>" * 3000 + "deep" + "</div>" * 3000
+    edge = ("<head><style>p{}</style><title>t</title></head><!-- <a>no</a> --><script>'<a>'</script><a aria-label='A &amp; b' href=x>t</a>"
+            "<h2>  Head\nline two</h2><input type=BUTTON><input><input type=hidden><p hidden>x</p><p style='display: none'>y</p>"
+            "<div onclick=f() title='a > b'>click</div><b role=tab data-mcp-ref=r9>z</b><img")
+    pages = spark.createDataFrame([(1, deep), (2, edge), (3, None), (4, "")], "page_id long, html string")
+    rows = outline_nodes(pages.where("page_id = 1")).collect()
+    assert len(rows) == 3001 and max(r.depth for r in rows) == 3000 and {r.name for r in rows} == {"deep"}
+    assert outline_text(pages.where("page_id = 1")).first().n_lines == 3001
+    got = [(r.tag, r.role, r.name, r.ref is not None) for r in outline_elements(pages).where("page_id = 2").orderBy("pos").collect()]
+    assert got == [("a", "link", "A & b", True), ("h2", "heading", "Head", False), ("input", "button", "", True), ("input", "textbox", "", True),
+                   ("div", "generic", "click", True), ("b", "tab", "z", True)]
+    assert outline_elements(pages).where("page_id > 2").count() == 0
+    assert outline_elements(pages.limit(0)).count() == 0

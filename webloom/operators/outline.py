@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.functions.text import decode_entities, js_trim
+
 # Fixed values.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
         "source", "track", "wbr"}
@@ -190,28 +192,40 @@ def _hidden(el: _El) -> bool:
     return bool(DISPLAY_NONE.search(el.attrs.get("style", "")))
 
 
-def _lines(el: _El, out: list):
-    """Rendered text of a subtree as a flat token list ('\\n' = line break)."""
-    for c in el.children:
-        if isinstance(c, str):
-            out.append(c)
-        elif not _hidden(c):
-            block = c.tag in BLOCK
-            if block:
-                out.append("\n")
-            _lines(c, out)
-            if block:
-                out.append("\n")
+def _pieces(el: _El):
+    """Rendered text of a subtree, piece by piece ('\n' = line break); no recursion,
+    so a page may nest as deep as it likes."""
+    stack = [iter(el.children)]
+    ends = [""]
+    while stack:
+        for c in stack[-1]:
+            if isinstance(c, str):
+                yield c
+            elif not _hidden(c):
+                block = "\n" if c.tag in BLOCK else ""
+                if block:
+                    yield block
+                stack.append(iter(c.children))
+                ends.append(block)
+                break
+        else:
+            stack.pop()
+            if ends.pop():
+                yield "\n"
 
 
 def _first_line(el: _El) -> str:
-    parts: list = []
-    _lines(el, parts)
-    for line in "".join(parts).split("\n"):
-        line = re.sub(r"[ \t\r\f]+", " ", line).strip(" \t\r\f")
-        if line:
-            return line
-    return ""
+    """The first line with text; reading stops there."""
+    held = ""
+    for piece in _pieces(el):
+        held += piece
+        if "\n" in piece:
+            *lines, held = held.split("\n")
+            for line in lines:
+                line = re.sub(r"[ \t\r\f]+", " ", line).strip(" \t\r\f")
+                if line:
+                    return line
+    return re.sub(r"[ \t\r\f]+", " ", held).strip(" \t\r\f")
 
 
 def _visible(el: _El) -> bool:
@@ -279,9 +293,9 @@ def page_nodes(page_id: int, html: str):
         body.children = flat
     rows = []
 
-    def walk(el: _El, parent_id, depth, pos, path):
-        if not _visible(el):
-            return
+    todo = [(body, None, 0, 0, "body")] if _visible(body) else []
+    while todo:
+        el, parent_id, depth, pos, path = todo.pop()
         node_id = len(rows)
         role = role_of(el.tag, el.attrs.get("role") or None, el.attrs.get("type"))
         name = el.attrs.get("aria-label") or _first_line(el)[:NAME_LEN].strip(JS_SPACE) or ""
@@ -289,15 +303,8 @@ def page_nodes(page_id: int, html: str):
         if not ref and (role in REF_ROLES or "onclick" in el.attrs):
             ref = hashlib.sha256(f"{page_id}/{path}".encode()).hexdigest()[:8]
         rows.append((page_id, node_id, parent_id, depth, pos, role, name, ref))
-        k = 0
-        for i, c in enumerate(el.children):
-            if not isinstance(c, str):
-                before = len(rows)
-                walk(c, node_id, depth + 1, k, f"{path}/{i}")
-                if len(rows) > before:
-                    k += 1
-
-    walk(body, None, 0, 0, "body")
+        seen = [(i, c) for i, c in enumerate(el.children) if not isinstance(c, str) and _visible(c)]
+        todo.extend((c, node_id, depth + 1, k, f"{path}/{i}") for k, (i, c) in reversed(list(enumerate(seen))))
     return rows
 
 
@@ -347,16 +354,53 @@ def outline_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(_text_batches, TEXT_SCHEMA)
 
 
-def outline_text_from_nodes(nodes: DataFrame) -> DataFrame:
-    """T2 over an existing node table: lines ordered by node_id per page."""
-    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col("role"), F.lit(': "'), F.col("name"),
-                    F.lit('"'), F.when(F.col("ref").isNotNull(),
-                                       F.concat(F.lit(" [ref:"), F.col("ref"), F.lit("]")))
-                    .otherwise(F.lit("")), F.lit("\n"))
-    return (nodes.groupBy("page_id")
-            .agg(F.array_sort(F.collect_list(F.struct("node_id", line.alias("l")))).alias("_ls"))
-            .select("page_id", F.size("_ls").cast("bigint").alias("n_lines"),
-                    F.array_join(F.transform("_ls", lambda x: x["l"]), "").alias("outline")))
+# One pattern cuts a page into comments, raw-text elements, tags and texts.  All
+# loops are possessive: no backtracking and no recursion, however long the page.
+_ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+TOKEN_RE = (r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript|head)(?=[\s>]).*?(?:</\1\s*>|\z)"
+            rf"|</?[a-z]{_ATTRS}>|<[!?][^>]*+>|[^<]++|<")
+START_RE = r"(?i)^<([a-z][^\s/>]*)"
+_SKIPPED = sorted(NEVER_RENDERED | {"html", "body"})
+
+
+def _attr(tag, name: str):
+    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+
+
+def outline_elements(pages: DataFrame) -> DataFrame:
+    """P16-P19 as Columns over a token table: ``(page_id, pos, tag, role, name, ref)``.
+
+    A page is cut into tokens in its row; its start tags are exploded with
+    the text that follows them.  ``pos`` counts tokens, the name is the
+    ``aria-label`` or the first line of the text directly inside, the ref is
+    the page's own or a hash of page and place.  Elements that are hidden
+    themselves are left out.  Built-in functions only, and no page can end the job."""
+    tokens = pages.select("page_id", F.regexp_extract_all("html", F.lit(TOKEN_RE), F.lit(0)).alias("_t"))
+    starts = F.filter(F.transform("_t", lambda t, i: F.struct(i.alias("pos"), t.alias("tag"), F.get("_t", i + 1).alias("next"))),
+                      lambda x: x["tag"].rlike(START_RE))
+    rows = (tokens.select("page_id", F.explode_outer(starts).alias("x")).where("x is not null")
+            .select("page_id", F.col("x.pos").cast("bigint").alias("pos"), F.col("x.tag").alias("_tag"), F.col("x.next").alias("_next"))
+            .withColumn("tag", F.lower(F.regexp_extract("_tag", START_RE, 1))))
+    kind = F.lower(_attr("_tag", "type"))
+    shown = (~F.col("tag").isin(_SKIPPED) & ~F.col("_tag").rlike(r"(?i)\shidden(?=[\s=/>])")
+             & ~_attr("_tag", "style").rlike(r"(?i)display\s*:\s*none") & ~((F.col("tag") == "input") & (kind == "hidden")))
+    own = F.nullif(_attr("_tag", "role"), F.lit(""))
+    role = (F.when(own.isNotNull(), own).when(F.col("tag") == "button", "button")
+            .when(F.col("tag") == "input", F.when(kind == "button", "button").otherwise("textbox"))
+            .when(F.col("tag") == "a", "link").when(F.col("tag").rlike("^h[1-6]$"), "heading")
+            .when(F.col("tag") == "img", "image").when(F.col("tag").isin("table", "form"), F.col("tag")).otherwise("generic"))
+    line = js_trim(F.substring_index(js_trim(decode_entities(F.coalesce("_next", F.lit("")))), "\n", 1))
+    text = F.when(F.col("_next").startswith("<"), F.lit("")).otherwise(
+        js_trim(F.substring(F.regexp_replace(line, r"[ \t\r\f]+", " "), 1, NAME_LEN)))
+    label = decode_entities(_attr("_tag", "aria-label"))
+    rows = rows.where(shown).withColumn("role", role)
+    given = F.nullif(_attr("_tag", REF_ATTR), F.lit(""))
+    made = F.substring(F.sha2(F.concat_ws("/", F.col("page_id").cast("string"), F.col("pos").cast("string")), 256), 1, 8)
+    needs = F.col("role").isin(sorted(REF_ROLES)) | F.col("_tag").rlike(r"(?i)\sonclick\s*=")
+    return rows.select("page_id", "pos", "tag", "role",
+                       F.coalesce(F.nullif(label, F.lit("")), text, F.lit("")).alias("name"),
+                       F.coalesce(given, F.when(needs, made)).alias("ref"))
 
 
 def register_outline_udtf(spark):

@@ -8,7 +8,7 @@ engines apply the same rules.
 from __future__ import annotations
 
 from webloom.functions.text import (ASCII_SPACE_CLASS, sql_decode_entities, sql_inner_text,
-                                    sql_squeeze)
+                                    sql_js_trim, sql_squeeze)
 from webloom.functions.urls import sql_resolve_root_or_absolute
 from webloom.operators import html as H
 from webloom.operators.outline import REF_ATTR
@@ -546,6 +546,39 @@ WHERE qn IS NOT NULL OR mx + INTERVAL 1 HOUR > st + INTERVAL 24 HOUR
    OR mx + INTERVAL 1 HOUR < (SELECT max(ts) FROM events) - INTERVAL {Q.STREAM_DELAY}
 """
 
+# Elements with RE2's means: no possessive loops, the given pages' quotes are balanced.
+_TOK = ("(?is)<!--.*?-->|<script[\\s>].*?</script\\s*>|<style[\\s>].*?</style\\s*>|<template[\\s>].*?</template\\s*>"
+        "|<noscript[\\s>].*?</noscript\\s*>|<head[\\s>].*?</head\\s*>"
+        "|</?[a-z](?:[^>\"'']|\"[^\"]*\"|''[^'']*'')*>|<[!?][^>]*>|[^<]+|<")
+
+
+def _own(attr: str) -> str:
+    p = f"(?is)\\s{attr}\\s*=\\s*(?:\"([^\"]*)\"|''([^'']*)''|([^\\s\"''>]+))"
+    return "(" + " || ".join(f"regexp_extract(t, '{p}', {g})" for g in (1, 2, 3)) + ")"
+
+
+OUTLINE_ELEMENTS = f"""
+WITH tok AS (SELECT page_id, regexp_extract_all(html, '{_TOK}') AS l FROM pages),
+x AS (SELECT page_id, unnest(l) AS t, unnest(range(len(l))) AS pos, unnest(list_concat(l[2:], [NULL])) AS nx FROM tok),
+e AS (SELECT page_id, pos, t, nx, lower(regexp_extract(t, '(?i)^<([a-z][^\\s/>]*)', 1)) AS tag
+      FROM x WHERE regexp_matches(t, '(?i)^<[a-z]')),
+r AS (SELECT *, CASE WHEN {_own("role")} <> '' THEN {_own("role")} WHEN tag = 'button' THEN 'button'
+               WHEN tag = 'input' THEN CASE WHEN lower({_own("type")}) = 'button' THEN 'button' ELSE 'textbox' END
+               WHEN tag = 'a' THEN 'link' WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' WHEN tag = 'img' THEN 'image'
+               WHEN tag IN ('table', 'form') THEN tag ELSE 'generic' END AS role
+      FROM e WHERE tag NOT IN ('head', 'script', 'style', 'template', 'noscript', 'meta', 'link', 'title', 'base', 'html', 'body')
+        AND NOT regexp_matches(t, '(?i)\\shidden[\\s=/>]') AND NOT regexp_matches({_own("style")}, '(?i)display\\s*:\\s*none')
+        AND NOT (tag = 'input' AND lower({_own("type")}) = 'hidden')),
+n AS (SELECT *, CASE WHEN nx IS NULL OR starts_with(nx, '<') THEN '' ELSE
+        {sql_js_trim("substr(regexp_replace(" + sql_js_trim("split_part(" + sql_js_trim(sql_decode_entities("nx")) + ", chr(10), 1)") + ", '[ \\t\\r\\f]+', ' ', 'g'), 1, 50)")} END AS txt FROM r)
+SELECT page_id, CAST(pos AS BIGINT) AS pos, tag, role,
+       CASE WHEN {_own("aria-label")} <> '' THEN {sql_decode_entities(_own("aria-label"))} ELSE txt END AS name,
+       CASE WHEN {_own(REF_ATTR)} <> '' THEN {_own(REF_ATTR)}
+            WHEN role IN ('button', 'link', 'textbox') OR regexp_matches(t, '(?i)\\sonclick\\s*=')
+            THEN substr(sha256(page_id || '/' || pos), 1, 8) END AS ref
+FROM n
+"""
+
 LINKS_EDGE = """
 SELECT page_id, CAST(pos AS BIGINT) AS pos, text, 'https://edge.example.com/' || (pos + 1) AS href
 FROM (SELECT page_id, unnest(range(4)) AS pos, unnest(['one', 'two', 'thr\u00e9e', 'four ' || page_id]) AS text FROM pages)
@@ -652,6 +685,7 @@ ORACLE = {
     "request_bodies": REQUEST_BODIES,
     "file_inventory": FILE_INVENTORY,
     "links_edge": LINKS_EDGE,
+    "outline_elements": OUTLINE_ELEMENTS,
     "request_log": REQUEST_LOG,
     "drop_closed": DROP_CLOSED,
     "ref_selectors": REF_SELECTORS,

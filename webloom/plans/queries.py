@@ -330,6 +330,11 @@ def q_outline_nodes(spark, d):
     return outline_nodes(_pages(spark, d, "page_id", "html"))
 
 
+def q_outline_elements(spark, d):
+    from webloom.operators.outline import outline_elements
+    return outline_elements(_pages(spark, d, "page_id", "html"))
+
+
 def q_outline_sql(spark, d):
     """The outline as a SQL table function, ``LATERAL`` over every page."""
     from webloom.operators.outline import register_outline_udtf
@@ -653,6 +658,7 @@ QUERIES = {
     "translate_queries": q_translate_queries,
     "outline_nodes": q_outline_nodes,
     "outline_text": q_outline_text,
+    "outline_elements": q_outline_elements,
     "outline_sql": q_outline_sql,
     "page_text": q_page_text,
     "pages_with": q_pages_with,
