@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from webloom.llm.common import checkpointed
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)),
-                           F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is either a root or has one edge, to a root."""
+    ends = (edges.select(F.col("a").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("root"))
+            .unionByName(edges.select(F.col("b").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("root"))))
+    odd = ends.groupBy("n").agg(F.sum("child").alias("child"), F.max("root").alias("root")).where("child + root > 1")
+    return odd.isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -27,19 +30,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     e = checkpointed(edges.where("a <> b")
                      .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    now = _state(e)
-    while now[0]:
+    while not _stars(e):
         # Large star: every larger neighbour of a node goes to the node's least neighbour.
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (both.where("b > a").join(least, "a")
-                 .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: every smaller neighbour of a node, and the node, go to the least one.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = checkpointed(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        before, now = now, _state(e)
-        if now == before:
-            break
+    # An edge goes from the larger node to the smaller, so a star's root is its least node.
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
