@@ -176,12 +176,13 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS)
         least = (named.join(written(twice), "doc_id", "left_semi")
                  .groupBy("doc_id").agg(F.min(F.struct(*order)).alias("_row")))
         once = once.unionByName(least.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]))
-    lost = drop.where("doc_id is null")
     unnamed = docs.where("doc_id is null")
     if not unnamed.isEmpty():
-        known = (fingerprints(unnamed.select("doc_id", "text").distinct(), size).select("fp").distinct()
-                 .select(F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
-                 .join(lost.select("fingerprint").distinct(), "fingerprint"))
-        if known.isEmpty():
-            once = once.unionByName(unnamed.select(*docs.columns))
+        # Without ids, rows are told apart by a hash of their text.
+        mark = F.xxhash64("text")
+        prints = fingerprints(unnamed.select(mark.alias("doc_id"), "text").distinct(), size)
+        lost = (prints.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
+                .join(drop.where("doc_id is null").select("fingerprint").distinct(), "fingerprint")
+                .select(F.col("doc_id").alias("_mark")))
+        once = once.unionByName(unnamed.join(lost, mark == F.col("_mark"), "left_anti").select(*docs.columns))
     return once
