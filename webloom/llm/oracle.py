@@ -1,3 +1,85 @@
-"""DuckDB SQL for the queries of this package that SQL can express."""
+"""DuckDB SQL for the queries of this package that SQL can express.
 
-ORACLE: dict[str, str] = {}
+The others (a trained classifier or model, XXH64, a tokenizer) are compared
+with brute force in ``tests/llm``.
+"""
+
+# Words of a document, by place from 1.
+_WORDS = r"""
+w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)"""
+
+# SHA-1 in base 32: five hexadecimal digits are four letters.
+_BASE32 = """
+array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform(range(4), lambda j:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((('0x' || substr(sha, CAST(5 * i + 1 AS INTEGER), 5))::INTEGER >> (15 - 5 * j)::INTEGER) & 31 AS INTEGER) + 1, 1)), '')), '')"""
+
+OP1 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS sha, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d
+"""
+
+OP7 = rf"""
+WITH {_WORDS},
+g AS (SELECT doc_id, k, ws[k:k + 7] AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS k FROM w)),
+r AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT k + o) AS n FROM r, range(8) t(o) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+             coalesce(text, '') AS text FROM documents),
+m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+             CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+             len(ls) AS n_lines, length(text) - length(translate(text, '!', '')) AS marks,
+             len(list_filter(ws, lambda x: list_contains(STOPS, lower(x)))) AS stops
+      FROM w JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND word_chars / greatest(n_words, 1) BETWEEN 1.5 AND 25 AND n_symbols / greatest(n_words, 1) <= 0.3
+         AND stops / greatest(n_words, 1) >= 0.01 AND n_dup_lines / greatest(n_lines, 1) <= 0.5
+         AND marks / greatest(n_words, 1) <= 0.3 AS kept
+FROM f
+"""
+
+OP8 = rf"""
+WITH {_WORDS},
+g AS (SELECT doc_id, k, array_to_string(ws[k:k + 12], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS k FROM w)),
+r AS (SELECT doc_id, k FROM (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY gram) AS lo FROM g) WHERE lo < doc_id),
+x AS (SELECT DISTINCT doc_id, k + o AS k FROM r, range(13) t(o)),
+e AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.k) AS text, count(*) AS n
+         FROM e ANTI JOIN x ON e.doc_id = x.doc_id AND e.k = x.k GROUP BY e.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+# The function words of the quality rules.
+_STOPS = ("the of and to a in is that it for was on with as be der die das und zu den mit von ein eine nicht im des auf "
+          "le la les de et un une du que pour pas en sur qui el los las y no por con para del se su al lo").split()
+
+OP5 = """
+WITH last AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+t AS (SELECT conv_id, turn, role, text, last FROM conversations JOIN last USING (conv_id) WHERE turn <= last),
+s AS (SELECT conv_id, turn, 'prompt' AS part, role, text FROM t WHERE turn < last
+      UNION ALL SELECT conv_id, turn, 'chosen', role, text FROM t WHERE turn = last
+      UNION ALL SELECT conv_id, turn, 'rejected', role, substr(text, 1, CAST(length(text) // 2 AS INTEGER)) FROM t WHERE turn = last),
+r AS (SELECT conv_id, turn, part, role, length(role) + 13 AS head,
+             '<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS line
+      FROM s)
+SELECT conv_id AS pair_id, part, CAST(turn // 64 AS BIGINT) AS block, CAST(count(*) AS INTEGER) AS n_turns,
+       string_agg(line, '' ORDER BY turn) AS text,
+       CASE WHEN part = 'prompt' THEN '' ELSE min(head) || '-' || min(length(line) - 1) END AS loss,
+       CASE WHEN part = 'prompt' THEN 0 ELSE CAST(min(length(line) - 1 - head) AS INTEGER) END AS n_loss
+FROM r GROUP BY conv_id, part, turn // 64
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_warc": OP1,
+    "op5_preferences": OP5,
+    "op7_quality": OP7.replace("STOPS", "[" + ", ".join(f"'{x}'" for x in _STOPS) + "]"),
+    "op8_repeats": OP8,
+}
