@@ -120,3 +120,15 @@ def test_small_ones(spark):
     assert [r[0] for r in df.select(validate_enum("v", ("a", "b"))).collect()] == [None, "Invalid args", None]
     ev = spark.createDataFrame([(1,)], "id int").select(F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"))
     assert "coalesce" not in retained(ev, "ts", "2024-01-03")._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_equal_requests_are_all_answered(spark):
+    import datetime as dt
+
+    from webloom.operators.correlate import correlate
+    t = dt.datetime(2024, 1, 1)
+    req = spark.createDataFrame([(1, t), (1, t), (2, t)], "id long, req_ts timestamp")
+    rep = spark.createDataFrame([(1, t + dt.timedelta(seconds=9), "b"), (1, t + dt.timedelta(seconds=3), "a")],
+                                "id long, reply_ts timestamp, body string")
+    assert sorted((r.id, r.body) for r in correlate(req, rep, ["id"]).collect() if r.body) == [(1, "a"), (1, "a")]
+    assert correlate(req, rep, ["id"]).count() == 3

@@ -22,7 +22,8 @@ def correlate(requests: DataFrame, replies: DataFrame, id_cols: list[str],
     """``requests(*id, req_ts, ...)``, ``replies(*id, reply_ts, ...)`` ->
     requests with ``reply_ts`` (NULL when timed out) plus all reply columns
     of the first reply."""
-    r = requests.alias("q")
+    # Equal requests are looked up once and given as often as they came.
+    r = requests.groupBy(*requests.columns).agg(F.count(F.lit(1)).alias("_times")).alias("q")
     a = replies.alias("a")
     cond = [F.col(f"q.{c}") == F.col(f"a.{c}") for c in id_cols]
     cond.append(F.col("a.reply_ts") >= F.col("q.req_ts"))
@@ -31,5 +32,6 @@ def correlate(requests: DataFrame, replies: DataFrame, id_cols: list[str],
     req_cols = [F.col(f"q.{c}").alias(c) for c in requests.columns]
     reply_cols = [c for c in replies.columns if c not in id_cols]
     first = F.min_by(F.struct(*[F.col(f"a.{c}").alias(c) for c in reply_cols]), F.col("a.reply_ts"))
-    return (j.groupBy(*req_cols).agg(first.alias("_r"))
+    return (j.groupBy(*req_cols, F.col("q._times").alias("_times")).agg(first.alias("_r"))
+            .select(*requests.columns, "_r", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int"))))
             .select(*requests.columns, *[F.col(f"_r.{c}").alias(c) for c in reply_cols]))
