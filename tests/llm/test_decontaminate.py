@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import pytest
 
@@ -77,3 +78,53 @@ def test_edges(spark):
 def test_no_python_in_the_plan(spark):
     plan = D.decontaminate(docs_of(spark, [(1, "a")]), _bench(spark, [(1, " ".join(ITEM))]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def _best(side, item):
+    """The highest share of equal words over the windows of an item laid at any place of a text."""
+    width, best = min(D.WINDOW, len(item)), 0
+    for shift in range(1 - len(item), len(side)):
+        eq = [0 <= i + shift < len(side) and side[i + shift] == w for i, w in enumerate(item)]
+        best = max(best, *(sum(eq[s:s + width]) for s in range(len(item) - width + 1)))
+    return best / width
+
+
+@pytest.mark.parametrize("n", [11, 12, 13])
+def test_masks_fit_beside_any_two_substitutions(n):
+    for gone in combinations(range(n), 2):
+        assert any(all(m[i] == "0" or at + i not in gone for i in range(len(m)))
+                   for m in D.masks_of(n) for at in range(n - len(m) + 1)), gone
+    assert all("11" in m for m in D.masks_of(n))
+
+
+def test_any_two_substitutions_and_every_fifth_word(spark):
+    texts, want = [], []
+    items = {n: [f"n{n}w{i}" for i in range(n)] for n in (11, 12, 13, 40)}
+    for n in (11, 12, 13):
+        for gone in combinations(range(n), 2):
+            side = ["zz" if i in gone else w for i, w in enumerate(items[n])]
+            texts.append(" ".join(["a", "b", *side, "c"]))
+            want.append(_best(texts[-1].split(), items[n]))
+    for first in range(5):
+        side = ["zz" if i % 5 == first else w for i, w in enumerate(items[40])]
+        texts.append(" ".join(side))
+        want.append(_best(side, items[40]))
+    got = {r.doc_id: r.share for r in D.decontaminate(
+        docs_of(spark, list(enumerate(texts))), _bench(spark, [(n, " ".join(x)) for n, x in items.items()])).collect()}
+    assert all(w >= D.MIN_SHARE for w in want)
+    assert all(got[i] == pytest.approx(w) for i, w in enumerate(want))
+
+
+def test_random_substitutions_by_the_rule_without_seeds(spark):
+    rnd = random.Random(11)
+    rows, sides, items = [], [], {n: [f"r{n}w{i}" for i in range(n)] for n in (11, 12, 13, 15, 20, 30)}
+    for n, item in items.items():
+        for _ in range(60):
+            cut = item[rnd.choice((0, 0, 1, 2)):n - rnd.choice((0, 0, 1, 2))]       # a text may end inside an item
+            sides.append((n, [w if rnd.random() > 0.15 else "zz" for w in cut]))
+            rows.append((len(rows), " ".join(sides[-1][1])))
+    got = {r.doc_id: r.share for r in D.decontaminate(
+        docs_of(spark, rows), _bench(spark, [(n, " ".join(x)) for n, x in items.items()])).collect()}
+    for i, (n, side) in enumerate(sides):
+        best = _best(side, items[n])
+        assert got[i] == pytest.approx(best if best >= D.MIN_SHARE else 0), (n, side)

@@ -9,14 +9,18 @@ side and compared word by word.  A document is contaminated if, in some
 window of ``WINDOW`` aligned words of an item (the whole item, if that is
 shorter), at least ``MIN_SHARE`` of the words are equal.
 
+The masks for an item's length leave no gap: wherever in a window the words
+stand that the share lets differ (two of 11 to 13), some mask fits between
+them, so every overlap that reaches the share is met by a seed.
+
 A mask holds two neighbouring ones.  A text's seeds are made only where the
 two words there are neighbours in some item as well; a bit table of fixed size tells, which
 never misses a pair (others that it lets pass are met by the join).  So
 the join gets few rows, and the planner may choose any kind of join; texts
 are never shuffled unless very many documents have hits.
 
-Items shorter than the masks, but of ``MIN_ITEM_WORDS`` words or more, are
-met by a mask of ones as long as the item.  Shorter items are too common to
+Items below 11 words, but of ``MIN_ITEM_WORDS`` words or more, are met by a
+mask of ones as long as the item.  Shorter items are too common to
 tell anything and are not looked for.
 
 Defined results: a null or empty text is clean; rows that share a doc_id
@@ -32,8 +36,9 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import checkpointed, written
 
-# Ones are the word positions that are hashed; zeros are ignored.
-MASKS = ("11011011011", "101101101101")
+# Ones are the word positions that are hashed; zeros are ignored.  By the least length of an item:
+# each family fits beside any two substituted words of a window of so many words.
+MASKS = {13: ("11101011", "110100111"), 11: ("1111011", "110001111", "1101100011")}
 MIN_ITEM_WORDS = 6
 WINDOW = 13
 MIN_SHARE = 0.8
@@ -107,21 +112,33 @@ def _known(table: Column, pair: Column) -> Column:
     return F.call_function("shiftright", F.get(table, cell), bit).bitwiseAND(F.lit(1)) == 1
 
 
-def item_seeds(found: DataFrame, masks: tuple[str, ...] = MASKS) -> tuple[DataFrame, dict[int, str]]:
-    """(item_id, at, seed), and the masks: the fixed ones and one for each short length.
+def masks_of(n: int, masks: dict[int, tuple[str, ...]] = MASKS) -> tuple[str, ...]:
+    """The masks for items of n words: of the greatest length up to n, or a mask of ones."""
+    least = [k for k in masks if k <= n]
+    return masks[max(least)] if least else ("1" * n,)
+
+
+def item_seeds(found: DataFrame, masks: dict[int, tuple[str, ...]] = MASKS) -> tuple[DataFrame, dict[int, str]]:
+    """(item_id, at, seed), and the masks that items have need of.
 
-    There are fewer short lengths than the longest mask has positions.
+    There are fewer short lengths than the greatest length of ``masks``.
     """
-    spans = max(map(len, masks))
-    short = sorted(r.n for r in found.where(F.col("n") < spans).select("n").distinct().collect())
-    every = dict(enumerate([*masks, *["1" * n for n in short]]))
+    most = max(masks)
+    lengths = [r.n for r in found.select(F.least("n", F.lit(most)).alias("n")).distinct().collect()]
+    users: dict[str, list[int]] = {}
+    for n in sorted(lengths, reverse=True):
+        for m in masks_of(n, masks):
+            users.setdefault(m, []).append(n)
+    if not users:
+        users = {m: [most] for m in masks[most]}        # an empty benchmark
+    every = dict(enumerate(users))
     h = F.col("h")
-    # A seed that reaches beyond the item is of no use.
-    fits = {k: F.transform(F.filter(_places(h), _inside(m)), lambda i: i) for k, m in every.items()}
     rows = None
     for k, m in every.items():
-        own = found if k < len(masks) else found.where(F.col("n") == len(m))
-        part = own.select("item_id", F.explode(_one_mask(h, m, k, fits[k])).alias("x"))
+        # A seed that reaches beyond the item is of no use.
+        fits = F.transform(F.filter(_places(h), _inside(m)), lambda i: i)
+        own = found.where(F.least("n", F.lit(most)).isin(users[m]))
+        part = own.select("item_id", F.explode(_one_mask(h, m, k, fits)).alias("x"))
         rows = part if rows is None else rows.unionByName(part)
     return rows.select("item_id", "x.at", "x.seed"), every
 
@@ -131,7 +148,7 @@ def _inside(mask: str):
     return lambda i: (i >= first) & (i - first + len(mask) <= F.col("n"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS,
+def overlaps(docs: DataFrame, benchmark: DataFrame, masks: dict[int, tuple[str, ...]] = MASKS,
              window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
     """Verified overlaps: doc_id, item_id, shift (place of the item's first word), share."""
     found = checkpointed(items(benchmark))
