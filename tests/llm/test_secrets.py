@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import EDGE, docs_of, long_text
 from webloom.llm import secrets as S
@@ -67,3 +68,15 @@ def test_edges_and_redaction(spark):
     assert got[1].text is None and got[1].n_chars is None and got[2].text == ""
     assert got[30].text.endswith(" [SECRET]") and out.count() == len(EDGE) + 3
     assert S.find_secrets(docs.limit(0)).count() == 0 and S.redact(docs.limit(0)).count() == 0
+
+
+def test_models_are_trained_on_every_document(spark):
+    # One document in 25,000 has random strings, wherever its id falls, and one has no id.
+    rnd = random.Random(6)
+    rare = " ".join(f"token={_random(rnd)}" for _ in range(300))
+    plain = spark.range(25_000).select("id", F.lit("ordinary_identifier words").alias("text"))
+    fresh = [_random(rnd) for _ in range(100)]
+    for i in (None, *range(25_000, 25_003)):
+        more = spark.createDataFrame([(i, rare)], "id long, text string")
+        ratio = S.train(plain.unionByName(more).withColumnRenamed("id", "doc_id"))
+        assert ratio is not None and np.mean([S.is_random(s, ratio) for s in fresh]) > 0.9

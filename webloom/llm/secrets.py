@@ -5,9 +5,8 @@ samples: random strings (values that the fixed patterns find) and ordinary
 identifiers (the other long words).  A candidate word, a run of at least
 ``MIN_CHARS`` characters of the base-64 and identifier alphabets, is a secret
 if the log-likelihood ratio of the two models is at least ``MIN_RATIO`` for each
-character on average, and it has letters and digits.  The samples come from the
-``MAX_DOCS`` documents of the smallest hashed ids; each model is a table of fixed
-size.
+character on average, and it has letters and digits.  The samples come from all
+documents; each model is a table of fixed size.
 
 Spans that overlap a span of a fixed pattern are not added, so the models
 only add to the patterns.
@@ -40,7 +39,6 @@ KINDS = ("assign", "access", "hex", "markov")
 
 MIN_CHARS = 20
 MIN_RATIO = 0.6
-MAX_DOCS = 20_000               # bound of the sample that the models are trained on
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CHARS)
 _IDENTIFIER = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 
@@ -81,12 +79,9 @@ def samples(text: str) -> tuple[list[str], list[str]]:
     return random, plain
 
 
-def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> np.ndarray | None:
+def train(docs: DataFrame) -> np.ndarray | None:
     """Log-likelihood ratio of each pair of characters, ``SIZE`` by ``SIZE``."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    ids = (docs.select("doc_id").where("doc_id is not null").distinct()
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))
+    small_batches(docs.sparkSession)
 
     def count(batches):
         total = np.zeros((2, SIZE * SIZE), np.int64)
@@ -103,9 +98,8 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> np.ndarray | None:
             [pa.array(kind, pa.int32()), pa.array(place, pa.int32()), pa.array(total[kind, place])],
             ["kind", "place", "n"])
 
-    # ids has max_docs rows at most, a proven bound for the broadcast.
-    counts = (docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text")
-              .mapInArrow(count, "kind int, place int, n long")
+    # A task gives 2 * SIZE * SIZE rows at most.
+    counts = (docs.select("text").mapInArrow(count, "kind int, place int, n long")
               .groupBy("kind", "place").agg(F.sum("n").alias("n")).collect())
     total = np.zeros((2, SIZE, SIZE))
     for r in counts:
