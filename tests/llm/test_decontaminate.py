@@ -128,3 +128,16 @@ def test_random_substitutions_by_the_rule_without_seeds(spark):
     for i, (n, side) in enumerate(sides):
         best = _best(side, items[n])
         assert got[i] == pytest.approx(best if best >= D.MIN_SHARE else 0), (n, side)
+
+
+def test_rows_without_an_id_or_with_the_same_id_are_judged_by_their_text(spark):
+    clean, bad = "a text that has nothing of the benchmark in it", "x y " + " ".join(ITEM)
+    rows = [(None, clean), (None, bad), (None, bad), (None, None), (7, bad), (7, clean), (8, clean), (9, bad)]
+    bench = _bench(spark, [(1, " ".join(ITEM))])
+    docs = docs_of(spark, rows)
+    got = D.decontaminate(docs, bench).collect()
+    assert sorted((r.doc_id or 0, r.contaminated) for r in got) == sorted((i or 0, t == bad) for i, t in rows)
+    kept = D.clean_documents(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.select("doc_id", "text").collect()) == sorted(
+        (i or 0, t or "") for i, t in rows if t != bad)

@@ -23,8 +23,8 @@ Items below 11 words, but of ``MIN_ITEM_WORDS`` words or more, are met by a
 mask of ones as long as the item.  Shorter items are too common to
 tell anything and are not looked for.
 
-Defined results: a null or empty text is clean; rows that share a doc_id
-are judged together, and so are rows with a null id; items with equal
+Defined results: a null or empty text is clean; each text is judged by
+itself, also where rows share a doc_id or have none; items with equal
 words count as one, named by the least item_id; an empty benchmark or an
 empty table gives clean documents or no rows.  Other columns are ignored.
 """
@@ -53,6 +53,16 @@ def words(text: Column) -> Column:
     return F.array_remove(F.transform(F.split(plain, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
 
+def _digest() -> Column:
+    """Tells the texts of one doc_id, or of none, apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    """Equal text of an equal doc_id, null included; ``a`` has the columns _id and _digest."""
+    return (a["_digest"] == b["digest"]) & a["_id"].eqNullSafe(b["doc_id"])
+
+
 def _seed(h: Column, mask: str, number: int, pair: Column) -> Column:
     """The hash under a mask whose first two neighbouring ones are at ``pair``.
 
@@ -150,7 +160,7 @@ def _inside(mask: str):
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: dict[int, tuple[str, ...]] = MASKS,
              window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
-    """Verified overlaps: doc_id, item_id, shift (place of the item's first word), share."""
+    """Verified overlaps: doc_id, digest (of the text), item_id, shift (place of the item's first word), share."""
     found = checkpointed(items(benchmark))
     seeds, every = item_seeds(found, masks)
     seeds = written(seeds)
@@ -158,43 +168,45 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: dict[int, tuple[str,
     h = F.col("h")
     # The outer form: for the inner one the optimizer infers a filter on the list's size, and moves
     # it, with all that makes the list, below the projections.
-    probe = (docs.select("doc_id", words(F.col("text")).alias("h"))
-             .select("doc_id", "h", F.filter(_places(h), lambda i: _known(table, _pair(h, i))).alias("pairs"))
-             .select("doc_id", F.explode_outer(_seeds(h, every, F.col("pairs"))).alias("x"))
-             .where("x is not null").select("doc_id", "x.at", "x.seed"))
+    probe = (docs.select("doc_id", _digest().alias("digest"), words(F.col("text")).alias("h"))
+             .select("doc_id", "digest", "h", F.filter(_places(h), lambda i: _known(table, _pair(h, i))).alias("pairs"))
+             .select("doc_id", "digest", F.explode_outer(_seeds(h, every, F.col("pairs"))).alias("x"))
+             .where("x is not null").select("doc_id", "digest", "x.at", "x.seed"))
     # Distinct seeds first: a seed that very many items share does not multiply what is probed.
     hits = probe.join(written(seeds.select("seed").distinct()), "seed")
     places = (hits.withColumnRenamed("at", "doc_at")
               .join(seeds.withColumnRenamed("at", "item_at"), "seed")
-              .select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct())
+              .select("doc_id", "digest", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct())
     # As a written table its size is known: Spark broadcasts it only below its threshold.
     places = written(places)
-    texts = (docs.join(places.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(places["doc_id"]), "left_semi")
-             .select(F.col("doc_id").alias("_id"), words(F.col("text")).alias("_h")))
-    pairs = (texts.join(places, F.col("_id").eqNullSafe(F.col("doc_id")))
-             .join(found, "item_id"))
-    equal = pairs.select("doc_id", "item_id", "shift", "n", F.transform(F.col("h"), lambda w, i: F.when(
+    found_in = places.select("doc_id", "digest").distinct()
+    named = docs.select(F.col("doc_id").alias("_id"), _digest().alias("_digest"), "text")
+    # Of rows with the same id and text one is enough; only texts with hits are made distinct.
+    texts = (named.join(found_in, _same(named, found_in), "left_semi")
+             .dropDuplicates(["_id", "_digest"]).select("_id", "_digest", words(F.col("text")).alias("_h")))
+    pairs = texts.join(places, _same(texts, places)).join(found, "item_id")
+    equal = pairs.select("doc_id", "digest", "item_id", "shift", "n", F.transform(F.col("h"), lambda w, i: F.when(
         (i + F.col("shift") >= 0) & F.coalesce(F.get("_h", i + F.col("shift")) == w, F.lit(False)), 1)
         .otherwise(0)).alias("eq"))
     width = F.least(F.lit(window), F.col("n"))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n") - width + 1), lambda i: F.aggregate(
         F.slice("eq", i, width), F.lit(0), lambda s, x: s + x)))
-    return (equal.select("doc_id", "item_id", "shift", (best / width).alias("share"))
+    return (equal.select("doc_id", "digest", "item_id", "shift", (best / width).alias("share"))
             .where(F.col("share") >= min_share).distinct())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Ids of contaminated documents: doc_id, n_items, item_id (the least), share (the highest)."""
-    return (overlaps(docs, benchmark).groupBy("doc_id")
+    """The contaminated texts: doc_id, digest, n_items, item_id (the least), share (the highest)."""
+    return (overlaps(docs, benchmark).groupBy("doc_id", "digest")
             .agg(F.countDistinct("item_id").alias("n_items"), F.min("item_id").alias("item_id"),
                  F.max("share").alias("share")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, contaminated, n_items, item_id, share (0 if clean)."""
-    found = contaminated(docs, benchmark)
-    ids = docs.select(F.col("doc_id").alias("_id"))
-    return (ids.join(written(found), F.col("_id").eqNullSafe(F.col("doc_id")), "left")
+    found = written(contaminated(docs, benchmark))
+    ids = docs.select(F.col("doc_id").alias("_id"), _digest().alias("_digest"))
+    return (ids.join(found, _same(ids, found), "left")
             .select(F.col("_id").alias("doc_id"), F.col("n_items").isNotNull().alias("contaminated"),
                     F.coalesce("n_items", F.lit(0)).alias("n_items"), "item_id",
                     F.coalesce("share", F.lit(0.0)).alias("share")))
@@ -202,5 +214,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, all columns unchanged."""
-    found = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("_id")))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_anti")
+    found = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")))
+    same = (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["_digest"]) & docs["doc_id"].eqNullSafe(found["_id"])
+    return docs.join(found, same, "left_anti")
