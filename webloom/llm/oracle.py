@@ -113,10 +113,50 @@ SELECT documents.doc_id, c.n_items IS NOT NULL AS contaminated, coalesce(c.n_ite
 FROM documents LEFT JOIN c USING (doc_id)
 """
 
+OP12 = """
+WITH c AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, c.id, a.label = c.label AS own, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+      FROM c a JOIN c ON a.id % 100 = 0 AND a.id <> c.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE own
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT own AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+# Counts of all phrases of one to four words; the parts of a cut are phrases themselves.
+OP13 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS g
+      FROM w, range(1, 5) t(k) WHERE len(ws) >= k),
+f AS (SELECT lang, CAST(k AS INTEGER) AS k, g, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, a, string_split(g, ' ') AS ws FROM f WHERE k > 1 AND a >= 30),
+o AS (SELECT DISTINCT x.lang, x.g FROM c x JOIN c y ON x.lang = y.lang AND y.k > x.k AND 100 * y.a >= 80 * x.a
+      AND contains(' ' || y.g || ' ', ' ' || x.g || ' ')),
+u AS (SELECT c.lang, c.g, a, t.cut, array_to_string(ws[1:cut], ' ') AS x, array_to_string(ws[cut + 1:], ' ') AS y
+      FROM (SELECT * FROM c ANTI JOIN o ON c.lang = o.lang AND c.g = o.g) c, range(1, 4) t(cut) WHERE t.cut < c.k),
+s AS (SELECT u.lang, u.g, u.a, cut, l.a AS l, r.a AS r, CAST(2000000::HUGEINT * u.a // (l.a + r.a) AS BIGINT) AS score
+      FROM u JOIN f l ON l.lang = u.lang AND l.g = x JOIN f r ON r.lang = u.lang AND r.g = y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(g)) AS rank FROM b)
+SELECT t.lang, rank, g AS phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
     "op1_warc": OP1,
     "op3_decontaminate": OP3,
     "op5_preferences": OP5,
     "op7_quality": OP7.replace("STOPS", "[" + ", ".join(f"'{x}'" for x in _STOPS) + "]"),
     "op8_repeats": OP8,
+    "op12_hard_negatives": OP12,
+    "op13_collocations": OP13,
 }

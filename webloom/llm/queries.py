@@ -70,6 +70,22 @@ def op10_tokencount(spark: SparkSession, d: str) -> DataFrame:
         F.sha2(F.col("text"), 256).alias("text_sha256"), "reencoded_chars")
 
 
+def op11_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    from webloom.llm.quality_model import quality_scores
+    return quality_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def op12_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    from webloom.llm.negatives import clean_rows, hard_negatives
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(clean_rows(table(spark, d, "embeddings"), "vec_id", label, "embedding"), F.col("id") % 100 == 0)
+
+
+def op13_collocations(spark: SparkSession, d: str) -> DataFrame:
+    from webloom.llm.phrases import collocations
+    return collocations(table(spark, d, "documents"))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, d)
@@ -87,4 +103,7 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_packing": op9_packing,
     "op10_tokencount": op10_tokencount,
+    "op11_quality_classifier": op11_quality_classifier,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_collocations": op13_collocations,
 }
