@@ -19,9 +19,10 @@ never misses a pair (others that it lets pass are met by the join).  So
 the join gets few rows, and the planner may choose any kind of join; texts
 are never shuffled unless very many documents have hits.
 
-Items below 11 words, but of ``MIN_ITEM_WORDS`` words or more, are met by a
-mask of ones as long as the item.  Shorter items are too common to
-tell anything and are not looked for.
+Items of ``MIN_ITEM_WORDS`` to 10 words have masks of their own, which fit
+beside any one substituted word (two of 10), as the share allows.  Shorter
+items are too common inside a text to tell anything; they are met where they
+are the whole text, by one hash of all its words.
 
 Defined results: a null or empty text is clean; each text is judged by
 itself, also where rows share a doc_id or have none; items with equal
@@ -37,8 +38,10 @@ from pyspark.sql import functions as F
 from webloom.llm.common import checkpointed, written
 
 # Ones are the word positions that are hashed; zeros are ignored.  By the least length of an item:
-# each family fits beside any two substituted words of a window of so many words.
-MASKS = {13: ("11101011", "110100111"), 11: ("1111011", "110001111", "1101100011")}
+# each family fits beside any substituted words that the share allows in a window of so many words:
+# two of 10 to 13, one of 6 to 9.
+MASKS = {13: ("11101011", "110100111"), 11: ("1111011", "110001111", "1101100011"), 10: ("11111", "111011", "11010011"),
+         9: ("111111", "1110111"), 8: ("11111", "111011"), 7: ("11111", "111101", "110111"), 6: ("1111", "11011")}
 MIN_ITEM_WORDS = 6
 WINDOW = 13
 MIN_SHARE = 0.8
@@ -73,15 +76,21 @@ def _seed(h: Column, mask: str, number: int, pair: Column) -> Column:
     return F.xxhash64(F.lit(number), *[F.get(h, first + F.lit(i)) for i, c in enumerate(mask) if c == "1"])
 
 
-def _seeds(h: Column, masks: dict[int, str], pairs: Column) -> Column:
-    """(at, seed) of each mask at each of the places of pairs."""
-    return F.concat(*[_one_mask(h, m, k, pairs) for k, m in masks.items()])
+def _seeds(h: Column, masks: dict[int, str], pairs: Column, short: int) -> Column:
+    """(at, seed) of each mask at each of the places of pairs; of a text below ``short`` words also its own."""
+    whole = F.filter(_whole(h), lambda x: F.size(h).between(1, short - 1))
+    return F.concat(whole, *[_one_mask(h, m, k, pairs) for k, m in masks.items()])
 
 
 def _one_mask(h: Column, mask: str, number: int, pairs: Column) -> Column:
     return F.transform(pairs, lambda i: F.struct(i.alias("at"), _seed(h, mask, number, i).alias("seed")))
 
 
+def _whole(h: Column) -> Column:
+    """The one seed of a short text or item: all its words, at place 0."""
+    return F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(F.lit(-1), h).alias("seed")))
+
+
 def _places(h: Column) -> Column:
     """0 to the last place that has a neighbour."""
     n = F.size(h)
@@ -95,7 +104,7 @@ def _pair(h: Column, i: Column) -> Column:
 def items(benchmark: DataFrame) -> DataFrame:
     """Items with different words: item_id, h, n."""
     return (benchmark.select("item_id", words(F.col("text")).alias("h"))
-            .where(F.size("h") >= MIN_ITEM_WORDS)
+            .where(F.size("h") > 0)
             .groupBy("h").agg(F.min("item_id").alias("item_id"))
             .select("item_id", "h", F.size("h").alias("n")))
 
@@ -123,9 +132,8 @@ def _known(table: Column, pair: Column) -> Column:
 
 
 def masks_of(n: int, masks: dict[int, tuple[str, ...]] = MASKS) -> tuple[str, ...]:
-    """The masks for items of n words: of the greatest length up to n, or a mask of ones."""
-    least = [k for k in masks if k <= n]
-    return masks[max(least)] if least else ("1" * n,)
+    """The masks for items of n words: of the greatest length up to n."""
+    return masks[max(k for k in masks if k <= n)]
 
 
 def item_seeds(found: DataFrame, masks: dict[int, tuple[str, ...]] = MASKS) -> tuple[DataFrame, dict[int, str]]:
@@ -133,8 +141,8 @@ def item_seeds(found: DataFrame, masks: dict[int, tuple[str, ...]] = MASKS) -> t
 
     There are fewer short lengths than the greatest length of ``masks``.
     """
-    most = max(masks)
-    lengths = [r.n for r in found.select(F.least("n", F.lit(most)).alias("n")).distinct().collect()]
+    most, short = max(masks), min(masks)
+    lengths = [r.n for r in found.where(F.col("n") >= short).select(F.least("n", F.lit(most)).alias("n")).distinct().collect()]
     users: dict[str, list[int]] = {}
     for n in sorted(lengths, reverse=True):
         for m in masks_of(n, masks):
@@ -143,13 +151,12 @@ def item_seeds(found: DataFrame, masks: dict[int, tuple[str, ...]] = MASKS) -> t
         users = {m: [most] for m in masks[most]}        # an empty benchmark
     every = dict(enumerate(users))
     h = F.col("h")
-    rows = None
+    rows = found.where(F.col("n") < short).select("item_id", F.explode(_whole(h)).alias("x"))
     for k, m in every.items():
         # A seed that reaches beyond the item is of no use.
         fits = F.transform(F.filter(_places(h), _inside(m)), lambda i: i)
         own = found.where(F.least("n", F.lit(most)).isin(users[m]))
-        part = own.select("item_id", F.explode(_one_mask(h, m, k, fits)).alias("x"))
-        rows = part if rows is None else rows.unionByName(part)
+        rows = rows.unionByName(own.select("item_id", F.explode(_one_mask(h, m, k, fits)).alias("x")))
     return rows.select("item_id", "x.at", "x.seed"), every
 
 
@@ -164,13 +171,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: dict[int, tuple[str,
     found = checkpointed(items(benchmark))
     seeds, every = item_seeds(found, masks)
     seeds = written(seeds)
-    table = pair_table(found)
+    short = min(masks)
+    table = pair_table(found.where(F.col("n") >= short))
     h = F.col("h")
     # The outer form: for the inner one the optimizer infers a filter on the list's size, and moves
     # it, with all that makes the list, below the projections.
     probe = (docs.select("doc_id", _digest().alias("digest"), words(F.col("text")).alias("h"))
              .select("doc_id", "digest", "h", F.filter(_places(h), lambda i: _known(table, _pair(h, i))).alias("pairs"))
-             .select("doc_id", "digest", F.explode_outer(_seeds(h, every, F.col("pairs"))).alias("x"))
+             .select("doc_id", "digest", F.explode_outer(_seeds(h, every, F.col("pairs"), short)).alias("x"))
              .where("x is not null").select("doc_id", "digest", "x.at", "x.seed"))
     # Distinct seeds first: a seed that very many items share does not multiply what is probed.
     hits = probe.join(written(seeds.select("seed").distinct()), "seed")
@@ -184,7 +192,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: dict[int, tuple[str,
     # Of rows with the same id and text one is enough; only texts with hits are made distinct.
     texts = (named.join(found_in, _same(named, found_in), "left_semi")
              .dropDuplicates(["_id", "_digest"]).select("_id", "_digest", words(F.col("text")).alias("_h")))
-    pairs = texts.join(places, _same(texts, places)).join(found, "item_id")
+    pairs = (texts.join(places, _same(texts, places)).join(found, "item_id")
+             .where((F.col("n") >= short) | (F.col("_h") == F.col("h"))))
     equal = pairs.select("doc_id", "digest", "item_id", "shift", "n", F.transform(F.col("h"), lambda w, i: F.when(
         (i + F.col("shift") >= 0) & F.coalesce(F.get("_h", i + F.col("shift")) == w, F.lit(False)), 1)
         .otherwise(0)).alias("eq"))
