@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -80,3 +81,49 @@ def test_models_are_trained_on_every_document(spark):
         more = spark.createDataFrame([(i, rare)], "id long, text string")
         ratio = S.train(plain.unionByName(more).withColumnRenamed("id", "doc_id"))
         assert ratio is not None and np.mean([S.is_random(s, ratio) for s in fresh]) > 0.9
+
+
+def _touched(text, pattern, spans):
+    return [m[0] for m in pattern.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in spans)]
+
+
+def test_free_equals_all_pairs():
+    rnd = random.Random(8)
+    for _ in range(200):
+        text = " ".join(rnd.choice([*TRICKY, "ordinary_identifier_name_x", _random(rnd, 24), "short"]) for _ in range(rnd.randint(0, 12)))
+        spans = S.base_spans(text)
+        for p in (S._IDENTIFIER, S._CANDIDATE):
+            assert [m[0] for m in S.free(p.finditer(text), spans)] == _touched(text, p, spans)
+
+
+def test_model_equals_counts_by_hand(spark):
+    """The ratio of two smoothed order-1 models, counted character by character."""
+    rnd = random.Random(12)
+    texts = [f"token={_random(rnd, 12)} ordinary_name{i} {_random(rnd, 30)} password: {_random(rnd, 9)}" for i in range(50)]
+    got = S.train(docs_of(spark, list(enumerate(texts))))
+    code = {c: i + 1 for i, c in enumerate(S.ALPHABET)}
+    logs = []
+    for kind in (0, 1):
+        t = np.zeros((S.SIZE, S.SIZE))
+        for text in texts:
+            spans = brute(text)
+            found = ([PATTERNS[0][0].match(text, a)[2] if k == 0 else text[a:b] for a, k, b in spans] if kind == 0
+                     else _touched(text, re.compile(r"[A-Za-z0-9+/_=-]{8,}"), spans))
+            for s in found:
+                last = 0
+                for c in s:
+                    t[last, code[c]] += 1
+                    last = code[c]
+        own = (t.sum(axis=0) + 1) / (t.sum() + S.SIZE)
+        logs.append(np.log((t + 20 * own) / (t.sum(axis=1, keepdims=True) + 20)))
+    assert np.allclose(got, logs[0] - logs[1])
+
+
+def test_a_long_text_full_of_secrets_takes_time_in_proportion():
+    rnd = random.Random(9)
+    text = "\n".join(f"token={_random(rnd)} ordinary_identifier_{i}" for i in range(50_000))
+    assert len(text) > 3_000_000
+    start = time.process_time()
+    random_, plain = S.samples(text)
+    S.all_spans(text, np.zeros((S.SIZE, S.SIZE)))
+    assert time.process_time() - start < 5 and len(random_) == len(plain) == 50_000

@@ -68,15 +68,22 @@ def _pairs(s: str) -> np.ndarray:
     return np.concatenate(([0], codes[:-1])) * SIZE + codes
 
 
+def free(matches, spans: list[tuple[int, int, int]]):
+    """Of matches in the order of the text, those that no span touches.  One pass over both lists."""
+    k, end = 0, -1                      # the spans before k begin before the match; end is the greatest end of theirs
+    for m in matches:
+        while k < len(spans) and spans[k][0] < m.end():
+            end = max(end, spans[k][2])
+            k += 1
+        if end <= m.start():
+            yield m
+
+
 def samples(text: str) -> tuple[list[str], list[str]]:
     """Random strings and ordinary identifiers of a text, as the fixed patterns label them."""
     spans = base_spans(text)
     random = [ASSIGN.match(text, a)[2] if kind == 0 else text[a:b] for a, kind, b in spans]
-    taken, plain = [(a, b) for a, _, b in spans], []
-    for m in _IDENTIFIER.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b in taken):
-            plain.append(m[0])
-    return random, plain
+    return random, [m[0] for m in free(_IDENTIFIER.finditer(text), spans)]
 
 
 def train(docs: DataFrame) -> np.ndarray | None:
@@ -124,10 +131,7 @@ def all_spans(text: str, ratio: np.ndarray | None, min_ratio: float = MIN_RATIO)
     spans = base_spans(text)
     if ratio is None:
         return spans
-    more = []
-    for m in _CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, _, b in spans) and is_random(m[0], ratio, min_ratio):
-            more.append((m.start(), 3, m.end()))
+    more = [(m.start(), 3, m.end()) for m in free(_CANDIDATE.finditer(text), spans) if is_random(m[0], ratio, min_ratio)]
     return sorted(spans + more) if more else spans
 
 
