@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -80,3 +81,47 @@ def test_repeated_rows_null_ids_loss_and_empty(spark):
     part = P.pack_documents(docs_of(spark, [(1, "word " * 50)]).withColumn("loss_from", F.lit(10)))
     r = part.agg(F.sum("loss_tokens"), F.sum("length")).first()
     assert r[0] == r[1] - 10
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 30), st.integers(0, 30)), min_size=1, max_size=60))
+def test_several_at_once_is_one_after_the_other(items):
+    """A step of ``times`` pieces leaves the class the best one (or level with it) until its last piece."""
+    limit = np.array([64.0, 9.0, 40.0])
+    pool = P._Classes(limit)
+    for i, (n, loss) in enumerate(items):
+        pool.add((i, 0, n), min(n, loss))
+    free = limit.copy()
+    while True:
+        k, times = pool.best(free)
+        if not times:
+            break
+        for _ in range(times):
+            worth = (pool.need / limit) @ (free / limit)
+            fits = (pool.count > 0) & (pool.need <= free).all(axis=1)
+            assert fits[k] and worth[k] >= worth[fits].max() - 1e-9
+            pool.take(k)
+            free -= pool.need[k]
+
+
+def test_very_many_tiny_documents():
+    n = np.ones(200_000, np.int64)
+    start = time.process_time()
+    seqs = list(P.pack(n, np.zeros(len(n), np.int64)))
+    assert time.process_time() - start < 5
+    assert sorted(i for s in seqs for i, _, _ in s) == list(range(len(n)))
+    mixed = np.random.default_rng(2).integers(1, 9, 200_000)
+    start = time.process_time()
+    seqs = list(P.pack(mixed, np.zeros(len(n), np.int64)))
+    assert time.process_time() - start < 5
+    assert sum(b - a for s in seqs for _, a, b in s) == mixed.sum()
+
+
+def test_the_limits_bind_together():
+    n = np.full(100, 40, np.int64)
+    none = np.zeros(100, np.int64)
+    size = lambda seqs: max(sum(b - a for _, a, b in s) for s in seqs)                          # noqa: E731
+    assert size(P.pack(n, none, max_segments=100)) == P.MAX_TOKENS
+    assert size(P.pack(n, none)) == 256                     # 12 pieces of 40 tokens, laid out in powers of two
+    assert size(P.pack(n, none, max_segments=100, max_loss=600)) == 512
+    assert size(P.pack(n, n - 5, max_segments=100, max_loss=300)) == P.MAX_TOKENS       # 5 loss tokens each

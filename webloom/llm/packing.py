@@ -36,64 +36,109 @@ from webloom.llm.common import small_batches
 from webloom.llm.tokens import encoder
 
 MAX_TOKENS = 2048
-MAX_SEGMENTS = 64
+MAX_SEGMENTS = 12            # less than the shortest documents would take
 BLOCK_TOKENS = 2_000_000
 END_ID = 1
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
+class _Classes:
+    """Pieces by demand: those that need as many tokens and loss-bearing tokens are one class with a count.
+
+    The heuristic sees classes, so a placement costs as much as there are
+    different demands, however many pieces there are.
+    """
+
+    def __init__(self, limit: np.ndarray):
+        self.limit = limit
+        self.place: dict[tuple[int, int], int] = {}
+        self.members: list[list[tuple[int, int, int]]] = []         # (document, start, end), the last is taken first
+        self.need = np.empty((0, 3))
+        self.count = np.empty(0, np.int64)
+        self.left = 0
+
+    def add(self, piece: tuple[int, int, int], loss: int) -> None:
+        key = (piece[2] - piece[1], loss)
+        k = self.place.get(key)
+        if k is None:
+            k = self.place[key] = len(self.members)
+            self.members.append([])
+            if k == len(self.need):
+                more = max(64, k)
+                self.need = np.concatenate([self.need, np.zeros((more, 3))])
+                self.count = np.concatenate([self.count, np.zeros(more, np.int64)])
+            self.need[k] = (key[0], 1, loss)
+        self.members[k].append(piece)
+        self.count[k] += 1
+        self.left += 1
+
+    def take(self, k: int) -> tuple[int, int, int]:
+        self.count[k] -= 1
+        self.left -= 1
+        return self.members[k].pop()
+
+    def best(self, free: np.ndarray) -> tuple[int, int]:
+        """The class to place next, and how many of it one after the other; (-1, 0) if none fits."""
+        fits = (self.count > 0) & (self.need <= free).all(axis=1)
+        if not fits.any():
+            return -1, 0
+        scaled = self.need / self.limit
+        worth = np.where(fits, scaled @ (free / self.limit), -1.0)
+        k = int(worth.argmax())
+        room = int(min(free[i] // self.need[k, i] for i in range(3) if self.need[k, i] > 0))
+        # With each piece placed all worths fall in proportion; k stays the best until another class passes it.
+        gain = (scaled[k] - scaled) @ scaled[k]
+        rivals = fits & (gain > 0)
+        until = int(np.floor(((worth[k] - worth[rivals]) / gain[rivals]).min())) + 1 if rivals.any() else room
+        return k, max(1, min(room, int(self.count[k]), until))
+
+    def longest_worth(self, free: np.ndarray) -> int:
+        """The best class regardless of whether it fits."""
+        return int(np.where(self.count > 0, (self.need / self.limit) @ (free / self.limit), -1.0).argmax())
+
+
 def pack(lengths: np.ndarray, loss_from: np.ndarray, max_tokens: int = MAX_TOKENS,
          max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_TOKENS) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences, each a list of (document, start, end)."""
     limit = np.array([max_tokens, max_segments, max_loss], float)
 
-    def loss(i, a, b):
-        return np.maximum(0, b - np.maximum(a, loss_from[i]))
-
-    # Stretches of long documents that fill a bin alone.
-    starts = np.zeros(len(lengths), np.int64)
-    for i in np.flatnonzero(lengths >= max_tokens).tolist():
-        while lengths[i] - starts[i] >= max_tokens and loss(i, starts[i], starts[i] + max_tokens) <= max_loss:
-            yield [(i, int(starts[i]), int(starts[i]) + max_tokens)]
-            starts[i] += max_tokens
-    pool = np.flatnonzero(lengths > starts)
-    begin = starts[pool].copy()
-    end = lengths[pool].copy()
-    live = np.ones(len(pool), bool)
-    need = np.stack([(end - begin).astype(float), np.ones(len(pool)), loss(pool, begin, end).astype(float)], axis=1)
-    left = int(live.sum())
+    def loss(i: int, a: int, b: int) -> int:
+        return max(0, b - max(a, int(loss_from[i])))
+
+    # Stretches of long documents that fill a bin alone; the rest is put into classes.
+    pool = _Classes(limit)
+    for i, n in enumerate(lengths.tolist()):
+        a = 0
+        while n - a >= max_tokens and loss(i, a, a + max_tokens) <= max_loss:
+            yield [(i, a, a + max_tokens)]
+            a += max_tokens
+        if n > a:
+            pool.add((i, a, n), loss(i, a, n))
     unfilled: list[list[tuple[int, int, int]]] = []
-    while left:
+    while pool.left:
         free, bin_ = limit.copy(), []
-        while left and free[0] > 0 and free[1] > 0:
-            worth = (need / limit) @ (free / limit)
-            fits = live & (need <= free).all(axis=1)
-            if fits.any():
-                j = int(np.where(fits, worth, -1.0).argmax())
-                take = int(need[j, 0])
-            else:
-                j = int(np.where(live, worth, -1.0).argmax())
-                i, a = int(pool[j]), int(begin[j])
-                # Up to the free tokens, and to the free loss-bearing tokens.
-                take = min(int(free[0]), int(end[j]) - a, max(0, int(loss_from[i]) - a) + int(free[2]))
-                if take <= 0:
-                    break
-            i, a = int(pool[j]), int(begin[j])
-            bin_.append((i, a, a + take))
-            free -= (take, 1, int(loss(i, a, a + take)))
-            begin[j] = a + take
-            if begin[j] == end[j]:
-                live[j] = False
-                left -= 1
-            else:
-                need[j] = (end[j] - begin[j], 1, loss(i, begin[j], end[j]))
+        while pool.left and free[0] > 0 and free[1] > 0:
+            k, times = pool.best(free)
+            if times:
+                free -= times * pool.need[k]
+                bin_ += [pool.take(k) for _ in range(times)]
+                continue
+            k = pool.longest_worth(free)
+            i, a, b = pool.members[k][-1]
+            # Up to the free tokens, and to the free loss-bearing tokens.
+            size = min(int(free[0]), b - a, max(0, int(loss_from[i]) - a) + int(free[2]))
+            if size <= 0:
+                break
+            pool.take(k)
+            bin_.append((i, a, a + size))
+            free -= (size, 1, loss(i, a, a + size))
+            if a + size < b:
+                pool.add((i, a + size, b), loss(i, a + size, b))
         if free[0] == 0:
             yield bin_
         else:
             unfilled.append(bin_)
-        if len(pool) > 64 and left < len(pool) // 2:
-            pool, begin, end, need, live = pool[live], begin[live], end[live], need[live], live[live]
     for bin_ in unfilled:
         yield from _powers_of_two(bin_)
 
