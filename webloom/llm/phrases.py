@@ -47,7 +47,8 @@ from webloom.llm.common import small_batches, written
 MIN_COUNT = 30
 TOP = 2000
 FILTER_BITS = 27            # 16 MB
-AT_ONCE = 2_000_000         # words that a task gathers before it sums them
+AT_ONCE = 1_000_000         # words that a task gathers before it sums them
+ROWS = 1 << 15              # rows of a batch that a task gives
 PATH_PART = 512             # edges in a row of the path table
 
 # Piece ends . , ; : ! ? and 0A-0D become one byte that no word has; tab becomes a space.
@@ -122,7 +123,9 @@ def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [pair[pair > 0] for _, _, pair in got.sequences()]
         if found:
             h, c = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+            del found
+            for s in range(0, len(h), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(h[s:s + ROWS].view(np.int64)), pa.array(c[s:s + ROWS])], ["h", "c"])
     return _gather(batches, flush)
 
 
@@ -167,13 +170,15 @@ def _edges(shared):
                                 (2, number[end2 - 1]), (1, seq[end])):
                     if not len(code):
                         continue
-                    u, c = np.unique(code, return_counts=True)
-                    hi, lo = u >> 32, u & 0xFFFFFFFF
-                    g = (_names(names, left[hi], right[hi], left[lo], right[lo]) if k == 4 else
-                         _names(names, left[hi], right[hi], lo) if k == 3 else
-                         _names(names, left[u], right[u]) if k == 2 else pa.array([names[i] for i in u.tolist()], pa.binary()))
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(np.full(len(u), k, np.int32)), g, pa.array(c)],
-                                                     ["lang", "k", "g", "c"])
+                    every, count = np.unique(code, return_counts=True)
+                    for s in range(0, len(every), ROWS):
+                        u, c = every[s:s + ROWS], count[s:s + ROWS]
+                        hi, lo = u >> 32, u & 0xFFFFFFFF
+                        columns = ((left[hi], right[hi], left[lo], right[lo]) if k == 4 else (left[hi], right[hi], lo) if k == 3 else
+                                   (left[u], right[u]) if k == 2 else (u,))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([lang] * len(u), pa.string()), pa.array(np.full(len(u), k, np.int32)), _names(names, *columns), pa.array(c)],
+                            ["lang", "k", "g", "c"])
         yield from _gather(batches, flush)
     return run
 
