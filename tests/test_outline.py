@@ -1,5 +1,5 @@
 from webloom.operators.outline import format_outline, outline_nodes, outline_text, page_nodes
-from webloom.operators.selectors import pages_with, resolve_selector, selector_regex
+from webloom.operators.selectors import pages_with, parse_selector, resolve_selector
 
 HTML_EDGE = """<html><head><title>t</title><script>var s="</p>";</script></head><body>
 <nav role="navigation"><a href="/x" aria-label="">Home page link text that is definitely longer than fifty characters</a></nav>
@@ -58,7 +58,7 @@ def test_selectors(spark):
     assert [r.page_id for r in pages_with(df, 'html[lang="fr"]', present=False).collect()] == [2]
     assert [r.page_id for r in pages_with(df, "div.ad#m").collect()] == [1]
     assert [r.page_id for r in pages_with(df, "html[lang]").collect()] == [1, 2]
-    assert selector_regex("ref:abc") == selector_regex('[data-mcp-ref="abc"]')
+    assert parse_selector("ref:abc") == parse_selector('[data-mcp-ref="abc"]')
     r = spark.range(1).select(resolve_selector(__import__("pyspark.sql.functions", fromlist=["lit"]).lit("ref:q1")).alias("s")).first()
     assert r.s == '[data-mcp-ref="q1"]'
 

@@ -1,7 +1,7 @@
 """HTML projections over a pages table ``(page_id, url, html)``.
 
-P3/P4/P5 link extraction, P6 page text, P7 title, P28 squeeze, P29 main
-article, P30 metadata, P31 text predicate.  All are narrow (no shuffle):
+P3/P4/P5 link extraction, P6 page text, P7 title, P28 squeeze, P30 metadata,
+P31 text predicate (P29 main article: ``operators.elements``).  All are narrow (no shuffle):
 regex extraction, higher-order array functions and explode run per row
 inside whole-stage codegen.
 """
@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.text import (ASCII_SPACE_CLASS, decode_entities, inner_text,
-                                    js_trim, squeeze_spaces)
+                                    js_trim, let, squeeze_spaces)
 from webloom.functions.urls import resolve_url, url_host
+from webloom.operators.outline import BLOCK as BREAKS
 
 # One pattern walks the page: comments and raw-text elements are consumed first, so
 # nothing inside them is an anchor; a start tag's quotes are consumed as a
@@ -154,26 +155,31 @@ def squeezed_slices(pages: DataFrame, length: int = 500) -> DataFrame:
     return chunk_pages(pages.select("page_id", squeeze_spaces("html").alias("html")), length)
 
 
-# Fixed patterns for rendered text (P6): elements whose content is never
-# rendered, then block-level tags that start a new line.
-HIDDEN_BLOCK_RE2 = (r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
-                    r"|<head\b[^>]*>.*?</head\s*>|<template\b[^>]*>.*?</template\s*>"
-                    r"|<noscript\b[^>]*>.*?</noscript\s*>")
-BLOCK_TAG_RE = (r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|article|section|nav|header|footer|"
-                r"main|aside|table|tr|td|th|blockquote|pre|form|hr|title|body|html)\b[^>]*>")
+# A page is "plain" if no element may be hidden or keep its white space; such a page
+# needs no element intervals for its text.
+_NOT_PLAIN_RE = r"(?i)\shidden(?=[\s=/>])|display\s*:\s*none|<(?:pre|textarea)(?=[\s/>])"
+_RAW_RE = (r"<!--.*?(?:-->|\z)|" + "|".join(rf"<{t}(?=[\s/>]){_ATTRS}>.*?(?:</{t}\s*>|\z)"
+                                          for t in ("script", "style", "template", "noscript", "title")))
+_UNSEEN_RE = rf"(?is)<head(?=[\s/>]){_ATTRS}>(?:[^<]++|{_RAW_RE}|<(?!/head[\s>]|body[\s/>]))*+|{_RAW_RE}"
+_BREAK_RE = rf"(?i)</?(?:{'|'.join(sorted(BREAKS, key=len, reverse=True))})(?=[\s/>]){_ATTRS}(?:>|\z)"
+_TAG_RE = rf"(?i)</?[a-z]{_ATTRS}(?:>|\z)|<[!?/][^>]*+(?:>|\z)"
+
+
+def _plain_text(html: Column) -> Column:
+    s = squeeze_spaces(F.regexp_replace(html, _UNSEEN_RE, ""))
+    s = F.regexp_replace(F.regexp_replace(s, _BREAK_RE, "\n"), _TAG_RE, "")
+    lines = F.transform(F.split(s, "\n"), lambda x: F.regexp_replace(squeeze_spaces(decode_entities(x)), "^ | $", ""))
+    return js_trim(F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
 
 
 def page_text_col(html) -> Column:
-    """Approximate innerText of <body>: hidden blocks dropped, block tags as line
-    breaks, tags stripped, entities decoded, spaces squeezed per line, blank
-    lines removed, trimmed."""
-    s = F.regexp_replace(_col(html), HIDDEN_BLOCK_RE2, "")
-    s = F.regexp_replace(s, BLOCK_TAG_RE, "\n")
-    s = F.regexp_replace(s, r"<[^>]*>", "")
-    s = decode_entities(s)
-    s = F.regexp_replace(s, r"[ \t\r\f\x{0B}]+", " ")
-    s = F.regexp_replace(s, r" ?\n[ \n]*", "\n")
-    return js_trim(s)
+    """innerText of the page without layout: what is never rendered or hidden is left out, a block begins a
+    new line, white space is collapsed (kept in ``pre``), empty lines go.  A page where that takes more than
+    patterns is read by its element intervals."""
+    from webloom.operators.elements import element_columns, rendered_text
+    h = F.coalesce(_col(html), F.lit(""))
+    nested = let(element_columns(h), lambda e: rendered_text(e["toks"], e["marks"]))
+    return F.when(h.rlike(_NOT_PLAIN_RE), nested).otherwise(_plain_text(h))
 
 
 def page_text(pages: DataFrame) -> DataFrame:
@@ -197,21 +203,3 @@ def page_description(html) -> Column:
     tag = F.regexp_extract(_col(html), DESCRIPTION_RE, 0)
     raw = F.concat(*[F.regexp_extract(tag, CONTENT_RE, i) for i in (1, 2, 3)])
     return F.nullif(js_trim(squeeze_spaces(decode_entities(raw))), F.lit(""))
-
-
-ARTICLE_RE = r"(?is)<article\b[^>]*>(.*?)</article\s*>"
-BOILERPLATE_RE = (r"(?is)<nav\b[^>]*>.*?</nav\s*>|<header\b[^>]*>.*?</header\s*>"
-                  r"|<footer\b[^>]*>.*?</footer\s*>|<aside\b[^>]*>.*?</aside\s*>"
-                  r"|<div\b[^>]*\sclass\s*=\s*[\"']?[^\"'>]*\bad\b[^>]*>.*?</div\s*>")
-
-
-def main_article(pages: DataFrame) -> DataFrame:
-    """Main text -- the <article> element when present, else the page body
-    with navigation, header, footer, aside and ad blocks removed."""
-    h = F.col("html")
-    art = F.regexp_extract(h, ARTICLE_RE, 1)
-    body = F.regexp_replace(F.regexp_replace(h, HIDDEN_BLOCK_RE2, ""), BOILERPLATE_RE, "")
-    src = F.when(h.rlike(ARTICLE_RE), art).otherwise(body)
-    t = page_text_col(src)
-    return (pages.select("page_id", t.alias("text"))
-            .select("page_id", F.length("text").cast("bigint").alias("text_length"), "text"))

@@ -23,8 +23,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.functions.text import decode_entities, js_trim
-
 # Fixed values.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
         "source", "track", "wbr"}
@@ -354,53 +352,29 @@ def outline_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(_text_batches, TEXT_SCHEMA)
 
 
-# One pattern cuts a page into comments, raw-text elements, tags and texts.  All
-# loops are possessive: no backtracking and no recursion, however long the page.
-_ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-TOKEN_RE = (r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript|head)(?=[\s>]).*?(?:</\1\s*>|\z)"
-            rf"|</?[a-z]{_ATTRS}>|<[!?][^>]*+>|[^<]++|<")
-START_RE = r"(?i)^<([a-z][^\s/>]*)"
-_SKIPPED = sorted(NEVER_RENDERED | {"html", "body"})
-
-
-def _attr(tag, name: str):
-    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
-
-
 def outline_elements(pages: DataFrame) -> DataFrame:
-    """P16-P19 as Columns over a token table: ``(page_id, pos, tag, role, name, ref)``.
-
-    A page is cut into tokens in its row; its start tags are exploded with
-    the text that follows them.  ``pos`` counts tokens, the name is the
-    ``aria-label`` or the first line of the text directly inside, the ref is
-    the page's own or a hash of page and place.  Elements that are hidden
-    themselves are left out.  Built-in functions only, and no page can end the job."""
-    tokens = pages.select("page_id", F.regexp_extract_all("html", F.lit(TOKEN_RE), F.lit(0)).alias("_t"))
-    starts = F.filter(F.transform("_t", lambda t, i: F.struct(i.alias("pos"), t.alias("tag"), F.get("_t", i + 1).alias("next"))),
-                      lambda x: x["tag"].rlike(START_RE))
-    rows = (tokens.select("page_id", F.explode_outer(starts).alias("x")).where("x is not null")
-            .select("page_id", F.col("x.pos").cast("bigint").alias("pos"), F.col("x.tag").alias("_tag"), F.col("x.next").alias("_next"))
-            .withColumn("tag", F.lower(F.regexp_extract("_tag", START_RE, 1))))
-    kind = F.lower(_attr("_tag", "type"))
-    shown = (~F.col("tag").isin(_SKIPPED) & ~F.col("_tag").rlike(r"(?i)\shidden(?=[\s=/>])")
-             & ~_attr("_tag", "style").rlike(r"(?i)display\s*:\s*none") & ~((F.col("tag") == "input") & (kind == "hidden")))
-    own = F.nullif(_attr("_tag", "role"), F.lit(""))
+    """P16-P19 as Columns over element intervals: ``(page_id, pos, tag, role, name, ref)``.
+
+    ``pos`` counts the page's tokens.  What is inside a hidden element, and
+    what has neither shown text nor replaced content, is left out; so are
+    ``html`` and ``body``.  The name is the ``aria-label`` or the first line
+    of all shown text inside, cut to 50 characters; the ref is the page's own
+    or a hash of page and place.  Built-in functions only, and no page can end the job."""
+    from webloom.operators.elements import attr, element_rows
+    rows = element_rows(pages).where(~F.col("hidden") & ~F.col("tag").isin("html", "body"))
+    a = F.col("attrs")
+    kind = F.lower(F.coalesce(attr(a, "type"), F.lit("")))
+    own = F.nullif(attr(a, "role"), F.lit(""))
     role = (F.when(own.isNotNull(), own).when(F.col("tag") == "button", "button")
             .when(F.col("tag") == "input", F.when(kind == "button", "button").otherwise("textbox"))
             .when(F.col("tag") == "a", "link").when(F.col("tag").rlike("^h[1-6]$"), "heading")
             .when(F.col("tag") == "img", "image").when(F.col("tag").isin("table", "form"), F.col("tag")).otherwise("generic"))
-    line = js_trim(F.substring_index(js_trim(decode_entities(F.coalesce("_next", F.lit("")))), "\n", 1))
-    text = F.when(F.col("_next").startswith("<"), F.lit("")).otherwise(
-        js_trim(F.substring(F.regexp_replace(line, r"[ \t\r\f]+", " "), 1, NAME_LEN)))
-    label = decode_entities(_attr("_tag", "aria-label"))
-    rows = rows.where(shown).withColumn("role", role)
-    given = F.nullif(_attr("_tag", REF_ATTR), F.lit(""))
+    rows = rows.withColumn("role", role)
     made = F.substring(F.sha2(F.concat_ws("/", F.col("page_id").cast("string"), F.col("pos").cast("string")), 256), 1, 8)
-    needs = F.col("role").isin(sorted(REF_ROLES)) | F.col("_tag").rlike(r"(?i)\sonclick\s*=")
+    needs = F.col("role").isin(sorted(REF_ROLES)) | F.exists(a, lambda x: x["name"] == "onclick")
     return rows.select("page_id", "pos", "tag", "role",
-                       F.coalesce(F.nullif(label, F.lit("")), text, F.lit("")).alias("name"),
-                       F.coalesce(given, F.when(needs, made)).alias("ref"))
+                       F.coalesce(F.nullif(attr(a, "aria-label"), F.lit("")), F.col("name_text")).alias("name"),
+                       F.coalesce(F.nullif(attr(a, REF_ATTR), F.lit("")), F.when(needs, made)).alias("ref"))
 
 
 def register_outline_udtf(spark):

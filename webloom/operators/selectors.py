@@ -1,22 +1,71 @@
-"""D4 selector presence/absence, P20 ref rewriting, U1 user page functions.
-
-A simple CSS selector (``tag``, ``#id``, ``.class``, ``[attr]``,
-``[attr="v"]``, combined on one element, no combinators) is compiled to
-an RE2/Java-compatible regex over start tags, so the test is a plain
-``rlike`` filter pushed into the scan's projection: presence and absence
-split the input with no join and no shuffle.
+"""D4 selectors over elements, P20 ref rewriting, U1 user page functions.
+
+A selector is compiled to conditions on the element intervals of
+``operators.elements``.  A compound (``tag``, ``*``, ``#id``, ``.class``,
+``[attr]``, ``[attr="v"]`` and the operators ``~= |= ^= $= *=``) is tested on
+an element's own attributes; a class is one of the names parted by white
+space.  Combinators are conditions between two elements of a page: `` ``
+(interval contained), ``>`` (parent), ``+`` (next sibling) and ``~`` (later
+sibling).  A comma gives alternatives.  All of it is evaluated inside the
+row: no join and no shuffle, and comments, raw text and quoted values never
+match.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.functions.text import let
+from webloom.operators.elements import attr, classes, element_columns, tokens, with_elements
 from webloom.operators.outline import REF_ATTR
 
-_PART = re.compile(r'#([\w-]+)|\.([\w-]+)|\[([\w:-]+)(?:\s*=\s*"?([^"\]]*)"?)?\]')
+_NAME = r"[\w-]+"
+_PART = re.compile(rf"""\#(?P<id>{_NAME})|\.(?P<cls>{_NAME})
+    |\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[~|^$*]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\]\s"']+))\s*)?\]""", re.X)
+_COMPOUND = re.compile(rf"(?P<tag>{_NAME}|\*)?(?P<parts>(?:{_PART.pattern.replace('?P<', '?P<x_')})*)", re.X)
+
+
+@dataclass(frozen=True)
+class Compound:
+    """One element's conditions, and how it stands to the one before it."""
+    relation: str                               # "", " ", ">", "+", "~"
+    tag: str                                    # "*" for any
+    conditions: tuple[tuple[str, str, str], ...]       # (attribute, operator, value)
+
+
+def parse_selector(selector: str) -> list[list[Compound]]:
+    """The alternatives of a selector, each a chain of compounds from left to right."""
+    if selector.startswith("ref:"):
+        return [[Compound("", "*", ((REF_ATTR, "=", selector[4:]),))]]
+    chains, chain, at, relation = [], [], 0, ""
+    text = selector.strip()
+    while True:
+        m = _COMPOUND.match(text, at)
+        if not m or m.end() == at:
+            raise ValueError(f"not a selector: {selector!r}")
+        conditions = []
+        for p in _PART.finditer(m["parts"]):
+            if p["id"]:
+                conditions.append(("id", "=", p["id"]))
+            elif p["cls"]:
+                conditions.append(("class", "~=", p["cls"]))
+            else:
+                value = next((v for v in (p["dq"], p["sq"], p["bare"]) if v is not None), "")
+                conditions.append((p["attr"].lower(), p["op"] or "", value))
+        chain.append(Compound(relation, (m["tag"] or "*").lower(), tuple(conditions)))
+        at = m.end()
+        if at == len(text):
+            return [*chains, chain]
+        sep = re.compile(r"\s*([>+~,])\s*|\s+").match(text, at)
+        if not sep:
+            raise ValueError(f"not a selector: {selector!r}")
+        relation, at = sep[1] or " ", sep.end()
+        if relation == ",":
+            chains, chain, relation = [*chains, chain], [], ""
 
 
 def resolve_selector(sel) -> Column:
@@ -26,39 +75,89 @@ def resolve_selector(sel) -> Column:
                                                   F.lit('"]'))).otherwise(s)
 
 
-def selector_regex(selector: str) -> str:
-    """Start-tag regex for one compound selector (attribute order free)."""
-    if selector.startswith("ref:"):
-        selector = f'[{REF_ATTR}="{selector[4:]}"]'
-    if not re.fullmatch(rf"([a-zA-Z][\w-]*|\*)?(?:{_PART.pattern})*", selector) or not selector:
-        raise ValueError(f"not a compound selector: {selector!r}")
-    m = re.match(r"^([a-zA-Z][\w-]*|\*)?", selector)
-    tag = m.group(1) if m and m.group(1) and m.group(1) != "*" else r"[a-zA-Z][\w-]*"
-    rest = selector[m.end():] if m else selector
-    conds = []
-    for idv, cls, attr, val in _PART.findall(rest):
-        if idv:
-            conds.append(rf"""\sid\s*=\s*["']?{re.escape(idv)}["'\s>]""")
-        elif cls:
-            conds.append(rf"""\sclass\s*=\s*["'][^"']*\b{re.escape(cls)}\b""")
-        elif val != "" or re.search(rf"\[{re.escape(attr)}\s*=", rest):
-            conds.append(rf"""\s{re.escape(attr)}\s*=\s*["']?{re.escape(val)}["'\s>]""")
-        else:
-            conds.append(rf"\s{re.escape(attr)}[\s=>]")
-    # RE2 has no look-ahead: each condition is tested on the same start tag
-    # by requiring it inside one <tag ...> span; several conditions are
-    # supported in any order by alternation of their permutations.
-    # Beyond three, look-aheads (the JVM has them) instead of permutations.
-    if len(conds) > 3:
-        return rf"(?is)<{tag}\b" + "".join(f"(?=[^>]*{c})" for c in conds)
-    import itertools
-    perms = ["".join(f"[^>]*{c}" for c in p) for p in itertools.permutations(conds)] or [""]
-    return rf"(?is)<{tag}\b(?:{'|'.join(perms)})"
+def _holds(attrs: Column, name: str, op: str, value: str) -> Column:
+    v = attr(attrs, name)
+    test = {"": lambda: v.isNotNull(), "=": lambda: v == value,
+            "~=": lambda: F.array_contains(classes(attrs), value) if name == "class"
+            else F.array_contains(F.split(v, r"[ \t\r\n\f]+"), value),
+            "|=": lambda: (v == value) | v.startswith(value + "-"), "^=": lambda: v.startswith(value),
+            "$=": lambda: v.endswith(value), "*=": lambda: v.contains(value)}[op]()
+    if op in ("~=", "^=", "$=", "*=") and not value:
+        return F.lit(False)                     # an empty value matches nothing
+    return F.coalesce(test, F.lit(False))
+
+
+def _is(tok: Column, c: Compound) -> Column:
+    """Whether a start tag meets a compound's conditions."""
+    test = tok["kind"].isin(1, 2) if c.tag == "*" else tok["kind"].isin(1, 2) & (tok["tag"] == c.tag)
+    for name, op, value in c.conditions:
+        test = test & _holds(tok["attrs"], name, op, value)
+    return test
+
+
+def _stands(relation: str, before: Column, e: Column) -> Column:
+    if relation == " ":
+        return (before["pos"] < e["pos"]) & (e["pos"] < before["end"])
+    if relation == ">":
+        return e["parent"] == before["pos"]
+    same = (e["parent"] == before["parent"]) & (e["pos"] != before["pos"])
+    return same & (e["sib"] == before["sib"] + 1) if relation == "+" else same & (e["sib"] > before["sib"])
+
+
+def _chain(toks: Column, spans: Column, chain: list[Compound]) -> Column:
+    """The spans that end a chain of compounds."""
+    def own(c: Compound) -> Column:
+        return F.filter(spans, lambda s: _is(F.get(toks, s["pos"]), c))
+
+    def follow(found: Column, rest: list[Compound]) -> Column:
+        if not rest:
+            return found
+        step, *later = rest
+        return let(found, lambda before: follow(F.when(F.size(before) == 0, before).otherwise(F.filter(
+            own(step), lambda e: F.exists(before, lambda b: _stands(step.relation, b, e)))), later))
+    return follow(own(chain[0]), chain[1:])
+
+
+def matching(toks: Column, spans: Column, selector: str) -> Column:
+    """The spans of the elements that a selector matches, in document order."""
+    found = [_chain(toks, spans, chain) for chain in parse_selector(selector)]
+    return found[0] if len(found) == 1 else F.array_sort(F.array_distinct(F.concat(*found)))
+
+
+def select_all(pages: DataFrame, selectors) -> DataFrame:
+    """``(page_id, selector, pos, end, depth, tag)``: the elements that each selector matches, from one reading of the pages."""
+    cut = with_elements(pages.select("page_id", "html"))
+
+    def rows(selector: str) -> Column:
+        return F.transform(matching(F.col("toks"), F.col("spans"), selector), lambda s: F.struct(
+            F.lit(selector).alias("selector"), s["pos"].cast("bigint").alias("pos"), s["end"].cast("bigint").alias("end"),
+            s["depth"].alias("depth"), F.get(F.col("toks"), s["pos"])["tag"].alias("tag")))
+    return cut.select("page_id", F.explode(F.concat(*[rows(x) for x in selectors])).alias("e")).select("page_id", "e.*")
+
+
+def select_elements(pages: DataFrame, selector: str) -> DataFrame:
+    """``(page_id, pos, end, depth, tag)``: the elements that a selector matches."""
+    return select_all(pages, [selector]).drop("selector")
+
+
+def has_element(html: Column, selector: str) -> Column:
+    """Whether a page has an element that a selector matches.  Without combinators no intervals are made."""
+    chains = parse_selector(selector)
+    if all(len(c) == 1 for c in chains):
+        return F.exists(tokens(html), lambda t: _any([_is(t, c[0]) for c in chains]))
+    return let(element_columns(html), lambda e: _any([F.size(_chain(e["toks"], e["spans"], c)) > 0 for c in chains]))
+
+
+def _any(tests: list[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
 
 
 def pages_with(pages: DataFrame, selector: str, present: bool = True) -> DataFrame:
-    """Pages that contain (``present``) or lack an element matching ``selector``."""
-    cond = F.col("html").rlike(selector_regex(selector))
+    """Pages that contain (``present``) or lack an element matching ``selector``; a page without html lacks it."""
+    cond = has_element(F.col("html"), selector)
     return pages.where(cond if present else ~cond)
 
 

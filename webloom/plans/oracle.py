@@ -12,6 +12,7 @@ from webloom.functions.text import (ASCII_SPACE_CLASS, sql_decode_entities, sql_
 from webloom.functions.urls import sql_resolve_root_or_absolute
 from webloom.operators import html as H
 from webloom.operators.outline import REF_ATTR
+from webloom.plans import oracle_elements
 from webloom.plans import queries as Q
 
 # The oracle's own reading of anchors in the given pages.
@@ -392,32 +393,6 @@ FROM qq LEFT JOIN ids USING (item_id)
 
 # ---- page text / selectors / batch / correlation -----------------------------------
 
-def _page_text(expr: str) -> str:
-    from webloom.functions.text import JS_SPACE_CLASS
-    x = f"regexp_replace({expr}, {lit(H.HIDDEN_BLOCK_RE2)}, '', 'g')"
-    x = f"regexp_replace({x}, {lit(H.BLOCK_TAG_RE)}, chr(10), 'g')"
-    x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
-    x = sql_decode_entities(x)
-    x = f"regexp_replace({x}, {lit(r'[ \t\r\f\x{0B}]+')}, ' ', 'g')"
-    x = f"regexp_replace({x}, {lit(r' ?\n[ \n]*')}, chr(10), 'g')"
-    return f"regexp_replace({x}, '^{JS_SPACE_CLASS}+|{JS_SPACE_CLASS}+$', '', 'g')"
-
-
-PAGE_TEXT = f"""
-SELECT page_id, CAST(length(t) AS BIGINT) AS text_length, t AS text
-FROM (SELECT page_id, {_page_text('html')} AS t FROM pages)
-"""
-
-_ART = f"regexp_extract(html, {lit(H.ARTICLE_RE)}, 1)"
-_BODY = f"regexp_replace(regexp_replace(html, {lit(H.HIDDEN_BLOCK_RE2)}, '', 'g'), {lit(H.BOILERPLATE_RE)}, '', 'g')"
-MAIN_ARTICLE = f"""
-SELECT page_id, CAST(length(t) AS BIGINT) AS text_length, t AS text
-FROM (SELECT page_id, {_page_text(f"(CASE WHEN regexp_matches(html, {lit(H.ARTICLE_RE)}) THEN {_ART} ELSE {_BODY} END)")} AS t
-      FROM pages)
-"""
-
-PAGES_WITH_TEXT = f"SELECT page_id FROM pages WHERE contains({_page_text('html')}, {lit(Q.TEXT_NEEDLE)})"
-
 _FR = "regexp_matches(html, '(?is)<html\\b[^>]*\\slang\\s*=\\s*\"fr\"')"
 PAGES_WITH = f"SELECT page_id, url FROM pages WHERE {_FR}"
 PAGES_WITHOUT = f"SELECT page_id, url FROM pages WHERE NOT {_FR}"
@@ -557,31 +532,11 @@ def _own(attr: str) -> str:
     return "(" + " || ".join(f"regexp_extract(t, '{p}', {g})" for g in (1, 2, 3)) + ")"
 
 
-OUTLINE_ELEMENTS = f"""
-WITH tok AS (SELECT page_id, regexp_extract_all(html, '{_TOK}') AS l FROM pages),
-x AS (SELECT page_id, unnest(l) AS t, unnest(range(len(l))) AS pos, unnest(list_concat(l[2:], [NULL])) AS nx FROM tok),
-e AS (SELECT page_id, pos, t, nx, lower(regexp_extract(t, '(?i)^<([a-z][^\\s/>]*)', 1)) AS tag
-      FROM x WHERE regexp_matches(t, '(?i)^<[a-z]')),
-r AS (SELECT *, CASE WHEN {_own("role")} <> '' THEN {_own("role")} WHEN tag = 'button' THEN 'button'
-               WHEN tag = 'input' THEN CASE WHEN lower({_own("type")}) = 'button' THEN 'button' ELSE 'textbox' END
-               WHEN tag = 'a' THEN 'link' WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' WHEN tag = 'img' THEN 'image'
-               WHEN tag IN ('table', 'form') THEN tag ELSE 'generic' END AS role
-      FROM e WHERE tag NOT IN ('head', 'script', 'style', 'template', 'noscript', 'meta', 'link', 'title', 'base', 'html', 'body')
-        AND NOT regexp_matches(t, '(?i)\\shidden[\\s=/>]') AND NOT regexp_matches({_own("style")}, '(?i)display\\s*:\\s*none')
-        AND NOT (tag = 'input' AND lower({_own("type")}) = 'hidden')),
-n AS (SELECT *, CASE WHEN nx IS NULL OR starts_with(nx, '<') THEN '' ELSE
-        {sql_js_trim("substr(regexp_replace(" + sql_js_trim("split_part(" + sql_js_trim(sql_decode_entities("nx")) + ", chr(10), 1)") + ", '[ \\t\\r\\f]+', ' ', 'g'), 1, 50)")} END AS txt FROM r)
-SELECT page_id, CAST(pos AS BIGINT) AS pos, tag, role,
-       CASE WHEN {_own("aria-label")} <> '' THEN {sql_decode_entities(_own("aria-label"))} ELSE txt END AS name,
-       CASE WHEN {_own(REF_ATTR)} <> '' THEN {_own(REF_ATTR)}
-            WHEN role IN ('button', 'link', 'textbox') OR regexp_matches(t, '(?i)\\sonclick\\s*=')
-            THEN substr(sha256(page_id || '/' || pos), 1, 8) END AS ref
-FROM n
-"""
-
-LINKS_EDGE = """
-SELECT page_id, CAST(pos AS BIGINT) AS pos, text, 'https://edge.example.com/' || (pos + 1) AS href
-FROM (SELECT page_id, unnest(range(4)) AS pos, unnest(['one', 'two', 'thr\u00e9e', 'four ' || page_id]) AS text FROM pages)
+LINKS_EDGE = f"""
+WITH own AS ({EXTRACT_LINKS})
+SELECT page_id, CAST(pos AS BIGINT) AS pos, text, {sql_resolve_root_or_absolute('url', "'/' || (pos + 1)")} AS href
+FROM (SELECT page_id, url, unnest(range(4)) AS pos, unnest(['one', 'two', 'thr\u00e9e', 'four ' || page_id]) AS text FROM pages)
+UNION ALL SELECT page_id, pos + 4, text, href FROM own
 """
 
 REQUEST_LOG = f"""
@@ -663,12 +618,9 @@ ORACLE = {
     "search_report": SEARCH_REPORT,
     "detect_language": DETECT_LANGUAGE,
     "translate_queries": TRANSLATE_QUERIES,
-    "page_text": PAGE_TEXT,
     "pages_with": PAGES_WITH,
     "pages_without": PAGES_WITHOUT,
     "evaluate_pages": EVALUATE_PAGES,
-    "main_article": MAIN_ARTICLE,
-    "pages_with_text": PAGES_WITH_TEXT,
     "batch_fetch": BATCH_FETCH,
     "batch_summary": BATCH_SUMMARY,
     "correlate": CORRELATE,
@@ -685,7 +637,6 @@ ORACLE = {
     "request_bodies": REQUEST_BODIES,
     "file_inventory": FILE_INVENTORY,
     "links_edge": LINKS_EDGE,
-    "outline_elements": OUTLINE_ELEMENTS,
     "request_log": REQUEST_LOG,
     "drop_closed": DROP_CLOSED,
     "ref_selectors": REF_SELECTORS,
@@ -694,4 +645,4 @@ ORACLE = {
     "squeezed_slices": SQUEEZED_SLICES,
     "dirty_bodies": DIRTY_BODIES,
     "parse_documents": PARSE_DOCUMENTS,
-}
+} | oracle_elements.ORACLE

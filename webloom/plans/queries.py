@@ -372,8 +372,55 @@ def q_evaluate_pages(spark, d):
     return evaluate_pages(_pages(spark, d, "page_id", "html"), count_paragraph_tags, "bigint")
 
 
+# Well-formed markup that is easy to misread; the queries put it before each page's own html.
+MARKUP = (
+    '<!-- <p class="btn">not here</p> --><div title="a > b">vis<div hidden>no <p>hidden text</p></div> after</div>'
+    '<div style="display: none"><a href="/x">gone</a></div><pre> a  b\n c</pre><section class="lead box"><h2>Two</h2><p>first</p>'
+    '<p class="btn-primary">second <b>bold</b> <i>it</i></p><ul><li>one</li><li class="btn">two <a href="/y"><b>in</b> link</a></li></ul></section>'
+    '<article>outer words <article>inner words</article> tail words</article>')
+DENSITY_MARK = "<hr>"           # in the place of article tags, so that only the blocks' words and links tell
+SELECTORS = ("article p", "section > p", "h1 + p", "li ~ li", "div[title], pre", ".btn", 'nav ul > li a[href^="/"]', "p.btn-primary b + i")
+
+
+def _framed(spark, d) -> DataFrame:
+    return _pages(spark, d, "page_id", F.concat(F.lit(MARKUP), F.col("html")).alias("html"))
+
+
 def q_main_article(spark, d):
-    return H.main_article(_pages(spark, d, "page_id", "html"))
+    from webloom.operators.elements import main_article
+    return main_article(_pages(spark, d, "page_id", "html"))
+
+
+def q_main_article_nested(spark, d):
+    """Pages with a nested article before their own."""
+    from webloom.operators.elements import main_article
+    return main_article(_framed(spark, d))
+
+
+def q_main_article_blocks(spark, d):
+    """Pages without article tags: words and link density of the blocks decide."""
+    from webloom.operators.elements import main_article
+    return main_article(_pages(spark, d, "page_id", F.regexp_replace("html", "</?article>", DENSITY_MARK).alias("html")))
+
+
+def q_page_text_framed(spark, d):
+    return H.page_text(_framed(spark, d))
+
+
+def q_outline_framed(spark, d):
+    from webloom.operators.outline import outline_elements
+    return outline_elements(_framed(spark, d))
+
+
+def q_select_elements(spark, d):
+    """Elements by selectors with combinators; each selector reads the intervals of every page."""
+    from webloom.operators.selectors import select_all
+    return select_all(_framed(spark, d), SELECTORS)
+
+
+def q_pages_with_chain(spark, d):
+    from webloom.operators.selectors import pages_with
+    return pages_with(_pages(spark, d, "page_id", "html"), "article p br").select("page_id")
 
 
 def q_pages_with_text(spark, d):
@@ -561,11 +608,10 @@ EDGE_HTML = (
 
 
 def q_links_edge(spark, d):
-    """Every page behind markup that is easy to misread; only its own four links are wanted."""
-    pages = _pages(spark, d, "page_id", "url")
-    edge = pages.select("page_id", F.lit("https://edge.example.com/").alias("url"),
-                        F.concat(F.lit(EDGE_HTML), F.col("page_id").cast("string")).alias("html"))
-    return H.extract_links(edge)
+    """Every page behind markup that is easy to misread; its own links follow those of the markup."""
+    pages = _pages(spark, d)
+    return H.extract_links(pages.select("page_id", "url", F.concat(F.lit(EDGE_HTML), F.col("page_id").cast("string"), F.lit("</a>"), F.col("html"))
+                                        .alias("html")))
 
 
 def q_request_log(spark, d):
@@ -665,6 +711,12 @@ QUERIES = {
     "pages_without": q_pages_without,
     "evaluate_pages": q_evaluate_pages,
     "main_article": q_main_article,
+    "main_article_nested": q_main_article_nested,
+    "main_article_blocks": q_main_article_blocks,
+    "page_text_framed": q_page_text_framed,
+    "outline_framed": q_outline_framed,
+    "select_elements": q_select_elements,
+    "pages_with_chain": q_pages_with_chain,
     "pages_with_text": q_pages_with_text,
     "batch_fetch": q_batch_fetch,
     "batch_summary": q_batch_summary,
