@@ -66,3 +66,53 @@ def test_unknown_strategy_is_refused(spark):
     ev = hot_events(spark)
     with pytest.raises(ValueError):
         with_shift(ev, "user_id", ["ts"], ["event_id"], 1, strategy="auto")
+
+
+def test_random_logs_by_both_paths(spark):
+    """Keys of all sizes over many ranges, small batches, repeated times: the two paths agree."""
+    import random
+    r = random.Random(4)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = []
+    for k, n in ((0, 700), (1, 1), (2, 9), (3, 350), (None, 120), (4, 30)):
+        at = t0
+        for _ in range(n):
+            at += dt.timedelta(minutes=r.choice((0, 1, 5, 15, 16, 40)))
+            rows.append((k, at, len(rows)))
+    r.shuffle(rows)
+    ev = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, event_id long")
+    key = lambda t: tuple((x is None, str(x)) for x in t)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for parts, batch in (("40", "7"), ("3", "100")):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            for fn in (lambda s: with_shift(ev, "user_id", ["ts", "event_id"], ["event_id", "ts"], 10, strategy=s),
+                       lambda s: with_shift(ev, "user_id", ["ts", "event_id"], ["event_id"], 1, strategy=s),
+                       lambda s: with_shift(ev, "user_id", ["ts", "event_id"], ["event_id"], -3, strategy=s),
+                       lambda s: first_idle(ev, "user_id", "ts", "event_id", "16 minutes", "1 day", strategy=s),
+                       lambda s: idle_sessions(ev, "user_id", "ts", "15 minutes", tie="event_id", strategy=s)):
+                a, b = fn("window"), fn("skew")
+                assert sorted(map(tuple, a.collect()), key=key) == sorted(map(tuple, b.select(*a.columns).collect()), key=key)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def test_text_keys_and_empty_input(spark):
+    ev = hot_events(spark).withColumn("user_id", F.concat(F.lit("u"), F.col("user_id")))
+    assert _rows(idle_sessions(ev, "user_id", "ts")) == _rows(idle_sessions(ev, "user_id", "ts", strategy="window"))
+    for df in (idle_sessions(ev.limit(0), "user_id", "ts"), first_idle(ev.limit(0), "user_id", "ts"),
+               tab_evictions(ev.limit(0), "user_id", ["ts", "event_id"], "event_id")):
+        assert df.count() == 0
+
+
+def test_one_shuffle_of_the_rows_and_balanced_parts(spark):
+    """The pass over the ranges is stored; a key with a third of the rows is in no partition alone."""
+    from webloom.operators import sequence
+    ev = hot_events(spark)
+    ranged = sequence._ranged(ev, "user_id", [F.col("ts"), F.col("event_id")])
+    sizes = [r[1] for r in ranged.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 3 * sum(sizes) / len(sizes) and len(sizes) > 4
+    plan = idle_sessions(ev, "user_id", "ts")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan

@@ -36,15 +36,8 @@ def first_idle(df: DataFrame, key: str, ts: str, tie: str | None = None,
     ``(key, idle_at, timed_out)``: idle_at = ts of the request before the first
     gap >= idle (or of the last request) + idle, capped at start + timeout.
     """
-    from webloom.operators.sequence import with_shift
-    order = [ts] + ([tie] if tie else [])
-    df = df.where(F.col(ts).isNotNull())
-    shifted = with_shift(df.select(key, *order), key, order, [ts], 1, "_next_", strategy)
-    cand = shifted.select(key, ts, F.col("_next_" + ts).alias("_next")).select(
-        key, ts,
-        F.when(F.col("_next").isNull() | (F.col("_next") >= F.col(ts) + _interval(idle)),
-               F.col(ts) + _interval(idle)).alias("_quiet"))
-    agg = cand.groupBy(key).agg(F.min(ts).alias("_start"), F.min("_quiet").alias("_q"))
+    from webloom.operators.sequence import first_quiet
+    agg = first_quiet(df, key, ts, tie, idle, strategy)
     limit = F.col("_start") + _interval(timeout)
     return agg.select(key, F.when(F.col("_q") > limit, limit).otherwise(F.col("_q")).alias("idle_at"),
                       (F.col("_q") > limit).alias("timed_out"))

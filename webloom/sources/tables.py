@@ -6,8 +6,12 @@ reader because every operator selects only the columns it needs.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from webloom.session import checkpoint_dir
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -48,3 +52,10 @@ def cpu_partitions(spark) -> int:
     coalescing a small-in-bytes but expensive-per-byte input into one task."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                spark.sparkContext.defaultParallelism)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder: computed once, of known size to the planner."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
