@@ -442,17 +442,22 @@ CORRELATE = _CORR + "SELECT conv_id, req_turn, reply_turn, latency_s, timed_out
 
 # Stream twins: what an availableNow run has emitted -- everything final under
 # the watermark (max event time - delay).
-STREAM_LAST_N = f"""
+def _stream_log(ends: str) -> str:
+    return f"""
 SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq,
        event_id, event_type
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
       FROM (SELECT e.* FROM events e
             LEFT JOIN (SELECT user_id, max({{'ts': ts, 'id': event_id}}) AS r FROM events
-                       WHERE event_type = {lit(Q.RESET_TYPE)} GROUP BY user_id) m USING (user_id)
+                       WHERE event_type IN ({ends}) GROUP BY user_id) m USING (user_id)
             WHERE m.r IS NULL OR {{'ts': e.ts, 'id': e.event_id}} > m.r))
 WHERE rn <= {Q.LOG_N}
 """
 
+
+STREAM_LAST_N = _stream_log(lit(Q.RESET_TYPE))
+STREAM_CLOSES = _stream_log(f"{lit(Q.RESET_TYPE)}, {lit(Q.CLOSE_TYPE)}")
+
 STREAM_SESSIONS = f"""
 SELECT * FROM ({IDLE_SESSIONS})
 WHERE session_end <= (SELECT max(ts) FROM events) - INTERVAL {Q.STREAM_DELAY}
@@ -625,6 +630,7 @@ ORACLE = {
     "batch_summary": BATCH_SUMMARY,
     "correlate": CORRELATE,
     "stream_last_n": STREAM_LAST_N,
+    "stream_closes": STREAM_CLOSES,
     "stream_sessions": STREAM_SESSIONS,
     "stream_correlate": STREAM_CORRELATE,
     "stream_tabs": STREAM_TABS,

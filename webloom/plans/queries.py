@@ -486,16 +486,44 @@ def q_correlate(spark, d):
 STREAM_DELAY = "1 hour"
 
 
+STREAM_FILES = 4
+CLOSE_TYPE = "purchase"
+
+
 def _ev_stream(spark, d):
     from webloom.sources.tables import read_stream_table
     return read_stream_table(spark, d, "events")
 
 
+def _ev_parts(spark, d):
+    """The events as a stream of several files in the order of time, one file for each micro-batch."""
+    from webloom.streaming.stateful import scratch
+    events = _events(spark, d)
+    folder, _ = scratch(spark, "parts")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    bounds = events.select(F.percentile_approx(at, [k / STREAM_FILES for k in range(1, STREAM_FILES)])).first()[0] or []
+    part = sum((F.when(at > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    for k in range(STREAM_FILES):           # one after the other: the stream takes files in the order of their times
+        events.where(part == k).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _stream_log(spark, d, close_type):
+    from webloom.operators.logs import last_n
+    from webloom.streaming.stateful import current_log, run_to_table, stream_last_n
+    st = stream_last_n(_ev_parts(spark, d), "user_id", "ts", "event_id", "event_type", RESET_TYPE, LOG_N, close_type)
+    log = current_log(run_to_table(st, "last_n"), "user_id", "event_id")
+    timed = log.join(_events(spark, d, "event_id", "ts"), "event_id")
+    return last_n(timed, "user_id", ["ts", "event_id"], LOG_N).select("user_id", "seq", "event_id", "event_type")
+
+
 def q_stream_last_n(spark, d):
-    from webloom.streaming.stateful import latest_snapshot, run_to_table, stream_last_n
-    st = stream_last_n(_ev_stream(spark, d), "user_id", "ts", "event_id", "event_type", RESET_TYPE, LOG_N)
-    return latest_snapshot(run_to_table(st, "last_n"), "user_id").select(
-        "user_id", "seq", "event_id", "event_type")
+    return _stream_log(spark, d, None)
+
+
+def q_stream_closes(spark, d):
+    """ST1 with close events: a closed log is empty until its key has another event."""
+    return _stream_log(spark, d, CLOSE_TYPE)
 
 
 def q_stream_sessions(spark, d):
@@ -515,7 +543,7 @@ def q_stream_correlate(spark, d):
 
 def q_stream_tabs(spark, d):
     from webloom.streaming.stateful import run_to_table, stream_tabs
-    return run_to_table(stream_tabs(_ev_stream(spark, d), "user_id", "ts", "event_id"), "tabs")
+    return run_to_table(stream_tabs(_ev_parts(spark, d), "user_id", "ts", "event_id"), "tabs")
 
 
 def q_stream_links(spark, d):
@@ -594,7 +622,7 @@ def q_parse_documents(spark, d):
 
 def q_stream_idle(spark, d):
     from webloom.streaming.stateful import run_to_table, stream_idle
-    st = stream_idle(_ev_stream(spark, d), "user_id", "ts", "event_id", 3600.0, 86400.0, STREAM_DELAY)
+    st = stream_idle(_ev_parts(spark, d), "user_id", "ts", "event_id", 3600.0, 86400.0, STREAM_DELAY)
     return run_to_table(st, "idle").select(
         "user_id", F.col("idle_at").cast("timestamp_ntz").alias("idle_at"), "timed_out")
 
@@ -722,6 +750,7 @@ QUERIES = {
     "batch_summary": q_batch_summary,
     "correlate": q_correlate,
     "stream_last_n": q_stream_last_n,
+    "stream_closes": q_stream_closes,
     "stream_sessions": q_stream_sessions,
     "stream_correlate": q_stream_correlate,
     "stream_tabs": q_stream_tabs,

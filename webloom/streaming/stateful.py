@@ -1,14 +1,14 @@
 """Streaming operators.
 
-* ST1 bounded log with reset: ``applyInPandasWithState``; state per key is
-  at most ``n`` entries, each micro-batch emits a versioned snapshot.
+* ST1 bounded log with resets and closes, ST4 live tabs, ST5 quiet points:
+  ``transformWithState`` processors (``processors.py``) with list state and
+  event-time timers.  Only changes are given; a close, a decided key or an
+  idle one frees its state.
 * ST2 idle sessions: watermark + ``session_window`` aggregation, append.
 * ST3 correlation: stream-stream left outer join on the id with an
   event-time interval condition and watermarks on both sides; unmatched
   requests are emitted once the watermark passes their deadline.
-* ST4 live tabs: ``applyInPandasWithState`` keeping the <= n open tabs;
-  an open beyond n evicts (and emits) the oldest.
-* ST6 pages -> links: the stateless batch function on a stream.
+* ST6 pages -> links, chunks and text: the stateless batch functions on a stream.
 * ST7 retention: the batch predicate per micro-batch in ``foreachBatch``.
 
 Arrival order across micro-batches is kept (as the reference processes
@@ -19,16 +19,34 @@ where it stopped; the sinks are idempotent per batch id.
 
 from __future__ import annotations
 
-import json
 import uuid
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from webloom.session import checkpoint_dir
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """The session with the state store that ``transformWithState`` needs; what was set before comes back.
+
+    A query takes the setting when it starts.
+    """
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, STATE_STORE)
+    try:
+        yield spark
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
 
 def scratch(spark: SparkSession, name: str) -> tuple[str, str]:
     """(data path, checkpoint path) for a query, under the shared checkpoint folder."""
@@ -41,67 +59,41 @@ def run_to_table(df: DataFrame, name: str, output_mode: str = "append") -> DataF
     sink and return the sink read back as a batch DataFrame."""
     spark = df.sparkSession
     data, chk = scratch(spark, name)
-    q = (df.writeStream.format("parquet").outputMode(output_mode)
-         .option("path", data).option("checkpointLocation", chk)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    with state_store(spark):
+        q = (df.writeStream.format("parquet").outputMode(output_mode)
+             .option("path", data).option("checkpointLocation", chk)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.schema(df.schema).parquet(data)
 
 
 # ---- ST1 -------------------------------------------------------------------------
 
 def stream_last_n(events: DataFrame, key: str, ts: str, id_col: str, type_col: str,
-                  reset_type: str, n: int = 100) -> DataFrame:
-    """Bounded log per key, emptied by a reset marker (marker not kept).
-    Output ``(key, version, seq, id, type)``: one snapshot per key and batch;
-    an empty snapshot is a single ``seq = 0`` row."""
-    out_schema = f"{key} long, version long, seq long, {id_col} long, {type_col} string"
-    state_schema = "log string, version long"
-
-    def step(k, pdfs, state):
-        if state.exists:
-            log_json, version = state.get
-            log = json.loads(log_json)
-        else:
-            log, version = [], 0
-        # Chunk by chunk, only the newest n rows after the last marker are held.
-        marker, kept = None, None
-        for pdf in pdfs:
-            part = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
-            part = part.sort_values([ts, id_col], kind="stable")
-            resets = part[part[type_col] == reset_type]
-            if len(resets):
-                last = (resets[ts].iloc[-1], resets[id_col].iloc[-1])
-                marker = last if marker is None else max(marker, last)
-            part = part[part[type_col] != reset_type]
-            if marker is not None:
-                part = part[(part[ts] > marker[0]) | ((part[ts] == marker[0]) & (part[id_col] > marker[1]))]
-            kept = part.tail(n)
-        log = ([] if marker is not None else log) + [
-            [int(i), t] for i, t in zip(kept[id_col].tolist(), kept[type_col].tolist())]
-        log = log[-n:]
-        version += 1
-        state.update((json.dumps(log), version))
-        if not log:
-            # An emptied log still needs a row so the read-back sees the new
-            # (empty) version rather than an older snapshot: seq 0 marks it.
-            yield pd.DataFrame({key: [k[0]], "version": [version], "seq": [0],
-                                id_col: [None], type_col: [None]})
-            return
-        yield pd.DataFrame({key: [k[0]] * len(log), "version": [version] * len(log),
-                            "seq": list(range(1, len(log) + 1)),
-                            id_col: [e[0] for e in log], type_col: [e[1] for e in log]})
-
-    return (events.select(key, ts, id_col, type_col).groupBy(key)
-            .applyInPandasWithState(step, out_schema, state_schema, "append",
-                                    GroupStateTimeout.NoTimeout))
-
-
-def latest_snapshot(snapshots: DataFrame, key: str) -> DataFrame:
-    """Rows of each key's newest snapshot (batch read-back of ST1 output);
-    a key whose newest snapshot is empty has no rows."""
-    newest = snapshots.groupBy(key).agg(F.max("version").alias("version"))
-    return snapshots.join(newest, [key, "version"]).where(F.col("seq") > 0).drop("version")
+                  reset_type: str, n: int = 100, close_type: str | None = None,
+                  idle_s: float | None = None, delay: str = "1 hour") -> DataFrame:
+    """Changes of a bounded log per key: ``(key, change, id, type)``.
+
+    ``change`` is ``add`` or ``drop``: an entry that left because of the bound, a
+    reset marker (which is not kept), a close or, with ``idle_s``, because its
+    key had no event for so long (event time, behind the watermark).  An entry
+    that comes and goes within one micro-batch is not given.  A closed or
+    idle key has no state.  :func:`current_log` is the log of all changes."""
+    from webloom.streaming.processors import BoundedLog
+    t = F.col(ts).cast("timestamp")
+    rows = (events.select(key, t.alias("w_t"), F.unix_micros(t).alias("w_us"), F.col(id_col).cast("long").alias("w_id"),
+                          F.col(type_col).alias("w_type")).withWatermark("w_t", delay))
+    key_type = dict(events.dtypes)[key]
+    out = rows.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=BoundedLog(key, n, reset_type, close_type, idle_s),
+        outputStructType=f"{key} {key_type}, change string, id long, type string", outputMode="Append", timeMode="eventTime")
+    return out.select(key, "change", F.col("id").alias(id_col), F.col("type").alias(type_col))
+
+
+def current_log(changes: DataFrame, key: str, id_col: str) -> DataFrame:
+    """The entries that were added and not dropped (batch read-back of ST1)."""
+    gone = changes.where("change = 'drop'").select(key, id_col)
+    return changes.where("change = 'add'").join(gone, [key, id_col], "left_anti").drop("change")
 
 
 # ---- ST2 -------------------------------------------------------------------------
@@ -147,31 +139,17 @@ def stream_tabs(opens: DataFrame, key: str, ts: str, id_col: str, max_tabs: int
     Every row opens a tab named by ``id_col``; with ``op_col``, rows whose op
     is ``close_op`` instead close the tab named in ``target_col`` (if still
     open).  Opening beyond ``max_tabs`` evicts the oldest *created* open tab.
-    State per key is the <= max_tabs open ids."""
-    out_schema = f"{key} long, opened_event long, evicted_by long"
-    cols = [key, ts, id_col] + [c for c in (op_col, target_col) if c]
-
-    def step(k, pdfs, state):
-        open_ids = json.loads(state.get[0]) if state.exists else []
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values([ts, id_col], kind="stable")
-        ops = batch[op_col].tolist() if op_col else [None] * len(batch)
-        targets = batch[target_col].tolist() if target_col else [None] * len(batch)
-        opened, evictor = [], []
-        for i, op, tgt in zip(batch[id_col].tolist(), ops, targets):
-            if op == close_op:
-                if tgt is not None and int(tgt) in open_ids:
-                    open_ids.remove(int(tgt))
-                continue
-            open_ids.append(int(i))
-            if len(open_ids) > max_tabs:
-                opened.append(open_ids.pop(0))
-                evictor.append(int(i))
-        state.update((json.dumps(open_ids),))
-        yield pd.DataFrame({key: [k[0]] * len(opened), "opened_event": opened, "evicted_by": evictor})
-
-    return (opens.select(*cols).groupBy(key)
-            .applyInPandasWithState(step, out_schema, "open string", "append",
-                                    GroupStateTimeout.NoTimeout))
+    State per key is the list of the <= max_tabs open ids; a key whose last
+    tab is closed has none."""
+    from webloom.streaming.processors import LiveTabs
+    none = F.lit(None).cast("long")
+    rows = opens.select(key, (F.unix_micros(F.col(ts).cast("timestamp")) if dict(opens.dtypes)[ts].startswith("timestamp")
+                              else F.col(ts).cast("long")).alias("w_us"), F.col(id_col).cast("long").alias("w_id"),
+                        (F.coalesce(F.col(op_col) == close_op, F.lit(False)) if op_col else F.lit(False)).alias("w_close"),
+                        (F.col(target_col).cast("long") if target_col else none).alias("w_target"))
+    return rows.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=LiveTabs(key, max_tabs), outputStructType=f"{key} {dict(opens.dtypes)[key]}, opened_event long, evicted_by long",
+        outputMode="Append", timeMode="none")
 
 
 # ---- ST7 -------------------------------------------------------------------------
@@ -202,47 +180,13 @@ def stream_idle(events: DataFrame, key: str, ts: str, id_col: str, idle_s: float
     passes ``start + timeout`` the answer is the capped ``start + timeout``;
     with no further event, the timer at ``last + idle`` fires when the
     watermark passes it.  Output ``(key, idle_at, timed_out)`` once per key.
-    Times cross into Python as epoch seconds computed by Spark, so the
-    result and the timers do not depend on the session time zone."""
-    out_schema = f"{key} long, idle_at_s double, timed_out boolean"
-    state_schema = "start double, last double, done boolean"
-
-    def emit(k, q, start):
-        limit = start + timeout_s
-        capped = q > limit
-        return pd.DataFrame({key: [k[0]], "idle_at_s": [limit if capped else q], "timed_out": [bool(capped)]})
-
-    def step(k, pdfs, state):
-        if state.hasTimedOut:
-            start, last, done = state.get
-            if not done:
-                state.update((start, last, True))
-                yield emit(k, last + idle_s, start)
-            return
-        start, last, done = state.get if state.exists else (None, None, False)
-        if done:
-            return
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["_ts_s", id_col], kind="stable")
-        for t in batch["_ts_s"].tolist():
-            if start is None:
-                start = t
-            elif t - last >= idle_s:
-                state.update((start, last, True))
-                yield emit(k, last + idle_s, start)
-                return
-            last = t
-            if last + idle_s > start + timeout_s:
-                state.update((start, last, True))
-                yield emit(k, last + idle_s, start)
-                return
-        state.update((start, last, False))
-        state.setTimeoutTimestamp(int(round((last + idle_s) * 1000)))
-
+    A decided key keeps one flag and no times.  Times cross into Python as
+    epoch microseconds computed by Spark, so the result and the timers do
+    not depend on the session time zone."""
+    from webloom.streaming.processors import QuietPoint
     t = F.col(ts).cast("timestamp")
-    out = (events.select(key, t.alias(ts), id_col)
-           .withColumn("_ts_s", F.unix_micros(F.col(ts)) / 1e6)
-           .withWatermark(ts, delay).groupBy(key)
-           .applyInPandasWithState(step, out_schema, state_schema, "append",
-                                   GroupStateTimeout.EventTimeTimeout))
-    return out.select(key, F.timestamp_micros(F.round(F.col("idle_at_s") * 1e6).cast("bigint")).alias("idle_at"),
-                      "timed_out")
+    rows = events.select(key, t.alias("w_t"), F.unix_micros(t).alias("w_us")).withWatermark("w_t", delay)
+    out = rows.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=QuietPoint(key, int(idle_s * 1e6), int(timeout_s * 1e6)),
+        outputStructType=f"{key} {dict(events.dtypes)[key]}, idle_at_us long, timed_out boolean", outputMode="Append", timeMode="eventTime")
+    return out.select(key, F.timestamp_micros("idle_at_us").alias("idle_at"), "timed_out")
