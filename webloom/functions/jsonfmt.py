@@ -1,4 +1,9 @@
-"""JSON text exactly as ``JSON.stringify(JSON.parse(s))`` prints it (§1.1.7).
+"""JSON text exactly as ``JSON.stringify`` prints it.
+
+:func:`pretty` compiles a column's type to a Column that prints nested data
+in JS form (two spaces, key order, escapes, numbers) with built-in functions.
+
+``JSON.stringify(JSON.parse(s))`` of a text that is JSON already:
 
 Spark's ``to_json(parse_json(x))`` sorts keys, prints ``2e2`` as ``200.0``
 and rejects duplicate keys, so the canonical form is computed by a small
@@ -13,9 +18,12 @@ import math
 import re
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webloom.functions.text import let
+
 
 _LONE = re.compile("[\ud800-\udfff]")
 _INDEX = re.compile("0|[1-9][0-9]{0,9}")
@@ -144,3 +152,97 @@ def _plain(v):
 def pretty_json_udf(s: pd.Series) -> pd.Series:
     """K1 over an array/struct column (Arrow batches)."""
     return s.map(lambda v: pretty_json(_plain(v)) if v is not None else None)
+
+
+# ---- nested data as a Column -----------------------------------------------------------
+
+# The escapes that JSON.stringify uses; other characters below 20 hex are \\u00xx.
+_ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
+
+
+def json_string(c: Column) -> Column:
+    """A JSON string of a text, NULL as ``null``."""
+    def body(s: Column) -> Column:
+        out = s
+        for raw, escaped in _ESCAPES:
+            out = F.replace(out, F.lit(raw), F.lit(escaped))
+        rare = out
+        for code in range(0x20):
+            if chr(code) not in "\b\f\n\r\t":
+                rare = F.replace(rare, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+        odd = F.when(s.rlike(r"[\x{00}-\x{07}\x{0B}\x{0E}-\x{1F}]"), rare).otherwise(out)
+        return F.when(s.rlike(r'[\x{00}-\x{1F}"\\]'), odd).otherwise(s)
+    return F.coalesce(F.concat(F.lit('"'), let(c, body), F.lit('"')), F.lit("null"))
+
+
+def json_number(c: Column) -> Column:
+    """A double as JS prints it; NULL, NaN and infinities as ``null``."""
+    def body(x: Column) -> Column:
+        def parts(t: Column) -> Column:
+            digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(t, r"^-?([0-9.]+)", 1), r"\.0$", ""), r"\.", "")
+            point = F.coalesce(F.regexp_extract(t, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0)) + F.length(F.regexp_extract(t, r"^-?([0-9]+)", 1))
+            lead = F.length(F.regexp_extract(digits, "^0*", 0))
+            plain = F.regexp_replace(digits, "^0+|0+$", "")
+            return text(plain, point - lead)
+
+        def text(d: Column, n: Column) -> Column:
+            k = F.length(d)
+            e = n - 1
+            power = F.concat(F.when(k > 1, F.concat(F.substring(d, 1, 1), F.lit("."), F.substring(d, F.lit(2), k))).otherwise(d), F.lit("e"),
+                             F.when(e >= 0, F.lit("+")).otherwise(F.lit("-")), F.abs(e).cast("string"))
+            return (F.when((k <= n) & (n <= 21), F.rpad(d, F.greatest(n, F.lit(1)), "0"))
+                    .when((n > 0) & (n <= 21), F.concat(F.substring(d, F.lit(1), n), F.lit("."), F.substring(d, n + 1, k)))
+                    .when((n > -6) & (n <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -n), d)).otherwise(power))
+        whole = F.when(x == 0, F.lit("0")).otherwise(F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), let(F.abs(x).cast("string"), parts)))
+        # The JVM prints the least number with one digit too many.
+        whole = F.when(F.abs(x) == 5e-324, F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), F.lit("5e-324"))).otherwise(whole)
+        return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit("null")).otherwise(whole)
+    return F.coalesce(let(c.cast("double"), body), F.lit("null"))
+
+
+def pretty(c: Column, kind: T.DataType, omit: tuple[str, ...] = (), depth: int = 0) -> Column:
+    """``JSON.stringify(value, null, 2)`` of a column of the type ``kind``.
+
+    Struct fields named in ``omit`` are left out where they are NULL (a
+    member that JS holds as undefined); other NULLs are ``null``.  Members of
+    a map that look like array indices come first, by number.
+    """
+    inner, outer = "\n" + "  " * (depth + 1), "\n" + "  " * depth
+
+    def closed(items: Column, left: str, right: str) -> Column:
+        return let(items, lambda x: F.when(F.size(x) == 0, F.lit(left + right)).otherwise(
+            F.concat(F.lit(left + inner), F.array_join(x, "," + inner), F.lit(outer + right))))
+
+    if isinstance(kind, T.StringType):
+        return json_string(c)
+    if isinstance(kind, T.BooleanType):
+        return F.coalesce(c.cast("string"), F.lit("null"))
+    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return json_number(c)
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(c.cast("string"), F.lit("null"))
+    if isinstance(kind, T.ArrayType):
+        items = F.transform(c, lambda x: pretty(x, kind.elementType, omit, depth + 1))
+        return F.when(c.isNotNull(), closed(items, "[", "]")).otherwise(F.lit("null"))
+    if isinstance(kind, T.MapType):
+        entries = F.map_entries(c)
+        number = lambda e: F.when(e["key"].rlike("^(0|[1-9][0-9]{0,9})$"), e["key"].try_cast("bigint"))              # noqa: E731
+        index = lambda e: F.coalesce(number(e) < 4294967295, F.lit(False))                                           # noqa: E731
+        first = F.transform(F.array_sort(F.transform(F.filter(entries, index), lambda e: F.struct(number(e).alias("n"), e.alias("e")))), lambda z: z["e"])
+        ordered = F.concat(first, F.filter(entries, lambda e: ~index(e)))
+        items = F.transform(ordered, lambda e: F.concat(json_string(e["key"]), F.lit(": "), pretty(e["value"], kind.valueType, omit, depth + 1)))
+        return F.when(c.isNotNull(), closed(items, "{", "}")).otherwise(F.lit("null"))
+    if isinstance(kind, T.StructType):
+        members = []
+        for f in kind.fields:
+            v = c[f.name]
+            text = F.concat(F.lit(_quoted(f.name) + ": "), pretty(v, f.dataType, omit, depth + 1))
+            members.append(F.when(v.isNotNull(), text) if f.name in omit else text)
+        items = F.array_compact(F.array(*members)) if members else F.array().cast("array<string>")
+        return F.when(c.isNotNull(), closed(items, "{", "}")).otherwise(F.lit("null"))
+    raise TypeError(f"no JSON form for {kind.simpleString()}")
+
+
+def pretty_column(df: DataFrame, name: str, omit: tuple[str, ...] = ()) -> Column:
+    """:func:`pretty` of a column of ``df``, by its own type."""
+    return pretty(F.col(name), df.schema[name].dataType, omit)

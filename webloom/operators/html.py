@@ -102,24 +102,6 @@ def link_list(html, base, schemes_prefix: str | None = "http") -> Column:
         inner_text(a["inner"]).alias("text"), resolve_url(b, a["href_raw"]).alias("href")))
 
 
-def links_json(pages: DataFrame) -> DataFrame:
-    """K1: ``(page_id, json)`` -- the page's links as 2-space pretty JSON."""
-    import pandas as pd
-
-    from webloom.functions.jsonfmt import pretty_json
-
-    def fmt(it):
-        for pdf in it:
-            yield pd.DataFrame({"page_id": pdf["page_id"],
-                                "json": [pretty_json([{"text": r["text"], "href": r["href"]} for r in links])
-                                         for links in pdf["links"]]})
-
-    # The array is built by JVM expressions; only formatting crosses to Python.
-    return (pages.select("page_id", "html", document_base("html", "url").alias("_base"))
-            .select("page_id", link_list("html", "_base").alias("links"))
-            .mapInPandas(fmt, "page_id bigint, json string"))
-
-
 def page_title(html) -> Column:
     """document.title: first <title> text, entities decoded, ASCII white space
     collapsed and trimmed; '' when there is no title."""

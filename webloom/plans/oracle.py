@@ -652,3 +652,9 @@ ORACLE = {
     "dirty_bodies": DIRTY_BODIES,
     "parse_documents": PARSE_DOCUMENTS,
 } | oracle_elements.ORACLE
+
+
+def every() -> dict[str, str]:
+    """All twins; those of the results are built on the ones above."""
+    from webloom.plans import oracle_results
+    return ORACLE | oracle_results.ORACLE

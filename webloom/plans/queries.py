@@ -303,14 +303,19 @@ def q_translate_queries(spark, d):
         "conv_id", "turn", "query")
 
 
-def q_search_report(spark, d):
+def _enriched(spark, d):
+    """Benchmark texts as queries: language, translated and enriched text; one row each, made once."""
     from webloom.operators.language import FIXTURE_DICTIONARY, detect_language, translate_queries
-    from webloom.operators.search import enrich_query, multi_search, nest_results, search_report
+    from webloom.operators.search import enrich_query
     bench = read_table(spark, d, "benchmark").select("item_id", "text")
     det = detect_language(bench, "item_id", "text", _small_profiles(spark, d))
     q = translate_queries(bench.join(det, "item_id"), "text", "lang_code", FIXTURE_DICTIONARY, "translated")
-    # One row per query, read three times below: materialise it once.
-    q = q.withColumn("query", enrich_query("translated")).checkpoint(eager=True)
+    return q.withColumn("query", enrich_query("translated")).checkpoint(eager=True)
+
+
+def q_search_report(spark, d):
+    from webloom.operators.search import multi_search, nest_results, search_report
+    q = _enriched(spark, d)
     res = multi_search(q.select("item_id", F.col("query").alias("text")), _docs(spark, d), num=SEARCH_NUM)
     nested = nest_results(res, "item_id", ["doc_id"]).select(
         "item_id", F.transform("results", lambda r: r["doc_id"].cast("string")).alias("ids"))
@@ -564,7 +569,8 @@ CONSOLE_BOUND = 100
 
 
 def q_links_json(spark, d):
-    return H.links_json(_pages(spark, d))
+    from webloom.operators.results import links_json
+    return links_json(_pages(spark, d))
 
 
 def q_follow_links(spark, d):
@@ -627,6 +633,79 @@ def q_stream_idle(spark, d):
         "user_id", F.col("idle_at").cast("timestamp_ntz").alias("idle_at"), "timed_out")
 
 
+# ---- results as JSON -------------------------------------------------------------------
+
+BATCH_SIZE = 25
+TABS_PER_WINDOW = 10
+
+
+def q_tabs_json(spark, d):
+    from webloom.operators.results import tabs_json
+    return tabs_json(q_list_pages(spark, d), TABS_PER_WINDOW)
+
+
+def _users(spark, d):
+    return read_table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+
+
+def q_console_json(spark, d):
+    from webloom.operators.results import log_json
+    from webloom.sources.responses import console_log
+    log = console_log(read_table(spark, d, "events"))
+    return log_json(_users(spark, d), "user_id", log, "user_id", ["ts", "event_id"], ["type", "text", "location"], CONSOLE_BOUND)
+
+
+def q_network_json(spark, d):
+    """The newest requests of every user, static ones left out after the bound."""
+    from webloom.operators.logs import network_requests
+    from webloom.operators.results import log_json
+    from webloom.sources.responses import request_log
+    log = network_requests(request_log(read_table(spark, d, "events")), "user_id", ["ts", "event_id"], "resourceType", LOG_N,
+                           static_types=STATIC_FIXTURE_TYPES)
+    return log_json(_users(spark, d), "user_id", log, "user_id", ["ts", "event_id"], ["url", "method", "resourceType", "headers"], LOG_N)
+
+
+def q_batch_json(spark, d):
+    from webloom.operators.results import batch_json
+    return batch_json(q_batch_fetch(spark, d), BATCH_SIZE)
+
+
+def q_slice_json(spark, d):
+    from webloom.operators.results import slice_json
+    return slice_json(q_html_slice(spark, d))
+
+
+def _doc_link():
+    from webloom.sources.responses import DOC_URL
+    return F.concat(F.lit(DOC_URL), F.col("doc_id").cast("string"))
+
+
+def q_search_json(spark, d):
+    from webloom.operators.results import results_by_query, search_json
+    bench = read_table(spark, d, "benchmark").select("item_id", "text")
+    return search_json(results_by_query(bench, q_multi_search(spark, d), "item_id", _doc_link()), "item_id", "text")
+
+
+def q_search_results_report(spark, d):
+    """K4 with titles, links and snippets."""
+    from webloom.operators.results import report, results_by_query
+    from webloom.operators.search import multi_search, with_result_text
+    q = _enriched(spark, d)
+    corpus = _docs(spark, d)
+    res = with_result_text(multi_search(q.select("item_id", F.col("query").alias("text")), corpus, num=SEARCH_NUM), corpus)
+    return report(results_by_query(q, res, "item_id", _doc_link()), "item_id", "lang_code", "query")
+
+
+def q_fetch_api(spark, d):
+    """Whole records for the API requests: one response of each kind for every request, by its id."""
+    from webloom.operators.results import fetch_api
+    from webloom.sources.responses import requests
+    answers = _responses(spark, d).where(F.col("kind") != "page").groupBy("id").agg(F.min_by(
+        F.struct("url", "status", "status_text", "headers", "body"), "kind").alias("r")).select("id", "r.*")
+    timed = answers.withColumn("elapsed_ms", (F.col("id") % 1000) * 90.5)
+    return fetch_api(requests(spark, d), timed, "id")
+
+
 # ---- operators registered in the second round ------------------------------------------
 
 EDGE_HTML = (
@@ -758,6 +837,14 @@ QUERIES = {
     "stream_retention": q_stream_retention,
     "stream_idle": q_stream_idle,
     "links_json": q_links_json,
+    "tabs_json": q_tabs_json,
+    "console_json": q_console_json,
+    "network_json": q_network_json,
+    "batch_json": q_batch_json,
+    "slice_json": q_slice_json,
+    "search_json": q_search_json,
+    "search_results_report": q_search_results_report,
+    "fetch_api": q_fetch_api,
     "follow_links": q_follow_links,
     "console_messages": q_console_messages,
     "request_bodies": q_request_bodies,
