@@ -320,6 +320,12 @@ SELECT top.item_id, top.rank, top.doc_id, top.score, {_META}
 FROM top JOIN documents USING (doc_id)
 """
 
+INDEX_SEARCH_OPTIONS = f"""WITH {_search_sql("SELECT conv_id * 1000 + turn AS item_id, text FROM conversations WHERE role = 'user'", Q.FILTER_NUM, 1,
+    "lang = '" + Q.FILTER_LANG + "' AND source = (SELECT min(source) FROM documents)")}
+SELECT top.item_id, top.rank, top.doc_id, top.score, {_META}
+FROM top JOIN documents USING (doc_id)
+"""
+
 _LANGMAP = "CASE {x} WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' WHEN 'es' THEN 'spa' ELSE {x} END"
 
 
@@ -620,6 +626,8 @@ ORACLE = {
     "parse_search_response": PARSE_SEARCH_RESPONSE,
     "multi_search": MULTI_SEARCH,
     "search_filtered": SEARCH_FILTERED,
+    "index_search": MULTI_SEARCH,
+    "index_search_options": INDEX_SEARCH_OPTIONS,
     "search_report": SEARCH_REPORT,
     "detect_language": DETECT_LANGUAGE,
     "translate_queries": TRANSLATE_QUERIES,

@@ -265,6 +265,41 @@ def q_search_filtered(spark, d):
         "item_id", "rank", "doc_id", "score", "title", "snippet")
 
 
+_INDEXES: dict = {}
+INDEX_BATCHES, INDEX_BUCKETS = 3, 8
+
+
+def _index(spark, d):
+    """The stored index of the documents, appended in batches; made once for each session and corpus."""
+    from webloom.operators.index import SearchIndex
+    from webloom.streaming.stateful import scratch
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        path, _ = scratch(spark, "index")
+        index = SearchIndex(spark, path, INDEX_BUCKETS, "bigint", {"lang": "string", "source": "string"})
+        docs = read_table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+        for k in range(INDEX_BATCHES):
+            index.add(docs.where(F.pmod("doc_id", F.lit(INDEX_BATCHES)) == k))
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
+def q_index_search(spark, d):
+    return _index(spark, d).search(read_table(spark, d, "benchmark").select("item_id", "text"), num=SEARCH_NUM)
+
+
+def q_index_search_options(spark, d):
+    """Another query set on the same index, with language and site."""
+    from webloom.operators.index import search_filter
+    turns = _user_turns(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), "text")
+    return _index(spark, d).search(turns, num=FILTER_NUM, doc_filter=search_filter(language=FILTER_LANG, site=_site(spark, d)))
+
+
+def _site(spark, d) -> str:
+    """The least name of a source."""
+    return read_table(spark, d, "documents").agg(F.min("source")).first()[0]
+
+
 def _profiles(spark, d, docs=None):
     from webloom.operators.language import train_profiles
     docs = docs if docs is not None else _docs(spark, d, "doc_id", "text", "lang")
@@ -806,6 +841,8 @@ QUERIES = {
     "parse_search_response": q_parse_search_response,
     "multi_search": q_multi_search,
     "search_filtered": q_search_filtered,
+    "index_search": q_index_search,
+    "index_search_options": q_index_search_options,
     "search_report": q_search_report,
     "detect_language": q_detect_language,
     "translate_queries": q_translate_queries,
