@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.text import js_trim
-from webloom.operators.search import B, K1, SCORE_DIGITS, SNIPPET_LEN, TITLE_LEN, tokens
+from webloom.operators.search import B, BROADCAST_ROWS, K1, SCORE_DIGITS, SNIPPET_LEN, TITLE_LEN, tokens
 from webloom.sources.tables import stored
 
 
@@ -109,7 +109,6 @@ class SearchIndex:
 
     def scores(self, queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
         """``(doc, _q, score)`` of every document that shares a term with a query."""
-        # A stored table has a size that the planner knows: few terms are broadcast, many are joined by a shuffle.
         qterms = stored(queries.select(F.col(query_id).alias("_q"), F.explode(F.array_distinct(tokens(query_text))).alias("term")))
         n_docs, n_terms = self.table("stats").agg(F.sum("n_docs"), F.sum("n_terms")).first()
         n_docs, avgdl = int(n_docs or 0), float(n_terms or 0) / (n_docs or 1)
@@ -118,7 +117,9 @@ class SearchIndex:
         dfs = stored(postings.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
         idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
-        weighted = qterms.join(dfs, "term").select("_q", "term", idf.alias("idf"))
+        weighted = stored(qterms.join(dfs, "term").select("_q", "term", idf.alias("idf")))
+        # Counted: a few query terms are sent to the buckets; very many meet the postings by a shuffle.
+        weighted = F.broadcast(weighted) if weighted.count() <= BROADCAST_ROWS else weighted
         contrib = postings.join(weighted, "term").select("_q", "doc", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("c"))
         return contrib.groupBy("doc", "_q").agg(F.round(F.sum("c"), SCORE_DIGITS).alias("score"))
 
