@@ -517,6 +517,13 @@ SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN props ELSE CAST(json(prop
 """
 
 FILE_INVENTORY = "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS length FROM documents"
+FETCH_SOURCE = f"""
+WITH u AS (SELECT page_id AS pos, CASE WHEN page_id % {Q.MISSING_EVERY} = 0 THEN 'https://missing.example/' || page_id ELSE url END AS url FROM pages),
+s AS (SELECT url, min(html) AS html FROM pages GROUP BY url)
+SELECT pos, u.url, CASE WHEN s.url IS NOT NULL THEN 200 END AS status, CAST(length(html) AS BIGINT) AS length,
+       CASE WHEN s.url IS NULL THEN 'net::ERR_NAME_NOT_RESOLVED at ' || u.url END AS error
+FROM u LEFT JOIN s ON s.url = u.url
+"""
 PARSE_DOCUMENTS = "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(NULL AS VARCHAR) AS error FROM documents"
 
 STREAM_IDLE = f"""
@@ -650,6 +657,8 @@ ORACLE = {
     "console_messages": CONSOLE_MESSAGES,
     "request_bodies": REQUEST_BODIES,
     "file_inventory": FILE_INVENTORY,
+    "file_sink": FILE_INVENTORY,
+    "fetch_source": FETCH_SOURCE,
     "links_edge": LINKS_EDGE,
     "request_log": REQUEST_LOG,
     "drop_closed": DROP_CLOSED,

@@ -668,6 +668,39 @@ def q_stream_idle(spark, d):
         "user_id", F.col("idle_at").cast("timestamp_ntz").alias("idle_at"), "timed_out")
 
 
+# ---- data source reader and writer -----------------------------------------------------------
+
+MISSING_EVERY = 11
+
+
+def q_fetch_source(spark, d):
+    """Every page's URL through a fetcher over the snapshot of pages; of every eleventh page another URL, which fails."""
+    from webloom.sources.fetch import register
+    from webloom.streaming.stateful import scratch
+    register(spark)
+    folder, _ = scratch(spark, "urls")
+    missing = F.concat(F.lit("https://missing.example/"), F.col("page_id").cast("string"))
+    read_table(spark, d, "pages").select(F.col("page_id").alias("pos"), F.when(F.col("page_id") % MISSING_EVERY == 0, missing)
+                                         .otherwise(F.col("url")).alias("url")).write.parquet(folder)
+    got = (spark.read.format("webloom_fetch").option("fetcher", "webloom.sources.fetch:SnapshotFetcher")
+           .option("fetcher.path", f"{d.rstrip('/')}/pages.parquet").load(folder))
+    return got.select("pos", "url", "status", F.length(F.decode("body", "UTF-8")).cast("bigint").alias("length"), "error")
+
+
+def q_file_sink(spark, d):
+    """Every document as a file, written twice; the files that are there."""
+    from webloom.sources.files import file_inventory
+    from webloom.sources.sink import register
+    from webloom.streaming.stateful import scratch
+    register(spark)
+    folder, _ = scratch(spark, "sink")
+    docs = read_table(spark, d, "documents").select(F.concat(F.lit("part-"), (F.col("doc_id") % 7).cast("string"), F.lit("/doc-"), F.col("doc_id").cast("string"),
+                                                             F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("body"))
+    for _ in range(2):
+        docs.write.format("webloom_files").mode("append").save(folder)
+    return file_inventory(spark, folder + "/*").select(_doc_id_of(F.col("path")).alias("doc_id"), "length")
+
+
 # ---- results as JSON -------------------------------------------------------------------
 
 BATCH_SIZE = 25
@@ -873,6 +906,8 @@ QUERIES = {
     "stream_links": q_stream_links,
     "stream_retention": q_stream_retention,
     "stream_idle": q_stream_idle,
+    "fetch_source": q_fetch_source,
+    "file_sink": q_file_sink,
     "links_json": q_links_json,
     "tabs_json": q_tabs_json,
     "console_json": q_console_json,
