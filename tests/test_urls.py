@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from webloom.functions.urls import form_encode, resolve_url
+from webloom.functions.urls import form_encode, normalize_url, resolve_url, url_host
 from webloom.operators.downloads import download_manifest
 from webloom.operators.html import extract_links
 
@@ -79,3 +79,22 @@ def test_link_text_line_breaks(spark):
     html = '<a href="/a">One <br/> Two<br>Three</a><a href="/b"><br>lead</a>'
     pages = spark.createDataFrame([(1, "https://h.com/", html)], "page_id long, url string, html string")
     assert [r.text for r in extract_links(pages).orderBy("pos").collect()] == ["One\nTwo\nThree", "lead"]
+
+
+def test_host_names_go_over_the_wire_in_punycode(spark):
+    import random
+
+    from webloom.functions.urls import ascii_host
+    r = random.Random(5)
+    alphabet = "abcxyz019-üöäßéèñçœþ日本語中文字한국어абвгд😀🙂λμ"
+    labels = ["bücher", "münchen", "日本語", "ü", "-ü-", "😀", "faß", "aéb", "", "plain", "A-Z", "BÜCHER"]
+    labels += ["".join(r.choice(alphabet) for _ in range(r.randint(1, 60))) for _ in range(150)]
+    hosts = [f"{x}.example" for x in labels] + ["bücher。example", "a.ü.b.日本", None]
+
+    def wire(h):
+        return h and ".".join(x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in h.lower().replace("。", ".").split("."))
+    df = spark.createDataFrame(list(enumerate(hosts)), "i int, h string")
+    got = {x.i: x.a for x in df.select("i", ascii_host("h").alias("a")).collect()}
+    assert got == {i: wire(h) for i, h in enumerate(hosts)}
+    one = df.limit(1).select(normalize_url(F.lit("https://Ü:p@BÜCHER.example:443/ü")).alias("u"), url_host(F.lit("http://bücher.example/")).alias("h")).first()
+    assert one.h == "xn--bcher-kva.example" and one.u.endswith("@xn--bcher-kva.example/%C3%BC")

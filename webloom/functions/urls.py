@@ -98,17 +98,88 @@ def _slashes(h: Column, base: Column) -> Column:
     return F.when(h.contains("\\") & special, fixed).otherwise(h)
 
 
+# Punycode's parameters and digits (RFC 3492), and the other full stops of host names.
+_BASE, _TMIN, _TMAX, _SKEW, _DAMP, _BIAS, _FIRST = 36, 1, 26, 38, 700, 72, 128
+_DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
+_STOPS = "\u3002\uff0e\uff61"
+
+
+def _digits(delta: Column, bias: Column) -> Column:
+    """A number in Punycode's variable base; 64 bits need 13 digits at most."""
+    def digit(d: Column) -> Column:
+        return F.substring(F.lit(_DIGITS), d.cast("int") + 1, F.lit(1))
+
+    def step(acc: Column, k: Column) -> Column:
+        t = F.least(F.greatest(k - bias, F.lit(_TMIN)), F.lit(_TMAX)).cast("bigint")
+        q = acc["q"]
+        more = F.struct(F.floor((q - t) / (_BASE - t)).cast("bigint").alias("q"), F.concat(acc["s"], digit(t + (q - t) % (_BASE - t))).alias("s"),
+                        F.lit(False).alias("done"))
+        last = F.struct(q.alias("q"), F.concat(acc["s"], digit(q)).alias("s"), F.lit(True).alias("done"))
+        return F.when(acc["done"], acc).when(q < t, last).otherwise(more)
+    start = F.struct(delta.alias("q"), F.lit("").alias("s"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(_BASE), F.lit(_BASE * 13), F.lit(_BASE)), start, step)["s"]
+
+
+def _adapted(delta: Column, points: Column, first: Column) -> Column:
+    """The bias for the next number."""
+    half = F.when(first, F.floor(delta / _DAMP)).otherwise(F.floor(delta / 2))
+    limit = (_BASE - _TMIN) * _TMAX // 2
+    start = F.struct((half + F.floor(half / points)).cast("bigint").alias("d"), F.lit(0).cast("bigint").alias("k"))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(13)), start, lambda a, _: F.when(a["d"] > limit, F.struct(
+        F.floor(a["d"] / (_BASE - _TMIN)).cast("bigint").alias("d"), (a["k"] + _BASE).alias("k"))).otherwise(a))
+    return let(end, lambda e: e["k"] + F.floor((_BASE - _TMIN + 1) * e["d"] / (e["d"] + _SKEW)).cast("bigint"))
+
+
+def _punycode(label: Column) -> Column:
+    """``xn--`` and the label's code points, as a fold over them in the order of their size."""
+    def encode(cps: Column) -> Column:
+        basic = F.filter(cps, lambda c: c < _FIRST)
+        b = F.size(basic).cast("bigint")
+        head = F.array_join(F.transform(basic, lambda c: F.char(c)), "")
+
+        def state(delta, n, h, bias, s) -> Column:
+            return F.struct(delta.cast("bigint").alias("delta"), n.cast("bigint").alias("n"), h.cast("bigint").alias("h"),
+                            bias.cast("bigint").alias("bias"), s.alias("s"))
+
+        def one(acc: Column, c: Column) -> Column:
+            """A code point of the label, while those equal to n are written."""
+            written = state(F.lit(0), acc["n"], acc["h"] + 1, _adapted(acc["delta"], acc["h"] + 1, acc["h"] == b),
+                            F.concat(acc["s"], _digits(acc["delta"], acc["bias"])))
+            passed = state(acc["delta"] + 1, acc["n"], acc["h"], acc["bias"], acc["s"])
+            return F.when(c == acc["n"], written).when(c < acc["n"], passed).otherwise(acc)
+
+        def each(acc: Column, m: Column) -> Column:
+            begin = state(acc["delta"] + (m - acc["n"]) * (acc["h"] + 1), m, acc["h"], acc["bias"], acc["s"])
+            return let(F.aggregate(cps, begin, one), lambda e: state(e["delta"] + 1, e["n"] + 1, e["h"], e["bias"], e["s"]))
+
+        zero = state(F.lit(0), F.lit(_FIRST), b, F.lit(_BIAS), F.when(b > 0, F.concat(head, F.lit("-"))).otherwise(F.lit("")))
+        large = F.array_sort(F.array_distinct(F.filter(cps, lambda c: c >= _FIRST)))
+        return F.concat(F.lit("xn--"), F.aggregate(large, zero, each)["s"])
+    points = F.transform(F.filter(F.split(label, ""), lambda ch: ch != ""), lambda ch: F.conv(F.hex(F.encode(ch, "UTF-32")), 16, 10).cast("bigint"))
+    return let(points, encode)
+
+
+def ascii_host(host) -> Column:
+    """A host name in the form that goes over the wire: labels in lower case, those with other than ASCII
+    characters in Punycode.  (No Unicode normalisation beyond lower case.)"""
+    def body(h: Column) -> Column:
+        low = F.lower(F.translate(h, _STOPS, "..."))
+        labels = F.transform(F.split(low, r"\."), lambda x: F.when(x.rlike(r"[^\x{00}-\x{7F}]"), _punycode(x)).otherwise(x))
+        return F.when(h.rlike(r"[^\x{00}-\x{7F}]"), F.array_join(labels, ".")).otherwise(F.lower(h))
+    return let(_col(host), body)
+
+
 def _authority(scheme: Column, a: Column) -> Column:
     """User info as it is, the host in lower case, the scheme's own port left out."""
     user = F.regexp_extract(a, AUTHORITY_RE, 1)
-    host = F.lower(F.regexp_extract(a, AUTHORITY_RE, 2))
+    host = ascii_host(F.regexp_extract(a, AUTHORITY_RE, 2))
     port = F.regexp_extract(a, AUTHORITY_RE, 3)
     own = F.lit(False)
     for name, number in DEFAULT_PORTS.items():
         own = own | ((scheme == name) & (port == number))
     out = F.concat(F.when(user != "", F.concat(user, F.lit("@"))).otherwise(""), host,
                    F.when((port == "") | own, F.lit("")).otherwise(F.concat(F.lit(":"), port)))
-    return F.when(a.rlike(AUTHORITY_RE), out).otherwise(F.lower(a))
+    return F.when(a.rlike(AUTHORITY_RE), out).otherwise(ascii_host(a))
 
 
 def _join(b: Column, h: Column) -> Column:
@@ -154,7 +225,7 @@ def url_host(c) -> Column:
     """Host in lower case, NULL when there is none.  A pattern, not the JVM's
     parser, which refuses many URLs that browsers take."""
     def body(u: Column) -> Column:
-        return F.nullif(F.lower(F.regexp_extract(F.regexp_extract(u, SPLIT_RE, 2), AUTHORITY_RE, 2)), F.lit(""))
+        return F.nullif(ascii_host(F.regexp_extract(F.regexp_extract(u, SPLIT_RE, 2), AUTHORITY_RE, 2)), F.lit(""))
     return let(_slashes(strip_url_ws(c), _col(c)), body)
 
 

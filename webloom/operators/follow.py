@@ -2,11 +2,13 @@
 to ``max_pages`` pages; a URL already visited from the same start (a cycle)
 or a URL missing from the snapshot ends the walk.
 
-Iterative equi-join on the resolved URL, one join per hop; the loop runs
-at most ``max_pages - 1`` times (a parameter, not the data), and each
-hop's frontier is checkpointed to the shared checkpoint folder so lineage
-stays short and a lost executor recomputes one hop, not the whole walk.
-The visited list per start is bounded by ``max_pages``.
+Each page has one next URL, so walks are pointers and are doubled: a round
+joins the jumps of 2^k hops with themselves, and the walks so far with those
+jumps.  ``log2(max_pages)`` rounds make all hops.  A walk that meets a URL
+again only repeats itself from there on; the first visit of each URL is
+kept, found by one minimum for each (start, URL).  The rounds' tables are
+stored in the shared folder, so lineage stays short and a lost executor
+recomputes one round.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.operators.batch import page_key
-from webloom.session import checkpoint_dir
+from webloom.sources.tables import stored
 
 
 def next_links(links: DataFrame, pick: Column | None = None) -> DataFrame:
@@ -27,23 +29,22 @@ def next_links(links: DataFrame, pick: Column | None = None) -> DataFrame:
 
 def follow_links(pages: DataFrame, nexts: DataFrame, max_pages: int) -> DataFrame:
     """``(start, hop, url)``: hop 0 is the start page; hop k the k-th followed link."""
-    checkpoint_dir(pages.sparkSession)
     # Of pages with one normalised URL the least id counts; the two-column table is made once.
     snap = pages.groupBy(page_key("url").alias("_u")).agg(F.min("page_id").alias("_pid"))
-    step = (snap.join(nexts, snap["_pid"] == nexts["page_id"])
-            .where(F.col("next_url").isNotNull())
-            .select("_u", "next_url", page_key("next_url").alias("_next")).checkpoint(eager=True))
-    frontier = pages.select(F.col("page_id").alias("start"), F.lit(0).cast("int").alias("hop"),
-                            F.col("url"), page_key("url").alias("_key"), F.array(page_key("url")).alias("_seen"))
-    out = frontier.select("start", "hop", "url")
-    for hop in range(1, max_pages):
-        nxt = (frontier.join(step, frontier["_key"] == step["_u"], "inner")
-               .where(~F.array_contains("_seen", F.col("_next")))
-               .select("start", F.lit(hop).cast("int").alias("hop"), F.col("next_url").alias("url"),
-                       F.col("_next").alias("_key"), F.array_append("_seen", F.col("_next")).alias("_seen")))
-        # Only URLs present in the snapshot can be followed further.
-        frontier = nxt.checkpoint(eager=True)
-        out = out.unionByName(frontier.select("start", "hop", "url"))
-        if frontier.isEmpty():
-            break
-    return out
+    jump = stored(snap.join(nexts, snap["_pid"] == nexts["page_id"])
+                  .where(F.col("next_url").isNotNull())
+                  .select(F.col("_u").alias("_from"), page_key("next_url").alias("_to"), F.col("next_url").alias("_url")))
+    walks = pages.select(F.col("page_id").alias("start"), F.lit(0).cast("int").alias("hop"), "url", page_key("url").alias("_key"))
+    hops = 1                    # how many hops a walk has so far, and how far a jump goes
+    while hops < max_pages:
+        ahead = (walks.join(jump, walks["_key"] == jump["_from"])
+                 .select("start", (F.col("hop") + hops).cast("int").alias("hop"), F.col("_url").alias("url"), F.col("_to").alias("_key"))
+                 .where(F.col("hop") < max_pages))
+        walks = stored(walks.unionByName(ahead))
+        hops *= 2
+        if hops < max_pages:
+            far = jump.select(F.col("_from").alias("_to"), F.col("_to").alias("_to2"), F.col("_url").alias("_url2"))
+            jump = stored(jump.drop("_url").join(far, "_to").select("_from", F.col("_to2").alias("_to"), F.col("_url2").alias("_url")))
+    # The first visit of each URL; the rows after a repeat are repeats themselves.
+    first = walks.groupBy("start", "_key").agg(F.min(F.struct("hop", "url")).alias("v"))
+    return first.select("start", "v.hop", "v.url")

@@ -504,6 +504,48 @@ walk(start, hop, url, seen, key) AS (
 SELECT start, CAST(hop AS INTEGER) AS hop, url FROM walk
 """
 
+FOLLOW_CHAINS = f"""
+WITH RECURSIVE s AS (SELECT page_id AS id, CASE WHEN page_id % 97 = 96 THEN NULL WHEN page_id % {Q.CHAIN_TURN} = {Q.CHAIN_TURN - 1}
+                            THEN page_id - {Q.CHAIN_BACK} ELSE page_id + 1 END AS nx FROM pages),
+walk(start, hop, id, seen) AS (
+  SELECT page_id, 0, page_id, [page_id] FROM pages
+  UNION ALL SELECT w.start, w.hop + 1, s.nx, list_append(w.seen, s.nx) FROM walk w JOIN s ON s.id = w.id
+  WHERE s.nx IS NOT NULL AND NOT list_contains(w.seen, s.nx) AND w.hop + 1 < {Q.CHAIN_PAGES})
+SELECT start, CAST(hop AS INTEGER) AS hop, 'https://chain.example/p/' || id AS url FROM walk
+"""
+
+# Punycode without a state machine: the i-th character (by code, then place) that is written has the number
+# (code - code before) * (length + 1) + place - place before - 1, where places are among the characters written so
+# far; a number's bias depends on the one number before it.
+HOST_NAMES = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(text, '[\\p{L}]+') AS l FROM documents),
+lab AS (SELECT doc_id, k, lower(coalesce(l[k], 'x')) AS label FROM w, range(1, 4) t(k)),
+odd AS (SELECT DISTINCT label FROM lab WHERE regexp_matches(label, '[^\\x00-\\x7F]')),
+ch AS (SELECT label, unnest(range(length(label))) AS p, unicode(unnest(string_split(label, ''))) AS c FROM odd),
+ba AS (SELECT label, count(*) FILTER (c < 128) AS b, coalesce(string_agg(chr(c), '' ORDER BY p) FILTER (c < 128), '') AS basic FROM ch GROUP BY label),
+num AS (SELECT x.label, x.c, x.p, row_number() OVER z AS i, lag(x.c) OVER z AS pc,
+               (SELECT count(*) FROM ch y WHERE y.label = x.label AND y.p < x.p AND y.c <= x.c)
+               AS pl FROM ch x WHERE x.c >= 128 WINDOW z AS (PARTITION BY x.label ORDER BY x.c, x.p)),
+del AS (SELECT num.label, i, b + i - 1 AS h, (c - coalesce(pc, 128)) * (b + i) + pl - coalesce(lag(pl) OVER z + 1, 0) AS delta
+        FROM num JOIN ba USING (label) WINDOW z AS (PARTITION BY num.label ORDER BY i)),
+pre AS (SELECT label, i, delta, lag(delta) OVER z AS last, lag(h) OVER z AS lh FROM del WINDOW z AS (PARTITION BY label ORDER BY i)),
+d0 AS (SELECT *, CASE WHEN last IS NULL THEN NULL ELSE (CASE WHEN i = 2 THEN last // 700 ELSE last // 2 END) END AS half FROM pre),
+ad(label, i, d, k) AS (SELECT label, i, half + half // (lh + 1), 0 FROM d0 WHERE half IS NOT NULL
+      UNION ALL SELECT label, i, d // 35, k + 36 FROM ad WHERE d > 455),
+bi AS (SELECT label, i, max(k) + arg_max(36 * d // (d + 38), k) AS bias FROM ad GROUP BY label, i),
+st AS (SELECT pre.label, pre.i, delta, CAST(coalesce(bias, 72) AS BIGINT) AS bias FROM pre LEFT JOIN bi ON bi.label = pre.label AND bi.i = pre.i),
+vi(label, i, bias, q, k, s, done) AS (
+  SELECT label, i, bias, CAST(delta AS BIGINT), CAST(36 AS BIGINT), '', false FROM st
+  UNION ALL
+  SELECT label, i, bias, CASE WHEN q < t THEN q ELSE (q - t) // (36 - t) END, k + 36,
+         s || substr('abcdefghijklmnopqrstuvwxyz0123456789', CAST(CASE WHEN q < t THEN q ELSE t + (q - t) % (36 - t) END AS INTEGER) + 1, 1), q < t
+  FROM (SELECT *, greatest(1, least(26, k - bias)) AS t FROM vi WHERE NOT done)),
+en AS (SELECT label, string_agg(s, '' ORDER BY i) AS tail FROM vi WHERE done GROUP BY label),
+pu AS (SELECT label, 'xn--' || basic || CASE WHEN b > 0 THEN '-' ELSE '' END || tail AS wire FROM en JOIN ba USING (label)),
+ho AS (SELECT doc_id, string_agg(coalesce(wire, lab.label), '.' ORDER BY k) || '.example' AS host FROM lab LEFT JOIN pu USING (label) GROUP BY doc_id)
+SELECT doc_id, 'https://' || host || '/p' AS url, host FROM ho
+"""
+
 CONSOLE_MESSAGES = f"""
 SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq,
        event_id, 'error' AS type, props AS text, 'https://api.example.com/events/' || CAST(event_id AS VARCHAR) AS url
@@ -654,6 +696,8 @@ ORACLE = {
     "stream_idle": STREAM_IDLE,
     "links_json": LINKS_JSON,
     "follow_links": FOLLOW_LINKS,
+    "follow_chains": FOLLOW_CHAINS,
+    "host_names": HOST_NAMES,
     "console_messages": CONSOLE_MESSAGES,
     "request_bodies": REQUEST_BODIES,
     "file_inventory": FILE_INVENTORY,

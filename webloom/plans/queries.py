@@ -615,6 +615,30 @@ def q_follow_links(spark, d):
                         FOLLOW_MAX_PAGES)
 
 
+CHAIN_PAGES, CHAIN_TURN, CHAIN_BACK = 50, 60, 25
+
+
+def q_follow_chains(spark, d):
+    """Chains of the pages by id: each leads to the next, every 60th back to the one 25 before it, every 97th nowhere."""
+    from webloom.operators.follow import follow_links
+    i = F.col("page_id")
+    url = lambda n: F.concat(F.lit("https://chain.example/p/"), n.cast("string"))            # noqa: E731
+    pages = read_table(spark, d, "pages").select("page_id", url(i).alias("url"))
+    nexts = pages.select("page_id", F.when(i % 97 == 96, F.lit(None).cast("string")).when(i % CHAIN_TURN == CHAIN_TURN - 1, url(i - CHAIN_BACK))
+                         .otherwise(url(i + 1)).alias("next_url"))
+    return follow_links(pages, nexts, CHAIN_PAGES)
+
+
+def q_host_names(spark, d):
+    """URLs whose host names are words of the documents, as they go over the wire."""
+    from webloom.functions.urls import normalize_url, url_host
+    words = F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))
+    docs = read_table(spark, d, "documents").select("doc_id", F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: F.coalesce(
+        F.get(words, k), F.lit("x"))).alias("w"))
+    url = F.concat(F.lit("https://"), F.array_join("w", "."), F.lit(".example/p"))
+    return docs.select("doc_id", normalize_url(url).alias("url"), url_host(url).alias("host"))
+
+
 def q_console_messages(spark, d):
     from webloom.operators.logs import last_n
     from webloom.sources.responses import console_log
@@ -918,6 +942,8 @@ QUERIES = {
     "search_results_report": q_search_results_report,
     "fetch_api": q_fetch_api,
     "follow_links": q_follow_links,
+    "follow_chains": q_follow_chains,
+    "host_names": q_host_names,
     "console_messages": q_console_messages,
     "request_bodies": q_request_bodies,
     "file_inventory": q_file_inventory,
