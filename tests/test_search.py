@@ -79,3 +79,27 @@ def test_parse_search_response(spark):
     assert [tuple(r) for r in parse_search_response(df, "j").collect()] == [(1, 1, "T", "L", "S")]
     outer = parse_search_response(df, "j", outer=True).orderBy("id").collect()
     assert len(outer) == 2 and outer[1].title is None
+
+
+def test_search_outcomes_have_a_row_for_each_failure(spark):
+    from webloom.operators.search import search_outcomes
+    item = '{"title": "t", "link": "l", "snippet": "s"}'
+    rows = [(1, f'{{"items": [{item}, {item}]}}', 200, "OK"), (2, "not json", 200, "OK"), (3, "{}", 200, "OK"), (4, "{}", 500, "Oops"), (5, None, 200, "OK"),
+            (6, '{"items": []', 200, "OK"), (7, '"kind": 1}', 200, "OK"), (8, "[1],[2]", 200, "OK"), (9, '{"items": null} x', 200, "OK"), (10, "", 200, "OK"),
+            (11, '[]', 200, "OK"), (12, '1},{"a":2', 200, "OK"), (13, "{}", 404, None)]
+    df = spark.createDataFrame(rows, "id int, j string, status int, st string")
+    got = sorted((r.id, r.rank or 0, r.title, r.error) for r in search_outcomes(df, "j", "status", "st").collect())
+    bad = "Unexpected token in search response"
+    assert got == [(1, 1, "t", None), (1, 2, "t", None), (2, 0, None, bad), (4, 0, None, "Google Search error: Oops"),
+                   *[(i, 0, None, bad) for i in (5, 6, 7, 8, 9, 10, 12)], (13, 0, None, "Google Search error: ")]
+
+
+def test_user_translator_fails_softly(spark):
+    from webloom.operators.language import translate_with
+
+    def translator(text):
+        if "x" in text:
+            raise ValueError("no")
+        return None if text == "none" else text[::-1]
+    df = spark.createDataFrame([("abc", "fra"), ("abx", "fra"), ("abc", "eng"), ("abc", "und"), ("none", "deu"), (None, "fra")], "t string, l string")
+    assert [r.query for r in translate_with(df, "t", "l", translator).collect()] == ["cba", "abx", "abc", "abc", "none", None]

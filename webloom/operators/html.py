@@ -112,14 +112,16 @@ def page_title(html) -> Column:
 
 def page_metadata(pages: DataFrame) -> DataFrame:
     """``(page_id, host, lang, charset, title)``; NULL when absent.
-    :func:`page_description` has the description."""
+    :func:`page_head` has the description too."""
+    return pages.select("page_id", *_metadata())
+
+
+def _metadata() -> list[Column]:
     h = F.col("html")
-    return pages.select(
-        "page_id",
-        url_host("url").alias("host"),
-        F.nullif(F.lower(F.regexp_extract(h, HTML_LANG_RE, 1)), F.lit("")).alias("lang"),
-        F.nullif(F.lower(F.regexp_extract(h, CHARSET_RE, 1)), F.lit("")).alias("charset"),
-        page_title(h).alias("title"))
+    return [url_host("url").alias("host"),
+            F.nullif(F.lower(F.regexp_extract(h, HTML_LANG_RE, 1)), F.lit("")).alias("lang"),
+            F.nullif(F.lower(F.regexp_extract(h, CHARSET_RE, 1)), F.lit("")).alias("charset"),
+            page_title(h).alias("title")]
 
 
 def squeeze_html(pages: DataFrame, length: int = 500) -> DataFrame:
@@ -185,3 +187,8 @@ def page_description(html) -> Column:
     tag = F.regexp_extract(_col(html), DESCRIPTION_RE, 0)
     raw = F.concat(*[F.regexp_extract(tag, CONTENT_RE, i) for i in (1, 2, 3)])
     return F.nullif(js_trim(squeeze_spaces(decode_entities(raw))), F.lit(""))
+
+
+def page_head(pages: DataFrame) -> DataFrame:
+    """P30 with the description: ``(page_id, host, lang, charset, title, description)``."""
+    return pages.select("page_id", *_metadata(), page_description("html").alias("description"))

@@ -12,7 +12,9 @@ trigram with any profile, are ``und``.  Every text is read whole.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,3 +144,22 @@ def translate_queries(df: DataFrame, text_col: str, lang_col: str, dictionary: d
     tr = translate_words(text_col, dictionary)
     cond = ~F.col(lang_col).isin("eng", UNDETERMINED)
     return df.withColumn(out_col, F.when(cond, F.coalesce(tr, F.col(text_col))).otherwise(F.col(text_col)))
+
+
+def translate_with(df: DataFrame, text_col: str, lang_col: str, translate: Callable[[str], str], out_col: str = "query") -> DataFrame:
+    """P32 / U2 with a translator of the user's, a function from text to text (Arrow batches).
+
+    It is asked only for texts that are neither English nor ``und``; where it
+    fails or gives None, the original text stays."""
+    def one(text):
+        try:
+            return text if text is None else translate(text) or text
+        except Exception:  # noqa: BLE001 -- a failed translation must not stop the query
+            return text
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    wanted = ~F.col(lang_col).isin("eng", UNDETERMINED)
+    return df.withColumn(out_col, F.coalesce(run(F.when(wanted, F.col(text_col))), F.col(text_col)))

@@ -96,6 +96,31 @@ def parse_search_response(df: DataFrame, json_col: str, keep=("id",), outer: boo
                     F.col("it.snippet").alias("snippet")))
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is JSON and nothing more.  The parser stops after a first value; inside an array and inside an
+    object it has to read on to the end."""
+    inside = [F.try_parse_json(F.concat(F.lit(a), text, F.lit(b))).isNotNull() for a, b in (("[", "]"), ('{"v":', "}"))]
+    return F.coalesce(inside[0] & inside[1] & text.rlike(r"[^ \t\r\n]"), F.lit(False))
+
+
+SEARCH_ERROR = "Google Search error: "          # fixed value: the message for a status that is not 2xx
+NOT_JSON = "Unexpected token in search response"
+
+
+def search_outcomes(df: DataFrame, json_col: str, status_col: str, text_col: str, keep=("id",)) -> DataFrame:
+    """S4 with failures: the rows of :func:`parse_search_response` with ``error`` NULL, and one row with only an
+    error for a response whose status is not 2xx or whose body is no JSON.  A response without items has no rows."""
+    error = (F.when(~F.col(status_col).between(200, 299), F.concat(F.lit(SEARCH_ERROR), F.coalesce(text_col, F.lit(""))))
+             .when(~is_json(_col(json_col)), F.lit(NOT_JSON)))
+    rows = df.select(*keep, F.col(json_col).alias("_j"), error.alias("error"))
+    none = "array<struct<title:string,link:string,snippet:string>>"
+    items = F.coalesce(F.from_json("_j", ITEM_SCHEMA)["items"], F.array().cast(none))
+    failed = F.array(F.lit(None).cast("struct<title:string,link:string,snippet:string>"))
+    return (rows.select(*keep, "error", F.posexplode(F.when(F.col("error").isNotNull(), failed).otherwise(items)).alias("pos", "it"))
+            .select(*keep, F.when(F.col("error").isNull(), F.col("pos") + 1).cast("bigint").alias("rank"),
+                    F.col("it.title").alias("title"), F.col("it.link").alias("link"), F.col("it.snippet").alias("snippet"), "error"))
+
+
 def multi_search(queries: DataFrame, corpus: DataFrame, query_id: str = "item_id",
                  query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text",
                  num: int = 10, start: int = 1, doc_filter: Column | None = None) -> DataFrame:

@@ -714,6 +714,23 @@ ORACLE = {
     "parse_documents": PARSE_DOCUMENTS,
 } | oracle_elements.ORACLE
 
+ORACLE |= {
+    "search_outcomes": f"""
+SELECT id, rank, title, link, snippet, CAST(NULL AS VARCHAR) AS error FROM ({PARSE_SEARCH_RESPONSE}) WHERE id % 7 <> 0 AND id % 13 <> 0
+UNION ALL
+SELECT doc_id, NULL, NULL, NULL, NULL, CASE WHEN doc_id % 13 = 0 THEN 'Google Search error: Service Unavailable'
+                                            ELSE 'Unexpected token in search response' END FROM documents WHERE doc_id % 7 = 0 OR doc_id % 13 = 0
+""",
+    "page_head": f"SELECT m.*, 'Page ' || page_id || ' & more' AS description FROM ({PAGE_METADATA}) m",
+    "translate_with": f"""WITH {PROFILES},
+{_detect('det', "SELECT conv_id * 100000 + turn AS id, text FROM conversations WHERE role = 'user'")}
+SELECT c.conv_id, c.turn, CASE WHEN det.lang_code IN ('eng', 'und') OR length(text) % 5 = 0 THEN text ELSE '[en] ' || text END AS query
+FROM conversations c JOIN det ON det.id = c.conv_id * 100000 + c.turn WHERE c.role = 'user'
+""",
+    "stream_chunks": CHUNK_PAGES,
+    "stream_text": oracle_elements.ORACLE["page_text"],
+}
+
 
 def every() -> dict[str, str]:
     """All twins; those of the results are built on the ones above."""

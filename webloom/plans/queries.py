@@ -244,6 +244,36 @@ def q_parse_search_response(spark, d):
     return parse_search_response(search_responses(spark, d), "response", keep=("id",))
 
 
+def q_search_outcomes(spark, d):
+    """Search responses, of which some are errors and some are no JSON."""
+    from webloom.operators.search import search_outcomes
+    i = F.col("id")
+    r = search_responses(spark, d).select("id", F.when(i % 7 == 0, F.substring("response", F.lit(2), F.length("response"))).otherwise(F.col("response")).alias("response"),
+                                          F.when(i % 13 == 0, 503).otherwise(200).alias("status"),
+                                          F.when(i % 13 == 0, "Service Unavailable").otherwise("OK").alias("status_text"))
+    return search_outcomes(r, "response", "status", "status_text")
+
+
+def q_page_head(spark, d):
+    """Pages with a description put into their head."""
+    meta = F.concat(F.lit("<head><meta content='Page "), F.col("page_id").cast("string"), F.lit(" &amp;  more' name=description>"))
+    return H.page_head(_pages(spark, d).withColumn("html", F.replace(F.col("html"), F.lit("<head>"), meta)))
+
+
+def _failing_translator(text: str) -> str:
+    if len(text) % 5 == 0:
+        raise RuntimeError("no service")
+    return "[en] " + text
+
+
+def q_translate_with(spark, d):
+    """User turns through a translator of the user's that fails for some of them."""
+    from webloom.operators.language import detect_language, translate_with
+    turns = _user_turns(spark, d).withColumn("key", F.struct("conv_id", "turn"))
+    det = detect_language(turns, "key", "text", _small_profiles(spark, d))
+    return translate_with(turns.join(det, "key"), "text", "lang_code", _failing_translator).select("conv_id", "turn", "query")
+
+
 def _docs(spark, d, *cols):
     return spread(read_table(spark, d, "documents").select(*(cols or ("doc_id", "text"))))
 
@@ -307,9 +337,8 @@ def _profiles(spark, d, docs=None):
 
 
 def q_detect_language(spark, d):
-    from webloom.operators.language import detect_language, train_profiles
-    docs = read_table(spark, d, "documents").select("doc_id", "text", "lang")
-    return detect_language(docs, "doc_id", "text", train_profiles(docs, "doc_id", "text", "lang"))
+    from webloom.operators.language import detect_language
+    return detect_language(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", _small_profiles(spark, d))
 
 
 _PROFILES: dict = {}
@@ -592,6 +621,18 @@ def q_stream_links(spark, d):
     return run_to_table(H.extract_links(read_stream_table(spark, d, "pages")), "links")
 
 
+def q_stream_chunks(spark, d):
+    from webloom.sources.tables import read_stream_table
+    from webloom.streaming.stateful import run_to_table
+    return run_to_table(SL.chunk_pages(read_stream_table(spark, d, "pages").select("page_id", "html"), CHUNK_SIZE), "chunks")
+
+
+def q_stream_text(spark, d):
+    from webloom.sources.tables import read_stream_table
+    from webloom.streaming.stateful import run_to_table
+    return run_to_table(H.page_text(read_stream_table(spark, d, "pages").select("page_id", "html")), "text")
+
+
 def q_stream_retention(spark, d):
     from webloom.streaming.stateful import stream_retention
     return stream_retention(_ev_stream(spark, d).select("event_id", "ts"), "ts", AS_OF, 5, "retention")
@@ -896,6 +937,11 @@ QUERIES = {
     "enrich_query": q_enrich_query,
     "search_urls": q_search_urls,
     "parse_search_response": q_parse_search_response,
+    "search_outcomes": q_search_outcomes,
+    "page_head": q_page_head,
+    "translate_with": q_translate_with,
+    "stream_chunks": q_stream_chunks,
+    "stream_text": q_stream_text,
     "multi_search": q_multi_search,
     "search_filtered": q_search_filtered,
     "index_search": q_index_search,
