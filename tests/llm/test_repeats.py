@@ -57,3 +57,27 @@ def test_empty(spark):
     docs = docs_of(spark, EDGE)
     assert R.remove_repeats(docs.limit(0)).count() == 0
     assert R.remove_repeats(docs.where("text is null or doc_id = 2")).count() == 2
+
+
+def test_a_third_of_the_rows_without_an_id_and_equal(spark, monkeypatch):
+    monkeypatch.setattr(R, "REPEATS_AT_ONCE", 50)
+    opening = "a licence header that very many files have before their own words " * 2
+    rows = [(None, opening)] * 400 + [(None, opening + f"own {i} " * 9) for i in range(200)] + [(i % 150, opening + f"x{i % 150}") for i in range(600)]
+    docs = docs_of(spark, rows)
+    counted = R._counted(docs)
+    assert sorted(r.n for r in counted.collect()) == [1] * 200 + [4] * 150 + [400]
+    got = R.remove_repeats(docs, group_bytes=2000).collect()
+    assert sorted(map(tuple, got), key=_key) == sorted(brute(rows, 13), key=_key)
+    # No group holds more than its share, however many rows have no id and one opening.
+    from pyspark.sql import functions as F
+    groups = counted.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(30))).groupBy("grp").count().collect()
+    assert max(r["count"] for r in groups) < 40
+
+
+def test_shape_keeps_lists_long():
+    for size, least in ((1 << 20, 1000), (30 << 30, 1000), (1 << 40, 1000), (10 << 40, 300), (100 << 40, 20)):
+        groups, width, part = R.shape(size, 200)
+        assert part <= R.RANGE_MOST and size / groups <= R.GROUP_BYTES_MOST
+        words = size / R.BYTES_PER_WORD
+        assert words / groups / (1 << (width - part)) >= least or groups == 200, size
+    assert R.shape(0, 4)[0] == 4

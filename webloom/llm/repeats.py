@@ -16,6 +16,13 @@ smaller one.  So a passage that very many documents share costs one entry for ea
 group.  The texts are shuffled once, by group; hashes are made again from
 them instead of being stored.
 
+Groups and ranges grow with the corpus (up to ``GROUP_BYTES_MOST`` and
+``RANGE_MOST``), so that a list stays long; see ``shape``.  Rows that repeat an
+id and its whole text are found by hashes, counted, go through the passes
+once and are written out again at the end, in parts; a group is chosen by the
+id and the whole text.  So rows without an id, or with one opening or one
+text, are no group of their own.
+
 Defined results: a null or empty text has no words; a document of fewer
 words than a window loses none; rows with equal ids are one document to
 each other (nothing is removed on account of an equal id); a null id counts as
@@ -34,12 +41,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import cores
+from webloom.llm.common import cores, written
 
 WINDOW = 13
 DEPTH = 2
 CELLS_PER_WINDOW = 4
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 8 << 20           # of a group; more for large corpora
+GROUP_BYTES_MOST = 64 << 20
+RANGE_MOST = 28                 # a task's range of the sketch has 2**28 cells of a byte at most
+LIST_WINDOWS = 1000             # groups grow before a list gets shorter than this
+REPEATS_AT_ONCE = 4096          # repeated rows that one task writes out
 BYTES_PER_WORD = 6              # rough; only the sketch's width depends on it
 _NO_ID = np.iinfo(np.int64).max
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -68,6 +79,8 @@ class Group:
         ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))
         self.ids = [ids[i] for i in order]
+        number = table.column("n").to_pylist()
+        self.n = [number[i] for i in order]
         self.words = [(texts[i] or "").encode().split() for i in order]
         self.window = window
         n = np.array([len(w) for w in self.words], np.int64)
@@ -142,6 +155,56 @@ def _table(rows: list[tuple], names: list[str]) -> pa.Table:
     return pa.table([pa.array(c, types[n]) for c, n in zip(cols, names)], names=names)
 
 
+def shape(size: int, workers: int, cells_per_window: int = CELLS_PER_WINDOW, group_bytes: int = GROUP_BYTES) -> tuple[int, int, int]:
+    """(groups, log2 of the sketch's width, log2 of the cells of a range) for ``size`` bytes of text.
+
+    A range has about 4,000 cells of a group, 2**26 cells at most while lists
+    then have ``LIST_WINDOWS`` windows; for larger corpora first the groups
+    grow, then the ranges, each to its bound.
+    """
+    words = max(1, size // BYTES_PER_WORD)
+    log_width = max(16, (cells_per_window * words - 1).bit_length())
+
+    def windows(group: int, log_range: int) -> int:
+        return (group // BYTES_PER_WORD) >> (log_width - log_range)
+
+    most = min(26, log_width)
+    while windows(group_bytes, most) < LIST_WINDOWS and (group_bytes < GROUP_BYTES_MOST or most < min(RANGE_MOST, log_width)):
+        if group_bytes < GROUP_BYTES_MOST:
+            group_bytes = min(2 * group_bytes, GROUP_BYTES_MOST)
+        else:
+            most += 1
+    groups = max(workers, -(-size // group_bytes))
+    log_range = min(max((4000 * (1 << log_width) * groups // words).bit_length(), 12), most, log_width)
+    return groups, log_width, log_range
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, n): the rows, those that repeat an id and its text once, with their number.
+
+    Only hashes are shuffled to find the repeated ones; of these, and only of
+    these, each task sends a text once.
+    """
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    digest = F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2")
+    pairs = base.select(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("z"), *digest)
+    again = written(pairs.groupBy("i", "z", "d1", "d2").count().where("count > 1").drop("count"))
+    known = base.select("*", F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("z"), *digest)
+    key = ["i", "z", "d1", "d2"]
+    once = known.join(again, key, "left_anti").select("doc_id", "text", F.lit(1).cast("long").alias("n"))
+    more = known.join(again, key, "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+    return once.unionByName(more)
+
+
+def _written_out(rows: DataFrame) -> DataFrame:
+    """Every row as often as it was there; many repeats are dealt to many tasks."""
+    few = rows.where("n = 1").drop("n")
+    parts = rows.where("n > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / REPEATS_AT_ONCE))))
+    size = F.least(F.lit(REPEATS_AT_ONCE), F.col("n") - F.col("part") * REPEATS_AT_ONCE).cast("int")
+    out = parts.withColumn("size", size).repartition(cores(rows.sparkSession)).withColumn("at", F.explode(F.sequence(F.lit(1), F.col("size"))))
+    return few.unionByName(out.drop("n", "part", "size", "at"))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH,
                    cells_per_window: int = CELLS_PER_WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
@@ -156,15 +219,10 @@ def repeat_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def _results(docs, window, depth, cells_per_window, group_bytes, texts) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    words = max(1, size // BYTES_PER_WORD)
-    groups = max(cores(spark), -(-size // group_bytes))
-    log_width = max(16, (cells_per_window * words - 1).bit_length())
-    # A range has about 4,000 cells of a group, so lists stay long; 2**26 cells at most.
-    log_range = min(max((4000 * (1 << log_width) * groups // words).bit_length(), 12), 26, log_width)
+    groups, log_width, log_range = shape(size, cores(spark), cells_per_window, group_bytes)
     ranges = log_width - log_range
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
-        "grp", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(groups)).cast("long"))
+    base = _counted(docs).withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("long"))
 
     def sketch(key, table):
         own, rows = Group(table, window), []
@@ -264,7 +322,8 @@ def _results(docs, window, depth, cells_per_window, group_bytes, texts) -> DataF
             lost.append(k)
             kept.append(left_.decode() if texts else hashlib.sha256(left_).hexdigest())
         return pa.table([pa.array(own.ids, pa.int64()), pa.array(n, pa.int64()), pa.array(lost, pa.int64()),
-                         pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", last])
+                         pa.array(kept, pa.string()), pa.array(own.n, pa.int64())],
+                        names=["doc_id", "n_words", "n_removed", last, "n"])
 
     last = "kept" if texts else "kept_sha256"
     lists = "shard long, grp long, payload binary"
@@ -272,5 +331,5 @@ def _results(docs, window, depth, cells_per_window, group_bytes, texts) -> DataF
     repeated = by_group.applyInArrow(sketch, lists).groupBy("shard").applyInArrow(merge, lists)
     found = by_group.cogroup(repeated.groupBy("grp")).applyInArrow(exact, lists)
     flags = found.groupBy("shard").applyInArrow(smallest, lists)
-    return by_group.cogroup(flags.groupBy("grp")).applyInArrow(
-        cut, f"doc_id long, n_words long, n_removed long, {last} string")
+    return _written_out(written(by_group.cogroup(flags.groupBy("grp")).applyInArrow(
+        cut, f"doc_id long, n_words long, n_removed long, {last} string, n long")))
