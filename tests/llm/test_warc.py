@@ -74,3 +74,24 @@ def test_archives_roll(spark, tmp_path):
     manifest = W.write_archives(rows, str(tmp_path / "a"), max_bytes=300).collect()
     assert len(manifest) > 3 and sum(m.records for m in manifest) == 20
     assert sorted(p.name for p in (tmp_path / "a").iterdir()) == sorted(m.path.rsplit("/", 1)[1] for m in manifest)
+
+
+def test_every_digest_that_a_record_has_is_compared():
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody"
+    base = {"WARC-Type": "response", "WARC-Record-ID": "<urn:page:1>"}
+    sha = lambda data: "sha1:" + W.digest(data)                                              # noqa: E731
+    good = [({"WARC-Payload-Digest": sha(b"block")}, b"block"), ({"WARC-Payload-Digest": sha(b"body"), "Content-Type": "application/http; msgtype=response"}, http),
+            ({"WARC-Block-Digest": sha(http), "WARC-Payload-Digest": sha(b"body"), "Content-Type": "application/http"}, http), ({}, b"x"),
+            ({"WARC-Type": "revisit", "WARC-Payload-Digest": sha(b"other")}, b""), ({"WARC-Payload-Digest": "md5:x"}, b"x")]
+    for headers, block in good:
+        assert [b for _, b in W.read_records(io.BytesIO(W.record(base | headers, block)))] == [block]
+    bad = [({"WARC-Payload-Digest": sha(b"other")}, b"block"), ({"WARC-Payload-Digest": sha(http), "Content-Type": "application/http"}, http),
+           ({"WARC-Block-Digest": sha(b"block"), "WARC-Payload-Digest": sha(b"other")}, b"block")]
+    for headers, block in bad:
+        with pytest.raises(W.WarcError):
+            list(W.read_records(io.BytesIO(W.record(base | headers, block))))
+
+
+def test_a_header_without_end_is_refused():
+    with pytest.raises(W.WarcError, match="too long"):
+        list(W.read_records(io.BytesIO(gzip.compress(b"WARC/1.1\r\n" + b"X: " + b"y" * 10_000_000))))

@@ -3,8 +3,8 @@
 An archive is a sequence of gzip members, one for each record.  The reader
 goes through an archive from its first byte: it inflates each member with
 an incremental zlib decompressor, in pieces of ``READ_BYTES``, frames the
-record's block by its Content-Length, and compares the payload's SHA-1 with
-the record's digest.  A member or record that is cut off or damaged, or
+record's block by its Content-Length, and compares the SHA-1 of block and
+payload with the digests that the record has.  A member or record that is cut off or damaged, or
 whose digest differs, ends the archive with an error, never with rows that
 look whole.
 
@@ -41,6 +41,7 @@ from webloom.session import checkpoint_dir
 
 READ_BYTES = 1 << 16
 MAX_ARCHIVE_BYTES = 1 << 28
+MAX_HEADER_BYTES = 1 << 16
 LEVEL = 6
 _CRLF2 = b"\r\n\r\n"
 
@@ -117,6 +118,8 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
             if not piece:
                 raise WarcError("a record has no end of its header")
             head += piece
+            if len(head) > MAX_HEADER_BYTES + READ_BYTES:
+                raise WarcError("a record's header is too long")
         head, _, first = head.partition(_CRLF2)
         version, *lines = head.decode().split("\r\n")
         if not version.startswith("WARC/"):
@@ -136,12 +139,28 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         if have != length + 4 or body[length:] != _CRLF2:
             raise WarcError("a record's length is wrong")
         block = body[:length]
-        said = headers.get("warc-block-digest")
-        if said is not None and said != f"sha1:{digest(block)}":
-            raise WarcError(f"the digest of {headers.get('warc-record-id')} differs")
+        _verify(headers, block)
         yield headers, block
 
 
+def _verify(headers: dict[str, str], block: bytes) -> None:
+    """Whichever SHA-1 digest a record has must be that of its block or payload.
+
+    The payload is the block, or what follows the header of an HTTP message;
+    a revisit names the payload of another record, which is not here.
+    """
+    said, of_payload = headers.get("warc-block-digest"), headers.get("warc-payload-digest")
+    if headers.get("warc-type") == "revisit":
+        of_payload = None
+    payload = block
+    if headers.get("content-type", "").startswith("application/http"):
+        payload = block.partition(_CRLF2)[2]
+    checks = {said: block} if payload is block and said == of_payload else {said: block, of_payload: payload}
+    for text, data in checks.items():
+        if text is not None and text.startswith("sha1:") and text != f"sha1:{digest(data)}":
+            raise WarcError(f"the digest of {headers.get('warc-record-id')} differs")
+
+
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload and refers_to (null for responses).
 
