@@ -257,15 +257,18 @@ def _results(docs, window, depth, cells_per_window, group_bytes, texts) -> DataF
         chosen = np.ones(len(own.a), bool)
         for r in range(depth):
             cells = own.cells(r, log_width)
-            c = np.unique(cells)
+            # Sorted once: a cell's answer goes back to all its windows by their places.
+            order = np.argsort(cells)
+            c = cells[order]
+            starts = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.empty(0, np.int64)
             own_said = [p for s, p in said if s >> ranges == r]
             bits = [np.unpackbits(np.frombuffer(_unpack(p), np.uint8), count=e - s)
-                    for p, (_, s, e) in zip(own_said, _split(c, log_range), strict=True)]
-            again = c[np.concatenate(bits).astype(bool)] if bits else c[:0]
-            if not len(again):
+                    for p, (_, s, e) in zip(own_said, _split(c[starts], log_range), strict=True)]
+            if not bits:
                 return np.zeros(len(own.a), bool)
-            place = np.minimum(np.searchsorted(again, cells), len(again) - 1)
-            chosen &= again[place] == cells
+            again = np.empty(len(c), bool)
+            again[order] = np.repeat(np.concatenate(bits).astype(bool), np.diff(np.append(starts, len(c))))
+            chosen &= again
         return chosen
 
     def exact(key, left, right):
