@@ -31,7 +31,8 @@ HEADLINE = [
 
 # Timed as well, outside the headline total.
 MORE = ["search_report", "translate_queries", "follow_links", "batch_fetch", "outline_elements",
-        "links_edge", "file_inventory", "stream_links"]
+        "links_edge", "file_inventory", "stream_links", "main_article", "select_elements", "tab_evictions",
+        "index_search", "follow_chains", "search_json"]
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 
