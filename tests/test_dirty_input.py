@@ -11,7 +11,7 @@ from webloom.operators.follow import follow_links
 from webloom.operators.html import extract_links, page_description, squeezed_slices
 from webloom.operators.responses import decode_body, request_body, validate_enum
 from webloom.operators.retention import retained
-from webloom.operators.selectors import selector_regex
+from webloom.operators.selectors import parse_selector
 from webloom.operators.slices import chunk_pages
 from webloom.sources.files import extract_text
 
@@ -86,10 +86,11 @@ def test_request_bodies_of_objects_only(spark):
 
 
 def test_selectors_that_cannot_be_compiled_are_refused():
-    for bad in ("div p.x", "a > b", "p:not(.x)", "a,b", "", "[a"):
+    for bad in ("p:not(.x)", "", "[a", "a >", ",a", "a > > b"):
         with pytest.raises(ValueError):
-            selector_regex(bad)
-    assert len(selector_regex("p.a.b.c.d.e")) < 500
+            parse_selector(bad)
+    assert [len(c) for c in parse_selector("div p.x")] == [len(c) for c in parse_selector("a > b")] == [2]
+    assert len(parse_selector("a,b")) == 2 and len(parse_selector("p.a.b.c.d.e")[0][0].conditions) == 5
 
 
 def test_pdf_text():

@@ -197,7 +197,7 @@ def test_selectors_read_attributes_only(spark):
     df = pages(spark, [(1, '<a class="btn-primary">'), (2, '<!-- <html lang="fr"> -->'), (3, '<html lang="fr ca">'), (4, '<p title="x data-x y">'),
                        (5, '<P CLASS="a\nbtn" Data-X>'), (6, "<script>'<p class=btn data-x>'</script>"), (7, None), (8, "<p class=btn"), (9, "<p data-x='' class=''>")])
     ids = lambda s: sorted(r.page_id for r in pages_with(df, s).collect())                  # noqa: E731
-    assert ids(".btn") == [5, 8] and ids('[lang="fr"]') == [] and ids("p[data-x]") == [5, 9] and ids('[lang="fr ca"]') == [3]
+    assert ids(".btn") == [5] and ids('[lang="fr"]') == [] and ids("p[data-x]") == [5, 9] and ids('[lang="fr ca"]') == [3]
     assert ids('[class~=""]') == [] and ids('p[data-x=""]') == [5, 9] and ids("ref:x") == []
     assert 7 in {r.page_id for r in pages_with(df, "p", present=False).collect()}
 
@@ -245,4 +245,4 @@ def test_no_python_and_no_shuffle(spark):
     own = spark.range(3).selectExpr("id AS page_id", "repeat('<p>x', id) AS html")
     for df in (E.main_article(own), select_all(own, ["a > b"]), H.page_text(own)):
         plan = df._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+        assert not re.search(r"Exchange|\w*Python\w*|MapInArrow|ArrowEval", plan), re.findall(r"Exchange|\w*Python\w*|MapInArrow|ArrowEval", plan)

@@ -82,7 +82,7 @@ def test_deep_nesting_and_elements(spark):
     assert len(rows) == 3001 and max(r.depth for r in rows) == 3000 and {r.name for r in rows} == {"deep"}
     assert outline_text(pages.where("page_id = 1")).first().n_lines == 3001
     got = [(r.tag, r.role, r.name, r.ref is not None) for r in outline_elements(pages).where("page_id = 2").orderBy("pos").collect()]
-    assert got == [("a", "link", "A & b", True), ("h2", "heading", "Head", False), ("input", "button", "", True), ("input", "textbox", "", True),
+    assert got == [("a", "link", "A & b", True), ("h2", "heading", "Head line two", False), ("input", "button", "", True), ("input", "textbox", "", True),
                    ("div", "generic", "click", True), ("b", "tab", "z", True)]
     assert outline_elements(pages).where("page_id > 2").count() == 0
     assert outline_elements(pages.limit(0)).count() == 0

@@ -47,6 +47,7 @@ _ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 TOKEN_RE = (rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(RAW)})(?=[\s/>]){_ATTRS}>.*?(?:</\1\s*>|\z)"
             rf"|</?[a-z]{_ATTRS}(?:>|\z)|<[!?/][^>]*+(?:>|\z)|[^<]++|<")
 _HEAD_RE = rf"(?is)^<[a-z]{_ATTRS}>?"
+_START_RE = rf"(?is)^<(?:[a-z].*>$|(?:{'|'.join(RAW)})(?=[\s/>]){_ATTRS}>)"
 _TAG_RE = r"^</?([a-zA-Z][^\s/>]*)"
 _ATTR_RE = r"""[^\s"'<>/=]+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'<>]++))?"""
 _PARTS_RE = r"""(?s)^([^\s"'<>/=]+)(?:\s*=\s*(.*))?$"""
@@ -91,7 +92,8 @@ def classes(attrs: Column) -> Column:
 def tokens(html: Column) -> Column:
     """array<struct<i, t, kind, tag, attrs, f, brk, repl, ink, rules>>: what the fold has to know of each token."""
     def one(t: Column, i: Column) -> Column:
-        start, end = t.rlike("^<[a-zA-Z]"), t.rlike("^</[a-zA-Z]")
+        # A tag that the page's end cuts off is none.
+        start, end = t.rlike(_START_RE), t.rlike("(?s)^</[a-zA-Z].*>$")
         tag = F.when(start | end, F.lower(F.regexp_extract(t, _TAG_RE, 1))).otherwise(F.lit(""))
         return F.struct(i.alias("i"), t.alias("t"), start.alias("start"), end.alias("end"), tag.alias("tag"))
 
