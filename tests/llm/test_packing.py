@@ -122,6 +122,6 @@ def test_the_limits_bind_together():
     none = np.zeros(100, np.int64)
     size = lambda seqs: max(sum(b - a for _, a, b in s) for s in seqs)                          # noqa: E731
     assert size(P.pack(n, none, max_segments=100)) == P.MAX_TOKENS
-    assert size(P.pack(n, none)) == 256                     # 12 pieces of 40 tokens, laid out in powers of two
+    assert size(P.pack(n, none, max_segments=12)) == 256    # 12 pieces of 40 tokens, laid out in powers of two
     assert size(P.pack(n, none, max_segments=100, max_loss=600)) == 512
     assert size(P.pack(n, n - 5, max_segments=100, max_loss=300)) == P.MAX_TOKENS       # 5 loss tokens each

@@ -36,7 +36,7 @@ from webloom.llm.common import small_batches
 from webloom.llm.tokens import encoder
 
 MAX_TOKENS = 2048
-MAX_SEGMENTS = 12            # less than the shortest documents would take
+MAX_SEGMENTS = 64
 BLOCK_TOKENS = 2_000_000
 END_ID = 1
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
