@@ -7,16 +7,16 @@ built by Spark:
 
     corpus --explode tokens, keep query vocabulary, count in the task-->
     postings (doc, term, tf, dl) + one length row per doc
-    [checkpointed: the corpus is read once; postings re-hashed by doc]
+    [stored: the corpus is read once]
     postings --groupBy term (map-side combined)--> df
-    postings x df x query terms (broadcast) --sum per (query, doc),
-    in-partition--> score
+    blocks of postings x blocks of query terms --arrays in the task-->
+    each block's best documents of each query  (operators.scoring)
     row_number per query <= start+num-1  (WindowGroupLimit, map-side too)
 
 No cross join: queries meet documents only through shared terms.  A
-document's tokens are counted in its own task, and its postings are
-co-located by id: texts, exploded tokens and score contributions are never
-shuffled; only postings, partial df counts and per-task top-k rows are.  A
+document's tokens are counted in its own task: texts, exploded tokens and
+score contributions are never shuffled; only postings, partial df counts
+and each block's top-k rows are.  A
 very common term (a third of all postings) is combined per map task.
 Corpus size and mean length come back to the driver as two numbers
 (one-row aggregate over the checkpointed table).
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from webloom.functions.text import js_trim
 from webloom.functions.urls import form_encode
 from webloom.session import checkpoint_dir
-from webloom.sources.tables import cpu_partitions
+from webloom.operators.scoring import best_documents
+from webloom.sources.tables import stored
 
 # Fixed values.
 K1, B = 1.2, 0.75
@@ -46,6 +47,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def counted_broadcast(df: DataFrame) -> DataFrame:
+    """``df`` (stored) to be sent to the tasks if it has few rows; very many meet the others by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def tokens(text) -> Column:
     """Lower-cased letter/digit runs (one JVM regex call, no lambda)."""
     return F.regexp_extract_all(F.lower(_col(text)), F.lit(TOKEN_RE), 0)
@@ -133,15 +139,15 @@ def multi_search(queries: DataFrame, corpus: DataFrame, query_id: str = "item_id
     length normalisation stay those of the whole corpus.
 
     The corpus is read and tokenised once: postings of the query vocabulary
-    plus one marker row per document (its length) are checkpointed to the
+    plus one marker row per document (its length) are stored in the
     shared checkpoint folder; N / mean length (one-row aggregate), df and the
     scores all read that table.
     """
-    spark = corpus.sparkSession
-    checkpoint_dir(spark)
     qterms = (queries.select(F.col(query_id).alias("_q"),
                              F.explode(F.array_distinct(tokens(query_text))).alias("term")))
-    vocab = qterms.select("term").distinct().withColumn("_v", F.lit(True))
+    qterms = stored(qterms)
+    vocab = stored(qterms.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()))
+    vocab, n_rows = counted_broadcast(vocab), qterms.count()
     keep = doc_filter if doc_filter is not None else F.lit(True)
     # A document is one row in one task: the partial aggregation below already
     # counts its terms, so only postings of the query vocabulary are shuffled,
@@ -152,22 +158,18 @@ def multi_search(queries: DataFrame, corpus: DataFrame, query_id: str = "item_id
     # document shares no term with any query).
     exploded = toks.select("_d", "_keep", F.size("_t").alias("dl"),
                            F.explode(F.array_append(F.col("_t"), F.lit(None).cast("string"))).alias("term"))
-    table = (exploded.join(vocab, "term", "left")
-             .where(F.col("_v") | F.col("term").isNull())
-             .groupBy("_d", "term", "dl", "_keep").agg(F.count(F.lit(1)).alias("tf"))
-             .checkpoint(eager=True))
-    row = table.where(F.col("term").isNull()).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("a")).first()
+    table = stored(exploded.join(vocab, "term", "left")
+                   .where(F.col("tid").isNotNull() | F.col("term").isNull())
+                   .groupBy("_d", "tid", "dl", "_keep").agg(F.count(F.lit(1)).alias("tf")))
+    row = table.where(F.col("tid").isNull()).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("a")).first()
     n_docs, avgdl = int(row["n"] or 0), float(row["a"] or 0.0)
-    # The checkpoint does not carry the hash layout forward: re-hash the
-    # (small) postings by document so each (query, doc) sum is complete in
-    # its partition and the much larger contribution rows never shuffle.
-    postings = table.where(F.col("term").isNotNull()).repartition(cpu_partitions(spark), "_d")
-    dfs = postings.groupBy("term").agg(F.count("tf").alias("df"))
+    postings = table.where(F.col("tid").isNotNull())
+    dfs = postings.groupBy("tid").agg(F.count("tf").alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
-    contrib = (postings.where("_keep").join(dfs, "term").join(qterms, "term")
-               .select("_q", "_d", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("c")))
-    scores = contrib.groupBy("_q", "_d").agg(F.round(F.sum("c"), SCORE_DIGITS).alias("score"))
+    weighted = stored(qterms.join(vocab, "term").join(counted_broadcast(stored(dfs)), "tid").select("_q", "tid", idf.alias("idf")))
+    scores = best_documents(postings.where("_keep").select(F.col("_d").alias("doc"), "tid", (F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("w")),
+                            weighted, n_docs, n_rows, start + num - 1, SCORE_DIGITS).withColumnRenamed("doc", "_d")
     w = Window.partitionBy("_q").orderBy(F.col("score").desc(), F.col("_d").asc())
     last = start + num - 1
     ranked = scores.withColumn("rank", F.row_number().over(w)).where(
