@@ -28,6 +28,18 @@ def test_cells_grow_with_documents_and_queries(spark, monkeypatch):
     assert f"{30 * 5}" in _plan(got)         # 300 documents by 10, 120 terms by 25
 
 
+def test_index_filter_comes_before_the_scores(spark):
+    docs = _corpus(spark, 200)
+    index = SearchIndex(spark, scratch(spark, "t_scoring")[0], 4, "bigint", {"lang": "string"})
+    index.add(docs)
+    qs = spark.range(30).select(F.col("id").alias("item_id"), F.concat(F.lit("common w1x"), (F.col("id") % 4).cast("string")).alias("text"))
+    got = index.search(qs, num=5, doc_filter=search_filter(language="en"))
+    assert {(r.item_id, r.rank, r.doc_id, r.score) for r in got.collect()} == \
+        {tuple(r) for r in multi_search(qs, docs, num=5, doc_filter=F.col("lang") == "en").collect()}
+    weighted, n_rows, n_docs, w = index._weights(qs, "item_id", "text")
+    assert n_docs == 200 and n_rows == 60
+
+
 def test_rounding_and_ties_of_a_cell():
     import pyarrow as pa
     assert scoring._rounded(np.array([1.0000005, 2.4999995, 0.1234564999]), 6).tolist() == [1.000001, 2.5, 0.123456]

@@ -4,9 +4,10 @@ An index is a folder with three tables:
 
 * ``postings`` (term, doc, tf, dl), clustered by document into ``buckets``
   files for each batch and sorted by term.  A document's postings lie in one
-  bucket, so the sum of a (query, document) is complete in its task: neither
-  texts nor postings are shuffled again, only counts of documents by term
-  and each task's best rows.
+  bucket, so a sum over all (query, document) (``scores``) is complete in its
+  task.  A search shuffles the postings of its query terms that its filter
+  leaves to cells of bounded size (``operators.scoring``) and each cell's best
+  rows; texts are not read.
 * ``documents`` (doc, dl, title, snippet and the columns kept for filters),
   clustered in the same way.  Results get their text from here; a search
   reads no document text.
@@ -29,7 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.text import js_trim
-from webloom.operators.search import B, BROADCAST_ROWS, K1, SCORE_DIGITS, SNIPPET_LEN, TITLE_LEN, tokens
+from webloom.operators.scoring import best_documents
+from webloom.operators.search import B, BROADCAST_ROWS, K1, SCORE_DIGITS, SNIPPET_LEN, TITLE_LEN, counted_broadcast, tokens
 from webloom.sources.tables import stored
 
 
@@ -81,8 +83,9 @@ class SearchIndex:
         counted = stored(terms.select(
             "doc", F.size("terms").alias("dl"), F.substring(js_trim(F.substring_index("t", "\n", 1)), 1, TITLE_LEN).alias("title"),
             F.substring("t", 1, SNIPPET_LEN).alias("snippet"), *self.keep, "terms"))
-        postings = (counted.select("doc", "dl", F.explode("terms").alias("term")).groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-                    .repartition(self.buckets, "doc"))
+        # Dealt to the buckets as documents: the counts by term are complete there.
+        postings = (counted.select("doc", "dl", "terms").repartition(self.buckets, "doc").select("doc", "dl", F.explode("terms").alias("term"))
+                    .groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
         self._append(postings, "postings", "term")
         self._append(counted.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_terms"))
                      .withColumn("batch", F.lit(uuid.uuid4().hex)), "stats", "")
@@ -95,32 +98,44 @@ class SearchIndex:
 
         ``doc_filter`` is a condition on the kept columns; idf and length
         normalisation stay those of the whole index."""
-        scores = self.scores(queries, query_id, query_text)
         documents = self.table("documents")
-        if doc_filter is not None:
-            scores = scores.join(documents.where(doc_filter).select("doc"), "doc", "left_semi")
+        kept = None if doc_filter is None else stored(documents.where(doc_filter).select("doc"))
+        scores = self._best(queries, query_id, query_text, kept, start + num - 1)
         w = Window.partitionBy("_q").orderBy(F.col("score").desc(), F.col("doc").asc())
         last = start + num - 1
         top = scores.withColumn("rank", F.row_number().over(w)).where((F.col("rank") >= start) & (F.col("rank") <= last))
-        with _buckets_kept(self.spark):
-            top = stored(top.select(F.col("_q").alias(query_id), F.col("rank").cast("bigint").alias("rank"), "doc", "score"))
+        top = stored(top.select(F.col("_q").alias(query_id), F.col("rank").cast("bigint").alias("rank"), "doc", "score"))
         return documents.select("doc", "title", "snippet").join(top, "doc").select(
             query_id, "rank", F.col("doc").alias("doc_id"), "score", "title", "snippet")
 
-    def scores(self, queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
-        """``(doc, _q, score)`` of every document that shares a term with a query."""
+    def _weights(self, queries: DataFrame, query_id: str, query_text: str):
+        """(weighted (_q, term, idf), its number of rows, number of documents, a posting's weight without idf)."""
         qterms = stored(queries.select(F.col(query_id).alias("_q"), F.explode(F.array_distinct(tokens(query_text))).alias("term")))
         n_docs, n_terms = self.table("stats").agg(F.sum("n_docs"), F.sum("n_terms")).first()
         n_docs, avgdl = int(n_docs or 0), float(n_terms or 0) / (n_docs or 1)
-        postings = self.table("postings")
         vocabulary = qterms.select("term").distinct()
-        dfs = stored(postings.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+        dfs = stored(self.table("postings").join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
         idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
         weighted = stored(qterms.join(dfs, "term").select("_q", "term", idf.alias("idf")))
+        return weighted, weighted.count(), n_docs, F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+
+    def _best(self, queries: DataFrame, query_id: str, query_text: str, kept: DataFrame | None, last: int) -> DataFrame:
+        """``(doc, _q, score)``, of every query at least its first ``last`` documents, of those in ``kept``."""
+        weighted, n_rows, n_docs, w = self._weights(queries, query_id, query_text)
+        postings = self.table("postings")
+        if kept is not None:
+            postings, n_docs = postings.join(kept, "doc", "left_semi"), kept.count()
+        terms = counted_broadcast(stored(weighted.select("term").distinct().withColumn("tid", F.monotonically_increasing_id())))
+        return best_documents(postings.join(terms, "term").select("doc", "tid", w.alias("w")),
+                              stored(weighted.join(terms, "term").select("_q", "tid", "idf")), n_docs, n_rows, last, SCORE_DIGITS)
+
+    def scores(self, queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
+        """``(doc, _q, score)`` of every document that shares a term with a query."""
+        weighted, n_rows, _, w = self._weights(queries, query_id, query_text)
         # Counted: a few query terms are sent to the buckets; very many meet the postings by a shuffle.
-        weighted = F.broadcast(weighted) if weighted.count() <= BROADCAST_ROWS else weighted
-        contrib = postings.join(weighted, "term").select("_q", "doc", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("c"))
+        weighted = F.broadcast(weighted) if n_rows <= BROADCAST_ROWS else weighted
+        contrib = self.table("postings").join(weighted, "term").select("_q", "doc", (F.col("idf") * w).alias("c"))
         return contrib.groupBy("doc", "_q").agg(F.round(F.sum("c"), SCORE_DIGITS).alias("score"))
 
 
