@@ -22,3 +22,42 @@ def test_spread_deals_a_scan_by_its_bytes(spark, monkeypatch, tmp_path):
     assert wide.rdd.getNumPartitions() >= 50 and wide.count() == 20_000
     # Of a join, what its tables read, not the planner's product.
     assert tables.scan_bytes(df.crossJoin(df.select("id"))) <= 3 * tables.scan_bytes(df)
+
+
+def test_snapshot_reads_only_the_rows_around_its_urls(spark, tmp_path):
+    path = str(tmp_path / "snapshot")
+    n = 4_000
+    rows = spark.range(n).select(F.format_string("https://x.example/%06d", "id").alias("url"), F.repeat(F.col("id").cast("string"), 200).alias("html"))
+    twice = rows.union(rows.where(F.col("url").endswith("/000000")).select("url", F.lit(None).cast("string")))
+    twice.repartitionByRange(8, "url").sortWithinPartitions("url").write.parquet(path)
+    fetcher = fetch.SnapshotFetcher({"path": path})
+    read = []
+
+    class Counting:
+        def to_batches(self, **kw):
+            for b in fetcher_pages.to_batches(**kw):
+                read.append(b.num_rows)
+                yield b
+    fetcher_pages, fetcher.pages = fetcher.pages, Counting()
+    urls = [f"https://x.example/{k:06d}" for k in range(100, 200)]
+    fetcher.prepare([*urls, "https://missing.example/1"])
+    assert fetcher.fetch(urls[5]).body == b"105" * 200 and sum(read) == 100 and max(read) <= fetch.SNAPSHOT_ROWS
+    with pytest.raises(LookupError):
+        fetcher.fetch("https://missing.example/1")
+    fetcher.prepare([*urls, "https://missing.example/1"])               # the same ones again: nothing is read
+    assert sum(read) == 100 and fetcher.fetch(urls[5]).status == 200
+    fetcher.prepare(["https://x.example/000000"])
+    assert fetcher.fetch("https://x.example/000000").body == b"" and set(fetcher.known) == {"https://x.example/000000"}
+
+
+def test_fetched_urls_and_snapshot_lie_in_one_order(spark, sf_small):
+    got = Q.q_fetch_source(spark, sf_small)
+    folder = [r for r in os.listdir(scratch(spark, "x")[0].replace("file:", "").rsplit("/", 2)[0]) if r.startswith("snapshot-")]
+    assert folder and got.where("error is null").count() > 0
+    base = scratch(spark, "x")[0].replace("file:", "").rsplit("/", 2)[0] + f"/{folder[-1]}/data"
+    bounds = []
+    for f in sorted(x for x in os.listdir(base) if x.endswith(".parquet")):
+        urls = [u for u in pq.read_table(f"{base}/{f}", columns=["url"]).column(0).to_pylist() if u is not None]
+        assert urls == sorted(urls)
+        bounds += [(urls[0], urls[-1])] if urls else []
+    assert len(bounds) > 1 and all(a[1] <= b[0] for a, b in zip(bounds, bounds[1:]))

@@ -27,6 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 SCHEMA = "pos bigint, url string, status int, status_text string, headers map<string,string>, body binary, error string"
 PARTITION_ROWS = 10_000
 CHUNK = 500                 # URLs that a fetcher is told of together
+SNAPSHOT_ROWS = 1_000       # pages of a snapshot that are held together
 
 
 @dataclass
@@ -54,16 +55,29 @@ class Fetcher:
 
 
 class SnapshotFetcher(Fetcher):
-    """A crawl's snapshot as the web: pages of a Parquet table (options ``path``, ``url`` and ``body`` columns)."""
+    """A crawl's snapshot as the web: pages of a Parquet table (options ``path``, ``url`` and ``body`` columns).
+
+    Of a table sorted by URL, only the row groups around the URLs that come next are read, so sorted URLs read the table
+    about once.  Rows come in small batches, and of a URL's rows only the least body is kept."""
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options)
+        filesystem, path = _filesystem(options["path"])
+        self.pages = ds.dataset(path, filesystem=filesystem, format="parquet")
+        self.known: dict[str, str | None] = {}
+        self.asked: set[str] = set()
 
     def prepare(self, urls: list[str]) -> None:
-        o = self.options
-        filesystem, path = _filesystem(o["path"])
-        url, body = o.get("url", "url"), o.get("body", "html")
-        rows = ds.dataset(path, filesystem=filesystem).to_table(columns=[url, body], filter=ds.field(url).isin(urls))
-        self.known = {}
-        for u, b in sorted(zip(rows.column(url).to_pylist(), rows.column(body).to_pylist()), key=lambda r: (r[0], r[1] or "")):
-            self.known.setdefault(u, b)
+        url, body = self.options.get("url", "url"), self.options.get("body", "html")
+        self.known = {u: self.known[u] for u in urls if u in self.known}
+        new, self.asked = set(urls) - self.asked, set(urls)
+        if not new:
+            return
+        field = ds.field(url)
+        for b in self.pages.to_batches(columns=[url, body], filter=(field >= min(new)) & (field <= max(new)) & field.isin(sorted(new)),
+                                       batch_size=SNAPSHOT_ROWS, batch_readahead=1, fragment_readahead=1):
+            for u, text in zip(b.column(url).to_pylist(), b.column(body).to_pylist()):
+                self.known[u] = min(self.known.get(u, text) or "", text or "")
 
     def fetch(self, url: str) -> Response:
         if url not in self.known:
