@@ -24,6 +24,21 @@ def test_spread_deals_a_scan_by_its_bytes(spark, monkeypatch, tmp_path):
     assert tables.scan_bytes(df.crossJoin(df.select("id"))) <= 3 * tables.scan_bytes(df)
 
 
+def test_many_small_files_make_few_tasks(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"doc-{k}.txt").write_text("x" * (k % 5 + 1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")           # as openCostInBytes: a task for each file
+    try:
+        plain = spark.read.format("binaryFile").load(str(tmp_path)).rdd.getNumPartitions()
+        inv = files.file_inventory(spark, str(tmp_path), "*.txt")
+        parsed = files.parse_documents(spark, str(tmp_path), "*.txt")
+        assert plain == 300 and max(inv.rdd.getNumPartitions(), parsed.rdd.getNumPartitions()) <= spark.sparkContext.defaultParallelism
+        assert Counter(r.length for r in inv.collect()) == {n: 60 for n in range(1, 6)}
+        assert Counter(len(r.text) for r in parsed.collect()) == {n: 60 for n in range(1, 6)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_snapshot_reads_only_the_rows_around_its_urls(spark, tmp_path):
     path = str(tmp_path / "snapshot")
     n = 4_000

@@ -19,13 +19,26 @@ import zlib
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from webloom.sources.tables import scan_bytes
+
+
+FILE_BYTES, SCAN_TASKS = 8 << 20, 64        # of one task: bytes of contents; tasks as Spark would deal them
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """A scan counts a file as ``openCostInBytes`` at least, so tasks of few small files each, whose start takes longer
+    than their work, are put together."""
+    parts = files.rdd.getNumPartitions()
+    want = max(files.sparkSession.sparkContext.defaultParallelism, scan_bytes(files) // FILE_BYTES, parts // SCAN_TASKS)
+    return files.coalesce(want) if want < parts else files
+
 
 def file_inventory(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """``(path, modificationTime, length)`` of every file under ``path``."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.load(path).select("path", "modificationTime", "length")
+    return _dealt(r.load(path).select("path", "modificationTime", "length"))
 
 
 _DOCX_PARA = re.compile(rb"</w:p>")
@@ -85,7 +98,7 @@ def parse_documents(spark: SparkSession, path: str, glob: str | None = None,
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    files = r.load(path).select("path", "content")
+    files = _dealt(r.load(path).select("path", "content"))
 
     def run(it):
         for pdf in it:

@@ -69,11 +69,15 @@ class _Writer(DataSourceArrowWriter):
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         filesystem, root = self._filesystem()
-        moves = [(f"{m.place}/{n}", f"{root}/{n}") for m in messages if m is not None for n in dict.fromkeys(m.names)]
-        for parent in {t.rsplit("/", 1)[0] for _, t in moves}:
-            filesystem.create_dir(parent, recursive=True)
+        made = set()
         with ThreadPoolExecutor(16) as pool:
-            list(pool.map(lambda m: filesystem.move(*m), moves))
+            for m in messages:              # one task's files after the other: never a list of all moves
+                names = dict.fromkeys(m.names) if m is not None else ()
+                for parent in {f"{root}/{n}".rsplit("/", 1)[0] for n in names} - made:
+                    filesystem.create_dir(parent, recursive=True)
+                    made.add(parent)
+                for _ in pool.map(lambda n, place=m and m.place: filesystem.move(f"{place}/{n}", f"{root}/{n}"), names):
+                    pass
         self._clear(filesystem, root)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
