@@ -76,3 +76,16 @@ def test_fetched_urls_and_snapshot_lie_in_one_order(spark, sf_small):
         assert urls == sorted(urls)
         bounds += [(urls[0], urls[-1])] if urls else []
     assert len(bounds) > 1 and all(a[1] <= b[0] for a, b in zip(bounds, bounds[1:]))
+
+
+def test_counts_of_many_texts_equal_those_of_each():
+    texts = ["", "  ", " a ", " abc abc ", "  x y  z ", " \U0001f600\u00e9\u00e8 \u4e2d\u6587\u5b57 ", " the cat  "]
+    want = Counter()
+    for t in texts:
+        want.update(language._counts(t))
+    assert language._corpus_counts(texts) == want and sum(want.values()) > 10
+    many = ["".join([" ", *[chr(0x4e00 + (k * j) % 3_000) for j in range(1, 50)], " "]) for k in range(60)]       # a large alphabet
+    want = Counter()
+    for t in many:
+        want.update(language._counts(t))
+    assert language._corpus_counts(many) == want and language._corpus_counts([]) == Counter()

@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -50,6 +51,33 @@ def _counts(source: str | None) -> Counter:
     return out
 
 
+DENSE = 1 << 24                 # cells of a table of counts, for small alphabets
+
+
+def _corpus_counts(sources: list[str]) -> Counter:
+    """The sum of :func:`_counts` over prepared texts.
+
+    A prepared text begins and ends with a space, so trigrams across the border of two have two spaces beside each other
+    and do not count: the texts are counted as one."""
+    points = np.frombuffer("".join(sources).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(points) < 3:
+        return Counter()
+    chars = np.flatnonzero(np.bincount(points))
+    place = np.zeros(int(chars[-1]) + 1, np.int64)
+    place[chars] = np.arange(len(chars))
+    p, space, size = place[points], points == 32, len(chars)
+    kept = ~(space[1:-1] & (space[:-2] | space[2:]))
+    keys = ((p[:-2] * size + p[1:-1]) * size + p[2:])[kept]
+    if size ** 3 <= DENSE:
+        table = np.bincount(keys, minlength=1)
+        keys = np.flatnonzero(table)
+        n = table[keys]
+    else:
+        keys, n = np.unique(keys, return_counts=True)
+    letters = [chr(c) for c in chars.tolist()]
+    return Counter({(letters[k // size // size], letters[k // size % size], letters[k % size]): c for k, c in zip(keys.tolist(), n.tolist())})
+
+
 def train_profiles(labelled: DataFrame, id_col: str, text_col: str, lang_col: str,
                    code_map: dict | None = ISO639_3, size: int = PROFILE_SIZE) -> DataFrame:
     """``(lang, gram, r)``: top ``size`` trigrams per language, r = 1..size.
@@ -72,8 +100,11 @@ def train_profiles(labelled: DataFrame, id_col: str, text_col: str, lang_col: st
                                                pa.array(cols[2], pa.int64())], ["lang", "gram", "cnt"])
 
         for b in batches:
+            texts: dict[str, list[str]] = {}
             for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total.setdefault(k, Counter()).update(_counts(s))
+                texts.setdefault(k, []).append(s or "")
+            for k, sources in texts.items():
+                total.setdefault(k, Counter()).update(_corpus_counts(sources))
             held = sum(map(len, total.values()))
             if held > TABLE_ROWS:
                 yield rows()
