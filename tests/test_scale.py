@@ -89,3 +89,15 @@ def test_counts_of_many_texts_equal_those_of_each():
     for t in many:
         want.update(language._counts(t))
     assert language._corpus_counts(many) == want and language._corpus_counts([]) == Counter()
+
+
+def test_a_micro_batch_of_many_events_has_several_files(spark, sf_small, monkeypatch):
+    def log():
+        return sorted(map(tuple, Q.q_stream_last_n(spark, sf_small).collect()))
+    want = log()
+    monkeypatch.setattr(Q, "PART_BYTES", max(1, Q.scan_bytes(Q._events(spark, sf_small)) // 12))
+    streams = os.path.dirname(os.path.dirname(scratch(spark, "x")[0])).replace("file:", "")
+    before = set(os.listdir(streams))
+    assert log() == want and len(want) > 50
+    parts, = [x for x in set(os.listdir(streams)) - before if x.startswith("parts-")]
+    assert len([f for f in os.listdir(f"{streams}/{parts}/data") if f.endswith(".parquet")]) == 12
