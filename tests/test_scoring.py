@@ -40,6 +40,47 @@ def test_index_filter_comes_before_the_scores(spark):
     assert n_docs == 200 and n_rows == 60
 
 
+def _shuffled_rows(plan):
+    """Rows that the exchanges of a plan that has run have written."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _shuffled_rows(plan.executedPlan())
+    if kind in ("ShuffleQueryStageExec", "ResultQueryStageExec"):
+        return _shuffled_rows(plan.plan())
+    m, below = plan.metrics().get("shuffleRecordsWritten"), plan.children()
+    return (m.get().value() if m.isDefined() else 0) + sum(_shuffled_rows(below.apply(i)) for i in range(below.size()))
+
+
+def test_postings_and_queries_are_not_dealt_to_every_cell(spark, monkeypatch):
+    """30 blocks of documents and 20 of queries: a block is written once, its cells get only its place."""
+    postings = spark.range(6_000).select((F.col("id") % 300).alias("doc"), F.expr("id div 300").alias("tid"), (F.col("id") % 17 / 8.0 + 0.1).alias("w"))
+    weighted = spark.range(400).select(F.expr("id div 4").alias("_q"), (F.col("id") * 7 % 20).alias("tid"), (F.col("id") % 5 + 0.5).alias("idf"))
+    want = sorted(map(tuple, scoring.best_documents(postings, weighted, 300, 400, 3, 6).collect()))
+    monkeypatch.setattr(scoring, "DOC_BLOCK", 10), monkeypatch.setattr(scoring, "QUERY_ROWS", 20)
+    got = scoring.best_documents(postings, weighted, 300, 400, 3, 6)
+    rows = got.collect()
+    assert _shuffled_rows(got._jdf.queryExecution().executedPlan()) <= 2 * 30 * 20 < postings.count()
+    best = {}
+    for r in rows:
+        best.setdefault(r["_q"], []).append((-r.score, r.doc))
+    whole = {}
+    for q, doc, score in want:
+        whole.setdefault(q, []).append((-score, doc))
+    assert {q: sorted(v)[:3] for q, v in best.items()} == {q: sorted(v)[:3] for q, v in whole.items()} and len(best) == 100
+
+
+def test_a_cell_of_many_blocks_gives_a_query_its_rows_once(spark, monkeypatch):
+    """With few tasks to deal to, what cells give grows with the queries, not with the blocks of documents."""
+    postings = spark.range(600).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("doc"), F.lit(1).cast("bigint").alias("tid"),
+                                       F.when(F.col("id") < 590, 1.0).otherwise(2.0).alias("w"))
+    postings = postings.union(spark.createDataFrame([(None, 1, 2.0)], "doc string, tid bigint, w double"))
+    weighted = spark.range(8).select(F.col("id").alias("_q"), F.lit(1).cast("bigint").alias("tid"), F.lit(0.5).alias("idf"))
+    monkeypatch.setattr(scoring, "DOC_BLOCK", 5), monkeypatch.setattr(scoring, "QUERY_ROWS", 1), monkeypatch.setattr(scoring, "CELL_TASKS", 1)
+    got = scoring.best_documents(postings, weighted, 601, 8, 4, 6).collect()
+    assert len(got) == 8 * 4                    # 121 blocks of documents in one range
+    assert {(r["_q"], r.doc, r.score) for r in got} == {(q, d, 1.0) for q in range(8) for d in (None, "d590", "d591", "d592")}
+
+
 def test_rounding_and_ties_of_a_cell():
     import pyarrow as pa
     assert scoring._rounded(np.array([1.0000005, 2.4999995, 0.1234564999]), 6).tolist() == [1.000001, 2.5, 0.123456]
