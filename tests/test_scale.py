@@ -39,6 +39,34 @@ def test_many_small_files_make_few_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_the_driver_keeps_no_list_of_files(spark, tmp_path):
+    """The rows of Spark's own listing, from a stored table: the plan reads as many files for 300 as for 3."""
+    for k in range(300):
+        folder = tmp_path / f"part-{k % 7}" / ("deep" if k % 2 else "")
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"doc {k}%20.txt").write_text("x" * (k % 4))                 # some are empty
+    for name in (".hidden.txt", "_hidden.txt", "_k=1.txt", "x.bin", "_no/y.txt", "_metadata_d/z.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "gone.txt").symlink_to(tmp_path / "nothing")
+    for path, glob in (("", None), ("", "*.txt"), ("/part-[0-3]", "doc ?%*"), ("/*", "*.txt"), ("/p*/deep", None), ("/x.bin", None)):
+        plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        plain = (plain.option("pathGlobFilter", glob) if glob else plain).load(f"{tmp_path}{path}").select("path", "modificationTime", "length")
+        inv = files.file_inventory(spark, f"{tmp_path}{path}", glob)
+        assert inv.schema == plain.schema and sorted(map(tuple, inv.collect())) == sorted(map(tuple, plain.collect())) and not plain.isEmpty()
+        if path != "/x.bin":
+            assert not any(str(tmp_path) in f for f in inv.inputFiles()) and len(inv.inputFiles()) < 60
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.file_inventory(spark, f"{tmp_path}/none")
+
+
+def test_written_documents_lie_in_folders_of_bounded_size(spark, sf_small, monkeypatch):
+    monkeypatch.setattr(Q, "FOLDER_FILES", 20)
+    folder = Q._written_documents(spark, sf_small).replace("file:", "")
+    names = [os.listdir(f"{folder}/{part}") for part in os.listdir(folder)]
+    assert sum(map(len, names)) == spark.read.parquet(f"{sf_small}/documents.parquet").count() and max(map(len, names)) <= 60
+
+
 def test_snapshot_reads_only_the_rows_around_its_urls(spark, tmp_path):
     path = str(tmp_path / "snapshot")
     n = 4_000
